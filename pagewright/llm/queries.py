@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, token_counts
+from . import language_id, mixing, quality_rules, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -17,6 +17,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, lexicon).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("tox_score").alias("score"),
+        (F.col("tox_score") >= 0.3).cast("int").alias("predicted"),
+        F.col("tox_hits").alias("n_hits"),
+        F.col("tox_words").alias("n_words"),
+    )
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -34,7 +53,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_mixing, op6_token_counts, op9_language_id)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op5_mixing, op6_token_counts, op9_language_id)
 }
 
 ORACLE_SQL = {
