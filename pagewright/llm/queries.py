@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, quality_rules, token_counts, toxicity
+from . import language_id, license_scan, mixing, neighbours, quality_rules, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -44,6 +44,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs)
@@ -52,11 +56,25 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = neighbours.build_index(table(spark, sf_dir, "embeddings"))
+    return neighbours.nearest(index, index.filter(F.col("vec_id") % 50 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op5_mixing, op6_token_counts, op9_language_id)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op5_mixing, op6_token_counts, op7_license_scan, op9_language_id, op10_neighbours)
 }
 
 ORACLE_SQL = {
+    "op10_neighbours": """
+WITH usable AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+                  AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+          FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op5_mixing": """
 WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 shares AS (SELECT source, n, sqrt(n::DOUBLE) AS share FROM sizes),
