@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, neighbours, quality_rules, token_counts, toxicity
+from . import language_id, license_scan, mixing, near_duplicates, neighbours, quality_rules, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -36,6 +36,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -62,10 +66,22 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op5_mixing, op6_token_counts, op7_license_scan, op9_language_id, op10_neighbours)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_ngram_jaccard, op5_mixing, op6_token_counts, op7_license_scan, op9_language_id, op10_neighbours)
 }
 
 ORACLE_SQL = {
+    "op3_ngram_jaccard": r"""
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM split, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y, c = a.n AND c = b.n AS equal FROM shared JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT d.doc_id, least(d.doc_id, (SELECT min(y) FROM links WHERE x = d.doc_id AND equal)) AS set_id,
+       least(d.doc_id, (SELECT min(y) FROM reach WHERE x = d.doc_id)) AS class_id,
+       (SELECT count(*) FROM links WHERE x = d.doc_id) AS n_links, coalesce(n, 0) AS n_shingles
+FROM documents d LEFT JOIN sizes ON d.doc_id = sizes.doc_id
+""",
     "op10_neighbours": """
 WITH usable AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
                 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
