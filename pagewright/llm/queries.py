@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, near_duplicates, neighbours, quality_rules, token_counts, toxicity
+from . import language_id, license_scan, mixing, near_duplicates, neighbours, piece_sampling, quality_rules, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -52,6 +52,20 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_sampling.sample_pieces(docs, tokenizer_path("piece_bpe_32k.model")).select(
+        "doc_id",
+        "sp_rank",
+        F.size("sp_ids").alias("n_pieces"),
+        F.crc32(F.array_join("sp_ids", " ").cast("binary")).alias("ids_crc"),
+        F.round("sp_logp", 6).alias("sp_logp"),
+        F.round("sp_gumbel", 6).alias("sp_gumbel"),
+        F.round("sp_inclusion", 12).alias("sp_inclusion"),
+        "sp_exact",
+    )
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs)
@@ -66,7 +80,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_ngram_jaccard, op5_mixing, op6_token_counts, op7_license_scan, op9_language_id, op10_neighbours)
+    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_ngram_jaccard, op5_mixing, op6_token_counts, op7_license_scan, op8_piece_sampling, op9_language_id, op10_neighbours)
 }
 
 ORACLE_SQL = {
