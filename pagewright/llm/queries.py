@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, mixing, near_duplicates, neighbours, piece_sampling, quality_rules, token_counts, toxicity
+from . import html_extract, language_id, license_scan, mixing, near_duplicates, neighbours, piece_sampling, quality_rules, token_counts, toxicity
 from .common import held_out, table
 
 
@@ -40,6 +40,11 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -80,8 +85,12 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_ngram_jaccard, op5_mixing, op6_token_counts, op7_license_scan, op8_piece_sampling, op9_language_id, op10_neighbours)
-}
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_quality_rules, op3_ngram_jaccard, op4_html_extract, op5_mixing, op6_token_counts, op7_license_scan, op8_piece_sampling,
+        op9_language_id, op10_neighbours,
+    )
+}
 
 ORACLE_SQL = {
     "op3_ngram_jaccard": r"""
