@@ -11,7 +11,7 @@ joined back.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import offsets, settle, small_batches, strings
 
@@ -105,17 +106,21 @@ def measure_texts(texts: list[str]) -> dict[str, np.ndarray]:
     return out
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, MEASURES and `pattern` (the votes as digits) of each document's whole text; null counts as empty."""
+def measure(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns to keep, MEASURES and `pattern` (the votes as digits) of each document's whole text; null counts as empty."""
     small_batches(docs.sparkSession)
+    clash = {*MEASURES, "pattern"} & set(keep)
+    if clash:
+        raise ValueError(f"these names are taken: {sorted(clash)}")
+    chosen = docs.select("doc_id", *keep, F.col("text").alias("pattern"))
+    n = len(keep) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = measure_texts(strings(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(got[m], pa.int64()) for m in MEASURES]], names=["doc_id", *MEASURES])
+            got = measure_texts(strings(b.column(n)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *[pa.array(got[m], pa.int64()) for m in MEASURES]], names=[*b.schema.names[:n], *MEASURES])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    raw = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    raw = chosen.mapInArrow(run, T.StructType([*chosen.schema.fields[:n], *(T.StructField(m, T.LongType()) for m in MEASURES)]))
     return raw.withColumn("pattern", F.concat(*[v.cast("string") for _, v in rules()]))
 
 
@@ -156,15 +161,16 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 300) -> VoteM
     return model
 
 
-def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row per document: doc_id, MEASURES, base_failed, quality (posterior), kept.
+def judge(docs: DataFrame, threshold: float = 0.5, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per document: doc_id, the columns to keep, MEASURES, base_failed, quality (posterior), kept.
 
     base_failed: n_words < 20, or over 30 in 100 words in repeated windows of
     eight. kept: not base_failed and quality >= threshold. A null text counts
     as empty and fails; repeated rows each get a row; no rows give no rows.
     """
-    measured = settle(measure(docs))
-    seen = measured.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
+    # Columns to keep may be wide: rather than write them out, measure a second time.
+    measured = measure(docs, keep) if keep else settle(measure(docs))
+    seen = (measure(docs) if keep else measured).groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
     names = [name for name, _ in rules()]
     votes = np.array([[int(x) for x in p] for p in seen["pattern"]], int).reshape(-1, len(names))
     quality = fit_votes(votes, seen["n"].to_numpy(float)).posterior(votes)
