@@ -1,9 +1,71 @@
-"""Corpus preparation in stages: each function takes (spark, docs, sf_dir) and returns the next stage's documents."""
+"""Corpus preparation in five stages.
+
+Each function takes (spark, docs, sf_dir) and returns the documents the next
+stage works on; the last returns sampled segmentations of the mixed corpus.
+"""
+
+from __future__ import annotations
+
 from pyspark.sql import DataFrame, SparkSession
-STAGES = []
+from pyspark.sql import functions as F
+
+from pagewright.llm import language_id, mixing, near_duplicates, piece_sampling, quality_rules
+from pagewright.llm.common import settle
+from pagewright.llm.queries import tokenizer_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A language is taken as found at this posterior; below it, or with no letter, the document goes.
+SURE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language is `und` or has a posterior under SURE; the model is learned from the documents themselves."""
+    found = language_id.identify(docs.select(*COLUMNS), language_id.train(docs))
+    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("lang_score") >= SURE)).select(*COLUMNS)
+
+
+def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that fail the base rules or whose posterior of being good is under one half."""
+    return quality_rules.judge(docs, keep=COLUMNS[1:]).filter("kept").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates keep the document with the smallest doc_id, once.
+
+    A document without doc_id stays unless a text with a doc_id is like it.
+    """
+    classes = near_duplicates.near_duplicates(docs)
+    firsts = classes.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    kept = docs.join(firsts, "doc_id", "left_semi").select(*COLUMNS)
+    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents so that sources have the target shares, in one random order."""
+    return mixing.mix_sources(docs).select(*COLUMNS)
+
+
+def sample_segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document, as piece ids."""
+    return piece_sampling.sample_pieces(docs, tokenizer_path("piece_bpe_32k.model")).drop("text")
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("quality rules", judge_quality),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", sample_segmentations),
+]
+
+#: The first, second and last stage have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written to the shared checkpoint folder before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
