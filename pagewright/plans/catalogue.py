@@ -1,4 +1,4 @@
-"""Registered queries over the given tables, with SQL that must give the same rows."""
+"""All registered queries over the given tables, with SQL that must give the same rows."""
 
 from __future__ import annotations
 
@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import text_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**text_queries.ORACLE_SQL}
