@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -11,13 +11,16 @@ from .common import settle
 def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """`node` and `root`, the smallest node of its component, for every node of edges (`a`, `b`).
 
-    Each round hooks a node's root to the smallest root among its neighbours
-    and then follows roots twice, so chains halve; it ends when nothing changes.
-    Every round is written to the shared checkpoint folder. Self-edges keep a
-    node in; null ends are left out.
+    First every node keeps only the edge to its smallest lesser neighbour, and
+    its other lesser neighbours are tied to that one instead. Then each round
+    hooks a node's root to the smallest root among its neighbours and follows
+    roots twice, so chains halve; it ends when nothing changes. Every round is
+    written to the shared checkpoint folder. Null ends are left out.
     """
-    pairs = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
-    both = settle(pairs.union(pairs.select(F.col("b"), F.col("a"))).distinct())
+    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
+    low = pairs.withColumn("low", F.min("b").over(Window.partitionBy("a")))
+    tied = low.select("a", F.col("low").alias("b")).union(low.select(F.col("b").alias("a"), F.col("low").alias("b"))).distinct()
+    both = settle(tied.union(tied.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))))
     roots = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
     for _ in range(rounds):
         near = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("low"))

@@ -4,8 +4,8 @@ A document is the set of its five-word shingles. Equal sets are collapsed into
 one class first. A set is embedded as 64 minwise samples; node by node, sets
 that share a sampled token (a coordinate and its value) fall into the same
 bucket. A bucket of bounded size is brute-forced on the samples; a larger one is
-split again on further sampled coordinates, and after the last level it is
-compared block by block. Independent runs from the root repeat until a pair at
+split again on further sampled coordinates, unless that no longer parts its
+sets: such a dense bucket is compared block by block. Independent runs from the root repeat until a pair at
 the threshold is found with the target recall. The buckets give only spanning
 edges of candidate groups, never all their pairs; within each candidate group,
 in blocks, the true Jaccard of the whole sets decides, links are counted, and
@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,12 +31,14 @@ from .components import connected
 WORD = re.compile(r"[^\W_]+")
 SHINGLE = 5
 SAMPLES = 64
-#: Coordinates a node splits on, levels, and sets compared at once.
-BRANCHES, LEVELS, BUCKET = 2, 3, 256
+#: Coordinates a node splits on, and sets compared at once.
+BRANCHES, BUCKET = 2, 256
+#: A bucket that keeps this share of its parent's sets is dense: splitting does not part them, and it is compared in blocks.
+DENSE = 0.6
 #: How far, in standard deviations, an estimate may lie below the threshold and still count.
 SLACK = 4.5
-#: Distinct shingles two blocks of a candidate group may have together, about.
-BLOCK_SHINGLES = 400_000
+#: Sets and distinct shingles in a block of a candidate group, about.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
 SEED = 3
 
 ODD = np.random.default_rng(SEED).integers(1, 1 << 63, SAMPLES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,48 +130,58 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest.combine_chunks()
 
 
-def spanning(n: int, alike: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Edges that connect 0..n-1 as all pairs that are alike do; alike(i, others) says which of others are like i."""
-    left = np.arange(n)
+def clusters(sigs: np.ndarray, need: int) -> np.ndarray:
+    """For each row the first row it is connected to, where rows that agree in `need` samples or more are linked."""
+    first, left = np.arange(len(sigs)), np.arange(len(sigs))
     while len(left):
-        todo, left = [int(left[0])], left[1:]
+        start, todo, left = left[0], [left[0]], left[1:]
         while todo and len(left):
-            i = todo.pop()
-            like = alike(i, left)
-            found = left[like]
-            left = left[~like]
+            like = np.count_nonzero(sigs[left] == sigs[todo.pop()], axis=1) >= need
+            found, left = left[like], left[~like]
+            first[found] = start
             todo += found.tolist()
-            yield from ((i, int(j)) for j in found)
+    return first
 
 
 def edges_in_buckets(rows: DataFrame, least: float) -> DataFrame:
-    """Spanning edges (a, b) of the sets of each bucket whose samples agree in a share of `least` or more."""
-    sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+    """Spanning edges (a, b) of the sets of each bucket whose samples agree in a share of `least` or more.
+
+    rows: bucket, fp, sig, side. In a bucket of two blocks (sides 0 and 1) only
+    the edges that the blocks by themselves (side 2) lack are given.
+    """
+    sorted_rows = rows.select("bucket", "fp", "sig", "side").repartition("bucket").sortWithinPartitions("bucket", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         need = math.ceil(least * SAMPLES)
         for t in groups(batches):
-            keys = t["bucket"].to_numpy()
+            keys, side = t["bucket"].to_numpy(), t["side"].to_numpy()
             fps = t["fp"].to_pylist()
             sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, SAMPLES)
             edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             a, b = [], []
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                s = sigs[x:y]
-                for i, j in spanning(y - x, lambda i, others: np.count_nonzero(s[others] == s[i], axis=1) >= need):  # noqa: B023
-                    a.append(fps[x + i])
-                    b.append(fps[x + j])
+                first = clusters(sigs[x:y], need)
+                if side[x] == 2:
+                    found = np.flatnonzero(first != np.arange(y - x))
+                else:
+                    own = np.zeros(y - x, np.int64)
+                    for k in (0, 1):
+                        at = np.flatnonzero(side[x:y] == k)
+                        own[at] = at[clusters(sigs[x + at], need)] if len(at) else at
+                    found = np.flatnonzero((own == np.arange(y - x)) & (first != own))
+                a += [fps[x + j] for j in found.tolist()]
+                b += [fps[x + i] for i in first[found].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return sorted_rows.select("bucket", "fp", "sig").mapInArrow(run, "a binary, b binary")
+    return sorted_rows.mapInArrow(run, "a binary, b binary")
 
 
 def runs_needed(threshold: float, recall: float) -> int:
-    """Runs until a pair at the threshold shares a bucket with probability `recall` even if every level must be passed."""
+    """Runs until a pair at the threshold shares a last bucket with probability `recall`, however many levels it takes."""
     lives = 1.0
-    for _ in range(LEVELS - 1):
+    for _ in range(1000):
         lives = 1 - (1 - threshold * lives) ** BRANCHES
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold * lives))
+    return math.ceil(math.log(1 - recall) / math.log(1 - min(threshold * lives, 1 - 1e-9)))
 
 
 def coordinate(*seeds) -> F.Column:
@@ -181,26 +194,39 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
     value = lambda c: F.substring(F.col("sig"), c * 4 + 1, F.lit(4))
     node = lambda *seeds: F.xxhash64(*seeds, coordinate(*seeds), value(coordinate(*seeds)))
     level = classes.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs_needed(threshold, recall) - 1))))
-    level = level.select("fp", "sig", node(F.lit(SEED), F.col("run")).alias("bucket"))
-    found = None
-    for depth in range(LEVELS):
-        sizes = level.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    level = level.select("fp", "sig", node(F.lit(SEED), F.col("run")).alias("bucket"), F.lit(None).cast("long").alias("parent_n"))
+    found = []
+    for depth in range(64):
+        sizes = level.groupBy("bucket").agg(F.count("*").alias("n"), F.max("parent_n").alias("parent_n")).filter("n > 1")
         if depth == 0:  # the samples stay behind until the sets alone in their buckets are gone
             met = settle(level.select("bucket", "fp").join(sizes, "bucket"))
             met = settle(met.join(classes.select("fp", "sig"), "fp"))
         else:
-            met = settle(level.join(sizes, "bucket"))
-        small = edges_in_buckets(met.filter(F.col("n") <= BUCKET), least)
-        found = small if found is None else found.union(small)
+            met = settle(level.drop("parent_n").join(sizes, "bucket"))
         large = met.filter(F.col("n") > BUCKET)
-        if depth < LEVELS - 1:
-            branch = large.withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
-            level = branch.select("fp", "sig", node(F.col("bucket"), F.col("branch")).alias("bucket"))
+        dense = F.coalesce(F.col("n") >= DENSE * F.col("parent_n"), F.lit(False))
+        found += [met.filter(F.col("n") <= BUCKET).withColumn("side", F.lit(2)), in_blocks(large.filter(dense))]
+        if not large.filter(~dense).limit(1).count():
+            break
+        branch = large.filter(~dense).withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
+        level = branch.select("fp", "sig", node(F.col("bucket"), F.col("branch")).alias("bucket"), F.col("n").alias("parent_n"))
+    else:
+        raise RuntimeError("buckets did not become small or dense within 64 levels")
+    rows = [x.select("bucket", "fp", "sig", "side") for x in found]
+    return edges_in_buckets(reduce(DataFrame.union, rows), least).distinct()
+
+
+def in_blocks(large: DataFrame) -> DataFrame:
+    """Rows of large buckets dealt to all pairs of blocks: each set once with its own block, and with every other one."""
     n_blocks = F.ceil(F.col("n") / BUCKET).cast("int")
     mine = F.pmod(F.xxhash64("fp", "bucket"), n_blocks).cast("int")
     paired = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    blocks = paired.select("fp", "sig", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"))
-    return found.union(edges_in_buckets(blocks, least)).distinct()
+    bucket = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket")
+    return paired.select("fp", "sig", bucket, side_of("mine", "other"))
+
+
+def side_of(mine: str, other: str) -> F.Column:
+    return F.when(F.col(mine) == F.col(other), 2).when(F.col(mine) > F.col(other), 1).otherwise(0).cast("int").alias("side")
 
 
 def overlaps(one: np.ndarray, flat: np.ndarray, starts: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -220,7 +246,7 @@ def compare_blocks(tags: np.ndarray, weight: np.ndarray, sets: list[np.ndarray],
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = offsets(sizes)
     mark = np.zeros(int(codes.max()) + 1, bool)
-    links, edges = np.zeros(len(sets), np.int64), []
+    links = np.zeros(len(sets), np.int64)
     parent = list(range(len(sets)))
 
     def root(i: int) -> int:
@@ -244,11 +270,9 @@ def compare_blocks(tags: np.ndarray, weight: np.ndarray, sets: list[np.ndarray],
         if two:
             links[near] += weight[i]
         for j in near.tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[b] = a
-                edges.append((i, j))
-    return links, edges
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    return links, [(root(i), i) for i in range(len(sets)) if root(i) != i]
 
 
 def verify(members: DataFrame, threshold: float) -> DataFrame:
@@ -257,19 +281,18 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     members: fp, root (of its candidate group), n_docs (documents of the class), n_shingles and text.
     """
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all_shingles")).filter("n > 1")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / (2 * BUCKET)), F.ceil(2 * F.col("all_shingles") / BLOCK_SHINGLES)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all_shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = members.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tag = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") > F.col("other"), 1).otherwise(0)
     keyed = dealt.select(
-        F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "fp", tag.cast("int").alias("tag"), "n_docs", "text"
+        F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "fp", side_of("mine", "other"), "n_docs", "text"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for t in groups(batches):
                 keys = t["bucket"].to_numpy()
-                fps, tags, weight, texts = t["fp"].to_pylist(), t["tag"].to_numpy(), t["n_docs"].to_numpy(), strings(t["text"])
+                fps, tags, weight, texts = t["fp"].to_pylist(), t["side"].to_numpy(), t["n_docs"].to_numpy(), strings(t["text"])
                 a, b, links = [], [], []
                 edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
                 for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -282,12 +305,12 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
                         continue
                     linked, found = compare_blocks(tags[at], weight[at], [s for _, s in sets.values()], threshold)
                     counted = np.flatnonzero(linked).tolist()
-                    a += [mine[i] for i, _ in found] + [mine[i] for i in counted]
-                    b += [mine[j] for _, j in found] + [mine[i] for i in counted]
+                    a += [mine[j] for _, j in found] + [mine[i] for i in counted]
+                    b += [mine[i] for i, _ in found] + [mine[i] for i in counted]
                     links += [0] * len(found) + linked[counted].tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(links, pa.int64())], names=["a", "b", "links"])
 
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a binary, b binary, links long")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "a binary, b binary, links long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, key: str = "doc_id", text: str = "text") -> DataFrame:
