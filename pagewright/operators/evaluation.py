@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, evaluation_text, evaluation_words
+from ..functions.text import basename, evaluation_text, evaluation_words, let
 
 #: First code point that stands for a word; those up to the surrogates bound the words of one pair.
 FIRST, MOST_WORDS = 19968, 0xD800 - 19968
+#: Edit distances are sought within a narrow band first, and within a wider one where it is not enough.
+BANDS = (16, 64, 256, 1024, 4096)
+PARTS = re.compile(r"\S+|\s+")
 
 
 def pair_by_name(ocr: DataFrame, gt: DataFrame) -> DataFrame:
@@ -28,11 +32,39 @@ def pair_by_name(ocr: DataFrame, gt: DataFrame) -> DataFrame:
     return joined.select(stem("name").alias("pair"), "gt", "ocr", name.alias("gt_name"), "ocr_name")
 
 
-def word_codes(words: Column, vocabulary: Column) -> Column:
-    """A list of words as a text of one character per word."""
-    code = lambda w: F.decode(F.unhex(F.hex(F.array_position(vocabulary, w) + (FIRST - 1))), "UTF-16BE")
-    few = F.when(F.size(vocabulary) <= MOST_WORDS, words).otherwise(F.raise_error(F.lit("too many distinct words in one pair")).cast("array<string>"))
-    return F.array_join(F.transform(few, code), "")
+def word_codes(ours: Column, theirs: Column) -> Column:
+    """Two lists of words as texts of one character per word, the same character for the same word.
+
+    A dictionary of the pair's words makes this linear, where looking words up
+    in an array column is not. More than MOST_WORDS distinct words in one pair
+    are an error.
+    """
+
+    @F.pandas_udf("struct<ours: string, theirs: string>")
+    def code(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(a, b):
+            known: dict[str, int] = {}
+            for w in (*x, *y):
+                known.setdefault(w, len(known))
+            if len(known) > MOST_WORDS:
+                raise ValueError("too many distinct words in one pair")
+            out.append(tuple("".join(chr(FIRST + known[w]) for w in side) for side in (x, y)))
+        return pd.DataFrame(out, columns=["ours", "theirs"])
+
+    return code(ours, theirs)
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Edit distance whose cost grows with the distance, not with the square of the length."""
+
+    def within(bands: tuple[int, ...]) -> Column:
+        if not bands:
+            return F.levenshtein(a, b)
+        # Bound by let: in a plain case expression every band would be computed for every row.
+        return let(F.levenshtein(a, b, bands[0]), lambda d: F.when(d >= 0, d).otherwise(within(bands[1:])))
+
+    return within(BANDS)
 
 
 def line_errors(pairs: DataFrame) -> DataFrame:
@@ -40,15 +72,15 @@ def line_errors(pairs: DataFrame) -> DataFrame:
     text = lambda c: evaluation_text(F.coalesce(F.col(c), F.lit("")))
     split = lambda c: evaluation_words(F.coalesce(F.col(c), F.lit("")))
     prepared = pairs.withColumns({"_g": text("gt"), "_o": text("ocr"), "_gw": split("gt"), "_ow": split("ocr")})
-    prepared = prepared.withColumn("_v", F.array_distinct(F.concat("_gw", "_ow")))
+    prepared = prepared.withColumn("_c", word_codes(F.col("_gw"), F.col("_ow")))
     return prepared.withColumns(
         {
-            "char_errors": F.levenshtein("_g", "_o"),
+            "char_errors": edit_distance(F.col("_g"), F.col("_o")),
             "n_chars": F.length("_g"),
-            "word_errors": F.levenshtein(word_codes(F.col("_gw"), F.col("_v")), word_codes(F.col("_ow"), F.col("_v"))),
+            "word_errors": edit_distance(F.col("_c.ours"), F.col("_c.theirs")),
             "n_words": F.size("_gw"),
         }
-    ).drop("_g", "_o", "_gw", "_ow", "_v")
+    ).drop("_g", "_o", "_gw", "_ow", "_c")
 
 
 def error_rates(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -84,30 +116,44 @@ def text_error_rates(pairs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def unequal(x: list[str], y: list[str]) -> list[tuple[list[str], list[str]]]:
+    """Runs of two lists that stand against each other and differ."""
+    return [(x[i:j], y[k:n]) for tag, i, j, k, n in SequenceMatcher(None, x, y).get_opcodes() if tag != "equal"]
+
+
+def side_by_side(x: list[str], y: list[str]) -> list[tuple[str, str]]:
+    """Pairs by position; what has no partner stands against an empty text."""
+    n = max(len(x), len(y))
+    return list(zip(x + [""] * (n - len(x)), y + [""] * (n - len(y))))
+
+
+def word_edits(x: list[str], y: list[str]) -> list[tuple[str, str]]:
+    return [pair for a, b in unequal(x, y) for pair in side_by_side(a, b)]
+
+
+def character_edits(x: str, y: str) -> list[tuple[str, str]]:
+    """Character pairs that differ: words are aligned first, so that long lines cost little, and then the characters of words that differ."""
+    out = []
+    for a, b in unequal(PARTS.findall(x), PARTS.findall(y)):
+        for c, d in unequal(list("".join(a)), list("".join(b))):
+            out += side_by_side(c, d)
+    return out
+
+
 def differences(pairs: DataFrame, by: list[str], words: bool = False) -> DataFrame:
     """by, gt, ocr, n: what stands for what, character by character or word by word, and how often; empty where one side lacks it.
 
     pairs: by, gt, ocr (lines).
     """
-    kind = "array<struct<gt: string, ocr: string>>"
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf("array<struct<gt: string, ocr: string>>")
     def edits(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = list(x), list(y)
-            found = []
-            for tag, i, j, k, n in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-                if tag != "equal":
-                    both = max(j - i, n - k)
-                    found += [{"gt": p, "ocr": q} for p, q in zip(x[i:j] + [""] * (both - (j - i)), y[k:n] + [""] * (both - (n - k)))]
-            out.append(found)
-        return pd.Series(out)
-
-    prepare = evaluation_words if words else lambda c: F.split(evaluation_text(c), "")
-    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    parts = lambda c: F.filter(prepare(empty(c)), lambda x: x != "")
-    found = pairs.filter(~F.col("gt").eqNullSafe(F.col("ocr"))).select(*by, F.explode(edits(parts("gt"), parts("ocr"))).alias("d"))
+        find = (lambda x, y: word_edits(list(x), list(y))) if words else character_edits
+        return pd.Series([[{"gt": p, "ocr": q} for p, q in find(x, y)] for x, y in zip(a, b)])
+
+    prepare = evaluation_words if words else evaluation_text
+    part = lambda c: prepare(F.coalesce(F.col(c), F.lit("")))
+    found = pairs.filter(~F.col("gt").eqNullSafe(F.col("ocr"))).select(*by, F.explode(edits(part("gt"), part("ocr"))).alias("d"))
     return found.groupBy(*by, F.col("d.gt").alias("gt"), F.col("d.ocr").alias("ocr")).agg(F.count("*").alias("n"))
 
 
