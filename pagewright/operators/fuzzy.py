@@ -14,19 +14,18 @@ from pyspark.sql import functions as F
 PREFIX = 7
 
 
-def delete_keys(term: Column, k: Column, prefix: int = PREFIX) -> Column:
-    """What is left of a term's prefix after deleting at most k of its characters; the keys of up to 7 characters are at most 127."""
-    head = F.substring(term, 1, prefix)
+def with_delete_keys(rows: DataFrame, term: str, k: str, most: int) -> DataFrame:
+    """Rows once for each `key`: what is left of the term's prefix after deleting at most k (up to `most`) of its characters.
 
-    def kept(mask: Column) -> Column:
-        chars = F.transform(
-            F.sequence(F.lit(0), F.length(head) - 1),
-            lambda i: F.when(F.getbit(mask, i) == 0, F.substring(head, i + 1, F.lit(1))).otherwise(""),
-        )
-        return F.array_join(chars, "")
-
-    masks = F.filter(F.sequence(F.lit(0), F.shiftleft(F.lit(1), prefix) - 1), lambda m: (F.bit_count(m) <= k) & (m < F.pow(F.lit(2), F.length(head))))
-    return F.when(F.length(head) == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.transform(masks, kept)))
+    Which characters go is a bit mask, exploded first, so that making a key is
+    compiled code; a term has at most 127 keys. Equal keys of a term may repeat.
+    """
+    masks = [[m for m in range(1 << PREFIX) if m.bit_count() <= e] for e in range(min(most, PREFIX) + 1)]
+    chosen = F.element_at(F.array(*[F.array(*[F.lit(m) for m in one]) for one in masks]), F.least(F.col(k), F.lit(len(masks) - 1)) + 1)
+    headed = rows.withColumn("_head", F.substring(term, 1, PREFIX)).withColumn("_mask", F.explode(chosen))
+    headed = headed.filter(F.col("_mask") < F.call_function("shiftleft", F.lit(1), F.length("_head")))
+    kept = [F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) == 0, F.substring("_head", i + 1, 1)).otherwise("") for i in range(PREFIX)]
+    return headed.withColumn("key", F.concat(*kept)).drop("_head", "_mask")
 
 
 def osa(a: str, b: str, most: int) -> int:
@@ -85,8 +84,8 @@ def fuzzy_join(
     # A query with k edits meets terms of its length less k and more: a term needs only the edits such queries have.
     longest = F.length("term") + (F.lit(fixed) if fixed is not None else F.least(F.lit(most), F.ceil(F.length("term") * share / (1 - share)) + 1))
     t = t.withColumn("tk", F.lit(fixed) if fixed is not None else F.least(F.lit(most), F.floor(longest * F.lit(share))).cast("int"))
-    left = q.withColumn("key", F.explode(delete_keys(F.col("query"), F.col("k"))))
-    right = t.withColumn("key", F.explode(delete_keys(F.col("term"), F.col("tk")))).drop("tk")
+    left = with_delete_keys(q, "query", "k", most if fixed is None else fixed)
+    right = with_delete_keys(t, "term", "tk", most if fixed is None else fixed).drop("tk")
     pairs = (
         left.join(right, [*by, "key"]).filter(F.abs(F.length("query") - F.length("term")) <= F.col("k"))
         .select(*by, "query", "term", "freq", "k").distinct()
@@ -100,6 +99,25 @@ def fuzzy_join(
     return near.withColumn("distance", distance).filter(F.col("distance") <= F.col("k")).select(*by, "query", "term", "freq", "distance")
 
 
+def closest_terms(queries: DataFrame, terms: DataFrame, by: list[str], share: float = 0.2, most: int = 6, swaps: bool = True) -> DataFrame:
+    """closest(fuzzy_join(...)), edit by edit: only queries without a term nearer are looked up further away.
+
+    A query that is itself a term is done at once; with each edit more, keys
+    grow in number but queries dwindle, and terms too short for queries that may
+    have so many edits take no part.
+    """
+    t = terms.select(*by, "term", "freq").dropDuplicates([*by, "term"]).cache()
+    rest = queries.select(*by, "query").distinct().withColumn("k", allowed(F.col("query"), share, most)).cache()
+    found = rest.join(t.withColumn("query", F.col("term")), [*by, "query"]).select(*by, "query", "term", "freq", F.lit(0).alias("distance"))
+    every = found
+    for edits in range(1, most + 1):
+        rest = rest.filter(F.col("k") >= edits).join(found.select(*by, "query").distinct(), [*by, "query"], "left_anti")
+        long = t.filter(F.length("term") >= int(edits / share) - edits).join(rest.select(*by).distinct(), by, "left_semi")
+        found = fuzzy_join(rest, long, by, fixed=edits, swaps=swaps).cache()
+        every = every.unionByName(found)
+    return every
+
+
 def closest(found: DataFrame, by: list[str]) -> DataFrame:
     """All terms at a query's smallest distance."""
     order = Window.partitionBy(*by, "query").orderBy("distance")
