@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Added to the rank of a piece of a BPE model, which has no probabilities: weights fall as 1 / (rank + SHIFT).
 SHIFT = 100.0
 #: Characters sampled together.
-CHUNK = 2_000_000
+CHUNK = 1_600_000
 
 
 class Pieces:
@@ -48,6 +49,7 @@ class Pieces:
         ranks = bool(len(scores)) and bool((scores == np.round(scores)).all())
         self.weight = np.full(p.get_piece_size(), -np.log(p.get_piece_size() + SHIFT))
         self.weight[usable] = -np.log(-scores + SHIFT) if ranks else scores
+        self.factor = np.exp(self.weight)
         self.number = {p.id_to_piece(i): i for i in usable}
         self.bytes = {p.id_to_piece(i): i for i in range(p.get_piece_size()) if p.is_byte(i)}
         self.unknown = p.unk_id()
@@ -65,6 +67,12 @@ class Pieces:
         return tuple(self.bytes[n] for n in names) if all(n in self.bytes for n in names) else (self.unknown,)
 
 
+@cache
+def load(path: str) -> Pieces:
+    """The pieces of a model file, read once by each worker."""
+    return Pieces(path)
+
+
 class Table:
     """Piece ids by a rolling hash of their characters, in an open-addressed array; also knows what begins a piece."""
 
@@ -144,40 +152,52 @@ class Lattice:
             degree[where] += 1
         self.first = offsets(degree)
         free = self.first[:-1].copy()
-        self.ids, self.dst = np.zeros(int(self.first[-1]), np.int64), np.zeros(int(self.first[-1]), np.int64)
+        # Four bytes a number: these arrays are most of a worker's memory.
+        self.ids, self.dst = np.zeros(int(self.first[-1]), np.int32), np.zeros(int(self.first[-1]), np.int32)
         for where, ids, size in reversed(found):
             self.ids[free[where]], self.dst[free[where]] = ids, where + size
             free[where] += 1
-        self.src = np.repeat(np.arange(n), degree)
-        weight = pieces.weight[np.maximum(self.ids, 0)]
-        if self.spelled:
-            low = np.flatnonzero(self.ids < 0)
-            weight[low] = np.array([pieces.weight[list(x)].sum() for x in self.spelled])[-1 - self.ids[low]]
+        self.src = np.repeat(np.arange(n, dtype=np.int32), degree)
+        del found, free
+        named = np.maximum(self.ids, 0)
+        factor = pieces.factor[named]
+        low = np.flatnonzero(self.ids < 0) if self.spelled else np.zeros(0, np.int64)
+        spelled = np.array([pieces.weight[list(x)].sum() for x in self.spelled])
+        factor[low] = np.exp(spelled[-1 - self.ids[low]])
         # Backward sums, state by state from the segments' ends.
-        total = np.full(n, -np.inf)
-        total[self.is_end] = 0.0
-        plain, factor = np.exp(total), np.exp(weight)
-        left = end[self.src] - self.src
-        order = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable")
-        src, dst = self.src[order], self.dst[order]
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(left))]) if len(left) else np.zeros(1, np.int64)
+        left = (end - np.arange(n)).astype(np.int32)[self.src]
+        most = int(left.max(initial=0))
+        order = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable").astype(np.int32)
+        src, dst, by_left = self.src[order], self.dst[order], factor[order]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(left))]).tolist() if len(left) else [0]
         starts = np.concatenate([[True], src[1:] != src[:-1]]) if len(src) else np.zeros(0, bool)
-        for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-            if a == b:
-                continue
-            firsts = np.flatnonzero(starts[a:b])
-            to = src[a:b][firsts]
-            if r <= self.PLAIN:
-                plain[to] = np.add.reduceat(factor[order[a:b]] * plain[dst[a:b]], firsts)
-                total[to] = np.log(plain[to])
-            else:
-                total[to] = np.logaddexp.reduceat(weight[order[a:b]] + total[dst[a:b]], firsts)
-        #: Log-probability of each edge at its start, and running sums that locate a draw.
-        self.logp = np.minimum(weight + total[self.dst] - total[self.src], 0.0)
-        run = np.concatenate([[0.0], np.cumsum(np.exp(self.logp))])
-        self.reach = run[1:] - run[self.first[self.src]]
+        plain = self.is_end.astype(np.float64)
+        for a, b in zip(cuts[: self.PLAIN + 1], cuts[1 : self.PLAIN + 2]):
+            if a < b:
+                firsts = np.flatnonzero(starts[a:b])
+                plain[src[a:b][firsts]] = np.add.reduceat(by_left[a:b] * plain[dst[a:b]], firsts)
+        #: Probability of each edge at its start, and running sums that locate a draw.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.prob = factor * plain[self.dst] / plain[self.src]
+        if most > self.PLAIN:
+            weight = pieces.weight[named]
+            weight[low] = spelled[-1 - self.ids[low]]
+            with np.errstate(divide="ignore"):
+                total = np.log(plain)
+            for a, b in zip(cuts[self.PLAIN + 1 : -1], cuts[self.PLAIN + 2 :]):
+                if a < b:
+                    firsts = np.flatnonzero(starts[a:b])
+                    total[src[a:b][firsts]] = np.logaddexp.reduceat(weight[order[a:b]] + total[dst[a:b]], firsts)
+            far = np.flatnonzero(left > self.PLAIN)
+            self.prob[far] = np.exp(weight[far] + total[self.dst[far]] - total[self.src[far]])
+        del src, dst, by_left, order, left, factor, named
+        run = np.concatenate([[0.0], np.cumsum(self.prob)])
+        self.reach = run[1:] - np.repeat(run[self.first[:-1]], degree)
         self.reach[self.first[1:][degree > 0] - 1] = 2.0
 
+    def logp(self, edges: np.ndarray) -> np.ndarray:
+        return np.log(np.minimum(self.prob[edges], 1.0))
+
     def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each state, by its probability."""
         edge = self.first[state]
@@ -287,7 +307,7 @@ class Search:
         state = int(lattice.src[chosen[0]])
         out = np.arange(lattice.first[state], lattice.first[state + 1])
         out = out[~np.isin(out, chosen)]
-        prob = np.exp(lattice.logp[out])
+        prob = lattice.prob[out]
         if not len(out) or prob.sum() <= 0:
             self.rest[path][node] = -np.inf
             return None
@@ -315,7 +335,7 @@ def sample_batch(pieces: Pieces, texts: list[str], keys: np.ndarray, k: int) ->
     whose, edges = lattice.walk(state, np.repeat(keys, sizes), place, np.zeros(len(state), np.int64))
     node_starts = np.searchsorted(whose, starts)
     u = uniform(keys, np.zeros(len(keys), np.int64), np.full(len(keys), 1 << 43))
-    add_paths(searches, edges, place[whose], lattice.logp[edges], np.diff(node_starts), -np.log(-np.log(u)), np.zeros(len(keys), np.int64))
+    add_paths(searches, edges, place[whose], lattice.logp(edges), np.diff(node_starts), -np.log(-np.log(u)), np.zeros(len(keys), np.int64))
     for round_ in range(1, k):
         todo = []
         for i, s in enumerate(searches):
@@ -350,7 +370,7 @@ def sample_batch(pieces: Pieces, texts: list[str], keys: np.ndarray, k: int) ->
             where.append(np.concatenate([s.place[path][: node + 1], at_all[whose[a:b]]]))
         new_all = np.concatenate(new)
         add_paths(
-            [searches[i] for i, *_ in todo], new_all, np.concatenate(where), lattice.logp[new_all], np.array([len(x) for x in new]),
+            [searches[i] for i, *_ in todo], new_all, np.concatenate(where), lattice.logp(new_all), np.array([len(x) for x in new]),
             np.array([value for _, _, _, value, _ in todo]), np.array([node + 1 for _, _, node, _, _ in todo]),
         )
     out = []
@@ -386,13 +406,14 @@ def sample_pieces(docs: DataFrame, path: str, k: int = 2, seed: int = 8, key: st
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = load(path)
         for b in batches:
             keys, texts = row_keys(b.column(names.index(key)), seed), strings(b.column(names.index(text)))
-            at = 0
+            at, total = 0, sum(map(len, texts))
+            most = total / -(-total // CHUNK) + 1 if total else 1  # parts of like size
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
+                while end < len(texts) and (end == at or size + len(texts[end]) <= most):
                     size += len(texts[end])
                     end += 1
                 found = sample_batch(pieces, texts[at:end], keys[at:end], k)
@@ -424,7 +445,7 @@ def decode_pieces(rows: DataFrame, path: str, ids: str = "sp_ids", to: str = "sp
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = Pieces(path).processor
+        processor = load(path).processor
         for b in batches:
             texts = [None if x is None else processor.decode(x) if x else "" for x in b.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*names, to])
