@@ -100,22 +100,13 @@ def fuzzy_join(
 
 
 def closest_terms(queries: DataFrame, terms: DataFrame, by: list[str], share: float = 0.2, most: int = 6, swaps: bool = True) -> DataFrame:
-    """closest(fuzzy_join(...)), edit by edit: only queries without a term nearer are looked up further away.
-
-    A query that is itself a term is done at once; with each edit more, keys
-    grow in number but queries dwindle, and terms too short for queries that may
-    have so many edits take no part.
-    """
-    t = terms.select(*by, "term", "freq").dropDuplicates([*by, "term"]).cache()
-    rest = queries.select(*by, "query").distinct().withColumn("k", allowed(F.col("query"), share, most)).cache()
-    found = rest.join(t.withColumn("query", F.col("term")), [*by, "query"]).select(*by, "query", "term", "freq", F.lit(0).alias("distance"))
-    every = found
-    for edits in range(1, most + 1):
-        rest = rest.filter(F.col("k") >= edits).join(found.select(*by, "query").distinct(), [*by, "query"], "left_anti")
-        long = t.filter(F.length("term") >= int(edits / share) - edits).join(rest.select(*by).distinct(), by, "left_semi")
-        found = fuzzy_join(rest, long, by, fixed=edits, swaps=swaps).cache()
-        every = every.unionByName(found)
-    return every
+    """closest(fuzzy_join(...)): a query that is itself a term has no nearer one, so only the others are looked for."""
+    t = terms.select(*by, "term", "freq").dropDuplicates([*by, "term"])
+    q = queries.select(*by, "query").distinct()
+    same = t.select(*by, F.col("term").alias("query"), "term", "freq", F.lit(0).alias("distance"))
+    exact = q.join(same, [*by, "query"]).select(*by, "query", "term", "freq", "distance")
+    lost = q.join(same.select(*by, "query"), [*by, "query"], "left_anti")
+    return exact.unionByName(closest(fuzzy_join(lost, t, by, share, most, swaps=swaps), by))
 
 
 def closest(found: DataFrame, by: list[str]) -> DataFrame:
