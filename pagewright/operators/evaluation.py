@@ -110,10 +110,9 @@ def text_error_rates(pairs: DataFrame, by: list[str]) -> DataFrame:
     rates = error_rates(lines.select(*by, "line_idx", F.col("l.g").alias("gt"), F.col("l.o").alias("ocr")), by)
     ends = pairs.groupBy(*by).agg(F.sum(F.size(F.split("gt", "\n")) - 1).alias("ends"))
     joined = rates.join(ends, by)
-    return joined.select(
-        *by, "n_lines", (F.col("n_characters") + F.col("ends")).alias("n_characters"), "n_words",
-        (F.col("cer") * F.col("n_characters") / (F.col("n_characters") + F.col("ends"))).alias("cer"), "wer",
-    )
+    size = F.col("n_characters") + F.col("ends")
+    cer = F.when(F.col("n_characters") == 0, F.col("cer")).otherwise(F.col("cer") * F.col("n_characters") / F.nullif(size, F.lit(0)))
+    return joined.select(*by, "n_lines", size.alias("n_characters"), "n_words", cer.alias("cer"), "wer")
 
 
 def unequal(x: list[str], y: list[str]) -> list[tuple[list[str], list[str]]]:
