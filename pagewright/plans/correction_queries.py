@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..operators import evaluation as E, line_correction as L, spelling as S, transcription as C, words as W
 from ..operators.enrich import enrich
 from ..operators.fuzzy import closest, fuzzy_join
+from ..sources.files import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,13 +42,13 @@ def noised(words: Column) -> Column:
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, pos, gt, ocr: every word as given and as recognised."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(ascii_words(F.col("text"))).alias("pos", "gt"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.posexplode(ascii_words(F.col("text"))).alias("pos", "gt"))
     return docs.withColumn("ocr", noise(F.col("gt"), F.col("pos")))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, line_idx, gt, ocr: every line as given and as recognised, its words joined by single spaces."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_idx", "line"))
+    lines = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_idx", "line"))
     words = lines.withColumn("w", ascii_words(F.col("line")))
     return words.select("doc_id", "lang", "line_idx", F.array_join("w", " ").alias("gt"), F.array_join(noised(F.col("w")), " ").alias("ocr"))
 

@@ -141,3 +141,12 @@ def is_image(content_type: Column) -> Column:
 def split_rejects(rows: DataFrame, good: Column, reason: str) -> tuple[DataFrame, DataFrame]:
     """Rows that pass, and the others with a `reason`."""
     return rows.filter(good), rows.filter(~F.coalesce(good, F.lit(False))).withColumn("reason", F.lit(reason))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the files give fewer tasks than there are cores; else as they are, without a shuffle.
+
+    For work that costs more than moving its input, such as edit distances.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
