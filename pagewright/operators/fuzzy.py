@@ -1,17 +1,28 @@
-"""Fuzzy dictionary join by symmetric deletes.
+"""Fuzzy dictionary join by shared keys.
 
 Two strings within k edits share what is left of their prefixes after at most k
-deletes on either side. So both sides are exploded into such keys and joined on
-them: an equi-join, distributed by key, with no pair compared that shares none.
+deletes on either side. They also share one of any k + 1 pieces of the one, if a
+character is left out between neighbouring pieces, since then no edit, an
+exchange neither, touches two of them; and the shared piece has moved by at most
+k places. Deletes pick out few terms where k is small, pieces where it is larger
+and the string long. Where k is about half the string, nothing but the length
+parts it from other terms, and lengths are the keys. So both sides are exploded
+into keys and joined on them: an equi-join, distributed by key, with no pair
+compared that shares none.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PREFIX = 7
+#: Up to this many edits deletes are used, beyond it pieces of at least and at most so many characters.
+FEW_EDITS, NARROWEST, WIDEST = 2, 2, 6
 
 
 def with_delete_keys(rows: DataFrame, term: str, k: str, most: int) -> DataFrame:
@@ -56,9 +67,56 @@ def osa_column(a: Column, b: Column, most: Column) -> Column:
     return distance(a, b, most)
 
 
-def allowed(term: Column, share: float, most: int) -> Column:
-    """Edits allowed for a string: a share of its length, rounded down, and no more than `most`."""
-    return F.least(F.lit(most), F.floor(F.length(term) * F.lit(share))).cast("int")
+def edits_allowed(length: int, share: float, most: int, fixed: int | None) -> int:
+    """Edits allowed for a string: a share of its length, rounded down, and no more than `most`; or a fixed number."""
+    return min(most, math.floor(length * share)) if fixed is None else fixed
+
+
+def piece_width(length: int, k: int) -> int:
+    """Characters in each of a string's k + 1 pieces; 0 where deletes, or lengths, serve better."""
+    width = min(WIDEST, (length - k) // (k + 1))
+    return width if k > FEW_EDITS and width >= NARROWEST else 0
+
+
+def by_length(values: list, length: Column) -> Column:
+    """values[length], and the last one for longer strings."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.least(length, F.lit(len(values) - 1)) + 1)
+
+
+def keyed_sides(queries: DataFrame, terms: DataFrame, share: float, most: int, fixed: int | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides once for each `key`, with the place `at` where it stands (0 for keys that have none); queries also with `k`."""
+    most = most if fixed is None else fixed
+    # From this length on, edits and widths stay as they are.
+    steady = (WIDEST + 1) * (most + 1) + (math.ceil(most / share) if fixed is None and share > 0 else 0)
+    edits = [edits_allowed(n, share, most, fixed) for n in range(steady + 1)]
+    widths = [piece_width(n, k) for n, k in enumerate(edits)]
+    # For each length of a term: the queries' lengths it may be near to, their most edits by deletes, and their widths.
+    meets = [[q for q, k in enumerate(edits) if abs(q - n) <= k or (q == steady and n + k >= q)] for n in range(steady + most + 1)]
+    loose = [k > FEW_EDITS and not w for k, w in zip(edits, widths)]
+    deletes = [max([edits[q] for q in near if not widths[q] and not loose[q]], default=-1) for near in meets]
+    cut = [[w for w in sorted({widths[q] for q in near}) if w] for near in meets]
+
+    tag = lambda rows, sign: rows.withColumn("key", F.concat(F.lit(sign), F.col("key").cast("string")))
+    q = queries.withColumn("k", by_length(edits, F.length("query"))).withColumn("_width", by_length(widths, F.length("query")))
+    few = q.filter((F.col("_width") == 0) & (F.col("k") <= FEW_EDITS)).drop("_width")
+    left = [tag(with_delete_keys(few, "query", "k", FEW_EDITS).withColumn("at", F.lit(0)), "-")]
+    step = F.floor((F.length("query") - F.col("k")) / (F.col("k") + 1)).cast("int") + 1
+    pieces = q.filter("_width > 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("k")))).withColumn("at", F.col("at") * step)
+    pieces = pieces.withColumn("key", F.substring("query", F.col("at") + 1, F.col("_width"))).drop("_width")
+
+    t = terms.withColumn("_k", by_length(deletes, F.length("term")))
+    right = [tag(with_delete_keys(t.filter("_k >= 0"), "term", "_k", FEW_EDITS).drop("_k").withColumn("at", F.lit(0)), "-")]
+    if any(widths):
+        cuts = by_length([F.array(*[F.lit(w) for w in c]).cast("array<int>") for c in cut], F.length("term"))
+        grams = terms.withColumn("_width", F.explode(cuts)).filter(F.length("term") >= F.col("_width"))
+        grams = grams.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("term") - F.col("_width"))))
+        left.append(tag(pieces, "+"))
+        right.append(tag(grams.withColumn("key", F.substring("term", F.col("at") + 1, F.col("_width"))).drop("_width"), "+"))
+    if any(loose):
+        wide = q.filter((F.col("_width") == 0) & (F.col("k") > FEW_EDITS)).drop("_width").withColumn("at", F.lit(0))
+        left.append(tag(wide.withColumn("key", F.explode(F.sequence(F.length("query") - F.col("k"), F.length("query") + F.col("k")))), "="))
+        right.append(tag(terms.withColumn("at", F.lit(0)).withColumn("key", F.length("term")), "="))
+    return reduce(DataFrame.unionByName, left), reduce(DataFrame.unionByName, right)
 
 
 def fuzzy_join(
@@ -76,18 +134,16 @@ def fuzzy_join(
     fixed: the same number of edits for every query, in place of a share of its
     length. swaps: exchanging two neighbours is one edit. A string that its
     deletes may use up (no longer than its edits allow) also has the empty key,
-    so it is not lost.
+    so it is not lost. An empty string is a term like others; null ones are
+    near to nothing.
     """
     q = queries.select(*by, "query").distinct()
-    q = q.withColumn("k", F.lit(fixed) if fixed is not None else allowed(F.col("query"), share, most))
     t = terms.select(*by, "term", "freq").dropDuplicates([*by, "term"])
-    # A query with k edits meets terms of its length less k and more: a term needs only the edits such queries have.
-    longest = F.length("term") + (F.lit(fixed) if fixed is not None else F.least(F.lit(most), F.ceil(F.length("term") * share / (1 - share)) + 1))
-    t = t.withColumn("tk", F.lit(fixed) if fixed is not None else F.least(F.lit(most), F.floor(longest * F.lit(share))).cast("int"))
-    left = with_delete_keys(q, "query", "k", most if fixed is None else fixed)
-    right = with_delete_keys(t, "term", "tk", most if fixed is None else fixed).drop("tk")
+    left, right = keyed_sides(q, t, share, most, fixed)
+    moved = F.abs(F.col("at") - F.col("term_at")) <= F.col("k")
     pairs = (
-        left.join(right, [*by, "key"]).filter(F.abs(F.length("query") - F.length("term")) <= F.col("k"))
+        left.join(right.withColumnRenamed("at", "term_at"), [*by, "key"])
+        .filter(moved & (F.abs(F.length("query") - F.length("term")) <= F.col("k")))
         .select(*by, "query", "term", "freq", "k").distinct()
     )
     if swaps:

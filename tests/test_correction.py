@@ -29,6 +29,26 @@ def test_fuzzy_join_is_whole(spark):
         assert near == {(a, b, d) for a, b, d in want if d == least[a]}
 
 
+def test_fuzzy_join_of_long_strings(spark):
+    """Strings long enough for pieces, changed by random edits, exchanges among them."""
+    rng = random.Random(4)
+
+    def changed(s, edits):
+        for _ in range(edits):
+            i = rng.randrange(len(s) - 1)
+            s = rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice("ab") + s[i:], s[:i] + s[i + 1] + s[i] + s[i + 2 :]])
+        return s
+
+    made = ["".join(rng.choice("ab~") for _ in range(rng.randint(12, 45))) for _ in range(25)]
+    terms = sorted({changed(s, rng.randint(0, 6)) for s in made for _ in range(8)} | {""})
+    q = spark.createDataFrame([("x", s) for s in [*made, None]], "lang string, query string")
+    t = spark.createDataFrame([("x", s, 1) for s in [*terms, None]], "lang string, term string, freq long")
+    for share, most, fixed in ((0.2, 6, None), (0.2, 6, 3)):
+        got = {(r["query"], r["term"], r["distance"]) for r in Z.fuzzy_join(q, t, ["lang"], share, most, fixed).collect()}
+        want = {(a, b, d) for a in made for b in terms if (d := Z.osa(a, b, 9)) <= (fixed or min(most, int(len(a) * share)))}
+        assert got == want and len(want) > 60
+
+
 def test_transcription_marks(spark):
     ocr = words(spark, ("d", "Thls is a smple text of exmple words heretoday gone"), ("e", "nothing alike"))
     man = words(spark, ("d", "This is a sample text of example words here to day gone"), ("e", "zzzz yyyy"))
