@@ -142,6 +142,11 @@ def ngram_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.ngram_matches(*turn_words(spark, sf_dir), ["conv_id", "turn"])
 
 
+def ngram_matches_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the plain edit distance, which SQL has; its distance with exchanges is another one than ours."""
+    return C.ngram_matches(*turn_words(spark, sf_dir), ["conv_id", "turn"], swaps=False)
+
+
 def match_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.match_sets(C.ngram_matches(*turn_words(spark, sf_dir), ["conv_id", "turn"]), ["conv_id", "turn"])
 
@@ -175,7 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         error_rates_by_lang, error_rates_by_document, character_errors, line_errors, evaluation_pairs, character_differences, word_differences, fuzzy_closest, spell_top1,
-        spell_in_context, coverage, uncovered_runs, ngram_matches, match_sets, transcription_correction, line_correction, service_lines,
+        spell_in_context, coverage, uncovered_runs, ngram_matches, ngram_matches_plain, match_sets, transcription_correction, line_correction, service_lines,
     )
 }
 
@@ -230,6 +235,18 @@ m AS (SELECT doc_id, pos, gt, gt = ocr AS good, sum(CASE WHEN gt = ocr THEN 1 EL
 a AS (SELECT doc_id, island, pos FROM m WHERE good)
 SELECT m.doc_id, min(m.pos)::INTEGER AS start, string_agg(gt, ' ' ORDER BY m.pos) AS run, a.pos::INTEGER AS after
 FROM m LEFT JOIN a ON m.doc_id = a.doc_id AND m.island = a.island WHERE NOT good GROUP BY m.doc_id, m.island, a.pos
+""",
+    "ngram_matches_plain": f"""
+WITH turns AS (SELECT conv_id, turn, any_value({SQL_SPLIT.format("text")}) AS w FROM conversations GROUP BY conv_id, turn),
+kept AS (SELECT conv_id, turn, w[i] AS gt, i - 1 AS p FROM turns, unnest(range(1, len(w) + 1)) AS t(i) WHERE (i - 1) % 13 <> 11),
+ocr AS (SELECT conv_id, turn, list({SQL_NOISE.format(p="p", w="gt")} ORDER BY p) AS w FROM kept GROUP BY ALL),
+ours AS (SELECT conv_id, turn, array_to_string(w[i:i + 2], ' ') AS ocrngram, (i - 1)::INTEGER AS ocrpos FROM ocr, unnest(range(1, len(w) - 1)) AS t(i)),
+theirs AS (SELECT conv_id, turn, array_to_string(w[i:i + 2], ' ') AS manngram, (i - 1)::INTEGER AS manpos FROM turns, unnest(range(1, len(w) - 1)) AS t(i)),
+pairs AS (SELECT conv_id, turn, ocrngram, manngram, levenshtein(ocrngram, manngram)::INTEGER AS distance
+  FROM (SELECT DISTINCT conv_id, turn, ocrngram FROM ours) JOIN (SELECT DISTINCT conv_id, turn, manngram FROM theirs) USING (conv_id, turn)
+  WHERE abs(length(ocrngram) - length(manngram)) <= least(6, floor(length(ocrngram) * 0.2))),
+near AS (SELECT *, rank() OVER (PARTITION BY conv_id, turn, ocrngram ORDER BY distance) AS r FROM pairs WHERE distance <= least(6, floor(length(ocrngram) * 0.2)))
+SELECT conv_id, turn, ocrngram, ocrpos, manngram, manpos, distance FROM near JOIN ours USING (conv_id, turn, ocrngram) JOIN theirs USING (conv_id, turn, manngram) WHERE r = 1
 """,
     "service_lines": """
 WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS x FROM conversations)
