@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import settle  # noqa: F401
+
 #: Rows an Arrow batch holds at most, and its bytes where Spark knows the setting; long texts make batches heavy.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
@@ -25,24 +26,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage.
-
-    The folder is the one named by spark.checkpoint.dir. A temporary one is
-    made only on a local master where none is set, as in tests.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the rows no label may be learned from: crc32 of doc_id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
