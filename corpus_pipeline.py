@@ -32,13 +32,11 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates keep the document with the smallest doc_id, once.
 
-    A document without doc_id stays unless a text with a doc_id is like it.
+    A document without doc_id stays unless it is like one with a doc_id, or like
+    another without that is kept. One doc_id on two texts that are not alike
+    keeps both.
     """
-    classes = near_duplicates.near_duplicates(docs)
-    firsts = classes.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").select(*COLUMNS)
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return near_duplicates.one_per_class(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,8 +93,14 @@ def samples(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def row_id(key: str, text: str) -> F.Column:
+    """16 bytes that stand for a key and a text, either of which may be null: rows that share them are the same document twice."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(F.sha1(part(key)), part(text))))
+
+
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, fp (16 bytes that stand for the set), n_shingles and sig (the samples) of each document."""
+    """key, row (its row_id), fp (16 bytes that stand for the set), n_shingles and sig (the samples) of each document."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -107,10 +113,11 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                     sizes.append(len(s))
                     sigs.append(samples(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=[key, "fp", "n_shingles", "sig"]
+                    [b.column(0), b.column(2), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())],
+                    names=[key, "row", "fp", "n_shingles", "sig"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp binary, n_shingles long, sig binary")
+    return docs.select(key, text, row_id(key, text).alias("row")).mapInArrow(run, f"`{key}` {kind}, row binary, fp binary, n_shingles long, sig binary")
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -313,24 +320,19 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     return keyed.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "a binary, b binary, links long")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: key, set_id, class_id, n_links, n_shingles.
+def placed(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The sketch of docs (doc_key, doc_text), and every set once: fp, set_id, first, n_links and root (of its class).
 
-    set_id: smallest key with an equal shingle set. class_id: smallest key of
-    all documents connected by links (Jaccard >= threshold). n_links: number of
-    other documents with such a link, copies included. A text without words
-    (null, too) has no link and is its own class. Rows that repeat a key count
-    as copies; a null key stays null, and a set that only null keys have has no link
-    but to its copies.
-    Other columns are ignored; no rows give no rows. Whole texts count.
+    first: doc_key and row of the document that stands for the set, the one with the smallest key, null last.
     """
     if not 0 < threshold <= 1 or not 0 < recall < 1:
         raise ValueError("threshold must be in (0, 1], recall in (0, 1)")
-    docs = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text"))
     sketched = settle(sketch(docs, "doc_key", "doc_text"))
+    first = F.struct(F.col("doc_key").isNull().alias("no_key"), "doc_key", "row")
     classes = settle(
         sketched.filter("n_shingles > 0").groupBy("fp")
-        .agg(F.count("*").alias("n_docs"), F.min("doc_key").alias("set_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        .agg(F.count("*").alias("n_docs"), F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        .withColumn("set_id", F.col("first.doc_key"))
     )
     groups_of = connected(candidate_edges(classes.select("fp", "sig"), threshold, recall))
     members = classes.drop("sig").join(groups_of, classes["fp"] == groups_of["node"]).select("fp", "root", "n_docs", "n_shingles", "set_id")
@@ -338,14 +340,49 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     seen = settle(verify(members.join(texts, "set_id"), threshold))
     links = seen.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = connected(seen.filter("links = 0").select("a", "b"))
-    placed = (
-        classes.select("fp", "n_docs", "set_id").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    sets = (
+        classes.select("fp", "n_docs", "set_id", "first").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
         .join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     )
-    named = placed.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    placed = settle(placed.join(named, "root").select("fp", "set_id", "class_id", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    return sketched, sets.select("fp", "set_id", "first", "root", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: key, set_id, class_id, n_links, n_shingles.
+
+    set_id: smallest key with an equal shingle set. class_id: smallest key of
+    all documents connected by links (Jaccard >= threshold). n_links: number of
+    other documents with such a link, copies included. A text without words
+    (null, too) has no link and is its own class. Rows that repeat a key count
+    as copies; a null key stays null, and a set that only null keys have has no link
+    but to its copies.
+    Other columns are ignored; no rows give no rows. Whole texts count.
+    """
+    sketched, sets = placed(docs.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text")), threshold, recall)
+    named = sets.groupBy("root").agg(F.min("set_id").alias("class_id"))
+    sets = settle(sets.join(named, "root").select("fp", "set_id", "class_id", "n_links"))
     own = [F.col("doc_key").alias("set_id"), F.col("doc_key").alias("class_id"), F.lit(0).cast("long").alias("n_links")]
     empty = sketched.filter("n_shingles = 0").select("doc_key", *own, "n_shingles")
-    full = sketched.filter("n_shingles > 0").select("fp", "doc_key", "n_shingles").join(placed, "fp")
+    full = sketched.filter("n_shingles > 0").select("fp", "doc_key", "n_shingles").join(sets, "fp")
     return full.select("doc_key", "set_id", "class_id", "n_links", "n_shingles").union(empty).withColumnRenamed("doc_key", key)
 
+
+def one_per_class(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are left when one row of each class of near-duplicates is kept.
+
+    It is the row with the smallest key (null last), then the smallest
+    fingerprint of its set, then the smallest row_id. Classes are those of the
+    rows, not of the keys: a key on two texts counts twice. Rows with that key
+    and text differ in their other columns at most; the smallest is kept. A text
+    without words is a class by itself, row by row, so all such rows stay.
+    """
+    sketched, sets = placed(docs.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text")), threshold, recall)
+    best = F.min(F.struct("first.no_key", "first.doc_key", "fp", "first.row")).alias("best")
+    firsts = sets.groupBy("root").agg(best).select(F.col("best.row").alias("row"), F.lit(False).alias("wordless"))
+    wordless = sketched.filter("n_shingles = 0").select("row", F.lit(True).alias("wordless")).distinct()
+    found = docs.withColumn("row", row_id(key, text)).join(firsts.union(wordless), "row")
+    worded = found.filter(~F.col("wordless"))
+    if not sketched.filter("n_shingles > 0").groupBy("row").count().filter("count > 1").limit(1).count():
+        return found.select(*docs.columns)
+    once = worded.groupBy("row").agg(F.min(F.struct(*docs.columns)).alias("kept")).select("kept.*")
+    return once.union(found.filter("wordless").select(*docs.columns))

@@ -110,3 +110,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept[3]) <= set(range(40)) and kept[4] == sorted(2 * kept[3])
     assert all(r["sp_exact"] for r in docs.collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept[4])
+
+
+def brute_groups(rows, threshold=0.8):
+    """The rows of each class of near-duplicates."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := N.WORD.findall((t or "").lower())) else set() for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and len(a & b) >= threshold * len(a | b) - 1e-9:
+                    label[i] = label[j] = min(label[i], label[j])
+    return [[rows[i] for i in range(len(rows)) if label[i] == k] for k in sorted(set(label))]
+
+
+def test_one_document_per_class(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    base = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(60)) for _ in range(9)]
+    rows = [(1, base[0]), (2, base[0] + " end"), (2, base[1]), (7, base[1] + " end"), (3, base[2]), (3, base[3])]
+    rows += [(None, base[4]), (None, base[5]), (None, base[0]), (5, base[6])]
+    rows += [(8, base[7]), (8, base[7]), (None, base[8]), (None, base[8]), (9, None), (9, ""), (None, None), (None, "..")]
+    df = spark.createDataFrame([(i, t, "en", f"s{n}", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, df.repartition(4), "").collect()]
+    for group in brute_groups(rows):
+        ids = [i for i, _ in group if i is not None]
+        allowed = {x for x in group if x[0] == (min(ids) if ids else None)}
+        assert len([x for x in got if x in allowed]) == 1, group
+    assert len(got) == len(brute_groups(rows))
+    again = [(r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.drop_near_duplicates(spark, df.orderBy(F.desc("n_chars")), "").collect()]
+    assert sorted((i or 0, t or "") for i, t, _ in again) == sorted((i or 0, t or "") for i, t in got) and (8, base[7], "s12") in again
