@@ -5,8 +5,8 @@ one class first. A set is embedded as 64 minwise samples; node by node, sets
 that share a sampled token (a coordinate and its value) fall into the same
 bucket. A bucket of bounded size is brute-forced on the samples; a larger one is
 split again on further sampled coordinates, unless that no longer parts its
-sets: such a dense bucket is compared block by block. Independent runs from the root repeat until a pair at
-the threshold is found with the target recall. The buckets give only spanning
+sets: such a dense bucket is compared block by block. Runs from different roots repeat until a pair at
+the threshold is found with the target recall, averaged over how far its samples stray from its Jaccard. The buckets give only spanning
 edges of candidate groups, never all their pairs; within each candidate group,
 in blocks, the true Jaccard of the whole sets decides, links are counted, and
 spanning edges of true links give the classes.
@@ -39,6 +39,8 @@ DENSE = 0.6
 SLACK = 4.5
 #: Sets and distinct shingles in a block of a candidate group, about.
 BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+#: Levels of splitting at most, and runs from the root.
+LEVELS, MOST_RUNS = 64, 1024
 SEED = 3
 
 ODD = np.random.default_rng(SEED).integers(1, 1 << 63, SAMPLES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -150,8 +152,8 @@ def clusters(sigs: np.ndarray, need: int) -> np.ndarray:
     return first
 
 
-def edges_in_buckets(rows: DataFrame, least: float) -> DataFrame:
-    """Spanning edges (a, b) of the sets of each bucket whose samples agree in a share of `least` or more.
+def edges_in_buckets(rows: DataFrame, need: int) -> DataFrame:
+    """Spanning edges (a, b) of the sets of each bucket that agree in `need` samples or more.
 
     rows: bucket, fp, sig, side. In a bucket of two blocks (sides 0 and 1) only
     the edges that the blocks by themselves (side 2) lack are given.
@@ -159,7 +161,6 @@ def edges_in_buckets(rows: DataFrame, least: float) -> DataFrame:
     sorted_rows = rows.select("bucket", "fp", "sig", "side").repartition("bucket").sortWithinPartitions("bucket", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        need = math.ceil(least * SAMPLES)
         for t in groups(batches):
             keys, side = t["bucket"].to_numpy(), t["side"].to_numpy()
             fps = t["fp"].to_pylist()
@@ -183,12 +184,43 @@ def edges_in_buckets(rows: DataFrame, least: float) -> DataFrame:
     return sorted_rows.mapInArrow(run, "a binary, b binary")
 
 
+def least_equal(threshold: float) -> int:
+    """Equal samples from which on a pair of a bucket is a candidate."""
+    return math.ceil((threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SAMPLES)) * SAMPLES)
+
+
+def miss_rate(jaccard: float, runs: int, need: int, levels: int = LEVELS) -> float:
+    """Share of pairs of that Jaccard that share no last bucket in any run, or do not agree in `need` samples.
+
+    All runs use the same samples, so the rate is averaged over how many of them
+    are equal (binomial). The runs' roots are different samples, drawn without
+    putting back. Below a root a pair survives `levels` splits by the equal
+    share; 0 levels is the rate where buckets end at the root.
+    """
+    missed = 0.0
+    for equal in range(SAMPLES + 1):
+        weight = math.comb(SAMPLES, equal) * jaccard**equal * (1 - jaccard) ** (SAMPLES - equal)
+        lives = 1.0
+        for _ in range(levels):
+            lives = 1 - (1 - equal / SAMPLES * lives) ** BRANCHES
+        rounds, rest = divmod(runs, SAMPLES)
+        hits = lambda j: math.comb(equal, j) * math.comb(SAMPLES - equal, rest - j) / math.comb(SAMPLES, rest)  # noqa: B023, E731
+        missed += weight * (sum(hits(j) * (1 - lives) ** (rounds * equal + j) for j in range(rest + 1)) if equal >= need else 1.0)
+    return missed
+
+
 def runs_needed(threshold: float, recall: float) -> int:
-    """Runs until a pair at the threshold shares a last bucket with probability `recall`, however many levels it takes."""
-    lives = 1.0
-    for _ in range(1000):
-        lives = 1 - (1 - threshold * lives) ** BRANCHES
-    return math.ceil(math.log(1 - recall) / math.log(1 - min(threshold * lives, 1 - 1e-9)))
+    """Runs until the miss rate of pairs at the threshold is at most 1 - recall, however many levels it takes."""
+    for runs in range(1, MOST_RUNS + 1):
+        if miss_rate(threshold, runs, least_equal(threshold)) <= 1 - recall:
+            return runs
+    raise ValueError(f"{MOST_RUNS} runs do not reach a recall of {recall} at threshold {threshold}")
+
+
+def roots_of(runs: int) -> list[int]:
+    """The coordinate that each run's root splits on: all different, as far as there are enough."""
+    order = np.random.default_rng(SEED).permutation(SAMPLES)
+    return [int(order[r % SAMPLES]) for r in range(runs)]
 
 
 def coordinate(*seeds) -> F.Column:
@@ -197,13 +229,13 @@ def coordinate(*seeds) -> F.Column:
 
 def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Spanning edges between classes that may be similar, by chosen-path recursion over their samples."""
-    least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SAMPLES)
     value = lambda c: F.substring(F.col("sig"), c * 4 + 1, F.lit(4))
     node = lambda *seeds: F.xxhash64(*seeds, coordinate(*seeds), value(coordinate(*seeds)))
-    level = classes.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs_needed(threshold, recall) - 1))))
-    level = level.select("fp", "sig", node(F.lit(SEED), F.col("run")).alias("bucket"), F.lit(None).cast("long").alias("parent_n"))
+    roots = F.array(*[F.lit(c) for c in roots_of(runs_needed(threshold, recall))])
+    level = classes.select("fp", "sig", F.posexplode(roots).alias("run", "root"))
+    level = level.select("fp", "sig", F.xxhash64(F.lit(SEED), "run", "root", value(F.col("root"))).alias("bucket"), F.lit(None).cast("long").alias("parent_n"))
     found = []
-    for depth in range(64):
+    for depth in range(LEVELS):
         sizes = level.groupBy("bucket").agg(F.count("*").alias("n"), F.max("parent_n").alias("parent_n")).filter("n > 1")
         if depth == 0:  # the samples stay behind until the sets alone in their buckets are gone
             met = settle(level.select("bucket", "fp").join(sizes, "bucket"))
@@ -218,9 +250,9 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
         branch = large.filter(~dense).withColumn("branch", F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1))))
         level = branch.select("fp", "sig", node(F.col("bucket"), F.col("branch")).alias("bucket"), F.col("n").alias("parent_n"))
     else:
-        raise RuntimeError("buckets did not become small or dense within 64 levels")
+        raise RuntimeError(f"buckets did not become small or dense within {LEVELS} levels")
     rows = [x.select("bucket", "fp", "sig", "side") for x in found]
-    return edges_in_buckets(reduce(DataFrame.union, rows), least).distinct()
+    return edges_in_buckets(reduce(DataFrame.union, rows), least_equal(threshold)).distinct()
 
 
 def in_blocks(large: DataFrame) -> DataFrame:

@@ -141,3 +141,31 @@ def test_one_document_per_class(spark):
     assert len(got) == len(brute_groups(rows))
     again = [(r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.drop_near_duplicates(spark, df.orderBy(F.desc("n_chars")), "").collect()]
     assert sorted((i or 0, t or "") for i, t, _ in again) == sorted((i or 0, t or "") for i, t in got) and (8, base[7], "s12") in again
+
+
+def test_runs_reach_the_recall():
+    runs = N.runs_needed(0.8, 0.999)
+    need = N.least_equal(0.8)
+    assert len(set(N.roots_of(runs))) == runs and sorted(N.roots_of(64)) == list(range(64))
+    assert N.miss_rate(0.8, runs, need) <= 0.001 < N.miss_rate(0.8, runs - 1, need)
+    rng, missed, trials = np.random.default_rng(7), 0, 200_000
+    equal = rng.random((trials, 64)) < 0.8
+    missed = (~equal[:, N.roots_of(runs)].any(axis=1) | (equal.sum(axis=1) < need)).mean()
+    assert abs(missed - N.miss_rate(0.8, runs, need, levels=0)) < 2e-4 and missed < 0.001
+    assert N.runs_needed(1.0, 0.999) == 1
+    with pytest.raises(ValueError):
+        N.runs_needed(0.3, 0.999)
+
+
+def test_recall_of_planted_pairs(spark):
+    """3,000 pairs with a Jaccard of 0.80 to 0.85, by brute force: none or few are missed by the candidate search."""
+    rng, rows, pairs = np.random.default_rng(8), [], 3000
+    with np.errstate(over="ignore"):
+        for p in range(pairs):
+            shared, own = 160, rng.integers(28, 41)
+            s = rng.integers(0, 1 << 63, shared + own, dtype=np.int64).astype(np.uint64)
+            a, b = np.sort(s[: shared + own // 2]), np.sort(np.concatenate([s[:shared], s[shared + own // 2 :]]))
+            assert 0.8 <= shared / (shared + own) <= 0.852
+            rows += [(bytes([x]) + int(p).to_bytes(15, "big"), N.samples(t).tobytes()) for x, t in ((0, a), (1, b))]
+    edges = N.candidate_edges(spark.createDataFrame(rows, "fp binary, sig binary"), 0.8, 0.999).collect()
+    assert len({bytes(e["a"])[1:] for e in edges if bytes(e["a"])[1:] == bytes(e["b"])[1:]}) >= pairs - 5
