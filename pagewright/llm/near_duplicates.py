@@ -337,12 +337,8 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
                 for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
                     if y - x < 2:
                         continue
-                    # A repeated key brings other rows with it: of each class one row with its set is kept.
-                    sets = {fps[x + i]: (i, s) for i, s in enumerate(shingle_sets(texts[x:y])) if fingerprint(s) == fps[x + i]}
-                    mine, at = list(sets), [x + i for i, _ in sets.values()]
-                    if len(mine) < 2:
-                        continue
-                    linked, found = compare_blocks(tags[at], weight[at], [s for _, s in sets.values()], threshold)
+                    mine = fps[x:y]
+                    linked, found = compare_blocks(tags[x:y], weight[x:y], shingle_sets(texts[x:y]), threshold)
                     counted = np.flatnonzero(linked).tolist()
                     a += [mine[j] for _, j in found] + [mine[i] for i in counted]
                     b += [mine[i] for i, _ in found] + [mine[i] for i in counted]
@@ -367,9 +363,10 @@ def placed(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame,
         .withColumn("set_id", F.col("first.doc_key"))
     )
     groups_of = connected(candidate_edges(classes.select("fp", "sig"), threshold, recall))
-    members = classes.drop("sig").join(groups_of, classes["fp"] == groups_of["node"]).select("fp", "root", "n_docs", "n_shingles", "set_id")
-    texts = docs.select(F.col("doc_key").alias("set_id"), F.col("doc_text").alias("text"))
-    seen = settle(verify(members.join(texts, "set_id"), threshold))
+    members = classes.drop("sig").join(groups_of, classes["fp"] == groups_of["node"]).select("fp", "root", "n_docs", "n_shingles", F.col("first.row").alias("row"))
+    texts = docs.select(row_id("doc_key", "doc_text").alias("row"), F.col("doc_text").alias("text"))
+    # A key that stands twice on one text brings it twice.
+    seen = settle(verify(members.join(texts, "row").dropDuplicates(["row"]), threshold))
     links = seen.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = connected(seen.filter("links = 0").select("a", "b"))
     sets = (
@@ -386,8 +383,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     all documents connected by links (Jaccard >= threshold). n_links: number of
     other documents with such a link, copies included. A text without words
     (null, too) has no link and is its own class. Rows that repeat a key count
-    as copies; a null key stays null, and a set that only null keys have has no link
-    but to its copies.
+    as copies; a null key stays null but its text has links as others do, and
+    set_id or class_id is null only where no key at all is there.
     Other columns are ignored; no rows give no rows. Whole texts count.
     """
     sketched, sets = placed(docs.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text")), threshold, recall)
