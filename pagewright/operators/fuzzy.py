@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import settle
+
 PREFIX = 7
 #: Up to this many edits deletes are used, beyond it pieces of at least and at most so many characters.
 FEW_EDITS, NARROWEST, WIDEST = 2, 2, 6
@@ -165,6 +167,17 @@ def closest_terms(queries: DataFrame, terms: DataFrame, by: list[str], share: fl
     return exact.unionByName(closest(fuzzy_join(lost, t, by, share, most, swaps=swaps), by))
 
 
+def closest_within(queries: DataFrame, terms: DataFrame, by: list[str], edits: int, swaps: bool = True) -> DataFrame:
+    """closest(fuzzy_join(...)) for a fixed number of edits: more edits are tried only for queries that fewer leave without a term."""
+    left, found = queries.select(*by, "query").distinct(), []
+    for k in range(min(edits, 1), edits + 1):
+        found.append(closest(fuzzy_join(left, terms, by, fixed=k, swaps=swaps), by))
+        if k < edits:
+            found[-1] = settle(found[-1])
+            left = left.join(found[-1].select(*by, "query").distinct(), [*by, "query"], "left_anti")
+    return reduce(DataFrame.unionByName, found)
+
+
 def closest(found: DataFrame, by: list[str]) -> DataFrame:
     """All terms at a query's smallest distance."""
     order = Window.partitionBy(*by, "query").orderBy("distance")

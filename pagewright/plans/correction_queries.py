@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluation as E, line_correction as L, spelling as S, transcription as C, words as W
 from ..operators.enrich import enrich
-from ..operators.fuzzy import closest, fuzzy_join
+from ..operators.fuzzy import closest_terms, closest_within
 from ..sources.files import spread
 
 
@@ -100,26 +100,50 @@ def dictionary(words: DataFrame) -> DataFrame:
     return W.dictionary(words, ["lang"], "gt")
 
 
-def fuzzy_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fuzzy_closest(spark: SparkSession, sf_dir: str, edits: int = 1) -> DataFrame:
     words = document_words(spark, sf_dir)
-    return closest(fuzzy_join(words.select("lang", F.col("ocr").alias("query")), dictionary(words), ["lang"], fixed=1, swaps=False), ["lang"])
+    return closest_within(words.select("lang", F.col("ocr").alias("query")), dictionary(words), ["lang"], edits, swaps=False)
 
 
-def spell_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fuzzy_closest_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within two edits, as words with two letters misread need."""
+    return fuzzy_closest(spark, sf_dir, 2)
+
+
+def fuzzy_closest_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library's own lookup: exchanges are one edit, and a fifth of the length may change, up to six edits. DuckDB's exchanges are others than ours."""
+    words = document_words(spark, sf_dir)
+    return closest_terms(words.select("lang", F.col("ocr").alias("query")), dictionary(words), ["lang"])
+
+
+def spell_top1(spark: SparkSession, sf_dir: str, edits: int = 1, swaps: bool = False) -> DataFrame:
     words = document_words(spark, sf_dir)
-    return S.top_corrections(words.select("lang", F.col("ocr").alias("word")), dictionary(words), ["lang"], 1, swaps=False)
+    return S.top_corrections(words.select("lang", F.col("ocr").alias("word")), dictionary(words), ["lang"], edits, swaps=swaps)
+
 
+def spell_top1_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spell_top1(spark, sf_dir, 2)
 
-def spell_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def spell_top1_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within two edits, exchanges among them; it has no SQL."""
+    return spell_top1(spark, sf_dir, 2, swaps=True)
+
+
+def spell_in_context(spark: SparkSession, sf_dir: str, edits: int = 1) -> DataFrame:
     """Counts of corrections by language: terms that occur once are no dictionary, so that some words need one."""
     words = document_words(spark, sf_dir)
     terms = dictionary(words).filter("freq > 1")
     counts = S.bigrams(words.select("doc_id", "lang", "pos", F.col("gt").alias("word")), ["doc_id"], ["lang"])
     placed = words.select("doc_id", "lang", "pos", F.col("ocr").alias("word"))
-    fixed = S.context_corrections(placed, terms, counts, ["doc_id"], ["lang"], 1, swaps=False)
+    fixed = S.context_corrections(placed, terms, counts, ["doc_id"], ["lang"], edits, swaps=False)
     return fixed.groupBy("word", "corrected").agg(F.count("*").alias("n")).filter("word <> corrected")
 
 
+def spell_in_context_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spell_in_context(spark, sf_dir, 2)
+
+
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by trigrams that both texts have at the same place."""
     words = document_words(spark, sf_dir)
@@ -180,7 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         error_rates_by_lang, error_rates_by_document, character_errors, line_errors, evaluation_pairs, character_differences, word_differences, fuzzy_closest, spell_top1,
-        spell_in_context, coverage, uncovered_runs, ngram_matches, ngram_matches_plain, match_sets, transcription_correction, line_correction, service_lines,
+        spell_in_context, fuzzy_closest_two, fuzzy_closest_by_length, spell_top1_two, spell_top1_exchanges, spell_in_context_two, coverage, uncovered_runs, ngram_matches, ngram_matches_plain, match_sets, transcription_correction, line_correction, service_lines,
     )
 }
 
@@ -200,6 +224,11 @@ asked AS (SELECT DISTINCT lang, ocr AS query FROM words),
 qk AS (SELECT lang, query, unnest(list_distinct([query] || list_transform(range(1, length(query) + 1), lambda i: substr(query, 1, i - 1) || substr(query, i + 1)))) AS k FROM asked),
 tk AS (SELECT lang, term, freq, unnest(list_distinct([term] || list_transform(range(1, length(term) + 1), lambda i: substr(term, 1, i - 1) || substr(term, i + 1)))) AS k FROM dict),
 near AS (SELECT DISTINCT lang, query, term, freq, levenshtein(query, term) AS distance FROM qk JOIN tk USING (lang, k) WHERE levenshtein(query, term) <= 1)"""
+#: The nearest terms within two edits: words with none within one are held against all terms of like length.
+SQL_NEAR_TWO = f"""{SQL_NEAR.replace("near AS", "near_one AS")},
+far AS (SELECT lang, query FROM asked ANTI JOIN (SELECT lang, query FROM near_one WHERE freq >= {{least}}) USING (lang, query)),
+near AS (SELECT * FROM near_one UNION ALL SELECT lang, query, term, freq, levenshtein(query, term) AS distance
+  FROM far JOIN dict USING (lang) WHERE freq >= {{least}} AND abs(length(query) - length(term)) <= 2 AND levenshtein(query, term) = 2)"""
 
 ORACLE_SQL = {
     "character_errors": f"WITH {SQL_LINES} SELECT doc_id, line_idx::INTEGER AS line_idx, char_errors::INTEGER AS char_errors, n_chars::INTEGER AS n_chars FROM scored",
@@ -254,3 +283,8 @@ SELECT conv_id, turn, CASE WHEN length(x) > 600 AND trim(x) <> '' THEN 'FAILED'
        CASE WHEN length(x) > 600 AND trim(x) <> '' THEN 'too long' END AS error, md5(CASE WHEN length(x) > 600 THEN x ELSE upper(x) END) AS result_md5 FROM t
 """,
 }
+#: What follows the pairs is the same for one edit and for two; in context, terms that occur once are none.
+ORACLE_SQL |= {
+    f"{name}_two": ORACLE_SQL[name].replace(SQL_NEAR, SQL_NEAR_TWO.replace("{least}", str(least)))
+    for name, least in (("fuzzy_closest", 1), ("spell_top1", 1), ("spell_in_context", 2))
+}
