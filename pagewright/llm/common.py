@@ -63,7 +63,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def offsets(sizes: Iterable[int]) -> np.ndarray:
     """Starts of consecutive runs of the given sizes, and the end of the last."""
-    return np.concatenate([[0], np.cumsum(np.fromiter(sizes, np.int64))]).astype(np.int64)
+    sizes = sizes if isinstance(sizes, np.ndarray) else np.fromiter(sizes, np.int64)
+    out = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=out[1:])
+    return out
 
 
 def strings(column) -> list[str]:

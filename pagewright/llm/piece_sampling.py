@@ -18,13 +18,15 @@ and all words of all texts are sampled together in numpy.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mix64, offsets, small_batches, strings
@@ -35,6 +37,11 @@ SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SHIFT = 100.0
 #: Characters sampled together.
 CHUNK = 1_600_000
+#: Columns that sampling adds.
+ADDED = {
+    "sp_rank": T.IntegerType(), "sp_ids": T.ArrayType(T.IntegerType()), "sp_logp": T.DoubleType(), "sp_gumbel": T.DoubleType(),
+    "sp_inclusion": T.DoubleType(), "sp_exact": T.BooleanType(),
+}
 
 
 class Pieces:
@@ -117,36 +124,48 @@ class Table:
 
 
 class Lattice:
-    """Edges of the lattices of distinct segments, one after the other, sorted by their start, the longest piece first."""
+    """Edges of the lattices of distinct segments, sorted by their start, the longest piece first.
+
+    A state is a place in a segment. States are laid out by their distance from
+    the segment's end, the segments in one order at every distance, so that an
+    edge leads to a state further to the front and sums run from front to back.
+    """
 
     #: Characters before a segment's end up to which sums are kept as plain numbers; beyond it, as logarithms.
     PLAIN = 50
 
     def __init__(self, pieces: Pieces, distinct: list[str]):
         sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        #: First state of each segment; the state after its last character has no edges.
-        self.base = offsets(sizes + 1)
-        n = int(self.base[-1])
-        end = np.repeat(self.base[1:] - 1, sizes + 1)
-        self.is_end = end == np.arange(n)
-        codes = np.zeros(n, np.uint64)
-        codes[~self.is_end] = np.frombuffer("".join(distinct).encode("utf-32-le", "surrogatepass"), np.uint32)
+        # At each distance the longest segments come first, so those that reach that far are a prefix of all.
+        by_size = np.argsort(-sizes, kind="stable")
+        rank = np.empty(len(sizes), np.int64)
+        rank[by_size] = np.arange(len(sizes))
+        reaching = np.cumsum(np.bincount(sizes)[::-1])[::-1] if len(sizes) else np.zeros(1, np.int64)
+        column = offsets(reaching)
+        #: First state of each segment; states before `ends` lie after a segment's last character and have no edges.
+        self.base, self.ends = column[sizes] + rank, len(sizes)
+        n, most = int(column[-1]), len(reaching) - 1
+        left = np.repeat(np.arange(most + 1, dtype=np.int32), reaching)
+        text_at = offsets(sizes)[1:][by_size]  # each segment's end among all characters
+        codes = np.frombuffer("".join(distinct).encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.arange(self.ends, n)
+        char = text_at[at - column[left[at]]] - left[at]
+        h = np.zeros(len(at), np.uint64)
         found: list[tuple[np.ndarray, np.ndarray, int]] = []
         self.spelled: list[tuple[int, ...]] = []
-        at, h = np.flatnonzero(~self.is_end), np.zeros(n - len(distinct), np.uint64)
         for size in range(1, pieces.table.longest + 1):
             if not len(at):
                 break
-            h = h * Table.FACTOR + codes[at + size - 1] + np.uint64(1)
+            h = h * Table.FACTOR + codes[char + (size - 1)] + np.uint64(1)
             ids = pieces.table.find(h)
             hit = ids >= 0
             found.append((at[hit], ids[hit], size))
             if size == 1 and not hit.all():  # always a way through
-                lost, chars = np.unique(codes[at[~hit]], return_inverse=True)
+                lost, chars = np.unique(codes[char[~hit]], return_inverse=True)
                 self.spelled = [pieces.spelled(chr(int(c))) for c in lost]
                 found.append((at[~hit], -1 - chars, 1))
-            on = (ids >= -1) & (end[at] > at + size)
-            at, h = at[on], h[on]
+            on = np.flatnonzero((ids >= -1) & (left[at] > size))
+            at, h, char = at[on], h[on], char[on]
         degree = np.zeros(n, np.int64)
         for where, _, _ in found:
             degree[where] += 1
@@ -155,48 +174,46 @@ class Lattice:
         # Four bytes a number: these arrays are most of a worker's memory.
         self.ids, self.dst = np.zeros(int(self.first[-1]), np.int32), np.zeros(int(self.first[-1]), np.int32)
         for where, ids, size in reversed(found):
-            self.ids[free[where]], self.dst[free[where]] = ids, where + size
+            put, near = free[where], left[where]
+            self.ids[put], self.dst[put] = ids, where - column[near] + column[near - size]
             free[where] += 1
         self.src = np.repeat(np.arange(n, dtype=np.int32), degree)
-        del found, free
-        named = np.maximum(self.ids, 0)
-        factor = pieces.factor[named]
+        del found, free, left
+        factor = pieces.factor[np.maximum(self.ids, 0)]
         low = np.flatnonzero(self.ids < 0) if self.spelled else np.zeros(0, np.int64)
         spelled = np.array([pieces.weight[list(x)].sum() for x in self.spelled])
         factor[low] = np.exp(spelled[-1 - self.ids[low]])
-        # Backward sums, state by state from the segments' ends.
-        left = (end - np.arange(n)).astype(np.int32)[self.src]
-        most = int(left.max(initial=0))
-        order = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable").astype(np.int32)
-        src, dst, by_left = self.src[order], self.dst[order], factor[order]
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(left))]).tolist() if len(left) else [0]
-        starts = np.concatenate([[True], src[1:] != src[:-1]]) if len(src) else np.zeros(0, bool)
-        plain = self.is_end.astype(np.float64)
-        for a, b in zip(cuts[: self.PLAIN + 1], cuts[1 : self.PLAIN + 2]):
-            if a < b:
-                firsts = np.flatnonzero(starts[a:b])
-                plain[src[a:b][firsts]] = np.add.reduceat(by_left[a:b] * plain[dst[a:b]], firsts)
+        # Sums over all ways on to the end, distance by distance.
+        cuts = self.first[column].tolist()
+        plain = np.zeros(n)
+        plain[: self.ends] = 1.0
+        for d in range(1, min(most, self.PLAIN) + 1):
+            x, y, a, b = column[d], column[d + 1], cuts[d], cuts[d + 1]
+            plain[x:y] = np.add.reduceat(factor[a:b] * plain[self.dst[a:b]], self.first[x:y] - a)
         #: Probability of each edge at its start, and running sums that locate a draw.
         with np.errstate(divide="ignore", invalid="ignore"):
             self.prob = factor * plain[self.dst] / plain[self.src]
         if most > self.PLAIN:
-            weight = pieces.weight[named]
-            weight[low] = spelled[-1 - self.ids[low]]
             with np.errstate(divide="ignore"):
                 total = np.log(plain)
-            for a, b in zip(cuts[self.PLAIN + 1 : -1], cuts[self.PLAIN + 2 :]):
-                if a < b:
-                    firsts = np.flatnonzero(starts[a:b])
-                    total[src[a:b][firsts]] = np.logaddexp.reduceat(weight[order[a:b]] + total[dst[a:b]], firsts)
-            far = np.flatnonzero(left > self.PLAIN)
-            self.prob[far] = np.exp(weight[far] + total[self.dst[far]] - total[self.src[far]])
-        del src, dst, by_left, order, left, factor, named
-        run = np.concatenate([[0.0], np.cumsum(self.prob)])
-        self.reach = run[1:] - np.repeat(run[self.first[:-1]], degree)
-        self.reach[self.first[1:][degree > 0] - 1] = 2.0
-
-    def logp(self, edges: np.ndarray) -> np.ndarray:
-        return np.log(np.minimum(self.prob[edges], 1.0))
+            far = cuts[self.PLAIN + 1]
+            weight = pieces.weight[np.maximum(self.ids[far:], 0)]
+            low = low[low >= far]
+            weight[low - far] = spelled[-1 - self.ids[low]]
+            for d in range(self.PLAIN + 1, most + 1):
+                x, y, a, b = column[d], column[d + 1], cuts[d], cuts[d + 1]
+                total[x:y] = np.logaddexp.reduceat(weight[a - far : b - far] + total[self.dst[a:b]], self.first[x:y] - a)
+            self.prob[far:] = np.exp(weight + total[self.dst[far:]] - total[self.src[far:]])
+        del factor, plain
+        # Summed edge by edge within a state, so that a draw is the same whatever else is in the batch.
+        self.reach = self.prob.copy()
+        more, step = np.flatnonzero(degree > 1), 1
+        while len(more):
+            here = self.first[more] + step
+            self.reach[here] += self.reach[here - 1]
+            step += 1
+            more = more[degree[more] > step]
+        self.reach[self.first[1:][self.ends :] - 1] = 2.0
 
     def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge out of each state, by its probability."""
@@ -207,42 +224,57 @@ class Lattice:
             more = more[u[more] >= self.reach[edge[more]]]
         return edge
 
-    def walk(self, state: np.ndarray, key: np.ndarray, place: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Draw on from each state to its segment's end. Returns rows (which state, edge) in order of states, then steps."""
-        who, got = [], []
-        at = np.arange(len(state))
+    def walk(self, state: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Draw on from each state to its segment's end. Returns how many edges each takes, and all of them in the states' order."""
+        taken, got, count = [], [], np.zeros(len(state), np.int64)
+        at, seed = np.arange(len(state)), mix_place(place)
         while True:
-            live = ~self.is_end[state]
-            if not live.all():
-                state, key, place, step, at = state[live], key[live], place[live], step[live], at[live]
+            live = np.flatnonzero(state >= self.ends)
+            if len(live) < len(at):
+                state, key, seed, at = state[live], key[live], seed[live], at[live]
             if not len(at):
                 break
-            edge = self.draw(state, uniform(key, place, step))
-            who.append(at)
+            edge = self.draw(state, uniform(key, seed, len(got)))
+            taken.append(at)
             got.append(edge)
-            state, step = self.dst[edge], step + 1
-        if not who:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        whose, edges = np.concatenate(who), np.concatenate(got)
-        order = np.argsort(whose, kind="stable")
-        return whose[order], edges[order]
-
-    def pieces_of(self, edges: np.ndarray) -> np.ndarray:
+            count[at] += 1
+            state = self.dst[edge]
+        starts = offsets(count)
+        out = np.zeros(int(starts[-1]), np.int64)
+        for step, (at, edge) in enumerate(zip(taken, got)):
+            out[starts[at] + step] = edge
+        return count, out
+
+    def pieces_of(self, edges: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of paths laid out one after the other, and each path's number of them; a spelled character may take several."""
         ids = self.ids[edges]
         low = np.flatnonzero(ids < 0)
         if not len(low):
-            return ids
-        parts, last = [], 0
-        for i in low.tolist():
-            parts += [ids[last:i], np.array(self.spelled[-1 - ids[i]])]
-            last = i + 1
-        return np.concatenate([*parts, ids[last:]])
+            return ids, sizes
+        spelled = [self.spelled[-1 - i] for i in ids[low].tolist()]
+        more = np.ones(len(ids), np.int64)
+        more[low] = [len(x) for x in spelled]
+        at = offsets(more)
+        out = np.repeat(ids, more)
+        out[ranges(at[:-1][low], more[low])] = np.array([i for x in spelled for i in x], np.int32)
+        return out, np.diff(at[offsets(sizes)])
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each run, one run after the other."""
+    starts = offsets(sizes)
+    return np.arange(int(starts[-1])) + np.repeat(first - starts[:-1], sizes)
+
+
+def mix_place(place: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def uniform(key: np.ndarray, place: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) fixed by a row's key, a segment's place in its text and a step."""
+def uniform(key: np.ndarray, seed: np.ndarray, step: int | np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) fixed by a row's key, a place in its text (from mix_place) and a step."""
     with np.errstate(over="ignore"):
-        x = mix64(key + mix64(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + step.astype(np.uint64)))
+        x = mix64(key + mix64(seed + (np.uint64(step) if isinstance(step, int) else step.astype(np.uint64))))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
@@ -253,132 +285,164 @@ def truncated(phi: np.ndarray, top: np.ndarray | float, u: np.ndarray) -> np.nda
     return np.where(np.isneginf(phi), -np.inf, np.minimum(value, top))
 
 
-def add_paths(searches: list[Search], edges, places, logp, sizes, values, since) -> None:
-    """Give each search its path: edges, places and log-probabilities of all paths' nodes, laid out one after the other."""
-    starts = offsets(sizes)
-    upto = np.concatenate([[0.0], np.cumsum(logp)])
-    # Sums start anew at each path; what came before is taken off, and with it some digits no draw depends on.
-    phi = upto[:-1] - np.repeat(upto[starts[:-1]], sizes)
-    with np.errstate(divide="ignore"):
-        other = phi + np.log(-np.expm1(np.minimum(logp, 0.0)))
-    key = np.array([s.key + np.uint64(7919 * (len(s.edges) + 1)) for s in searches], np.uint64)
-    node = np.arange(len(edges)) - np.repeat(starts[:-1], sizes)
-    rest = truncated(other, np.repeat(values, sizes), uniform(np.repeat(key, sizes), node, np.full(len(edges), 1 << 40)))
-    rest[node < np.repeat(since, sizes)] = -np.inf
-    for s, a, b, v in zip(searches, starts[:-1].tolist(), starts[1:].tolist(), values):
-        s.add(edges[a:b], places[a:b], phi[a:b], rest[a:b], float(v), float(phi[b - 1] + logp[b - 1]) if b > a else 0.0)
-
-
-class Search:
-    """The queue of one text: sampled paths, and for each of their nodes the rest of its children."""
-
-    def __init__(self, key: np.uint64):
-        self.key = key
-        self.edges: list[np.ndarray] = []
-        self.place: list[np.ndarray] = []  # of each node: its segment's place in the text
-        self.phi: list[np.ndarray] = []  # log-probability of the path up to each node
-        self.rest: list[np.ndarray] = []  # perturbed value of each node's other children
-        self.value: list[float] = []
-        self.logp: list[float] = []
-        self.taken: dict[tuple[int, int], list[int]] = {}
-
-    def add(self, edges, place, phi, rest, value: float, logp: float) -> None:
-        """Take in a path; rest is minus infinity at the nodes that belong to an earlier one."""
-        self.edges.append(edges)
-        self.place.append(place)
-        self.phi.append(phi)
-        self.rest.append(rest)
-        self.value.append(value)
-        self.logp.append(logp)
-
-    def head(self) -> tuple[int, int, float]:
-        """Path, node and value of the best entry left."""
-        best = (-1, -1, -np.inf)
-        for i, rest in enumerate(self.rest):
-            if len(rest):
-                j = int(rest.argmax())
-                if rest[j] > best[2]:
-                    best = (i, j, float(rest[j]))
-        return best
-
-    def branch(self, lattice: Lattice, path: int, node: int, value: float) -> int | None:
-        """Draw another child of a node by probability, and put what is still left of it back into the queue."""
-        chosen = self.taken.setdefault((path, node), [int(self.edges[path][node])])
-        state = int(lattice.src[chosen[0]])
-        out = np.arange(lattice.first[state], lattice.first[state + 1])
-        out = out[~np.isin(out, chosen)]
-        prob = lattice.prob[out]
-        if not len(out) or prob.sum() <= 0:
-            self.rest[path][node] = -np.inf
-            return None
-        key = np.array([self.key + np.uint64(104729 * (path + 1))], np.uint64)
-        u = uniform(key, np.array([node]), np.array([(1 << 41) + len(chosen)]))[0]
-        pick = min(int(np.searchsorted(np.cumsum(prob), u * prob.sum(), side="right")), len(out) - 1)
-        chosen.append(int(out[pick]))
-        left = prob.sum() - prob[pick] if len(out) > 1 else 0.0
-        again = uniform(key, np.array([node]), np.array([(1 << 42) + len(chosen)]))
-        phi = self.phi[path][node] + np.log(left) if left > 1e-15 else -np.inf
-        self.rest[path][node] = truncated(np.array([phi]), value, again)[0]
-        return int(out[pick])
-
-
-def sample_batch(pieces: Pieces, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text up to k distinct segmentations: (ids, log-probability, perturbed value, inclusion probability), best first."""
+class Queues:
+    """The queues of all texts of a batch: sampled paths, and for each of their nodes the rest of its children.
+
+    Nodes of all paths lie one after the other in flat arrays.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.edges, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each node: its edge, its segment's place in the text
+        self.phi, self.rest = np.zeros(0), np.zeros(0)  # log-probability of the path up to it, perturbed value of its other children
+        self.starts = np.zeros(1, np.int64)
+        self.owner, self.number = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of each path: its text, which of the text's paths it is
+        self.value, self.logp = np.zeros(0), np.zeros(0)
+        self.gone: dict[int, list[int]] = {}  # by node: children that later paths have taken
+
+    def add(self, lattice: Lattice, owner, number: int, edges, place, sizes, value, since) -> None:
+        """Take in one path for each of the texts in owner; its nodes before `since` belong to an earlier path."""
+        starts = offsets(sizes)
+        logp = np.log(np.minimum(lattice.prob[edges], 1.0))
+        upto = np.empty(len(logp))
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            np.cumsum(logp[a:b], out=upto[a:b])
+        phi = np.concatenate([[0.0], upto[:-1]]) if len(upto) else upto
+        phi[starts[:-1][sizes > 0]] = 0.0
+        with np.errstate(divide="ignore"):
+            other = phi + np.log(-np.expm1(logp))
+        node = ranges(np.zeros(len(sizes), np.int64), sizes)
+        with np.errstate(over="ignore"):
+            key = self.keys[owner] + np.uint64(7919 * (number + 1))
+        rest = truncated(other, np.repeat(value, sizes), uniform(np.repeat(key, sizes), mix_place(node), 1 << 40))
+        rest[node < np.repeat(since, sizes)] = -np.inf
+        full = np.zeros(len(sizes))
+        full[sizes > 0] = upto[starts[1:][sizes > 0] - 1]
+        join = lambda *x: np.concatenate(x)
+        self.edges, self.place = join(self.edges, edges), join(self.place, place)
+        self.phi, self.rest = join(self.phi, phi), join(self.rest, rest)
+        self.starts = join(self.starts, self.starts[-1] + starts[1:])
+        self.owner, self.number = join(self.owner, owner), join(self.number, np.full(len(owner), number))
+        self.value, self.logp = join(self.value, value), join(self.logp, full)
+
+    def heads(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the path of the best entry left (-1: none) and its value."""
+        most = np.full(len(self.owner), -np.inf)
+        filled = np.flatnonzero(np.diff(self.starts))
+        if len(filled):
+            most[filled] = np.maximum.reduceat(self.rest, self.starts[:-1][filled])
+        best = np.full(len(self.keys), -np.inf)
+        np.maximum.at(best, self.owner, most)
+        first = np.flatnonzero((most == best[self.owner]) & (most > -np.inf))[::-1]
+        path = np.full(len(self.keys), -1)
+        path[self.owner[first]] = first
+        return path, best
+
+    def branch(self, lattice: Lattice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Expand each text's best entry: paths, their nodes (flat), values, and the other child drawn by probability.
+
+        What is still left of a node goes back into the queue; a node without anything left goes, and the next is tried.
+        """
+        done: list[tuple] = []
+        todo = np.arange(len(self.keys))
+        while len(todo):
+            path, value = (x[todo] for x in self.heads())
+            path, value = path[path >= 0], value[path >= 0]
+            if not len(path):
+                break
+            node = np.array([a + int(self.rest[a:b].argmax()) for a, b in zip(self.starts[path].tolist(), self.starts[path + 1].tolist())])
+            state = lattice.src[self.edges[node]]
+            out = lattice.first[state][:, None] + np.arange(int((lattice.first[state + 1] - lattice.first[state]).max()))
+            there = (out < lattice.first[state + 1][:, None]) & (out != self.edges[node][:, None])
+            taken = np.ones(len(node), np.int64)
+            for i, x in enumerate(node.tolist()):
+                if x in self.gone:
+                    there[i] &= ~np.isin(out[i], self.gone[x])
+                    taken[i] += len(self.gone[x])
+            out = np.minimum(out, len(lattice.prob) - 1)
+            prob = np.where(there, lattice.prob[out], 0.0)
+            run = np.cumsum(prob, axis=1)
+            total = run[:, -1]
+            with np.errstate(over="ignore"):
+                key = self.keys[self.owner[path]] + (104729 * (self.number[path] + 1)).astype(np.uint64)
+            seed = mix_place(node - self.starts[path])
+            u = uniform(key, seed, (1 << 41) + taken)
+            pick = np.argmax(run > (u * total)[:, None], axis=1)
+            edge, left = out[np.arange(len(node)), pick], total - prob[np.arange(len(node)), pick]
+            left[there.sum(axis=1) < 2] = 0.0
+            with np.errstate(divide="ignore"):
+                phi = self.phi[node] + np.where(left > 1e-15, np.log(left), -np.inf)
+            some = total > 0
+            self.rest[node] = np.where(some, truncated(phi, value, uniform(key, seed, (1 << 42) + taken + 1)), -np.inf)
+            for x, e in zip(node[some].tolist(), edge[some].tolist()):
+                self.gone.setdefault(x, []).append(e)
+            done.append((path[some], node[some], value[some], edge[some]))
+            todo = self.owner[path[~some]]
+        found = [np.concatenate(x) for x in zip(*done)] if done else [np.zeros(0, np.int64)] * 4
+        order = np.argsort(self.owner[found[0]], kind="stable")
+        return tuple(x[order] for x in found)
+
+
+@dataclass(frozen=True)
+class Samples:
+    """Sampled segmentations of a batch, by text, then best first; the ids of all of them lie one after the other."""
+
+    owner: np.ndarray
+    rank: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+    logp: np.ndarray
+    value: np.ndarray
+    inclusion: np.ndarray
+
+
+def sample_batch(pieces: Pieces, texts: list[str], keys: np.ndarray, k: int) -> Samples:
+    """Up to k distinct segmentations of each text."""
     words = [pieces.segments(t) for t in texts]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     codes, distinct = pd.factorize(np.array([w for ws in words for w in ws], object))
+    del words
     lattice = Lattice(pieces, list(distinct))
     starts = offsets(sizes)
-    state = lattice.base[:-1][codes] if len(codes) else np.zeros(0, np.int64)
-    place = np.concatenate([np.arange(n) for n in sizes]) if len(codes) else np.zeros(0, np.int64)
-    searches = [Search(key) for key in keys]
-    whose, edges = lattice.walk(state, np.repeat(keys, sizes), place, np.zeros(len(state), np.int64))
-    node_starts = np.searchsorted(whose, starts)
-    u = uniform(keys, np.zeros(len(keys), np.int64), np.full(len(keys), 1 << 43))
-    add_paths(searches, edges, place[whose], lattice.logp(edges), np.diff(node_starts), -np.log(-np.log(u)), np.zeros(len(keys), np.int64))
+    state = lattice.base[codes] if len(codes) else np.zeros(0, np.int64)
+    place = ranges(np.zeros(len(sizes), np.int64), sizes)
+    queues = Queues(keys)
+    count, edges = lattice.walk(state, np.repeat(keys, sizes), place)
+    nodes = np.diff(offsets(count)[starts])
+    u = uniform(keys, np.zeros(len(keys), np.uint64), 1 << 43)
+    none = np.zeros(len(keys), np.int64)
+    queues.add(lattice, np.arange(len(keys)), 0, edges, np.repeat(place, count), nodes, -np.log(-np.log(u)), none)
     for round_ in range(1, k):
-        todo = []
-        for i, s in enumerate(searches):
-            while True:
-                path, node, value = s.head()
-                if value == -np.inf:
-                    break
-                edge = s.branch(lattice, path, node, value)
-                if edge is not None:
-                    todo.append((i, path, node, value, edge))
-                    break
-        if not todo:
+        path, node, value, edge = queues.branch(lattice)
+        if not len(path):
             break
         # The rest of the branch's own segment, then all later segments of the text.
-        states, from_, at, first_steps = [], [], [], []
-        for i, path, node, _, edge in todo:
-            s = searches[i]
-            here = int(s.place[path][node])
-            later = np.arange(starts[i] + here + 1, starts[i + 1])
-            states.append(np.concatenate([[lattice.dst[edge]], state[later]]))
-            at.append(np.arange(here, sizes[i]))
-            from_.append(np.full(len(later) + 1, s.key + np.uint64(15485863 * round_)))
-            first_steps.append(np.zeros(len(later) + 1, np.int64))
-        cuts = offsets(map(len, states))
-        at_all = np.concatenate(at)
-        whose, got = lattice.walk(np.concatenate(states), np.concatenate(from_), at_all, np.concatenate(first_steps))
-        node_starts = np.searchsorted(whose, cuts)
-        new, where = [], []
-        for n, (i, path, node, _, edge) in enumerate(todo):
-            s, (a, b) = searches[i], node_starts[n : n + 2]
-            new.append(np.concatenate([s.edges[path][:node], [edge], got[a:b]]))
-            where.append(np.concatenate([s.place[path][: node + 1], at_all[whose[a:b]]]))
-        new_all = np.concatenate(new)
-        add_paths(
-            [searches[i] for i, *_ in todo], new_all, np.concatenate(where), lattice.logp(new_all), np.array([len(x) for x in new]),
-            np.array([value for _, _, _, value, _ in todo]), np.array([node + 1 for _, _, node, _, _ in todo]),
-        )
-    out = []
-    for s in searches:
-        limit = s.head()[2]
-        chances = [1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(p - limit, 50.0)))) for p in s.logp]
-        out.append([(lattice.pieces_of(e), p, v, q) for e, p, v, q in zip(s.edges, s.logp, s.value, chances)])
-    return out
+        owner, here = queues.owner[path], queues.place[node]
+        words_left = sizes[owner] - here
+        onward = ranges(starts[owner] + here, words_left)
+        states = state[onward]
+        states[offsets(words_left)[:-1]] = lattice.dst[edge]
+        with np.errstate(over="ignore"):
+            key = keys[owner] + np.uint64(15485863 * round_)
+        count, got = lattice.walk(states, np.repeat(key, words_left), place[onward])
+        ends = offsets(count)[offsets(words_left)]
+        before, after = node - queues.starts[path], np.diff(ends)
+        nodes = before + 1 + after
+        at = offsets(nodes)[:-1]
+        new, where = np.empty(int(nodes.sum()), np.int64), np.empty(int(nodes.sum()), np.int64)
+        old, kept = ranges(queues.starts[path], before), ranges(at, before)
+        new[kept], where[kept] = queues.edges[old], queues.place[old]
+        new[at + before], where[at + before] = edge, here
+        onto = ranges(at + before + 1, after)
+        new[onto], where[onto] = got, np.repeat(place[onward], count)
+        queues.add(lattice, owner, round_, new, where, nodes, value, before + 1)
+    limit = queues.heads()[1][queues.owner]
+    with np.errstate(invalid="ignore"):
+        chance = np.where(np.isneginf(limit), 1.0, -np.expm1(-np.exp(np.minimum(queues.logp - limit, 50.0))))
+    order = np.lexsort((queues.number, queues.owner))
+    nodes = np.diff(queues.starts)[order]
+    ids, made = lattice.pieces_of(queues.edges[ranges(queues.starts[:-1][order], nodes)], nodes)
+    return Samples(queues.owner[order], queues.number[order] + 1, ids, offsets(made), queues.logp[order], queues.value[order], chance[order])
 
 
 def row_keys(column: pa.Array, seed: int) -> np.ndarray:
@@ -387,7 +451,9 @@ def row_keys(column: pa.Array, seed: int) -> np.ndarray:
         return mix64(pd.util.hash_array(np.array([str(x) for x in column.to_pylist()], object)) + np.uint64(seed))
 
 
-def sample_pieces(docs: DataFrame, path: str, k: int = 2, seed: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sample_pieces(
+    docs: DataFrame, path: str, k: int = 2, seed: int = 8, key: str = "doc_id", text: str = "text", keep: Sequence[str] | None = None
+) -> DataFrame:
     """Each row with up to k distinct sampled segmentations of its whole text, one row each.
 
     Adds `sp_rank` (from 1, by perturbed value), `sp_ids` (piece ids),
@@ -396,19 +462,21 @@ def sample_pieces(docs: DataFrame, path: str, k: int = 2, seed: int = 8, key: st
     value left out; 1 where nothing is left out) and `sp_exact` (the ids decode
     to the text). A null or empty text has one segmentation, without pieces.
     Sampling is fixed by (seed, key) alone; rows that repeat a key and a text
-    get the same samples. Columns of these names are replaced, all others kept.
-    path: a SentencePiece model file that every executor has.
+    get the same samples. Columns of these names are replaced, those in `keep`
+    (None: all others) are carried on, each with a row's every sample. No rows
+    give no rows. path: a SentencePiece model file that every executor has.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     small_batches(docs.sparkSession)
-    docs = docs.drop("sp_rank", "sp_ids", "sp_logp", "sp_gumbel", "sp_inclusion", "sp_exact")
-    names = docs.columns
+    kept = [f for f in docs.schema.fields if f.name not in ADDED and (keep is None or f.name in keep)]
+    names = [f.name for f in kept]
+    chosen = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), *[F.col(f"`{n}`").alias(f"kept{i}") for i, n in enumerate(names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path)
         for b in batches:
-            keys, texts = row_keys(b.column(names.index(key)), seed), strings(b.column(names.index(text)))
+            keys, texts, carried = row_keys(b.column(0), seed), strings(b.column(1)), b.columns[2:]
             at, total = 0, sum(map(len, texts))
             most = total / -(-total // CHUNK) + 1 if total else 1  # parts of like size
             while at < len(texts):
@@ -417,25 +485,20 @@ def sample_pieces(docs: DataFrame, path: str, k: int = 2, seed: int = 8, key: st
                     size += len(texts[end])
                     end += 1
                 found = sample_batch(pieces, texts[at:end], keys[at:end], k)
-                flat = [x for f in found for x in f]
-                counts = np.array([len(f) for f in found])
-                ids = [x[0].tolist() for x in flat]
-                runs = offsets(len(x) for x in ids)
-                rows = np.repeat(np.arange(at, end), counts)
-                plain = pieces.processor.decode(ids, num_threads=1) if ids else []
+                rows = at + found.owner
+                cuts, flat = found.starts.tolist(), found.ids.tolist()
+                plain = pieces.processor.decode([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])], num_threads=1)
+                del flat
                 made = [
-                    pa.array([r + 1 for f in found for r in range(len(f))], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(runs, pa.int32()), pa.array(np.concatenate([x[0] for x in flat]), pa.int32())),
-                    *(pa.array([x[c] for x in flat], pa.float64()) for c in (1, 2, 3)),
+                    pa.array(found.rank, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(found.starts, pa.int32()), pa.array(found.ids, pa.int32())),
+                    *(pa.array(x, pa.float64()) for x in (found.logp, found.value, found.inclusion)),
                     pa.array([p == texts[r] for p, r in zip(plain, rows.tolist())], pa.bool_()),
                 ]
-                kept = b.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*kept.columns, *made], names=[*names, "sp_rank", "sp_ids", "sp_logp", "sp_gumbel", "sp_inclusion", "sp_exact"])
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(rows)) for c in carried], *made], names=[*names, *ADDED])
                 at = end
 
-    double = T.DoubleType()
-    added = [("sp_rank", T.IntegerType()), ("sp_ids", T.ArrayType(T.IntegerType())), ("sp_logp", double), ("sp_gumbel", double), ("sp_inclusion", double), ("sp_exact", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in added)]))
+    return chosen.mapInArrow(run, T.StructType([*kept, *(T.StructField(*x) for x in ADDED.items())]))
 
 
 def decode_pieces(rows: DataFrame, path: str, ids: str = "sp_ids", to: str = "sp_text") -> DataFrame:

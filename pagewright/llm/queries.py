@@ -58,12 +58,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return piece_sampling.sample_pieces(docs, tokenizer_path("piece_bpe_32k.model")).select(
+    docs = table(spark, sf_dir, "documents")
+    return piece_sampling.sample_pieces(docs, tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"]).select(
         "doc_id",
         "sp_rank",
         F.size("sp_ids").alias("n_pieces"),
-        F.crc32(F.array_join("sp_ids", " ").cast("binary")).alias("ids_crc"),
+        F.xxhash64("sp_ids").alias("ids_hash"),
         F.round("sp_logp", 6).alias("sp_logp"),
         F.round("sp_gumbel", 6).alias("sp_gumbel"),
         F.round("sp_inclusion", 12).alias("sp_inclusion"),

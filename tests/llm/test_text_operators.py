@@ -173,49 +173,82 @@ def pieces():
     return piece_sampling.Pieces(tokenizer_path("piece_bpe_32k.model"))
 
 
+def nested(found, texts):
+    """For each text its samples: (ids, log-probability, perturbed value, inclusion probability), best first."""
+    out = [[] for _ in texts]
+    for i, n in enumerate(found.owner.tolist()):
+        out[n].append((found.ids[found.starts[i] : found.starts[i + 1]].tolist(), found.logp[i], found.value[i], found.inclusion[i]))
+        assert found.rank[i] == len(out[n])
+    return out
+
+
 def test_samples_are_distinct_and_decode(pieces):
     rng = random.Random(9)
     texts = ["", " ", "a  b\n\tc", "日本 ẞ \U0001f600", "x" * 200] + ["".join(rng.choice("abé \n") for _ in range(80)) for _ in range(40)]
     keys = np.arange(len(texts), dtype=np.uint64)
-    for t, found in zip(texts, piece_sampling.sample_batch(pieces, texts, keys, 4)):
-        ids = [tuple(x[0].tolist()) for x in found]
+    for t, found in zip(texts, nested(piece_sampling.sample_batch(pieces, texts, keys, 4), texts)):
+        ids = [tuple(x[0]) for x in found]
         assert len(set(ids)) == len(ids) and all(pieces.processor.decode(list(i)) == t for i in ids)
         assert [x[2] for x in found] == sorted((x[2] for x in found), reverse=True)
 
 
-def test_sampling_follows_the_lattice(pieces):
-    def every(s):
-        return [()] if not s else [(pieces.number[s[:j]], *r) for j in range(1, len(s) + 1) if s[:j] in pieces.number for r in every(s[j:])]
+def every(pieces, s):
+    return [()] if not s else [(pieces.number[s[:j]], *r) for j in range(1, len(s) + 1) if s[:j] in pieces.number for r in every(pieces, s[j:])]
 
-    first, second = map(every, pieces.segments("the hat"))
+
+def test_sampling_follows_the_lattice(pieces):
+    first, second = (every(pieces, s) for s in pieces.segments("the hat"))
     paths = [a + b for a in first for b in second]
     p = np.exp([sum(pieces.weight[i] for i in x) for x in paths])
     p /= p.sum()
     n = 20_000
-    found = piece_sampling.sample_batch(pieces, ["the hat"] * n, piece_sampling.mix64(np.arange(n, dtype=np.uint64)), 3)
-    top, estimate = Counter(tuple(f[0][0].tolist()) for f in found), Counter()
+    texts = ["the hat"] * n
+    found = nested(piece_sampling.sample_batch(pieces, texts, piece_sampling.mix64(np.arange(n, dtype=np.uint64)), 3), texts)
+    top, estimate = Counter(tuple(f[0][0]) for f in found), Counter()
     for f in found:
         for ids, logp, _, chance in f:
-            estimate[tuple(ids.tolist())] += np.exp(logp) / chance / n
+            assert abs(logp - np.log(p[paths.index(tuple(ids))])) < 1e-9
+            estimate[tuple(ids)] += np.exp(logp) / chance / n
     for x, q in zip(paths, p):
         assert abs(top[x] / n - q) < 0.015 and abs(estimate[x] - q) < 0.02
 
 
+def test_all_segmentations_are_drawn_once(pieces):
+    texts = ["of", "the", "a", ""]
+    found = nested(piece_sampling.sample_batch(pieces, texts, np.arange(4, dtype=np.uint64), 1000), texts)
+    for t, got in zip(texts, found):
+        want = every(pieces, pieces.segments(t)[0]) if t else [()]
+        assert sorted(tuple(x[0]) for x in got) == sorted(want) and all(x[3] == 1 for x in got)
+
+
+def test_long_words_have_probabilities(pieces):
+    word = "reconsideration" * 9
+    (found,) = nested(piece_sampling.sample_batch(pieces, [word], np.array([3], np.uint64), 2), [word])
+    for ids, logp, _, _ in found:
+        text, total = pieces.segments(word)[0], [0.0]
+        for end in range(1, len(text) + 1):
+            ways = [total[a] + pieces.weight[pieces.number[text[a:end]]] for a in range(max(0, end - pieces.table.longest), end) if text[a:end] in pieces.number]
+            total.append(np.logaddexp.reduce(ways))
+        assert abs(logp - (sum(pieces.weight[i] for i in ids) - total[-1])) < 1e-6
+
+
 def test_samples_do_not_depend_on_the_batch(pieces):
     texts = ["of the people", "by the people", "for the people " * 20]
     keys = np.array([5, 6, 7], np.uint64)
-    whole = piece_sampling.sample_batch(pieces, texts, keys, 3)
+    whole = nested(piece_sampling.sample_batch(pieces, texts, keys, 3), texts)
     for i, t in enumerate(texts):
-        one = piece_sampling.sample_batch(pieces, [t], keys[i : i + 1], 3)[0]
-        assert [x[0].tolist() for x in one] == [x[0].tolist() for x in whole[i]]
+        assert nested(piece_sampling.sample_batch(pieces, [t], keys[i : i + 1], 3), [t]) == [whole[i]]
 
 
 def test_encoding_and_decoding(spark, docs):
     path = tokenizer_path("piece_bpe_32k.model")
-    made = piece_sampling.sample_pieces(docs, path, k=2)
+    made = piece_sampling.sample_pieces(docs.withColumn("sp_rank", F.lit("x")), path, k=2)
     back = piece_sampling.decode_pieces(made, path).collect()
     assert all(r["sp_text"] == (r["text"] or "") and r["sp_exact"] for r in back)
     assert {r["sp_rank"] for r in back if not r["text"]} == {1} and len(back) == 2 * docs.count() - 2
+    assert piece_sampling.sample_pieces(docs.limit(0), path).count() == 0
+    narrow = piece_sampling.sample_pieces(docs, path, keep=["doc_id"])
+    assert narrow.columns == ["doc_id", *piece_sampling.ADDED] and sorted(r["sp_ids"] for r in narrow.collect()) == sorted(r["sp_ids"] for r in back)
 
 
 def test_mixing(spark, docs):
