@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sample_segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document, as piece ids."""
-    return piece_sampling.sample_pieces(docs, tokenizer_path("piece_bpe_32k.model")).drop("text")
+    return piece_sampling.sample_pieces(docs, tokenizer_path("piece_bpe_32k.model"), keep=[c for c in COLUMNS if c != "text"])
 
 
 STAGES = [
