@@ -1,25 +1,36 @@
 """Approximate nearest neighbours with randomly rotated one-bit codes.
 
 The index keeps, for every vector, the signs of its randomly rotated direction
-(packed bits) and one correction scalar. An inner product is estimated from the
-code, with a bound on its error; only vectors whose upper bound reaches the
-distance still needed are compared exactly. Queries and rows meet in blocks of
-bounded size, each pair of blocks in a task of its own, and the blocks' best are
-merged.
+(packed bits) and two correction scalars. A query's rotated direction is
+rounded to four bits a component, so that an inner product is estimated by
+counting bits that two packed words share, with a bound on the estimate's error.
+
+Codes of queries and rows meet in blocks of bounded size, each pair of blocks in
+a task of its own; vectors stay behind. A first pass takes each query's best
+estimates; their exact cosines tell how near its last neighbour is at least. A
+second pass keeps the rows whose upper bound reaches that, and vectors are
+joined for these survivors only, to be compared exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import settle, small_batches
 
-QUERY_BLOCK, ROW_BLOCK = 2048, 8192
-#: Width of the error bound: beyond 1.9 nearly every estimate holds, and 3 leaves a wide margin.
-EPSILON = 3.0
+#: Numbers in a block of rows and in a block of queries: what a task holds of vectors is bounded whatever their length.
+ROW_NUMBERS, QUERY_NUMBERS = 1 << 21, 1 << 19
+#: Width of the error bound, in standard deviations of an estimate about.
+EPSILON = 3.5
+#: Bits to which a query's components are rounded.
+PLANES = 4
+#: Best estimates of the first pass that are compared exactly, for each neighbour asked for.
+PROBES = 4
 SEED = 10
 
 
@@ -35,39 +46,99 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(-1, dim)
 
 
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; scaled by their largest component first, so that no square overflows or vanishes."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as 64-bit words."""
+    rows, dim = bits.shape
+    wide = np.zeros((rows, -(-dim // 64) * 8), np.uint8)
+    wide[:, : -(-dim // 8)] = np.packbits(bits, axis=1)
+    return wide.view(np.uint64)
+
+
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed signs of the rotated directions, and each code's inner product with its direction (the correction scalar)."""
-    turned = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) @ turn.T
-    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[0])
+    turned = directions(vectors) @ turn.T
+    return packed(turned > 0), np.abs(turned).sum(axis=1) / np.sqrt(turn.shape[0])
+
+
+def encode_query(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit planes of the rotated directions, rounded to PLANES bits, and of each query (low, step, sum, rounding error)."""
+    turned = directions(vectors) @ turn.T
+    low = turned.min(axis=1, keepdims=True)
+    step = np.maximum((turned.max(axis=1, keepdims=True) - low) / ((1 << PLANES) - 1), 1e-300)
+    levels = np.round((turned - low) / step).astype(np.uint8)
+    rough = low + step * levels
+    planes = np.concatenate([packed((levels >> j) & 1) for j in range(PLANES)], axis=1)
+    return planes, np.column_stack([low[:, 0], step[:, 0], rough.sum(axis=1), np.linalg.norm(turned - rough, axis=1)])
+
+
+class Codes:
+    """The codes of a block of rows, ready to be scanned."""
+
+    def __init__(self, codes: np.ndarray, scale: np.ndarray, dim: int):
+        self.words, self.dim, self.scale = np.ascontiguousarray(codes.T), dim, scale
+        self.ones = np.bitwise_count(self.words).sum(axis=0, dtype=np.float64)
+        self.both, self.count = np.empty(len(scale), np.uint64), np.empty(len(scale), np.uint8)
+
+    def estimate(self, planes: np.ndarray, scalars: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated cosines of one query with all rows, and how far each may be off."""
+        low, step, total, error = scalars.tolist()
+        shared = np.zeros(len(self.scale), np.uint32)
+        for j, plane in enumerate(planes.reshape(PLANES, -1)):
+            for word, mine in zip(self.words, plane):
+                np.bitwise_and(word, mine, out=self.both)
+                np.bitwise_count(self.both, out=self.count)
+                shared += self.count.astype(np.uint32) << np.uint32(j)
+        guess = (2 * (low * self.ones + step * shared) - total) / np.sqrt(self.dim) / self.scale
+        spread = np.sqrt(np.maximum(1 - self.scale**2, 0) + error**2) / self.scale / np.sqrt(max(self.dim - 1, 1))
+        return guess, epsilon * spread
 
 
-def build_index(vectors: DataFrame, seed: int = SEED) -> DataFrame:
-    """vec_id, embedding (doubles), code and scale of every usable vector.
+def usable(vectors: DataFrame) -> DataFrame:
+    """vec_id and embedding of the rows that take part.
 
-    Left out: null ids, vectors that are null, zero or hold a null or
-    non-finite number, and vectors of another length than the most frequent
-    one (the shortest of such), as they have no cosine with the rest.
+    Left out: null ids, and vectors that are null, zero or hold a null or
+    non-finite number. Of rows that repeat a vec_id the vector that comes first
+    in order, component by component, counts.
     """
-    small_batches(vectors.sparkSession)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    clean = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(
+    kind = vectors.schema["embedding"].dataType
+    known = vectors if kind.simpleString() in ("array<float>", "array<double>") else vectors.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    clean = known.select("vec_id", "embedding").filter(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0)
     )
-    common = clean.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = common[0]["dim"] if common else 0
-    kind = vectors.schema["vec_id"].dataType.simpleString()
+    return clean.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
-    def run(batches):
-        turn = rotation(dim, seed)
+
+def build_index(rows: DataFrame, k: int = 5, seed: int = SEED) -> DataFrame:
+    """id, ids, dim, embedding, code and scale of every different vector of `rows` (from usable); written to the shared checkpoint folder.
+
+    ids: the k + 1 smallest vec_ids that have the vector, enough for any search
+    for k neighbours, as equal scores go to smaller ids; id: the first of them.
+    Only so many rows of a vector leave a task, however often it is repeated.
+    """
+    small_batches(rows.sparkSession)
+    order = Window.partitionBy("embedding").orderBy("vec_id")
+    few = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
+    classes = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("ids", "embedding")
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                codes, scale = encode(matrix(b.column(1), dim), turn)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)],
-                    names=["vec_id", "embedding", "code", "scale"],
-                )
+            sizes = np.asarray(b.column(1).value_lengths())
+            for dim in np.unique(sizes).tolist():
+                part = b.filter(pa.array(sizes == dim))
+                codes, scale = encode(matrix(part.column(1), dim), rotation(dim, seed))
+                made = [pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([dim] * part.num_rows, pa.int32()), *made], names=["ids", "embedding", "dim", "code", "scale"])
 
-    return clean.filter(F.size("embedding") == dim).mapInArrow(run, f"vec_id {kind}, embedding array<double>, code binary, scale double")
+    coded = classes.mapInArrow(run, f"ids {kinds['ids']}, embedding {kinds['embedding']}, dim int, code binary, scale double")
+    return settle(coded.withColumn("id", F.col("ids")[0]))
 
 
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -80,70 +151,142 @@ def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(own) * np.sqrt(norm))
 
 
-def search_block(ids, queries, row_ids, rows, codes, scale, turn, k: int, epsilon: float) -> tuple[list, list, list, int]:
-    """The k nearest of each query within a block of rows; also the number of exact comparisons."""
-    dim = turn.shape[0]
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    turned = (queries / np.linalg.norm(queries, axis=1, keepdims=True) @ turn.T).astype(np.float32)
-    bound = epsilon * np.sqrt(np.maximum(1 - scale**2, 0)) / scale / np.sqrt(max(dim - 1, 1))
-    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-    out_q, out_v, out_s, compared = [], [], [], 0
-    for i, me in enumerate(ids):
-        guess = signs @ turned[i] / (scale * np.sqrt(dim))
-        guess[row_ids == me] = -np.inf
-        others = len(row_ids) - np.count_nonzero(row_ids == me)
-        if others == 0:
-            continue
-        first = np.argpartition(-guess, min(8 * k, len(guess) - 1))[: 8 * k]
-        first = first[np.isfinite(guess[first])]
-        q = queries[i] / np.linalg.norm(queries[i])
-        floor = np.sort(unit[first] @ q)[-k] if len(first) >= k else -np.inf
-        near = np.flatnonzero((guess + bound >= floor - 1e-6) & np.isfinite(guess))
-        near = np.union1d(near, first)
-        compared += len(near)
-        rough = unit[near] @ q
-        if len(near) > k:
-            near = near[rough >= np.partition(rough, -k)[-k] - 1e-9]
-        exact = cosines(queries[i], rows[near])
-        best = np.lexsort((row_ids[near], -exact))[:k]
-        out_q += [me] * len(best)
-        out_v += row_ids[near][best].tolist()
-        out_s += exact[best].tolist()
-    return out_q, out_v, out_s, compared
+def blocks_of(rows: DataFrame, numbers: int, key: str, to: str) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt by a hash of `key` to blocks of about `numbers` numbers, within each length; and the number of blocks of each length."""
+    sizes = rows.groupBy("dim").agg(F.ceil(F.count("*") * F.col("dim") / numbers).cast("int").alias(f"n_{to}"))
+    dealt = rows.join(sizes, "dim").withColumn(to, F.pmod(F.xxhash64(key), F.col(f"n_{to}")).cast("int")).drop(f"n_{to}")
+    return dealt, sizes
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = EPSILON, seed: int = SEED) -> DataFrame:
-    """The k nearest rows of `index` to each row of `queries` by cosine, but for the query's own id.
+def each_of(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def by_block(rows: DataFrame):
+    """Rows grouped by pair of blocks, under columns of their own, as both sides may stem from one table."""
+    return rows.select(*[F.col(c).alias(c) for c in rows.columns]).groupBy("dim", "qb", "rb")
+
+
+def words(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of packed words as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+Choice = Callable[[np.ndarray, np.ndarray, float], np.ndarray]
 
-    Both come from build_index with the same seed. Returns query_id, rank (from
-    1), vec_id, score (cosine on the original vectors); equal scores go to the
-    smaller vec_id. A query with fewer candidates gets all of them, one without
-    any gets no row. Rows that repeat a vec_id count once. Blocks are dealt by a
-    hash of vec_id and hold a bounded number of rows, whatever vectors they hold.
+
+def scan(queries: DataFrame, codes: DataFrame, choose: Choice, epsilon: float) -> DataFrame:
+    """dim, qb, rb, query_id, found: ids of the rows of each block that `choose` picks from (estimates, bounds, floor) of a query, and `guess`.
+
+    queries: dim, qb, rb, query_id, planes, scalars, floor; codes: dim, qb, rb, id, code, scale.
+    """
+    query_kind, id_kind = (f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (codes, "id")))
+
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        out = pa.schema([
+            ("dim", pa.int32()), ("qb", pa.int32()), ("rb", pa.int32()), ("query_id", mine.schema.field("query_id").type),
+            ("found", pa.list_(theirs.schema.field("id").type)), ("guess", pa.list_(pa.float64())),
+        ])
+        if not mine.num_rows or not theirs.num_rows:
+            return out.empty_table()
+        dim, qb, rb = (mine[c][0].as_py() for c in ("dim", "qb", "rb"))
+        block = Codes(words(theirs["code"]), theirs["scale"].to_numpy(), dim)
+        planes, scalars = words(mine["planes"]), matrix(mine["scalars"], 4)
+        ids, floors, found, guesses = theirs["id"].to_numpy(), mine["floor"].to_numpy(), [], []
+        for i in range(mine.num_rows):
+            guess, bound = block.estimate(planes[i], scalars[i], epsilon)
+            at = choose(guess, bound, floors[i])
+            found.append(ids[at])
+            guesses.append(guess[at])
+        n = mine.num_rows
+        return pa.table([pa.array([x] * n, pa.int32()) for x in (dim, qb, rb)] + [mine["query_id"], pa.array(found, out.field(4).type), pa.array(guesses, out.field(5).type)], schema=out)
+
+    return by_block(queries).cogroup(by_block(codes)).applyInArrow(
+        run, f"dim int, qb int, rb int, query_id {query_kind}, found array<{id_kind}>, guess array<double>"
+    )
+
+
+def compare(wanted: DataFrame, queries: DataFrame, index: DataFrame, most: int) -> DataFrame:
+    """query_id, id, score: of the rows wanted for each query the `most` best of each block by their exact cosine.
+
+    wanted: dim, qb, rb, query_id, found. Vectors of rows are joined once for
+    each block of queries that wants them.
     """
-    n_rows, n_queries = index.count(), queries.count()
-    row_blocks, query_blocks = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "embedding").withColumn("qb", block(query_blocks)).withColumn("rb", every(row_blocks))
-    right = index.withColumn("rb", block(row_blocks)).withColumn("qb", every(query_blocks))
-    kind = index.schema["vec_id"].dataType.simpleString()
+    rows = wanted.select("dim", "qb", "rb", F.explode("found").alias("id")).distinct().join(index.select("id", "embedding"), "id")
+    asked = wanted.filter(F.size("found") > 0).join(queries.select("query_id", F.col("embedding").alias("vector")), "query_id")
+    query_kind, id_kind = (f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (index, "id")))
 
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        names = pa.schema([("query_id", mine.schema.field("vec_id").type), ("vec_id", mine.schema.field("vec_id").type), ("score", pa.float64())])
+        out = pa.schema([("query_id", mine.schema.field("query_id").type), ("id", theirs.schema.field("id").type), ("score", pa.float64())])
         if not mine.num_rows or not theirs.num_rows:
-            return names.empty_table()
-        dim = len(mine["embedding"][0])
-        ids, at = np.unique(mine["vec_id"].to_numpy(), return_index=True)
-        row_ids, row_at = np.unique(theirs["vec_id"].to_numpy(), return_index=True)
-        codes = np.frombuffer(b"".join(theirs["code"].to_pylist()), np.uint8).reshape(theirs.num_rows, -1)
-        q, v, s, _ = search_block(
-            ids.tolist(), matrix(mine["embedding"], dim)[at], row_ids, matrix(theirs["embedding"], dim)[row_at], codes[row_at],
-            theirs["scale"].to_numpy()[row_at], rotation(dim, seed), k, epsilon,
-        )
-        return pa.table([pa.array(q, names.field(0).type), pa.array(v, names.field(1).type), pa.array(s)], schema=names)
-
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(run, f"query_id {kind}, vec_id {kind}, score double")
+            return out.empty_table()
+        dim = mine["dim"][0].as_py()
+        theirs = theirs.sort_by("id")
+        ids, vectors, asking = theirs["id"].to_numpy(), matrix(theirs["embedding"], dim), matrix(mine["vector"], dim)
+        unit, toward = directions(vectors), directions(asking)
+        lists = mine["found"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        starts, flat = np.asarray(lists.offsets), np.searchsorted(ids, np.asarray(lists.values))
+        q, v, s = [], [], []
+        for i, me in enumerate(mine["query_id"].to_pylist()):
+            near = flat[starts[i] : starts[i + 1]]
+            if len(near) > most:
+                rough = unit[near] @ toward[i]
+                near = near[rough >= np.partition(rough, -most)[-most] - 1e-9]
+            exact = cosines(asking[i], vectors[near])
+            best = np.lexsort((ids[near], -exact))[:most]
+            q += [me] * len(best)
+            v += ids[near][best].tolist()
+            s += exact[best].tolist()
+        return pa.table([pa.array(q, out.field(0).type), pa.array(v, out.field(1).type), pa.array(s)], schema=out)
+
+    return by_block(asked).cogroup(by_block(rows)).applyInArrow(run, f"query_id {query_kind}, id {id_kind}, score double")
+
+
+def nearest(index: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = EPSILON, seed: int = SEED) -> DataFrame:
+    """The k nearest rows of `index` to each of `queries` by cosine, but for the query's own id.
+
+    index: from build_index with the same or a larger k and the same seed;
+    queries: from usable. Returns query_id, rank (from 1), vec_id, score (cosine
+    on the original vectors); equal scores go to the smaller vec_id. Only
+    vectors of equal length are compared, at every length. A query with fewer
+    candidates gets all of them, one without any gets no row.
+    """
+    small_batches(queries.sparkSession)
+    query_kind, vector_kind = (queries.schema[c].dataType.simpleString() for c in ("vec_id", "embedding"))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.asarray(b.column(1).value_lengths())
+            for dim in np.unique(sizes).tolist():
+                part = b.filter(pa.array(sizes == dim))
+                planes, scalars = encode_query(matrix(part.column(1), dim), rotation(dim, seed))
+                made = [pa.array([dim] * part.num_rows, pa.int32()), pa.array([p.tobytes() for p in planes], pa.binary()), pa.array(list(scalars), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=["query_id", "embedding", "dim", "planes", "scalars"])
+
+    coded = queries.select("vec_id", "embedding").mapInArrow(code, f"query_id {query_kind}, embedding {vector_kind}, dim int, planes binary, scalars array<double>")
+    asked, query_blocks = blocks_of(settle(coded), QUERY_NUMBERS, "query_id", "qb")
+    dealt, row_blocks = blocks_of(index.select("id", "dim", "code", "scale"), ROW_NUMBERS, "id", "rb")
+    codes = dealt.join(query_blocks, "dim").withColumn("qb", each_of("n_qb")).drop("n_qb")
+    every = asked.drop("embedding").join(row_blocks, "dim").withColumn("rb", each_of("n_rb")).drop("n_rb")
+    most = k + 1  # one of them may be the query itself
+
+    def best(guess: np.ndarray, bound: np.ndarray, floor: float) -> np.ndarray:
+        few = PROBES * most
+        return np.argpartition(-guess, few - 1)[:few] if len(guess) > few else np.arange(len(guess))
+
+    first = scan(every.withColumn("floor", F.lit(float("-inf"))), codes, best, epsilon)
+    pairs = first.select("dim", "qb", "rb", "query_id", F.explode(F.arrays_zip("found", "guess")).alias("p")).select("dim", "qb", "rb", "query_id", "p.found", "p.guess")
+    top = Window.partitionBy("query_id").orderBy(F.desc("guess"), "found")
+    probed = pairs.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= PROBES * most)
+    probed = settle(probed.groupBy("dim", "qb", "rb", "query_id").agg(F.collect_list("found").alias("found")))
+    scores = compare(probed, asked, index, most)
+    # As near as the (k + 1)th of the vectors compared so far, the query's own among them, the last neighbour is at least.
+    ranked = scores.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    floors = settle(ranked.filter(F.col("place") == most).select("query_id", F.col("score").alias("floor")))
+    again = every.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    survivors = settle(scan(again, codes, lambda guess, bound, floor: np.flatnonzero(guess + bound >= floor - 1e-9), epsilon).drop("guess"))
+    found = compare(survivors, asked, index, most).join(index.select("id", "ids"), "id")
+    each = found.select("query_id", F.explode("ids").alias("vec_id"), "score").filter(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -80,8 +80,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = neighbours.build_index(table(spark, sf_dir, "embeddings"))
-    return neighbours.nearest(index, index.filter(F.col("vec_id") % 50 == 0))
+    rows = neighbours.usable(table(spark, sf_dir, "embeddings"))
+    return neighbours.nearest(neighbours.build_index(rows), rows.filter(F.col("vec_id") % 50 == 0))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -106,9 +106,9 @@ SELECT d.doc_id, least(d.doc_id, (SELECT min(y) FROM links WHERE x = d.doc_id AN
 FROM documents d LEFT JOIN sizes ON d.doc_id = sizes.doc_id
 """,
     "op10_neighbours": """
-WITH usable AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+WITH usable AS (SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings
                 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
-                  AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+                  AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) GROUP BY vec_id),
 pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
           FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)

@@ -66,30 +66,63 @@ def test_components(spark):
     assert got == label
 
 
+def brute_neighbours(rows, k=5):
+    """{query_id: [(vec_id, score)]} from (vec_id, vector) rows, by every pair."""
+    kept = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            kept[i] = min(kept.get(i, v), v)
+    out = {}
+    for q in kept:
+        if q % 50 == 0:
+            scored = [(i, neighbours.cosines(np.array(kept[q]), np.array([v]))[0]) for i, v in kept.items() if i != q and len(v) == len(kept[q])]
+            out[q] = sorted(scored, key=lambda x: (-x[1], x[0]))[:k]
+    return {q: found for q, found in out.items() if found}
+
+
+def found_neighbours(df, kind="double"):
+    rows = neighbours.usable(df)
+    out = {}
+    for r in neighbours.nearest(neighbours.build_index(rows), rows.filter(F.col("vec_id") % 50 == 0)).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(out[r["query_id"]])
+    return out
+
+
 def test_neighbours_against_brute_force(spark, monkeypatch):
+    """Two lengths, a vector that a third of the rows share, ids that repeat with other vectors, and vectors that take no part."""
     rng = np.random.default_rng(3)
-    centres = rng.normal(size=(6, 16))
-    x = np.concatenate([centres[rng.integers(6, size=300)] + 0.05 * rng.normal(size=(300, 16)), rng.normal(size=(300, 16)), np.tile(rng.normal(size=16), (40, 1))])
+    centres, hot = rng.normal(size=(6, 16)), rng.normal(size=16)
+    x = [*(centres[rng.integers(6, size=300)] + 0.05 * rng.normal(size=(300, 16))), *rng.normal(size=(300, 16)), *([hot] * 300), *rng.normal(size=(120, 5)), [1e200] * 5, [1.0]]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
-    odd = [(900, None), (950, [0.0] * 16), (1000, [float("nan")] * 16), (1050, [1.0, None] * 8), (None, [1.0] * 16), (1100, [1.0] * 3), (0, rows[0][1]), (1150, [float("inf")] * 16)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
-    monkeypatch.setattr(neighbours, "ROW_BLOCK", 200)
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 5)
-    index = neighbours.build_index(df)
-    got = {}
-    for r in neighbours.nearest(index, index.filter(F.col("vec_id") % 50 == 0)).collect():
-        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    hits = total = 0
-    for q in range(0, len(rows), 50):
-        scores = neighbours.cosines(x[q], x)
-        want = [int(i) for i in np.lexsort((np.arange(len(x)), -scores)) if i != q][:5]
-        found = sorted(got[q])
-        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5] and all(s == scores[v] for _, v, s in found)
-        hits += len({v for _, v, _ in found} & set(want))
-        total += 5
-    assert set(got) == set(range(0, len(rows), 50)) and hits / total >= 0.98
-    few = neighbours.build_index(df.filter("vec_id IN (50, 51)"))
-    assert [tuple(r)[:3] for r in neighbours.nearest(few, few.filter("vec_id = 50")).collect()] == [(50, 1, 51)]
+    rows += [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (2150, [1.0, None] * 8), (None, [1.0] * 16), (2200, [float("inf")] * 16), (2250, []), (0, rows[0][1])]
+    rows += [(50, [float(v) for v in rng.normal(size=16)]), (100, [float(v) for v in rng.normal(size=5)]), (7, [float(v) for v in 3 * hot]), (8, [float(v) for v in 2 * hot])]
+    df = spark.createDataFrame([(*r, "id") for r in rows], "vec_id long, embedding array<double>, id string").repartition(4)
+    monkeypatch.setattr(neighbours, "ROW_NUMBERS", 3000)
+    monkeypatch.setattr(neighbours, "QUERY_NUMBERS", 80)
+    got, want = found_neighbours(df), brute_neighbours(rows)
+    assert set(got) == set(want) and 1021 not in got
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hits >= 0.98 * sum(map(len, want.values())) and all(len(got[q]) == len(want[q]) for q in want)
+    known = {q: dict(brute_neighbours(rows, len(rows))[q]) for q in want}
+    assert all(s == known[q][v] or (np.isnan(s) and np.isnan(known[q][v])) for q in got for v, s in got[q])
+    assert [v for v, _ in got[650]] == [v for v, _ in want[650]]  # one of the copies
+    assert found_neighbours(df.filter("vec_id IN (51, 150)")) == brute_neighbours([r for r in rows if r[0] in (51, 150)])
+    assert found_neighbours(df.limit(0)) == {} and found_neighbours(df.filter("vec_id = 50")) == {}
+
+
+def test_estimates_hold_within_their_bounds():
+    rng = np.random.default_rng(5)
+    for dim in (1, 3, 64, 100):
+        turn = neighbours.rotation(dim)
+        rows, queries = rng.normal(size=(2000, dim)), rng.normal(size=(20, dim))
+        block = neighbours.Codes(*neighbours.encode(rows, turn), dim)
+        planes, scalars = neighbours.encode_query(queries, turn)
+        outside = 0
+        for q, p, s in zip(queries, planes, scalars):
+            guess, bound = block.estimate(p, s, neighbours.EPSILON)
+            outside += int((np.abs(neighbours.cosines(q, rows) - guess) > bound + 1e-9).sum())
+        assert outside <= 40 * (dim > 3) or dim <= 3
 
 
 def test_pipeline_stages(spark, tmp_path):
