@@ -55,7 +55,7 @@ pars AS (SELECT doc_id, lang, par_idx, list(line ORDER BY ln) AS lines FROM runs
 
 def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     pars = with_paragraphs(spark, sf_dir).select("doc_id", F.posexplode("text").alias("par_idx", "lines"))
-    return pars.filter(F.size("lines") > 0).select("doc_id", "par_idx", F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "|")).alias("lines_md5"))
+    return pars.select("doc_id", "par_idx", F.size("lines").alias("n_lines"), F.md5(F.array_join("lines", "|")).alias("lines_md5"))
 
 
 def text_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,9 +205,8 @@ def decode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select(
-        "conv_id", F.concat(F.lit("turns/turn "), F.col("turn").cast("string"), F.lit(".xml")).alias("filename"), F.array(F.col("role"), F.col("text")).alias("parts")
-    )
+    parts = F.array(F.col("role"), F.coalesce("text", F.lit("")))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit("turns/turn "), F.col("turn").cast("string"), F.lit(".xml")).alias("filename"), parts.alias("parts"))
     found = files.unzip(files.bundle(turns, "conv_id"), "conv_id")
     return found.select("conv_id", "member", F.md5("content").alias("content_md5"), "error")
 
@@ -276,7 +275,13 @@ docs AS (SELECT lang, doc_id, count(*) AS n, sum(length(was)) + count(*) - 1 AS
 every AS (SELECT d.lang, coalesce(n, 0) AS n, coalesce(size, -1) AS size, coalesce(same, 0) AS same FROM documents d LEFT JOIN docs USING (doc_id))
 SELECT lang, count(*) AS n_docs, sum(n)::BIGINT AS n_lines, sum(size)::BIGINT AS n_chars, sum(same)::BIGINT AS n_restored, sum(same)::DOUBLE / sum(n) AS share_restored FROM every GROUP BY lang
 """,
-    "paragraph_split": f"WITH {SQL_PARS} done AS (SELECT 1) SELECT doc_id, par_idx::INTEGER AS par_idx, len(lines)::INTEGER AS n_lines, md5(array_to_string(lines, '|')) AS lines_md5 FROM pars",
+    "paragraph_split": f"""
+WITH {SQL_PARS}
+blanks AS (SELECT doc_id, sum((line = '' AND NOT (ln = top AND bare AND NOT last))::INTEGER + (last AND ln < top)::INTEGER) AS n FROM lines JOIN tail USING (doc_id) GROUP BY doc_id),
+every AS (SELECT doc_id, unnest(range(0, n::BIGINT)) AS par_idx FROM blanks UNION SELECT doc_id, par_idx FROM pars)
+SELECT e.doc_id, e.par_idx::INTEGER AS par_idx, coalesce(len(lines), 0)::INTEGER AS n_lines, md5(coalesce(array_to_string(lines, '|'), '')) AS lines_md5
+FROM every e LEFT JOIN pars p ON e.doc_id = p.doc_id AND e.par_idx = p.par_idx
+""",
     "text_render": f"""
 WITH {SQL_PARS}
 cut AS (SELECT doc_id, ln, CASE WHEN line = '' THEN chr(1) ELSE line END || CASE WHEN last AND ln < top THEN chr(10) || chr(1) ELSE '' END AS x
@@ -345,8 +350,8 @@ SELECT doc_id, ngram, count(*)::INTEGER AS n, string_agg(pos::VARCHAR, ',' ORDER
     "wrap_page_lines": f"WITH {SQL_LINES} SELECT doc_id, 'r1-l' || (line_idx + 1)::VARCHAR AS line_id, md5(line) AS text_md5 FROM lines",
     "reading_order": f"""
 WITH {SQL_LINES}
-SELECT doc_id, 0 AS region_idx, line_idx::INTEGER AS line_idx, 'r1-l' || (line_idx + 1)::VARCHAR AS line_id, 'readingOrder {{index:0;}}' AS region_order,
-       'readingOrder {{index:' || line_idx::VARCHAR || ';}}' AS line_order, 1 AS n_equivs, md5(trim(line, ' ' || chr(9) || chr(13))) AS text_md5 FROM lines
+SELECT doc_id, 0 AS region_idx, line_idx::INTEGER AS line_idx, 'r1-l' || (line_idx + 1)::VARCHAR AS line_id, 'readingOrder {{index:0}}' AS region_order,
+       'readingOrder {{index:' || line_idx::VARCHAR || '}}' AS line_order, 1 AS n_equivs, md5(trim(line, ' ' || chr(9) || chr(13))) AS text_md5 FROM lines
 """,
     "page_write_back": f"""
 WITH {SQL_LINES}
@@ -368,7 +373,7 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 1 AND NOT regexp_matches(t, '[^\\x00-\\x7F
                     WHEN doc_id % 3 = 2 AND t <> '' THEN 'UTF-16BE' ELSE 'UTF-8' END AS encoding, TRUE AS same, length(t)::INTEGER AS n_chars
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """,
-    "zip_round_trip": "SELECT conv_id, 'turn ' || turn::VARCHAR || '.txt' AS member, md5(role || chr(10) || chr(10) || text) AS content_md5, NULL::VARCHAR AS error FROM conversations WHERE text IS NOT NULL",
+    "zip_round_trip": "SELECT conv_id, 'turn ' || turn::VARCHAR || '.txt' AS member, md5(role || chr(10) || chr(10) || coalesce(text, '')) AS content_md5, NULL::VARCHAR AS error FROM conversations",
     "multipage_assemble": "SELECT conv_id, count(*) AS n_pages, length(string_agg(coalesce(text, ''), chr(10) ORDER BY turn))::INTEGER AS n_chars, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id",
     "batch_fan_in": "SELECT conv_id, count(*) AS n_results, string_agg(role, ',' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id",
     "file_names": """

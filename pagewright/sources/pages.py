@@ -88,7 +88,7 @@ def page_text(pages: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame:
 
 def reading_order(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Add `region_order` and `line_order`, the custom attributes that name a region's and a line's place."""
-    place = lambda i: F.format_string("readingOrder {index:%d;}", F.col(i))
+    place = lambda i: F.format_string("readingOrder {index:%d}", F.col(i))
     return lines.withColumn("region_order", place("region_idx")).withColumn("line_order", place("line_idx"))
 
 
@@ -106,7 +106,8 @@ def patch_page(xml: str, text: list[list[str]], words: bool = False, order: bool
     """A page with its lines' text replaced by region and position; what has no partner stays.
 
     words: line texts are split again for Word elements, and a region's own text
-    becomes its lines joined. order: every region and line is given its place.
+    becomes its lines joined by a carriage return and a line feed. order: every
+    region and line is given its place.
     """
     found = [e for _, e in ET.iterparse(io.StringIO(xml), events=["start-ns"])]
     for prefix, uri in found:
@@ -115,11 +116,11 @@ def patch_page(xml: str, text: list[list[str]], words: bool = False, order: bool
     space = root.tag.partition("}")[0] + "}" if root.tag.startswith("{") else ""
     for i, region in enumerate(root.iter(f"{space}TextRegion")):
         if order:
-            region.set("custom", f"readingOrder {{index:{i};}}")
+            region.set("custom", f"readingOrder {{index:{i}}}")
         lines = list(region.iter(f"{space}TextLine"))
         for j, line in enumerate(lines):
             if order:
-                line.set("custom", f"readingOrder {{index:{j};}}")
+                line.set("custom", f"readingOrder {{index:{j}}}")
             if i >= len(text) or j >= len(text[i]):
                 continue
             for unicode in line.findall(f"{space}TextEquiv/{space}Unicode"):
@@ -132,7 +133,8 @@ def patch_page(xml: str, text: list[list[str]], words: bool = False, order: bool
             own = region.find(f"{space}TextEquiv/{space}Unicode")
             if own is not None:
                 own.text = "\r\n".join(line.findtext(f"{space}TextEquiv/{space}Unicode") or "" for line in lines)
-    return ET.tostring(root, encoding="unicode")
+    # A bare carriage return would be read again as a line feed; in attributes it is written as a reference already.
+    return ET.tostring(root, encoding="unicode").replace("\r", "&#13;")
 
 
 def write_back(pages: DataFrame, xml: str = "xml", text: str = "text", words: bool = False, order: bool = False) -> DataFrame:

@@ -1,6 +1,8 @@
 import io
+import xml.etree.ElementTree as ET
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.sources import files, ledger, pages as P
@@ -31,7 +33,56 @@ def test_write_back_touches_only_text(spark):
     new = P.page_text(pages(spark).filter("page_id = 'a'"), ["page_id"]).withColumn("text", F.array(F.array(F.lit("new two"), F.lit("x"), F.lit("extra"))))
     made = P.write_back(pages(spark).join(new, "page_id"), words=True, order=True).first()["xml"]
     assert "<pc:Unicode>new</pc:Unicode>" in made and "<pc:Creator>x</pc:Creator>" in made and "new two" in made and "extra" not in made
-    assert 'readingOrder {index:1;}' in made and "<pc:Unicode>b</pc:Unicode>" in made
+    assert "<pc:Unicode>b</pc:Unicode>" in made and "<pc:Unicode>new two&#13;\nx</pc:Unicode>" in made
+
+
+def test_region_text_is_read_again_as_written(spark):
+    new = P.page_text(pages(spark).filter("page_id = 'a'"), ["page_id"]).withColumn("text", F.array(F.array(F.lit("one"), F.lit("two"))))
+    made = P.write_back(pages(spark).join(new, "page_id"), words=True)
+    again = P.write_back(made.withColumn("text", F.lit(None).cast("array<array<string>>"))).first()["xml"]
+    space = "{http://schema.primaresearch.org/PAGE/gts/pagecontent/2013-07-15}"
+    for xml in (made.first()["xml"], again, P.patch_page(again, [])):
+        region = ET.fromstring(xml).find(f".//{space}TextRegion")
+        assert region.findtext(f"{space}TextEquiv/{space}Unicode") == "one\r\ntwo"
+
+
+REGION = '''<TextRegion id="tr_{0}"{1}><TextLine id="tl_{2}"{3}><TextEquiv><Unicode>Example Text {2}</Unicode></TextEquiv></TextLine>
+<TextLine id="tl_{4}"{5}><TextEquiv><Unicode>Example Text {4}</Unicode></TextEquiv></TextLine></TextRegion>'''
+
+
+def test_reading_order(spark):
+    place = lambda i: f' custom="readingOrder {{index:{i}}}"'
+    page = lambda order: (
+        f'<PcGts xmlns="{P.NAMESPACE}"><Page imageFilename="orig.jpg">'
+        + "".join(REGION.format(r + 1, order(r), 2 * r + 1, order(0), 2 * r + 2, order(1)) for r in (0, 1)) + "</Page></PcGts>"
+    )
+    assert ET.canonicalize(P.patch_page(page(lambda i: ""), [], order=True)) == ET.canonicalize(page(place))
+    lines = P.region_lines(spark.createDataFrame([(1, page(lambda i: ""))], "page_id int, xml string"), ["page_id"])
+    rows = P.reading_order(lines, ["page_id"]).orderBy("region_idx", "line_idx").collect()
+    assert [(r["line_id"], r["region_order"], r["line_order"]) for r in rows] == [
+        (f"tl_{2 * r + i + 1}", f"readingOrder {{index:{r}}}", f"readingOrder {{index:{i}}}") for r in (0, 1) for i in (0, 1)
+    ]
+
+
+def test_a_line_has_one_text(spark):
+    lines = P.region_lines(pages(spark), ["page_id"])
+    assert P.single_text(lines.filter("n_equivs = 1")).count() == 2
+    with pytest.raises(Exception, match="not one text in line l3"):
+        P.single_text(lines).collect()
+
+
+def test_read_pages_and_files(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(PAGE, encoding="utf-8")
+    (tmp_path / "t.txt").write_text(" one \n\ntwo", encoding="utf-8")
+    (tmp_path / "e.json").write_text('[{"pk": 1, "fields": {"name": "x", "description": "y"}}]')
+    found = P.read_pages(spark, str(tmp_path / "a.xml"))
+    assert [r["text"] for r in P.region_lines(found, ["path"]).orderBy("region_idx", "line_idx").collect()] == ["old one", "", "b"]
+    assert [r["text"] for r in files.read_text_lines(spark, str(tmp_path / "t.txt")).collect()] == [" one ", "", "two"]
+    size = files.read_files(spark, str(tmp_path / "t.txt")).first()
+    assert size["size"] == len(size["content"]) == 10 and size["path"].endswith("t.txt")
+    assert files.read_json_dimension(spark, str(tmp_path / "e.json")).collect() == [(1, "y", "x")]
+    files.write_text_lines(spark.createDataFrame([("a",), ("b",)], "text string"), str(tmp_path / "out"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["a", "b"]
 
 
 def test_decoding(spark):
