@@ -15,6 +15,7 @@ joined for these survivors only, to be compared exactly.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from .common import settle, small_batches
 
 #: Numbers in a block of rows and in a block of queries: what a task holds of vectors is bounded whatever their length.
 ROW_NUMBERS, QUERY_NUMBERS = 1 << 21, 1 << 19
+#: Bits of a code at least: short vectors are rotated several times, as an estimate's error falls with the root of its bits.
+BITS = 512
 #: Width of the error bound, in standard deviations of an estimate about.
 EPSILON = 3.5
 #: Bits to which a query's components are rounded.
@@ -34,10 +37,17 @@ PROBES = 4
 SEED = 10
 
 
+@lru_cache(maxsize=8)
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix, the same for the same dimension and seed."""
-    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+    """A random rotation into a space of BITS dimensions or more, the same for the same dimension and seed.
+
+    It stacks as many random orthogonal matrices as it takes, and keeps lengths.
+    """
+    rng, parts = np.random.default_rng([seed, dim]), []
+    for _ in range(-(-BITS // dim)):
+        q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
+        parts.append(q * np.sign(np.diag(r)))
+    return np.concatenate(parts) / np.sqrt(len(parts))
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -80,22 +90,23 @@ def encode_query(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.
 class Codes:
     """The codes of a block of rows, ready to be scanned."""
 
-    def __init__(self, codes: np.ndarray, scale: np.ndarray, dim: int):
-        self.words, self.dim, self.scale = np.ascontiguousarray(codes.T), dim, scale
+    def __init__(self, codes: np.ndarray, scale: np.ndarray, bits: int):
+        self.words, self.bits, self.scale = np.ascontiguousarray(codes.T), bits, scale
         self.ones = np.bitwise_count(self.words).sum(axis=0, dtype=np.float64)
         self.both, self.count = np.empty(len(scale), np.uint64), np.empty(len(scale), np.uint8)
 
     def estimate(self, planes: np.ndarray, scalars: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
         """Estimated cosines of one query with all rows, and how far each may be off."""
         low, step, total, error = scalars.tolist()
-        shared = np.zeros(len(self.scale), np.uint32)
+        shared = np.zeros(len(self.scale))
         for j, plane in enumerate(planes.reshape(PLANES, -1)):
+            counted = np.zeros(len(self.scale), np.uint32)
             for word, mine in zip(self.words, plane):
                 np.bitwise_and(word, mine, out=self.both)
-                np.bitwise_count(self.both, out=self.count)
-                shared += self.count.astype(np.uint32) << np.uint32(j)
-        guess = (2 * (low * self.ones + step * shared) - total) / np.sqrt(self.dim) / self.scale
-        spread = np.sqrt(np.maximum(1 - self.scale**2, 0) + error**2) / self.scale / np.sqrt(max(self.dim - 1, 1))
+                counted += np.bitwise_count(self.both, out=self.count)
+            shared += counted * float(1 << j)
+        guess = (2 * (low * self.ones + step * shared) - total) / np.sqrt(self.bits) / self.scale
+        spread = np.sqrt(np.maximum(1 - self.scale**2, 0) + error**2) / self.scale / np.sqrt(self.bits - 1)
         return guess, epsilon * spread
 
 
@@ -178,6 +189,7 @@ Choice = Callable[[np.ndarray, np.ndarray, float], np.ndarray]
 def scan(queries: DataFrame, codes: DataFrame, choose: Choice, epsilon: float) -> DataFrame:
     """dim, qb, rb, query_id, found: ids of the rows of each block that `choose` picks from (estimates, bounds, floor) of a query, and `guess`.
 
+    A row without query_id tells all ids found for any query of its pair of blocks.
     queries: dim, qb, rb, query_id, planes, scalars, floor; codes: dim, qb, rb, id, code, scale.
     """
     query_kind, id_kind = (f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (codes, "id")))
@@ -190,29 +202,33 @@ def scan(queries: DataFrame, codes: DataFrame, choose: Choice, epsilon: float) -
         if not mine.num_rows or not theirs.num_rows:
             return out.empty_table()
         dim, qb, rb = (mine[c][0].as_py() for c in ("dim", "qb", "rb"))
-        block = Codes(words(theirs["code"]), theirs["scale"].to_numpy(), dim)
+        block = Codes(words(theirs["code"]), theirs["scale"].to_numpy(), dim * -(-BITS // dim))
         planes, scalars = words(mine["planes"]), matrix(mine["scalars"], 4)
         ids, floors, found, guesses = theirs["id"].to_numpy(), mine["floor"].to_numpy(), [], []
+        used = np.zeros(len(ids), bool)
         for i in range(mine.num_rows):
             guess, bound = block.estimate(planes[i], scalars[i], epsilon)
             at = choose(guess, bound, floors[i])
             found.append(ids[at])
             guesses.append(guess[at])
-        n = mine.num_rows
-        return pa.table([pa.array([x] * n, pa.int32()) for x in (dim, qb, rb)] + [mine["query_id"], pa.array(found, out.field(4).type), pa.array(guesses, out.field(5).type)], schema=out)
+            used[at] = True
+        n = mine.num_rows + 1
+        whose = pa.array([*mine["query_id"].to_pylist(), None], out.field(3).type)
+        lists = [pa.array([*found, ids[used]], out.field(4).type), pa.array([*guesses, None], out.field(5).type)]
+        return pa.table([*[pa.array([x] * n, pa.int32()) for x in (dim, qb, rb)], whose, *lists], schema=out)
 
     return by_block(queries).cogroup(by_block(codes)).applyInArrow(
         run, f"dim int, qb int, rb int, query_id {query_kind}, found array<{id_kind}>, guess array<double>"
     )
 
 
-def compare(wanted: DataFrame, queries: DataFrame, index: DataFrame, most: int) -> DataFrame:
+def compare(wanted: DataFrame, used: DataFrame, queries: DataFrame, index: DataFrame, most: int) -> DataFrame:
     """query_id, id, score: of the rows wanted for each query the `most` best of each block by their exact cosine.
 
-    wanted: dim, qb, rb, query_id, found. Vectors of rows are joined once for
-    each block of queries that wants them.
+    wanted: dim, qb, rb, query_id, found; used: dim, qb, rb, id, every id in them
+    once. So a row's vector is joined once for each block of queries that wants it.
     """
-    rows = wanted.select("dim", "qb", "rb", F.explode("found").alias("id")).distinct().join(index.select("id", "embedding"), "id")
+    rows = used.join(index.select("id", "embedding"), "id")
     asked = wanted.filter(F.size("found") > 0).join(queries.select("query_id", F.col("embedding").alias("vector")), "query_id")
     query_kind, id_kind = (f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (index, "id")))
 
@@ -276,17 +292,18 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = E
         return np.argpartition(-guess, few - 1)[:few] if len(guess) > few else np.arange(len(guess))
 
     first = scan(every.withColumn("floor", F.lit(float("-inf"))), codes, best, epsilon)
-    pairs = first.select("dim", "qb", "rb", "query_id", F.explode(F.arrays_zip("found", "guess")).alias("p")).select("dim", "qb", "rb", "query_id", "p.found", "p.guess")
+    pairs = first.filter("query_id IS NOT NULL").select("dim", "qb", "rb", "query_id", F.explode(F.arrays_zip("found", "guess")).alias("p")).select("dim", "qb", "rb", "query_id", "p.found", "p.guess")
     top = Window.partitionBy("query_id").orderBy(F.desc("guess"), "found")
     probed = pairs.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= PROBES * most)
     probed = settle(probed.groupBy("dim", "qb", "rb", "query_id").agg(F.collect_list("found").alias("found")))
-    scores = compare(probed, asked, index, most)
+    scores = compare(probed, probed.select("dim", "qb", "rb", F.explode("found").alias("id")).distinct(), asked, index, most)
     # As near as the (k + 1)th of the vectors compared so far, the query's own among them, the last neighbour is at least.
     ranked = scores.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     floors = settle(ranked.filter(F.col("place") == most).select("query_id", F.col("score").alias("floor")))
     again = every.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     survivors = settle(scan(again, codes, lambda guess, bound, floor: np.flatnonzero(guess + bound >= floor - 1e-9), epsilon).drop("guess"))
-    found = compare(survivors, asked, index, most).join(index.select("id", "ids"), "id")
+    used = survivors.filter("query_id IS NULL").select("dim", "qb", "rb", F.explode("found").alias("id"))
+    found = compare(survivors.filter("query_id IS NOT NULL"), used, asked, index, most).join(index.select("id", "ids"), "id")
     each = found.select("query_id", F.explode("ids").alias("vec_id"), "score").filter(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
