@@ -6,6 +6,7 @@ Unicode white space throughout, and lengths count code points.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 #: A word with apostrophe, at sign or ampersand inside, or one other sign.
-TOKEN = r"(?U)[^\s\W]+(?:['@&][^\s\W]+)*|[^\w\s]"
+TOKEN = r"(?U)\w+(?:['@&]\w+)*|[^\w\s]"
 SENTENCE_END = r"""(?U)(?<=[.!?]["')]?)\s+(?=["'(]?\p{Lu})"""
 HYPHEN = r"(?U)(\p{L})-\n(\p{Ll})"
 
@@ -87,11 +88,6 @@ def joined_length(sizes: Column) -> Column:
     return F.aggregate(sizes, F.lit(0), lambda a, x: a + x) + F.size(sizes) - 1
 
 
-def running_ends(sizes: Column) -> Column:
-    """Where each part ends when the parts are joined by one character."""
-    return F.transform(sizes, lambda _, i: joined_length(F.slice(sizes, F.lit(1), i + 1)))
-
-
 def words(text: Column) -> Column:
     """Words between white space."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
@@ -134,14 +130,10 @@ def trim_page(text: Column) -> Column:
 
 def rebuild_line(tokens_: Column) -> Column:
     """Tokens joined by spaces, none before a punctuation mark unless a bracketed token stands before it."""
-    marks = list("""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""")
-    step = lambda a, t, i: F.when(
-        t.isin(marks) & ~(F.when(i > 0, F.element_at(tokens_, i)).otherwise("").endswith("]")), F.concat(F.rtrim(a), t)
-    ).otherwise(F.when((a != "") | t.isin(marks), F.concat(a, F.lit(" "), t)).otherwise(t))
-    start = F.struct(F.lit("").alias("line"), F.lit(0).alias("at"))
-    return F.aggregate(
-        tokens_, start, lambda s, t: F.struct(step(s["line"], t, s["at"]).alias("line"), (s["at"] + 1).alias("at")), lambda s: s["line"]
-    )
+    marks = F.array(*map(F.lit, string.punctuation))
+    before = lambda i: F.get(tokens_, i - 1)
+    glued = lambda t, i: (i == 0) | (F.array_contains(marks, t) & ~before(i).endswith("]"))
+    return F.array_join(F.transform(tokens_, lambda t, i: F.when(glued(t, i), t).otherwise(F.concat(F.lit(" "), t))), "")
 
 
 def restore_marks(text: Column) -> Column:

@@ -6,13 +6,14 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, evaluation_text, evaluation_words, let
 
-#: First code point that stands for a word; those up to the surrogates bound the words of one pair.
-FIRST, MOST_WORDS = 19968, 0xD800 - 19968
+#: First code point that stands for a word. The surrogates are left out; the last code point bounds the distinct words of one pair.
+FIRST, SURROGATES, MOST_WORDS = 0x4E00, range(0xD800, 0xE000), 0x110000 - 0x4E00 - 0x800
 #: Edit distances are sought within a narrow band first, and within a wider one where it is not enough.
 BANDS = (16, 64, 256, 1024, 4096)
 PARTS = re.compile(r"\S+|\s+")
@@ -32,25 +33,34 @@ def pair_by_name(ocr: DataFrame, gt: DataFrame) -> DataFrame:
     return joined.select(stem("name").alias("pair"), "gt", "ocr", name.alias("gt_name"), "ocr_name")
 
 
+def code_point(number: int) -> str:
+    """The character that stands for a pair's word of that number."""
+    at = FIRST + number
+    return chr(at if at < SURROGATES.start else at + len(SURROGATES))
+
+
 def word_codes(ours: Column, theirs: Column) -> Column:
-    """Two lists of words as texts of one character per word, the same character for the same word.
+    """Two lists of words as texts of one character per word, the same character for the same word; null where a list is.
 
     A dictionary of the pair's words makes this linear, where looking words up
-    in an array column is not. More than MOST_WORDS distinct words in one pair
-    are an error.
+    in an array column is not. More than MOST_WORDS (a million) distinct words
+    in one pair are an error.
     """
 
-    @F.pandas_udf("struct<ours: string, theirs: string>")
-    def code(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<ours: string, theirs: string>")
+    def code(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(a, b):
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            if x is None or y is None:
+                out.append(None)
+                continue
             known: dict[str, int] = {}
             for w in (*x, *y):
                 known.setdefault(w, len(known))
             if len(known) > MOST_WORDS:
                 raise ValueError("too many distinct words in one pair")
-            out.append(tuple("".join(chr(FIRST + known[w]) for w in side) for side in (x, y)))
-        return pd.DataFrame(out, columns=["ours", "theirs"])
+            out.append(dict(zip(("ours", "theirs"), ("".join(code_point(known[w]) for w in side) for side in (x, y)))))
+        return pa.array(out, pa.struct([("ours", pa.string()), ("theirs", pa.string())]))
 
     return code(ours, theirs)
 
@@ -70,17 +80,20 @@ def edit_distance(a: Column, b: Column) -> Column:
 def line_errors(pairs: DataFrame) -> DataFrame:
     """Add char_errors, n_chars, word_errors and n_words of each pair of lines (gt, ocr), after normalising; null counts as empty."""
     text = lambda c: evaluation_text(F.coalesce(F.col(c), F.lit("")))
-    split = lambda c: evaluation_words(F.coalesce(F.col(c), F.lit("")))
-    prepared = pairs.withColumns({"_g": text("gt"), "_o": text("ocr"), "_gw": split("gt"), "_ow": split("ocr")})
-    prepared = prepared.withColumn("_c", word_codes(F.col("_gw"), F.col("_ow")))
+    prepared = pairs.withColumns({"_g": text("gt"), "_o": text("ocr")})
+    same = F.col("_g") == F.col("_o")
+    # Equal lines have no errors, so their words need no codes.
+    words_of = lambda c: F.when(~same, evaluation_words(F.col(c)))
+    prepared = prepared.withColumn("_c", word_codes(words_of("_g"), words_of("_o")))
+    errors = lambda a, b: F.when(same, F.lit(0)).otherwise(edit_distance(F.col(a), F.col(b)))
     return prepared.withColumns(
         {
-            "char_errors": edit_distance(F.col("_g"), F.col("_o")),
+            "char_errors": errors("_g", "_o"),
             "n_chars": F.length("_g"),
-            "word_errors": edit_distance(F.col("_c.ours"), F.col("_c.theirs")),
-            "n_words": F.size("_gw"),
+            "word_errors": errors("_c.ours", "_c.theirs"),
+            "n_words": F.size(evaluation_words(F.col("_g"))),
         }
-    ).drop("_g", "_o", "_gw", "_ow", "_c")
+    ).drop("_g", "_o", "_c")
 
 
 def error_rates(lines: DataFrame, by: list[str]) -> DataFrame:

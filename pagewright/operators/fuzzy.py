@@ -16,7 +16,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,32 +42,55 @@ def with_delete_keys(rows: DataFrame, term: str, k: str, most: int) -> DataFrame
     return headed.withColumn("key", F.concat(*kept)).drop("_head", "_mask")
 
 
-def osa(a: str, b: str, most: int) -> int:
-    """Edits between two strings, where exchanging two neighbours counts once; most + 1 if there are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            v = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            row.append(v)
-        if min(row) > most and min(last) > most:
-            return most + 1
+#: Cells of the distance matrices computed together.
+CELLS = 1 << 20
+
+
+def padded(texts: list[str], width: int, filler: int) -> np.ndarray:
+    """Texts as rows of code points, filled up at the end."""
+    return np.array([[*map(ord, t), *[filler] * (width - len(t))] for t in texts], np.int32).reshape(len(texts), width)
+
+
+def osa_like(a: list[str], b: list[str]) -> np.ndarray:
+    """osa for pairs of like length: the matrices of all pairs at once, row by row."""
+    n, m = max(map(len, a)), max(map(len, b))
+    x, y, ends = padded(a, n, -1), padded(b, m, -2), np.array([*map(len, b)])
+    columns, sizes = np.arange(m + 1, dtype=np.int32), np.array([*map(len, a)])
+    last = np.tile(columns, (len(a), 1))
+    before, out = last, last[np.arange(len(a)), ends]
+    for i in range(1, n + 1):
+        row = np.empty_like(last)
+        row[:, 0] = i
+        same = x[:, i - 1 : i] == y
+        np.minimum(last[:, 1:] + 1, last[:, :-1] + ~same, out=row[:, 1:])
+        if i > 1 and m > 1:
+            swapped = same[:, :-1] & (x[:, i - 2 : i - 1] == y[:, 1:])
+            row[:, 2:] = np.where(swapped, np.minimum(row[:, 2:], before[:, :-2] + 1), row[:, 2:])
+        row = np.minimum.accumulate(row - columns, axis=1) + columns  # characters of b added one after the other
         before, last = last, row
-    return min(last[-1], most + 1)
+        out = np.where(sizes == i, row[np.arange(len(a)), ends], out)
+    return out
 
 
-def osa_column(a: Column, b: Column, most: Column) -> Column:
+def osa(a: list[str], b: list[str]) -> np.ndarray:
+    """Edits between the strings of each pair, where exchanging two neighbours counts once and nothing is edited twice."""
+    out = np.zeros(len(a), np.int32)
+    order = np.argsort([max(len(x), len(y)) for x, y in zip(a, b)], kind="stable").tolist()
+    while order:
+        size = (max(len(a[order[-1]]), len(b[order[-1]])) + 1) ** 2
+        part, order = order[-max(1, CELLS // size) :], order[: -max(1, CELLS // size)]
+        out[part] = osa_like([a[i] for i in part], [b[i] for i in part])
+    return out
+
+
+def osa_column(a: Column, b: Column) -> Column:
     """osa as an Arrow function; for pairs that cheaper filters have left."""
 
-    @F.pandas_udf("int")
-    def distance(x: pd.Series, y: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([osa(p, q, int(m)) for p, q, m in zip(x, y, k)], dtype="int32")
+    @F.arrow_udf("int")
+    def distance(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(osa(x.to_pylist(), y.to_pylist()), pa.int32())
 
-    return distance(a, b, most)
+    return distance(a, b)
 
 
 def edits_allowed(length: int, share: float, most: int, fixed: int | None) -> int:
@@ -151,7 +175,7 @@ def fuzzy_join(
     if swaps:
         plain = F.levenshtein("query", "term", 2 * most if fixed is None else 2 * fixed)
         near = pairs.withColumn("plain", plain).filter((F.col("plain") >= 0) & (F.col("plain") <= 2 * F.col("k")))
-        distance = F.when(F.col("plain") <= 1, F.col("plain")).otherwise(osa_column(F.col("query"), F.col("term"), F.col("k")))
+        distance = F.when(F.col("plain") <= 1, F.col("plain")).otherwise(osa_column(F.col("query"), F.col("term")))
     else:
         near, distance = pairs, F.levenshtein("query", "term")
     return near.withColumn("distance", distance).filter(F.col("distance") <= F.col("k")).select(*by, "query", "term", "freq", "distance")
@@ -168,10 +192,14 @@ def closest_terms(queries: DataFrame, terms: DataFrame, by: list[str], share: fl
 
 
 def closest_within(queries: DataFrame, terms: DataFrame, by: list[str], edits: int, swaps: bool = True) -> DataFrame:
-    """closest(fuzzy_join(...)) for a fixed number of edits: more edits are tried only for queries that fewer leave without a term."""
-    left, found = queries.select(*by, "query").distinct(), []
-    for k in range(min(edits, 1), edits + 1):
-        found.append(closest(fuzzy_join(left, terms, by, fixed=k, swaps=swaps), by))
+    """closest(fuzzy_join(...)) for a fixed number of edits: more edits are tried only for queries that fewer leave without a term, none for terms."""
+    t = terms.select(*by, "term", "freq").dropDuplicates([*by, "term"])
+    left = queries.select(*by, "query").distinct()
+    same = t.select(*by, F.col("term").alias("query"), "term", "freq", F.lit(0).alias("distance"))
+    found = [left.join(same, [*by, "query"]).select(*by, "query", "term", "freq", "distance")]
+    left = left.join(same.select(*by, "query"), [*by, "query"], "left_anti")
+    for k in range(1, edits + 1):
+        found.append(closest(fuzzy_join(left, t, by, fixed=k, swaps=swaps), by))
         if k < edits:
             found[-1] = settle(found[-1])
             left = left.join(found[-1].select(*by, "query").distinct(), [*by, "query"], "left_anti")

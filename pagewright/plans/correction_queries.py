@@ -1,26 +1,30 @@
 """Queries on fuzzy dictionaries, spelling, correction by transcription and evaluation.
 
 The recognised text is a noised copy of the given one: by a word's place, an
-`e` becomes a `c`, or the last letter is lost. Both sides are cut down to ASCII,
-as DuckDB counts an edit distance in bytes.
+`e` becomes a `c`, or the last letter is lost. Lines are as wide as a printed
+page's: LINE_WORDS words at most.
+
+DuckDB counts an edit distance in bytes. So its SQL takes distances of texts in
+which the letters beyond ASCII that occur stand as control characters, which do
+not occur.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation as E, line_correction as L, spelling as S, transcription as C, words as W
 from ..operators.enrich import enrich
 from ..operators.fuzzy import closest_terms, closest_within
-from ..sources.files import spread
+from ..sources.files import spread, table
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Words of a line at most.
+LINE_WORDS = 16
 
 
 def noise(word: Column, pos: Column) -> Column:
@@ -32,8 +36,8 @@ def noise(word: Column, pos: Column) -> Column:
     )
 
 
-def ascii_words(text: Column) -> Column:
-    return T.words(F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x00-\\x7F]", ""))
+def split_words(text: Column) -> Column:
+    return T.words(F.coalesce(text, F.lit("")))
 
 
 def noised(words: Column) -> Column:
@@ -42,22 +46,37 @@ def noised(words: Column) -> Column:
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, pos, gt, ocr: every word as given and as recognised."""
-    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.posexplode(ascii_words(F.col("text"))).alias("pos", "gt"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.posexplode(split_words(F.col("text"))).alias("pos", "gt"))
     return docs.withColumn("ocr", noise(F.col("gt"), F.col("pos")))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, line_idx, gt, ocr: every line as given and as recognised, its words joined by single spaces."""
-    lines = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_idx", "line"))
-    words = lines.withColumn("w", ascii_words(F.col("line")))
+    """doc_id, lang, line_idx, gt, ocr: every line as given and as recognised, its words joined by single spaces.
+
+    A line of more than LINE_WORDS words goes on in further lines.
+    """
+    lines = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(LINE_WORDS))
+    cut = lambda w: F.transform(starts(w), lambda a: F.slice(w, a + 1, F.lit(LINE_WORDS)))
+    wrapped = F.flatten(F.transform("lines", lambda x: T.let(split_words(x), cut)))
+    words = lines.select("doc_id", "lang", F.posexplode(wrapped).alias("line_idx", "w"))
     return words.select("doc_id", "lang", "line_idx", F.array_join("w", " ").alias("gt"), F.array_join(noised(F.col("w")), " ").alias("ocr"))
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, copy, text: a turn that is there again, by number, is a further copy."""
+    order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(order).alias("copy"), "text")
+
+
+TURN = ["conv_id", "turn", "copy"]
+
+
 def turn_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Words (conv_id, turn, line_idx, pos, word) of every turn as recognised, where every thirteenth is lost, and as given."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(ascii_words(F.col("text"))).alias("pos", "word"))
-    gt = turns.dropDuplicates(["conv_id", "turn", "pos"])
-    kept = gt.filter(F.col("pos") % 13 != 11).select("conv_id", "turn", (F.col("pos") - F.floor((F.col("pos") + 2) / 13)).cast("int").alias("pos"), noise(F.col("word"), F.col("pos")).alias("word"))
+    """Words (TURN, line_idx, pos, word) of every turn as recognised, where every thirteenth is lost, and as given."""
+    gt = turns(spark, sf_dir).select(*TURN, F.posexplode(split_words(F.col("text"))).alias("pos", "word"))
+    place = (F.col("pos") - F.floor((F.col("pos") + 2) / 13)).cast("int")
+    kept = gt.filter(F.col("pos") % 13 != 11).select(*TURN, place.alias("pos"), noise(F.col("word"), F.col("pos")).alias("word"))
     return kept.withColumn("line_idx", F.floor(F.col("pos") / 8).cast("int")), gt
 
 
@@ -163,41 +182,40 @@ def uncovered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.ngram_matches(*turn_words(spark, sf_dir), ["conv_id", "turn"])
+    return C.ngram_matches(*turn_words(spark, sf_dir), TURN)
 
 
 def ngram_matches_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the plain edit distance, which SQL has; its distance with exchanges is another one than ours."""
-    return C.ngram_matches(*turn_words(spark, sf_dir), ["conv_id", "turn"], swaps=False)
+    return C.ngram_matches(*turn_words(spark, sf_dir), TURN, swaps=False)
 
 
 def match_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.match_sets(C.ngram_matches(*turn_words(spark, sf_dir), ["conv_id", "turn"]), ["conv_id", "turn"])
+    return C.match_sets(C.ngram_matches(*turn_words(spark, sf_dir), TURN), TURN)
 
 
 def transcription_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     ocr, man = turn_words(spark, sf_dir)
-    return C.corrected_lines(C.correct_words(ocr, man, ["conv_id", "turn"]), ocr, ["conv_id", "turn"])
+    return C.corrected_lines(C.correct_words(ocr, man, TURN), ocr, TURN)
 
 
 def line_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of a conversation's turn against the turn as given."""
-    turns = table(spark, sf_dir, "conversations").dropDuplicates(["conv_id", "turn"]).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("transcription"))
-    lines = turns.select("conv_id", "turn", F.lit(0).alias("line_idx"), F.array_join(noised(T.words(F.col("transcription"))), " ").alias("text"))
-    return L.correct_lines(lines, turns, ["conv_id", "turn"])
+    """Every turn of a conversation, as recognised, against the turn as given."""
+    given = turns(spark, sf_dir).select(*TURN, F.coalesce("text", F.lit("")).alias("transcription"))
+    lines = given.select(*TURN, F.lit(0).alias("line_idx"), F.array_join(noised(T.words(F.col("transcription"))), " ").alias("text"))
+    return L.correct_lines(lines, given, TURN)
 
 
 def service_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model of the user's on every turn: it gives the turn's role-free text in capitals and fails on long ones."""
+    """A model of the user's on every turn: it gives the text with another letter for every e and fails on long ones."""
 
     def model(texts: list[str]) -> list[str]:
         if any(len(t) > 600 for t in texts):
             raise ValueError("too long")
-        return [t.upper() for t in texts]
+        return [t.replace("e", "3") for t in texts]
 
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^\\x00-\\x7F]", "").alias("text"))
-    done = enrich(turns, model, "text", "result", on_error="pass_through", attempts=1)
-    return done.select("conv_id", "turn", "status", "error", F.md5("result").alias("result_md5"))
+    done = enrich(turns(spark, sf_dir), model, "text", "result", on_error="pass_through", attempts=1)
+    return done.select(*TURN, "status", "error", F.md5("result").alias("result_md5"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -208,50 +226,91 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+#: Letters beyond ASCII in the given tables.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßáâäçèéêíîñóöúü"
+#: Characters that stand for them where DuckDB takes a distance.
+STANDINS = "".join(map(chr, [*range(1, 9), *range(14, 32)]))[: len(LETTERS)]
+
+
+def sql_bytes(text: str) -> str:
+    """A text of one byte a letter."""
+    return f"translate({text}, '{LETTERS}', '{STANDINS}')"
+
+
 SQL_NOISE = "CASE WHEN {p} % 7 = 3 THEN replace({w}, 'e', 'c') WHEN {p} % 7 = 5 AND length({w}) > 4 THEN substr({w}, 1, length({w}) - 1) ELSE {w} END"
-SQL_SPLIT = "list_filter(regexp_split_to_array(regexp_replace(coalesce({0}, ''), '[^\\x00-\\x7F]', '', 'g'), '\\s+'), lambda x: x <> '')"
+SQL_SPLIT = "list_filter(regexp_split_to_array(coalesce({0}, ''), '\\s+'), lambda x: x <> '')"
 SQL_WORDS = f"""split AS (SELECT doc_id, lang, {SQL_SPLIT.format("text")} AS w FROM documents),
 words AS (SELECT doc_id, lang, i - 1 AS pos, w[i] AS gt, {SQL_NOISE.format(p="(i - 1)", w="w[i]")} AS ocr FROM split, unnest(range(1, len(w) + 1)) AS t(i))"""
-SQL_LINES = f"""raw AS (SELECT doc_id, lang, i - 1 AS line_idx, {SQL_SPLIT.format("string_split(coalesce(text, ''), chr(10))[i]")} AS w
+SQL_LINES = f"""raw AS (SELECT doc_id, lang, i AS l, {SQL_SPLIT.format("string_split(coalesce(text, ''), chr(10))[i]")} AS whole
   FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS t(i)),
+cut AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY doc_id ORDER BY l, a) - 1 AS line_idx, whole[a + 1:a + {LINE_WORDS}] AS w
+  FROM raw, unnest(range(0, greatest(len(whole), 1), {LINE_WORDS})) AS t(a)),
 lines AS (SELECT doc_id, lang, line_idx, array_to_string(w, ' ') AS gt,
-                 array_to_string(list_transform(w, lambda x, i: {SQL_NOISE.format(p="(i - 1)", w="x")}), ' ') AS ocr FROM raw),
-scored AS (SELECT doc_id, line_idx, levenshtein(gt, ocr) AS char_errors, length(gt) AS n_chars FROM lines)"""
-#: Pairs of a recognised word and a term within one edit: they share a word or a word less one letter.
+                 array_to_string(list_transform(w, lambda x, i: {SQL_NOISE.format(p="(i - 1)", w="x")}), ' ') AS ocr FROM cut),
+worded AS (SELECT *, regexp_extract_all(gt, '[\\p{{L}}\\p{{N}}]+') AS gw, regexp_extract_all(ocr, '[\\p{{L}}\\p{{N}}]+') AS ow FROM lines),
+known AS (SELECT *, CASE WHEN gt <> ocr THEN list_distinct(list_concat(gw, ow)) END AS v FROM worded),
+coded AS (SELECT *, array_to_string(list_transform(gw, lambda x: chr(list_position(v, x)::INTEGER)), '') AS gc,
+                 array_to_string(list_transform(ow, lambda x: chr(list_position(v, x)::INTEGER)), '') AS oc FROM known),
+scored AS (SELECT doc_id, lang, line_idx, gt, length(gt) AS n_chars, len(gw) AS n_words,
+                  CASE WHEN gt = ocr THEN 0 ELSE levenshtein({sql_bytes("gt")}, {sql_bytes("ocr")}) END AS char_errors,
+                  CASE WHEN gt = ocr THEN 0 WHEN len(v) > 127 THEN error('too many words for one byte each') ELSE levenshtein(gc, oc) END AS word_errors FROM coded),
+rates AS (SELECT {{by}}, count(*) AS n_lines, sum(n_chars)::BIGINT AS chars, sum(n_words)::BIGINT AS n_words, sum(char_errors) AS ce, sum(word_errors) AS we FROM scored GROUP BY ALL)"""
+#: Where the column that rates are summed by goes.
+BY = "{by}"
+SQL_RATE = "CASE WHEN {1} > 0 THEN {0}::DOUBLE / {1} ELSE ({0} > 0)::INTEGER::DOUBLE END"
+SQL_RATES = f"SELECT {{by}}, n_lines, chars AS n_characters, n_words, {SQL_RATE.format('ce', 'chars')} AS cer, {SQL_RATE.format('we', 'n_words')} AS wer FROM rates"
+#: A word and what is left of it without one of its letters.
+SQL_SHORTER = "unnest(list_distinct([{0}] || list_transform(range(1, length({0}) + 1), lambda i: substr({0}, 1, i - 1) || substr({0}, i + 1)))) AS k"
+#: Pairs of a recognised word and a term: the word itself, or all terms within one edit of it, which share it or a word less one letter.
 SQL_NEAR = f"""{SQL_WORDS},
-dict AS (SELECT lang, gt AS term, count(*) AS freq FROM words GROUP BY ALL),
-asked AS (SELECT DISTINCT lang, ocr AS query FROM words),
-qk AS (SELECT lang, query, unnest(list_distinct([query] || list_transform(range(1, length(query) + 1), lambda i: substr(query, 1, i - 1) || substr(query, i + 1)))) AS k FROM asked),
-tk AS (SELECT lang, term, freq, unnest(list_distinct([term] || list_transform(range(1, length(term) + 1), lambda i: substr(term, 1, i - 1) || substr(term, i + 1)))) AS k FROM dict),
-near AS (SELECT DISTINCT lang, query, term, freq, levenshtein(query, term) AS distance FROM qk JOIN tk USING (lang, k) WHERE levenshtein(query, term) <= 1)"""
-#: The nearest terms within two edits: words with none within one are held against all terms of like length.
-SQL_NEAR_TWO = f"""{SQL_NEAR.replace("near AS", "near_one AS")},
-far AS (SELECT lang, query FROM asked ANTI JOIN (SELECT lang, query FROM near_one WHERE freq >= {{least}}) USING (lang, query)),
-near AS (SELECT * FROM near_one UNION ALL SELECT lang, query, term, freq, levenshtein(query, term) AS distance
-  FROM far JOIN dict USING (lang) WHERE freq >= {{least}} AND abs(length(query) - length(term)) <= 2 AND levenshtein(query, term) = 2)"""
-
-ORACLE_SQL = {
-    "character_errors": f"WITH {SQL_LINES} SELECT doc_id, line_idx::INTEGER AS line_idx, char_errors::INTEGER AS char_errors, n_chars::INTEGER AS n_chars FROM scored",
-    "fuzzy_closest": f"""
-WITH {SQL_NEAR}, best AS (SELECT *, rank() OVER (PARTITION BY lang, query ORDER BY distance) AS r FROM near)
-SELECT lang, query, term, freq, distance::INTEGER AS distance FROM best WHERE r = 1
-""",
-    "spell_top1": f"""
-WITH {SQL_NEAR}, best AS (SELECT *, row_number() OVER (PARTITION BY lang, query ORDER BY distance, freq DESC, term) AS r FROM near)
-SELECT a.lang, a.query AS word, coalesce(term, a.query) AS corrected, distance::INTEGER AS distance FROM asked a LEFT JOIN best b ON a.lang = b.lang AND a.query = b.query AND r = 1
-""",
-    "spell_in_context": f"""
-WITH {SQL_NEAR},
+dict AS (SELECT lang, gt AS term, {sql_bytes("gt")} AS tb, count(*) AS freq FROM words GROUP BY ALL HAVING count(*) >= {{least}}),
+asked AS (SELECT DISTINCT lang, ocr AS query, {sql_bytes("ocr")} AS qb FROM words),
+exact AS (SELECT a.lang, a.query, term, freq, 0 AS distance FROM asked a JOIN dict d ON a.lang = d.lang AND a.query = d.term),
+lost AS (SELECT * FROM asked ANTI JOIN exact USING (lang, query)),
+qk AS (SELECT lang, query, qb, {SQL_SHORTER.format("query")} FROM lost),
+tk AS (SELECT lang, term, tb, freq, {SQL_SHORTER.format("term")} FROM dict),
+one AS (SELECT DISTINCT lang, query, term, freq, 1 AS distance FROM qk JOIN tk USING (lang, k) WHERE levenshtein(qb, tb) = 1)"""
+SQL_NEAR_ONE = f"{SQL_NEAR}, near AS (SELECT * FROM exact UNION ALL SELECT * FROM one)"
+#: Words with no term within one edit and terms within two of them share one of what is left of both without up to two letters.
+SQL_NEAR_TWO = f"""{SQL_NEAR}, far AS (SELECT * FROM lost ANTI JOIN one USING (lang, query)),
+qs AS (SELECT DISTINCT lang, query, qb, k FROM (SELECT lang, query, qb, {SQL_SHORTER.format("k")} FROM qk SEMI JOIN far USING (lang, query))),
+ts AS (SELECT DISTINCT lang, term, tb, freq, k FROM (SELECT lang, term, tb, freq, {SQL_SHORTER.format("k")} FROM tk)),
+met AS (SELECT DISTINCT lang, query, qb, term, tb, freq FROM qs JOIN ts USING (lang, k) WHERE abs(length(query) - length(term)) <= 2),
+near AS (SELECT * FROM exact UNION ALL SELECT * FROM one UNION ALL SELECT lang, query, term, freq, 2 AS distance FROM met WHERE levenshtein(qb, tb) = 2)"""
+SQL_CLOSEST = "SELECT lang, query, term, freq, distance::INTEGER AS distance FROM near"
+SQL_TOP = """, best AS (SELECT lang, query, distance, arg_min(term, (-freq, term)) AS term FROM near GROUP BY ALL)
+SELECT a.lang, a.query AS word, coalesce(term, a.query) AS corrected, distance::INTEGER AS distance FROM asked a LEFT JOIN best b ON a.lang = b.lang AND a.query = b.query"""
+SQL_CONTEXT = """,
 seq AS (SELECT *, lag(gt) OVER w AS gt_before, lag(ocr) OVER w AS before FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 pairs AS (SELECT lang, gt_before AS before, gt AS term, count(*) AS n FROM seq WHERE gt_before IS NOT NULL GROUP BY ALL),
-ranked AS (SELECT *, rank() OVER (PARTITION BY lang, query ORDER BY distance) AS r FROM near WHERE freq > 1),
-options AS (SELECT lang, query, term, freq FROM ranked WHERE r = 1 AND distance > 0),
+options AS (SELECT lang, query, term, freq FROM near WHERE distance > 0),
 asks AS (SELECT DISTINCT lang, before, ocr AS query FROM seq),
-best AS (SELECT a.lang, a.before, a.query, term, row_number() OVER (PARTITION BY a.lang, a.before, a.query ORDER BY coalesce(n, 0) DESC, freq DESC, term) AS r
-         FROM asks a JOIN options USING (lang, query) LEFT JOIN pairs p USING (lang, before, term))
+best AS (SELECT a.lang, a.before, a.query, arg_min(term, (-coalesce(n, 0), -freq, term)) AS term
+         FROM asks a JOIN options USING (lang, query) LEFT JOIN pairs p USING (lang, before, term) GROUP BY ALL)
 SELECT s.ocr AS word, b.term AS corrected, count(*) AS n
-FROM seq s JOIN best b ON s.lang = b.lang AND s.ocr = b.query AND s.before IS NOT DISTINCT FROM b.before AND r = 1 WHERE s.ocr <> b.term GROUP BY ALL
+FROM seq s JOIN best b ON s.lang = b.lang AND s.ocr = b.query AND s.before IS NOT DISTINCT FROM b.before WHERE s.ocr <> b.term GROUP BY ALL"""
+#: Turns with a number for those that are there again.
+SQL_TURNS = "turns AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST)::INTEGER AS copy, text FROM conversations)"
+
+ORACLE_SQL = {
+    "character_errors": f"WITH {SQL_LINES.replace(BY, 'lang')} SELECT doc_id, line_idx::INTEGER AS line_idx, char_errors::INTEGER AS char_errors, n_chars::INTEGER AS n_chars FROM scored",
+    "line_errors": f"""
+WITH {SQL_LINES.replace(BY, "lang")} SELECT doc_id, line_idx::INTEGER AS line_idx, char_errors::INTEGER AS char_errors, n_chars::INTEGER AS n_chars,
+       word_errors::INTEGER AS word_errors, n_words::INTEGER AS n_words FROM scored
 """,
+    "error_rates_by_lang": f"WITH {SQL_LINES.replace(BY, 'lang')} {SQL_RATES.replace(BY, 'lang')}",
+    "error_rates_by_document": f"WITH {SQL_LINES.replace(BY, 'doc_id')} {SQL_RATES.replace(BY, 'doc_id')}",
+    "evaluation_pairs": f"""
+WITH {SQL_LINES.replace(BY, "doc_id")}
+SELECT doc_id::VARCHAR AS pair, doc_id::VARCHAR || ' (orig).txt' AS gt_name, doc_id::VARCHAR || '.txt' AS ocr_name, n_lines, chars + n_lines - 1 AS n_characters, n_words,
+       CASE WHEN chars = 0 THEN (ce > 0)::INTEGER::DOUBLE ELSE ce::DOUBLE / chars * chars / (chars + n_lines - 1) END AS cer, {SQL_RATE.format("we", "n_words")} AS wer FROM rates
+""",
+    "fuzzy_closest": f"WITH {SQL_NEAR_ONE.format(least=1)} {SQL_CLOSEST}",
+    "fuzzy_closest_two": f"WITH {SQL_NEAR_TWO.format(least=1)} {SQL_CLOSEST}",
+    "spell_top1": f"WITH {SQL_NEAR_ONE.format(least=1)} {SQL_TOP}",
+    "spell_top1_two": f"WITH {SQL_NEAR_TWO.format(least=1)} {SQL_TOP}",
+    "spell_in_context": f"WITH {SQL_NEAR_ONE.format(least=2)} {SQL_CONTEXT}",
+    "spell_in_context_two": f"WITH {SQL_NEAR_TWO.format(least=2)} {SQL_CONTEXT}",
     "coverage": f"""
 WITH {SQL_WORDS},
 g AS (SELECT doc_id, pos, gt = ocr AND lead(gt = ocr, 1) OVER w AND lead(gt = ocr, 2) OVER w AS same FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
@@ -266,25 +325,20 @@ SELECT m.doc_id, min(m.pos)::INTEGER AS start, string_agg(gt, ' ' ORDER BY m.pos
 FROM m LEFT JOIN a ON m.doc_id = a.doc_id AND m.island = a.island WHERE NOT good GROUP BY m.doc_id, m.island, a.pos
 """,
     "ngram_matches_plain": f"""
-WITH turns AS (SELECT conv_id, turn, any_value({SQL_SPLIT.format("text")}) AS w FROM conversations GROUP BY conv_id, turn),
-kept AS (SELECT conv_id, turn, w[i] AS gt, i - 1 AS p FROM turns, unnest(range(1, len(w) + 1)) AS t(i) WHERE (i - 1) % 13 <> 11),
-ocr AS (SELECT conv_id, turn, list({SQL_NOISE.format(p="p", w="gt")} ORDER BY p) AS w FROM kept GROUP BY ALL),
-ours AS (SELECT conv_id, turn, array_to_string(w[i:i + 2], ' ') AS ocrngram, (i - 1)::INTEGER AS ocrpos FROM ocr, unnest(range(1, len(w) - 1)) AS t(i)),
-theirs AS (SELECT conv_id, turn, array_to_string(w[i:i + 2], ' ') AS manngram, (i - 1)::INTEGER AS manpos FROM turns, unnest(range(1, len(w) - 1)) AS t(i)),
-pairs AS (SELECT conv_id, turn, ocrngram, manngram, levenshtein(ocrngram, manngram)::INTEGER AS distance
-  FROM (SELECT DISTINCT conv_id, turn, ocrngram FROM ours) JOIN (SELECT DISTINCT conv_id, turn, manngram FROM theirs) USING (conv_id, turn)
+WITH {SQL_TURNS}, split AS (SELECT conv_id, turn, copy, {SQL_SPLIT.format("text")} AS w FROM turns),
+kept AS (SELECT conv_id, turn, copy, w[i] AS gt, i - 1 AS p FROM split, unnest(range(1, len(w) + 1)) AS t(i) WHERE (i - 1) % 13 <> 11),
+ocr AS (SELECT conv_id, turn, copy, list({SQL_NOISE.format(p="p", w="gt")} ORDER BY p) AS w FROM kept GROUP BY ALL),
+ours AS (SELECT conv_id, turn, copy, array_to_string(w[i:i + 2], ' ') AS ocrngram, (i - 1)::INTEGER AS ocrpos FROM ocr, unnest(range(1, len(w) - 1)) AS t(i)),
+theirs AS (SELECT conv_id, turn, copy, array_to_string(w[i:i + 2], ' ') AS manngram, (i - 1)::INTEGER AS manpos FROM split, unnest(range(1, len(w) - 1)) AS t(i)),
+pairs AS (SELECT conv_id, turn, copy, ocrngram, manngram, levenshtein({sql_bytes("ocrngram")}, {sql_bytes("manngram")})::INTEGER AS distance
+  FROM (SELECT DISTINCT conv_id, turn, copy, ocrngram FROM ours) JOIN (SELECT DISTINCT conv_id, turn, copy, manngram FROM theirs) USING (conv_id, turn, copy)
   WHERE abs(length(ocrngram) - length(manngram)) <= least(6, floor(length(ocrngram) * 0.2))),
-near AS (SELECT *, rank() OVER (PARTITION BY conv_id, turn, ocrngram ORDER BY distance) AS r FROM pairs WHERE distance <= least(6, floor(length(ocrngram) * 0.2)))
-SELECT conv_id, turn, ocrngram, ocrpos, manngram, manpos, distance FROM near JOIN ours USING (conv_id, turn, ocrngram) JOIN theirs USING (conv_id, turn, manngram) WHERE r = 1
+near AS (SELECT *, rank() OVER (PARTITION BY conv_id, turn, copy, ocrngram ORDER BY distance) AS r FROM pairs WHERE distance <= least(6, floor(length(ocrngram) * 0.2)))
+SELECT conv_id, turn, copy, ocrngram, ocrpos, manngram, manpos, distance FROM near JOIN ours USING (conv_id, turn, copy, ocrngram) JOIN theirs USING (conv_id, turn, copy, manngram) WHERE r = 1
 """,
-    "service_lines": """
-WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS x FROM conversations)
-SELECT conv_id, turn, CASE WHEN length(x) > 600 AND trim(x) <> '' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
-       CASE WHEN length(x) > 600 AND trim(x) <> '' THEN 'too long' END AS error, md5(CASE WHEN length(x) > 600 THEN x ELSE upper(x) END) AS result_md5 FROM t
+    "service_lines": f"""
+WITH {SQL_TURNS}
+SELECT conv_id, turn, copy, CASE WHEN length(text) > 600 AND trim(text) <> '' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+       CASE WHEN length(text) > 600 AND trim(text) <> '' THEN 'too long' END AS error, md5(CASE WHEN length(text) > 600 THEN text ELSE replace(text, 'e', '3') END) AS result_md5 FROM turns
 """,
 }
-#: What follows the pairs is the same for one edit and for two; in context, terms that occur once are none.
-ORACLE_SQL |= {
-    f"{name}_two": ORACLE_SQL[name].replace(SQL_NEAR, SQL_NEAR_TWO.replace("{least}", str(least)))
-    for name, least in (("fuzzy_closest", 1), ("spell_top1", 1), ("spell_in_context", 2))
-}

@@ -91,10 +91,7 @@ class Service(Step):
     def forward(self, docs: DataFrame) -> DataFrame:
         sent = docs.withColumn("_lines", F.flatten("text"))
         done = enrich(sent, self.call, "_lines", "_new", "array<string>", self.on_error).drop("_lines")
-        back = lambda p, i: F.slice(
-            F.col("_new"), F.aggregate(F.slice("text", F.lit(1), i), F.lit(0), lambda a, x: a + F.size(x)) + 1, F.size(p)
-        )
-        done = done.withColumn("text", F.transform("text", back)).drop("_new")
+        done = done.withColumn("text", align.regroup(F.col("_new"), F.col("text"))).drop("_new")
         return done.withColumnRenamed("status", f"{self.name}_status").withColumnRenamed("error", f"{self.name}_error")
 
 

@@ -17,12 +17,8 @@ from ..sources import files, pages as P
 from . import steps as S
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    return files.spread(files.table(spark, sf_dir, "documents")).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def broken(text: Column) -> Column:
@@ -190,8 +186,8 @@ def format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = docs.select(F.lit("document").alias("kind"), F.col("text").alias("content"))
     rows = rows.union(docs.select(F.lit("wrapped"), P.wrap_page(F.col("text"))))
-    rows = rows.union(table(spark, sf_dir, "pages").select(F.lit("html"), "html")).union(
-        table(spark, sf_dir, "pages").select(F.lit("markup"), F.concat(F.lit("\n <page>"), F.coalesce("url", F.lit("")), F.lit("</page>")))
+    rows = rows.union(files.table(spark, sf_dir, "pages").select(F.lit("html"), "html")).union(
+        files.table(spark, sf_dir, "pages").select(F.lit("markup"), F.concat(F.lit("\n <page>"), F.coalesce("url", F.lit("")), F.lit("</page>")))
     )
     return P.sniff_format(rows, "content").groupBy("kind", "format").agg(F.count("*").alias("n"))
 
@@ -206,23 +202,23 @@ def decode_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array(F.col("role"), F.coalesce("text", F.lit("")))
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit("turns/turn "), F.col("turn").cast("string"), F.lit(".xml")).alias("filename"), parts.alias("parts"))
+    turns = files.table(spark, sf_dir, "conversations").select("conv_id", F.concat(F.lit("turns/turn "), F.col("turn").cast("string"), F.lit(".xml")).alias("filename"), parts.alias("parts"))
     found = files.unzip(files.bundle(turns, "conv_id"), "conv_id")
     return found.select("conv_id", "member", F.md5("content").alias("content_md5"), "error")
 
 
 def multipage_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = files.assemble(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
+    found = files.assemble(files.table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
     return found.select("conv_id", "n_pages", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def batch_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = files.collect_batch(table(spark, sf_dir, "conversations"), "conv_id", "turn", ["role"])
+    found = files.collect_batch(files.table(spark, sf_dir, "conversations"), "conv_id", "turn", ["role"])
     return found.select("conv_id", "n_results", F.array_join(F.transform("results", lambda r: r["role"]), ",").alias("roles"))
 
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("path"))
+    urls = files.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("path"))
     return urls.select(
         "page_id", T.basename(F.col("path")).alias("basename"), T.extension(F.col("path")).alias("extension"), T.file_kind(F.col("path")).alias("kind"),
         T.corrected_name(F.col("path")).alias("corrected"), T.safe_name(F.col("path"), ".txt").alias("member"),
@@ -231,7 +227,7 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_type_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("image/png", "text/html", "IMAGE/jpeg", "application/pdf")]), (F.col("page_id") % 4 + 1).cast("int"))
-    fetched = table(spark, sf_dir, "pages").select("page_id", "url", kinds.alias("content_type"))
+    fetched = files.table(spark, sf_dir, "pages").select("page_id", "url", kinds.alias("content_type"))
     good, bad = files.split_rejects(fetched, files.is_image(F.col("content_type")), "not an image")
     return good.withColumn("reason", F.lit("")).unionByName(bad).groupBy("content_type", "reason").agg(F.count("*").alias("n"), F.min("url").alias("first_url"))
 

@@ -14,14 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import usage as U
 from ..sources import ledger
+from ..sources.files import table
 from ..streaming import tasks
 from . import steps as S
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.element_at(F.array(*[F.lit(s) for s in U.STATUSES]), (F.col("event_id") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "events").select(

@@ -52,6 +52,11 @@ def decode_text(files: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table kept as Parquet."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """One row per line of plain text files: path, text."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -144,9 +149,9 @@ def split_rejects(rows: DataFrame, good: Column, reason: str) -> tuple[DataFrame
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt over all cores where the files give fewer tasks than there are cores; else as they are, without a shuffle.
+    """Rows dealt over all cores where there are fewer files than cores; else as they are, without a shuffle.
 
     For work that costs more than moving its input, such as edit distances.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows

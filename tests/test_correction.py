@@ -1,9 +1,11 @@
 import itertools
 import random
+import time
 
 from pyspark.sql import functions as F
 
 from pagewright.operators import evaluation as E, fuzzy as Z, line_correction as L, spelling as S, transcription as C
+from plain import greedy_sets as plain_sets, osa
 
 
 def words(spark, *docs):
@@ -12,7 +14,10 @@ def words(spark, *docs):
 
 
 def test_osa():
-    assert Z.osa("ca", "abc", 9) == 3 and Z.osa("abcd", "acbd", 9) == 1 and Z.osa("a", "abcdef", 2) == 3 and Z.osa("", "", 0) == 0
+    assert Z.osa(["ca", "abcd", "a", ""], ["abc", "acbd", "abcdef", ""]).tolist() == [3, 1, 5, 0]
+    rng = random.Random(3)
+    pairs = [["".join(rng.choice("abé\U0001f600") for _ in range(rng.randint(0, 12))) for _ in range(2)] for _ in range(500)] + [["x" * 300, "y"], ["", "ab"]]
+    assert Z.osa(*map(list, zip(*pairs))).tolist() == [osa(a, b) for a, b in pairs]
 
 
 def test_fuzzy_join_is_whole(spark):
@@ -22,7 +27,7 @@ def test_fuzzy_join_is_whole(spark):
     t = spark.createDataFrame([("x", s, 1) for s in strings[1::2]], "lang string, term string, freq long")
     for share, most in ((0.2, 6), (0.5, 6)):
         got = {(r["query"], r["term"], r["distance"]) for r in Z.fuzzy_join(q, t, ["lang"], share, most).collect()}
-        want = {(a, b, Z.osa(a, b, 9)) for a, b in itertools.product(strings[::2], strings[1::2]) if Z.osa(a, b, 9) <= min(most, int(len(a) * share))}
+        want = {(a, b, osa(a, b)) for a, b in itertools.product(strings[::2], strings[1::2]) if osa(a, b) <= min(most, int(len(a) * share))}
         assert got == want
         near = {(r["query"], r["term"], r["distance"]) for r in Z.closest_terms(q, t, ["lang"], share, most).collect()}
         least = {a: min(d for x, _, d in want if x == a) for a, _, _ in want}
@@ -45,7 +50,7 @@ def test_fuzzy_join_of_long_strings(spark):
     t = spark.createDataFrame([("x", s, 1) for s in [*terms, None]], "lang string, term string, freq long")
     for share, most, fixed in ((0.2, 6, None), (0.2, 6, 3)):
         got = {(r["query"], r["term"], r["distance"]) for r in Z.fuzzy_join(q, t, ["lang"], share, most, fixed).collect()}
-        want = {(a, b, d) for a in made for b in terms if (d := Z.osa(a, b, 9)) <= (fixed or min(most, int(len(a) * share)))}
+        want = {(a, b, d) for a in made for b in terms if (d := osa(a, b)) <= (fixed or min(most, int(len(a) * share)))}
         assert got == want and len(want) > 60
 
 
@@ -60,16 +65,29 @@ def test_transcription_marks(spark):
     assert got["e", 0] == "[nothing]" and got["e", 1] == "[alike] [[zzzz yyyy]]"
 
 
-def test_greedy_sets_do_not_overlap():
+def test_greedy_sets():
     rng = random.Random(5)
-    for _ in range(50):
-        found = C.greedy_sets([(rng.randint(0, 2), rng.randint(0, 12), rng.randint(0, 12)) for _ in range(20)], 3)
+    for _ in range(300):
+        matches = sorted({(o, m): (rng.randint(0, 2), o, m) for o, m in [(rng.randint(0, 12), rng.randint(0, 12)) for _ in range(rng.randint(0, 25))]}.values())
+        least = rng.choice([1, 1, 2])
+        found = C.greedy_sets(matches, 3, least)
+        assert found == plain_sets(matches, 3, least)
         owner = {}
         for s, o, m in found:
             for i in range(3):
                 assert owner.setdefault(("o", o + i), s) == s and owner.setdefault(("m", m + i), s) == s
 
 
+def test_greedy_sets_of_a_long_document():
+    took = []
+    for n in (4000, 16000):  # gaps, so that the diagonal falls into many sets
+        matches = [(i % 3, i, i) for i in range(n) if i % 50 > 6] + [(4, i, i + 900) for i in range(n)]
+        began = time.process_time()
+        assert C.greedy_sets(matches, 3)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
 def corrected(spark, line, man):
     lines = spark.createDataFrame([(1, 0, line)], "doc int, line_idx int, text string")
     return L.correct_lines(lines, spark.createDataFrame([(1, man)], "doc int, transcription string"), ["doc"]).first()["corrected"]
@@ -100,6 +118,22 @@ def test_evaluation_goldens(spark):
     assert found == {"x :: s": 1, "s :: x": 1}
 
 
+def test_word_codes_beyond_the_surrogates(spark):
+    """More distinct words than there are characters before the surrogates, one of them changed and one lost."""
+    gt = [f"w{i}" for i in range(36_000)]
+    ocr = [*gt[:35_990], "other", *gt[35_991:35_995], *gt[35_996:]]
+    found = spark.createDataFrame([(gt, ocr)], "g array<string>, o array<string>").select(E.word_codes(F.col("g"), F.col("o")).alias("c"))
+    row = found.select(F.length("c.ours").alias("n"), F.substring("c.ours", 35_900, 200).alias("a"), F.substring("c.theirs", 35_900, 200).alias("b"))
+    row = row.select("n", E.edit_distance(F.col("a"), F.col("b")).alias("d")).first()
+    assert row["n"] == 36_000 and row["d"] == 2
+
+
+def test_line_errors_of_equal_and_null_lines(spark):
+    pairs = [(1, "a b", "a b"), (2, None, "x y"), (3, "é è", "è é"), (4, None, None)]
+    rows = E.line_errors(spark.createDataFrame(pairs, "id int, gt string, ocr string")).orderBy("id").collect()
+    assert [(r["char_errors"], r["word_errors"], r["n_words"]) for r in rows] == [(0, 0, 2), (3, 2, 0), (2, 2, 2), (0, 0, 0)]
+
+
 def test_edit_distance_beyond_bands(spark):
     rng = random.Random(1)
     a = "".join(rng.choice("ab") for _ in range(300))

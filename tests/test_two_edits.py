@@ -2,8 +2,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from pagewright.operators.fuzzy import edits_allowed, osa
+from pagewright.operators.fuzzy import edits_allowed
 from pagewright.plans import correction_queries as Q
+from plain import osa
 
 DATA = "/root/testdata/sf0.001"
 
@@ -32,7 +33,7 @@ def test_exchanges_against_brute_force(spark, sides):
     for r in entry.queries()["fuzzy_closest_by_length"](spark, DATA).collect():
         by_length.setdefault((r["lang"], r["query"]), set()).add((r["term"], r["distance"]))
     for lang, word in asked:
-        near = [(d, -n, t) for (x, t), n in terms.items() if x == lang and (d := osa(word, t, 6)) <= 6]
+        near = [(d, -n, t) for (x, t), n in terms.items() if x == lang and abs(len(t) - len(word)) <= 6 and (d := osa(word, t)) <= 6]
         two = min((x for x in near if x[0] <= 2), default=None)
         assert best[lang, word] == ((two[2], two[0]) if two else (word, None))
         allowed = [x for x in near if x[0] <= edits_allowed(len(word), 0.2, 6, None)]
