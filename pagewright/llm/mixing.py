@@ -14,6 +14,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Largest mean inverted in one piece; a larger mean is a sum of equal independent parts.
 PIECE = 32.0
@@ -32,19 +33,21 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, HEX), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**HEX))
 
 
-def poisson_quantile(u: Column, mean: Column) -> Column:
-    """Smallest k with P(Poisson(mean) <= k) >= u, for a mean up to PIECE."""
-    start = F.struct(
-        F.lit(0).cast("int").alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("below")
-    )
+def poisson_steps(mean: Column) -> Column:
+    """P(Poisson(mean) <= k) for k from 0 on, for a mean up to PIECE, as far as a uniform number may lie above it."""
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("below"))
 
     def step(state: Column, k: Column) -> Column:
         p = state["p"] * mean / k
-        return F.when(state["below"] >= u, state).otherwise(
-            F.struct(k.cast("int").alias("k"), p.alias("p"), (state["below"] + p).alias("below"))
-        )
+        return F.struct(p.alias("p"), F.concat(state["below"], F.array(F.element_at(state["below"], -1) + p)).alias("below"))
+
+    every = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["below"])
+    return F.filter(every, lambda x: x < F.lit(1 - 1e-16))
+
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda s: s["k"])
+def poisson_quantile(u: Column, steps: Column) -> Column:
+    """Smallest k with P(Poisson <= k) >= u."""
+    return F.size(F.filter(steps, lambda x: x < u))
 
 
 def source_rates(
@@ -89,15 +92,17 @@ def mix_sources(
     `mix_rate`, `mix_copies` (the document's count), `mix_copy` (from 1) and
     `mix_order` (place in the global order, ascending), replacing input columns
     of these names. A null source is a source of its own; rows that repeat a
-    doc_id share its count; a null doc_id counts as the empty text. No rows
-    give no rows. One source holding most rows is no hot key: rates are sent to
+    doc_id share its count; a null doc_id counts as the empty text. Copies with
+    the same `mix_order` are in the order of `mix_copy`, then of their other
+    columns. No rows give no rows. One source holding most rows is no hot key: rates are sent to
     every task or, beyond FEW_SOURCES sources, joined on (source, salt).
     """
-    docs = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_order", "mix_source", "mix_salt", "mix_part")
+    docs = docs.drop("mix_rate", "mix_copies", "mix_copy", "mix_order", "mix_source", "mix_salt", "mix_part", "mix_parts", "mix_steps")
     kept = docs.columns
-    rates = source_rates(docs, weights, exponent, total).select(
-        "mix_source", F.col("rate").alias("mix_rate")
-    )
+    # All that depends on the source alone is worked out once for each.
+    parts = F.greatest(F.ceil(F.col("mix_rate") / PIECE), F.lit(1)).cast("int")
+    rates = source_rates(docs, weights, exponent, total).select("mix_source", F.col("rate").alias("mix_rate")).withColumn("mix_parts", parts)
+    rates = rates.withColumn("mix_steps", poisson_steps(F.col("mix_rate") / F.col("mix_parts")))
     if rates.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
         rated = docs.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("mix_source")))
     else:
@@ -107,16 +112,17 @@ def mix_sources(
             spread, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_part") == F.col("mix_salt"))
         )
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    parts = F.greatest(F.ceil(F.col("mix_rate") / PIECE), F.lit(1)).cast("int")
-    mean = F.col("mix_rate") / parts
     count = F.aggregate(
-        F.sequence(F.lit(1), parts),
-        F.lit(0),
-        lambda total_, i: total_ + poisson_quantile(uniform(F.lit(seed), key, i), mean),
+        F.sequence(F.lit(1), F.col("mix_parts")), F.lit(0), lambda sum_, i: sum_ + poisson_quantile(uniform(F.lit(seed), key, i), F.col("mix_steps"))
     )
     copies = rated.withColumn("mix_copies", F.when(F.col("mix_rate") > 0, count).otherwise(0)).filter("mix_copies > 0")
     dealt = copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     order = F.conv(
         F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), key, F.col("mix_copy").cast("string"))), 1, HEX), 16, 10
     ).cast("long")
-    return dealt.select(*kept, "mix_rate", "mix_copies", "mix_copy", order.alias("mix_order")).orderBy("mix_order")
+    placed = dealt.select(*kept, "mix_rate", "mix_copies", "mix_copy", order.alias("mix_order"))
+    # Places are uniform, so equal ranges of them hold like numbers of copies: no pass over the input has to find the ranges.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = placed.repartitionById(n, F.floor(F.col("mix_order") / F.lit(16**HEX) * n).cast("int"))
+    ties = [f.name for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    return ranged.sortWithinPartitions("mix_order", "mix_copy", *[F.col(f"`{c}`") for c in ties])

@@ -263,12 +263,24 @@ def test_mixing(spark, docs):
         mixing.mix_sources(docs, {"s0": -1})
 
 
+def test_mixing_many_sources_and_ties(spark, docs, monkeypatch):
+    """A salted join gives the same rows; copies with the same place have an order of their own."""
+    rows = docs.drop("score").union(docs.drop("score").filter("doc_id < 3").withColumn("text", F.concat("text", F.lit("!"))))
+    few = [tuple(r) for r in mixing.mix_sources(rows, total=3000).collect()]
+    assert [r["mix_order"] for r in mixing.mix_sources(rows, total=3000).collect()] == sorted(r[-1] for r in few)
+    again = [tuple(r) for r in mixing.mix_sources(rows.repartition(3).orderBy(F.desc("text")), total=3000).collect()]
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    assert few == again == [tuple(r) for r in mixing.mix_sources(rows, total=3000).collect()]
+    large = mixing.mix_sources(docs.filter("source = 's0'"), total=67 * 60.0).collect()  # a mean that takes several parts
+    assert abs(len(large) - 67 * 60) < 300 and max(r["mix_copies"] for r in large) > 60
+
+
 def test_poisson_quantiles(spark):
     import math
 
     df = spark.range(3000).select(((F.col("id") + 0.5) / 3000).alias("u"))
     for mean in (0.0, 0.3, 4.0, 31.9):
-        got = [r[0] for r in df.select(mixing.poisson_quantile(F.col("u"), F.lit(mean))).collect()]
+        got = [r[0] for r in df.select(mixing.poisson_quantile(F.col("u"), mixing.poisson_steps(F.lit(mean)))).collect()]
         assert abs(np.mean(got) - mean) < 0.02 + mean / 500 and abs(np.var(got) - mean) < 0.05 + mean / 50
         assert all(sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(k)) < (j + 0.5) / 3000 + 1e-9 for j, k in enumerate(got))
 
