@@ -14,7 +14,7 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav noscript ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("iframe noembed noframes script style template textarea xmp".split())
+RAW = frozenset("iframe noembed noframes script style svg template textarea xmp".split())
 #: Open elements that a start tag closes, as end tags may be left out.
 CLOSES = {
     **{t: ("p",) for t in BLOCK - {"option", "body", "head", "html", "title"}},
@@ -24,45 +24,61 @@ CLOSES = {
 #: Elements that a tag left open inside cannot close past.
 SCOPES = frozenset("table ul ol dl div section article aside nav footer header main form body html blockquote".split())
 
+#: A quote counts only after an equals sign, so that a stray one does not swallow what follows the tag.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(?:(?<=[\s\"'/])|^)([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAMING = frozenset(["class", "id", "role", "itemprop"])
+UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 WORDS = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Words of controls, notices and reader comments, told apart in short blocks and headings.
+SIGNS = frozenset(
+    "about accept account ad advertisement advertising ago agree all also april archive august author back buy by categories close comment comments contact continue "
+    "cookies copyright december discussion download edit email enter february follow friday from home hours january join july june latest leave like login logout march may "
+    "menu minutes monday more name navigation newsletter next november now october offer ok opinions options order password policy popular posted previous privacy read "
+    "readers recent register related replies reply report reserved response responses rights sale said saturday says search see send september settings share shop sign "
+    "sponsored submit subscribe sunday tags terms thursday topics trending tuesday up use view votes wednesday wrote you your".split()
+)
 
 
 @dataclass(slots=True)
 class Block:
-    """Text of a leaf block (spaces made one), its ancestors' tags and name words from the outside in, and characters in links."""
+    """Text of a leaf block (spaces made one), its ancestors' tags, numbers and name words from the outside in, and characters in links."""
 
     text: str
     tags: tuple[str, ...]
     names: frozenset[str]
     linked: int
+    path: tuple[int, ...] = ()
 
 
 def blocks(page: str) -> list[Block]:
     """The non-empty leaf blocks of a page in order. Comments, scripts, styles and markup are no text."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    # Tag, names (its own and those around it), number, and whether text inside is a block of its own although the tag does not make one.
+    stack: list[tuple[str, frozenset[str], int, bool]] = []
     parts: list[str] = []
     linked = at = 0
-    in_link = 0
+    in_link = count = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack), stack[-1][1] if stack else frozenset(), min(linked, len(text))))
+                out.append(Block(text, tuple(x[0] for x in stack), stack[-1][1] if stack else frozenset(), min(linked, len(text)), tuple(x[2] for x in stack)))
             parts.clear()
         linked = 0
 
     def pop(n: int) -> None:
         nonlocal in_link
-        in_link -= sum(t == "a" for t, _ in stack[n:])
+        if any(x[3] for x in stack[n:]):
+            flush()
+        in_link -= sum(x[0] == "a" for x in stack[n:])
         del stack[n:]
 
     size = len(page)
@@ -87,7 +103,7 @@ def blocks(page: str) -> list[Block]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if tag in BLOCK:
                 flush()
-            if depth >= 0 and not (tag not in SCOPES and any(t in SCOPES for t, _ in stack[depth + 1 :])):
+            if depth >= 0 and not (tag not in SCOPES and any(x[0] in SCOPES for x in stack[depth + 1 :])):
                 pop(depth)
             continue
         attrs = found["attrs"]
@@ -108,20 +124,25 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in VOID:
             continue
-        named = stack[-1][1] if stack else frozenset()
+        named, hidden = stack[-1][1] if stack else frozenset(), False
         if attrs and attrs != "/":
             more = set()
             for a in ATTRIBUTE.finditer(attrs):
-                value = (a[2] or a[3] or a[4] or a[1]).lower()
-                key = a[1].lower()
-                if key == "style":
-                    more |= {"hidden"} if "display:none" in value.replace(" ", "") else set()
-                elif key in ("hidden", "aria-hidden"):
-                    more |= {"hidden"} if value != "false" else set()
-                else:
-                    more.update(WORDS.findall(value))
+                key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
+                if key == "hidden" or (key == "style" and UNSEEN.search(value)):
+                    hidden = True
+                elif key == "aria-hidden" and value.lower() == "true":
+                    more.add("ariahidden")
+                elif key in NAMING:
+                    more.update(WORDS.findall(value.lower()))
+            if hidden:
+                more.add("hidden")
             named = named | more if more else named
-        stack.append((tag, named))
+        apart = hidden and tag not in BLOCK
+        if apart:
+            flush()
+        count += 1
+        stack.append((tag, named, count, apart))
         in_link += tag == "a"
         if attrs.endswith("/") and tag not in BLOCK:
             pop(len(stack) - 1)
@@ -129,26 +150,68 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def share_of(part: float, whole: float) -> int:
+    """A share in four steps."""
+    share = part / whole if whole else 0
+    return 3 if share >= 0.7 else 2 if share >= 0.3 else 1 if share >= 0.08 else 0
+
+
+def said(text: str) -> list[str]:
+    """SIGNS among the words of a short text."""
+    return [w for w in LETTERS.findall(text.lower()) if w in SIGNS] if len(text) <= 60 else []
+
+
 def features(found: list[Block]) -> list[list[str]]:
-    """Named features of each block: tags and name words around it, its own form, and where on the page it stands."""
+    """Named features of each block: tags and name words around it, its own form and place on the page, and how much text stands beside it in the same elements."""
     out = []
     n = len(found)
     longest = max((len(b.text) for b in found), default=1)
+    homes = []  # of each block: the numbers of its own block element, the one around it and the one around that
+    for b in found:
+        around = [i for t, i in zip(b.tags, b.path) if t in BLOCK and t not in ("html", "body")]
+        homes.append(([0, 0, *around])[-3:])
+    plain: dict[int, int] = {}  # text out of links, by element
+    kids: dict[int, int] = {}
+    shapes: dict[tuple, set[int]] = {}  # like elements of an element
+    for b, (_, mother, own) in zip(found, homes):
+        for i in set(b.path) | {0}:
+            plain[i] = plain.get(i, 0) + len(b.text) - b.linked
+        kids[mother] = kids.get(mother, 0) + 1
+    for b, (grandmother, mother, _) in zip(found, homes):
+        tag = b.tags[b.path.index(mother)] if mother else ""
+        shapes.setdefault((grandmother, tag), set()).add(mother)
+    top = max((plain[h[1]] for h in homes), default=1)
+    heading: list[str] = []
     for i, b in enumerate(found):
         size = len(b.text)
         share = b.linked / size
         stops = sum(b.text.count(c) for c in ".!?。")
         words = b.text.count(" ") + 1
         tags = set(b.tags) - {"html", "body", "div", "span"}
+        grandmother, mother, _ = homes[i]
         f = ["bias", f"size{min(int(np.log2(size + 1)), 9)}", f"words{min(words.bit_length(), 7)}", f"links{0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.7 else 3}"]
         f.append(f"stops{min(stops, 3)}")
         f.append(f"last{b.text[-1] if b.text[-1] in '.!?:;,' else 'x'}")
         f.append("first" if i == 0 else "end" if i == n - 1 else f"at{4 * i // n}")
         f.append(f"part{min(int(4 * size / longest), 3)}")
+        f.append(f"mass{share_of(plain[mother], top)}")
+        f.append(f"mass2{share_of(plain[grandmother], plain[0])}")
+        f.append(f"kids{min(kids[mother].bit_length(), 4)}")
+        tag = b.tags[b.path.index(mother)] if mother else ""
+        f.append(f"twins{min(len(shapes[grandmother, tag]).bit_length(), 3)}of{min(kids[mother].bit_length(), 3)}")
+        f.append(f"depth{min(sum(t in BLOCK for t in b.tags), 8)}")
         f += [f"in:{t}" for t in tags]
         f += [f"named:{w}" for w in b.names]
-        f.append(f"tag:{next((t for t in reversed(b.tags) if t in BLOCK), '')}")
+        own = next((t for t in reversed(b.tags) if t in BLOCK), "")
+        f.append(f"tag:{own}")
+        signs = said(b.text)
+        f += [f"says:{w}" for w in signs] + (["says"] if signs else [])
+        if re.fullmatch(r"h[1-6]|legend|summary", own):
+            heading = signs
+        f += [f"under:{w}" for w in heading]
         if "©" in b.text or "(c)" in b.text.lower():
             f.append("copyright")
+        if re.search(r"\d", b.text) and size <= 60:
+            f.append("digits")
         out.append(f)
     return out

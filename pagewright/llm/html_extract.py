@@ -26,7 +26,7 @@ from .common import offsets, small_batches, strings, unit_hash
 from .html_blocks import Block, blocks, features
 
 #: Pages of the table whose texts fill the labelled pages, about, and labelled pages made.
-SAMPLE_PAGES, LABELLED = 200, 1500
+SAMPLE_PAGES, LABELLED = 200, 3000
 OTHER, MAIN = 0, 1
 
 
@@ -112,7 +112,7 @@ def fit_field(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150,
     return Field({x: (float(a), float(b)) for x, (a, b) in zip(names, weights[0])}, weights[1], weights[2])
 
 
-#: Names that pages give to parts beside the main text, and short texts found there.
+#: Names that pages give to parts beside the main text and to the main text, and short texts found in those parts.
 NAMES = {
     "nav": ["nav", "menu", "navbar", "breadcrumb", "breadcrumbs", "navigation", "topbar", "tabs", "pagination", "toc"],
     "header": ["header", "masthead", "site-header", "banner", "branding", "top"],
@@ -122,79 +122,183 @@ NAMES = {
     "notice": ["cookie", "cookies", "consent", "notice", "gdpr", "alert", "popup", "modal", "overlay", "banner", "privacy", "disclaimer", "message"],
     "form": ["form", "newsletter", "subscribe", "signup", "login", "search", "contact-form", "search-form"],
     "comments": ["comments", "comment", "responses", "discussion", "replies", "reader-comments", "disqus", "comment-list", "feedback"],
-    "share": ["share", "social", "social-links", "follow", "byline", "meta", "author-box"],
+    "share": ["share", "social", "social-links", "follow", "author-box"],
 }
 CONTENT = ["content", "post", "entry", "article", "story", "main", "entry-content", "post-body", "article-body", "text", "body-text", "page"]
-NOTICES = ["We use cookies to improve this site.", "Accept all", "Subscribe to our newsletter", "Sign in", "Your email", "All rights reserved.", "Advertisement", "Sponsored", "Read more", "Share this", "Reply", "Search", "Home", "About", "Contact", "Privacy policy", "Terms of use"]
-
-
-def layout(rng: random.Random, texts: list[str]) -> tuple[str, list[bool]]:
-    """A page of a random layout, and for each of its blocks whether it is main text.
+NOTICES = ["We use cookies to improve this site.", "Accept all", "Subscribe to our newsletter", "Sign in", "Your email", "All rights reserved.", "Advertisement", "Sponsored", "Read more", "Share this", "Reply", "Search", "Home", "About", "Contact", "Privacy policy", "Terms of use", "Buy now", "See our latest offer", "Follow us", "Next", "Back to top", "Related posts", "Most popular"]
+PEOPLE = "Ann Bob Carla Dmitri Elif Femi Greta Hugo Inés Jun Kofi Lena Marc Nadia Omar Pia Quentin Rosa Sven Tove Uma Viktor Wanda Xin Yusuf Zoe".split()
+TALK = ["Comments", "{n} comments", "Comments ({n})", "Responses", "Discussion", "What readers say", "Reader opinions", "Join the discussion", "{n} replies", "Leave a reply"]
+WHEN = ["{n} May 2021", "{n} hours ago", "March {n}, 2020", "2019-04-{n}", "Posted on {n} June", "yesterday"]
+HIDDEN = [' style="display:none"', ' style="display: none;"', " hidden", ' hidden="hidden"', ' style="visibility:hidden"']
+
+
+class Layout:
+    """A page of a random layout. `marks` tells of each text whether it is main text; each starts with a mark by which its label is found again."""
+
+    def __init__(self, rng: random.Random, texts: list[str]):
+        self.rng, self.texts, self.marks = rng, texts, []
+        #: Whether elements have telling names, and whether all are div elements.
+        self.names, self.bare = rng.random() < 0.75, rng.random() < 0.3
+
+    def maybe(self, chance: float) -> bool:
+        return self.rng.random() < chance
+
+    def mark(self, text: str, main: bool) -> str:
+        self.marks.append(main)
+        return f"\x02{len(self.marks) - 1}\x03" + escape(text, quote=False)
+
+    def long(self, main: bool) -> str:
+        return self.mark(self.rng.choice(self.texts), main)
+
+    def few(self, least: int, most: int) -> str:
+        """Some words of a text."""
+        words = self.rng.choice(self.texts).split()
+        a = self.rng.randrange(len(words))
+        return " ".join(words[a : a + self.rng.randint(least, most)])
+
+    def title(self) -> str:
+        return self.mark(self.few(2, 10), True)
+
+    def short(self) -> str:
+        return self.mark(self.rng.choice([self.few(1, 4), self.rng.choice(NOTICES)]), False)
+
+    def brief(self, main: bool) -> str:
+        """One or two short sentences."""
+        return self.mark(" ".join(self.few(2, 7).rstrip(".,") + "." for _ in range(self.rng.randint(1, 2))), main)
+
+    def name(self, kind: str) -> str:
+        rng = self.rng
+        if not self.names or self.maybe(0.15):
+            odd = "".join(rng.choice("abcdefghijklmnoprstuvwxyz") for _ in range(rng.randint(1, 6)))
+            return rng.choice(["", "", f' class="{odd}"', f' class="{odd}-{rng.randint(1, 9)}"', f' data-id="{rng.choice(CONTENT)}"', ' style="margin:0"'])
+        n = rng.choice(NAMES[kind] if kind in NAMES else CONTENT)
+        return rng.choice([f' class="{n}"', f' id="{n}"', f' class="{n} box"', f' class="{n}-{rng.randint(1, 9)}" role="complementary"' if kind in NAMES else f' class="{n}" '])
+
+    def tag(self, *tags: str) -> str:
+        return "div" if self.bare else self.rng.choice(tags)
+
+    def links(self, n: int) -> str:
+        made = [f'<a href="/{i}">{self.short()}</a>' for i in range(n)]
+        form = self.rng.random()
+        if form < 0.6 and not self.bare:
+            return "<ul>" + "".join(f"<li>{x}</li>" for x in made) + "</ul>"
+        return "".join(f"<div>{x}</div>" for x in made) if form < 0.8 else self.rng.choice([" | ", " ", "<br>"]).join(made)
+
+    def wrap(self, tag: str, attrs: str, inside: str) -> str:
+        return f"<{tag}{attrs}>{inside}</{tag}>"
 
-    Each block's text starts with a mark by which its label is found again.
-    """
-    marks: list[bool] = []
-
-    def text(main: bool, short: bool = False) -> str:
-        marks.append(main)
-        t = rng.choice(texts)
-        if short:
-            words = t.split()
-            a = rng.randrange(len(words))
-            t = rng.choice([" ".join(words[a : a + rng.randint(1, 4)]), rng.choice(NOTICES)]) if not main else " ".join(words[: rng.randint(2, 9)])
-        return f"\x02{len(marks) - 1}\x03" + escape(t, quote=False)
-
-    def name(kind: str) -> str:
-        n = rng.choice(NAMES[kind])
-        return rng.choice([f' class="{n}"', f' id="{n}"', f' class="{n} box"', f' class="{n}-{rng.randint(1, 9)}" role="complementary"'])
-
-    def links(n: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{i}">{text(False, True)}</a></li>' for i in range(n)) + "</ul>"
-
-    def paragraphs(n: int, main: bool) -> str:
-        out = []
-        for _ in range(n):
-            kind = rng.random()
-            t = text(main, rng.random() < 0.15)
-            out.append(f"<p>{t}</p>" if kind < 0.75 else f"<p>{t}" if kind < 0.85 else f"<blockquote><p>{t}</p></blockquote>" if kind < 0.9 else f"<ul><li>{t}</li></ul>" if kind < 0.95 else f"<h2>{t}</h2>")
-        return "".join(out)
-
-    def part(kind: str) -> str:
-        tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "section") if rng.random() < 0.5 else "div"
-        plain = tag in ("nav", "header", "footer", "aside", "form") and rng.random() < 0.5
-        attrs = "" if plain else name(kind)
-        if kind == "nav" or (kind == "aside" and rng.random() < 0.5):
-            inside = links(rng.randint(2, 7))
+    def paragraph(self, main: bool = True) -> str:
+        # Main text may hold a sentence that elsewhere is a notice, too.
+        text = self.brief(main) if self.maybe(0.2) else self.mark(self.rng.choice(NOTICES), main) if not self.bare and self.maybe(0.06) else self.long(main)
+        if self.bare:
+            return self.wrap(self.rng.choice(["div", "div", "p"]), "", text)
+        form = self.rng.random()
+        if form < 0.7:
+            return f"<p>{text}</p>" if form < 0.62 else f"<p>{text}"
+        if form < 0.74:
+            return f"<p>{text} <span{self.rng.choice(HIDDEN)}>{self.short()}</span></p>"
+        if form < 0.78:
+            return f"<figure><img src=x><figcaption>{text}</figcaption></figure>"
+        if form < 0.81:
+            n, cells = self.rng.randint(1, 3), lambda tag, n: "".join(f"<{tag}>{self.mark(self.few(1, 3), main)}</{tag}>" for _ in range(n))
+            rows = [cells("th", n + 1)] if self.maybe(0.5) else []
+            return "<table>" + "".join(f"<tr>{r}</tr>" for r in [*rows, f"<td>{text}</td>" + cells("td", n), *[cells("td", n + 1) for _ in range(self.rng.randint(0, 2))]]) + "</table>"
+        if form < 0.84:
+            return f"<pre>{text}</pre>"
+        if form < 0.88:
+            return f"<blockquote><p>{text}</p></blockquote>"
+        if form < 0.93:
+            return "<ul>" + "".join(f"<li>{x}</li>" for x in [text, *[self.brief(main) for _ in range(self.rng.randint(0, 3))]]) + "</ul>"
+        return f"<h2>{self.title()}</h2><p>{text}</p>" if main else f"<p>{text}</p>"
+
+    def comments(self) -> str:
+        """Readers' comments: like items of a name, a date, some text and a control or two."""
+        rng = self.rng
+        outer, item = self.tag("section", "div", "div", "ol", "ul"), self.tag("div", "li", "article", "div")
+        item = "li" if outer in ("ol", "ul") else "div" if item == "li" else item
+        inner = rng.choice(["comment", "reply", "comment-body", "opinion", "post", "message"])
+        attrs = f' class="{inner}"' if self.names and self.maybe(0.7) else ""
+        who, when, control = self.maybe(0.85), self.maybe(0.6), self.maybe(0.6)
+
+        def one() -> str:
+            head = []
+            if who:
+                person = rng.choice(PEOPLE) + rng.choice(["", f" {rng.choice('ABCDEFGHIK')}.", str(rng.randint(1, 99))]) + rng.choice(["", ":", " says:", " wrote:"])
+                head.append(self.wrap(rng.choice(["b", "span", "div", "strong", "h4"]), "", self.mark(person, False)))
+            if when:
+                head.append(self.wrap(rng.choice(["span", "div", "time", "small"]), "", self.mark(rng.choice(WHEN).format(n=rng.randint(1, 28)), False)))
+            body = self.brief(False) if self.maybe(0.6) else self.long(False)
+            made = "".join(head) + self.wrap(self.tag("p", "p", "div"), "", body)
+            return self.wrap(item, attrs, made + (f'<a href="#">{self.mark(rng.choice(["Reply", "Report", "Like", "Share"]), False)}</a>' if control else ""))
+
+        title = self.wrap(self.tag("h2", "h3", "h4", "p"), "", self.mark(rng.choice(TALK).format(n=rng.randint(2, 90)), False)) if self.maybe(0.7) else ""
+        items = "".join(one() for _ in range(rng.randint(1, 5)))
+        if outer in ("ol", "ul"):
+            return self.wrap("div", self.name("comments"), title + self.wrap(outer, "", items))
+        return self.wrap(outer, self.name("comments"), title + items)
+
+    def part(self, kind: str) -> str:
+        """A part of the page beside its main text."""
+        rng = self.rng
+        if kind == "comments":
+            return self.comments()
+        own = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "section")
+        tag = "div" if self.bare or self.maybe(0.5) else own
+        telling = tag == own and tag != "section"
+        attrs = "" if telling and self.maybe(0.5) else self.name(kind)
+        # Without a telling tag or name only the form of a part tells it from main text.
+        prose = telling or (self.names and attrs and "data-id" not in attrs and "style" not in attrs)
+        if kind == "hidden":
+            return self.wrap(rng.choice(["div", "p", "section"]), rng.choice(HIDDEN), rng.choice([self.long, self.brief])(False))
+        if kind == "nav" or (kind == "aside" and self.maybe(0.5)):
+            inside = self.links(rng.randint(2, 7))
         elif kind == "form":
-            inside = f"<label>{text(False, True)}</label><input><button>{text(False, True)}</button>"
-            attrs = attrs if tag == "form" else name("form")
-        elif kind == "comments":
-            inside = "".join(f'<div class="{rng.choice(["comment", "reply", "comment-body"])}"><p>{text(False)}</p></div>' for _ in range(rng.randint(1, 4)))
+            inside = f"<label>{self.short()}</label><input><button>{self.short()}</button>"
         elif kind == "share":
-            inside = "".join(f"<a href='#'>{text(False, True)}</a><br>" if i else f"<p>{text(False, True)}</p>" for i in range(1))
+            inside = " ".join(f"<a href='#'>{self.short()}</a>" for _ in range(rng.randint(1, 4)))
+        elif kind == "footer":
+            notice = self.mark(rng.choice(["© 2020 ", "Copyright 2019 ", "(c) ", ""]) + self.few(1, 3) + rng.choice(["", " All rights reserved."]), False)
+            inside = rng.choice([notice, f"<p>{notice}</p>", notice + self.links(2)]) if not prose or self.maybe(0.6) else self.long(False)
+        elif prose:
+            inside = rng.choice([lambda: self.long(False), self.short, lambda: f"<p>{self.long(False)}</p>", lambda: f"<h3>{self.short()}</h3><p>{self.long(False)}</p>"])()
         else:
-            inside = rng.choice([lambda: text(False), lambda: text(False, True), lambda: f"<p>{text(False)}</p>", lambda: f"<h3>{text(False, True)}</h3><p>{text(False)}</p>"])()
-        return f"<{tag}{attrs}>{inside}</{tag}>"
+            inside = rng.choice([lambda: self.mark(rng.choice(NOTICES), False), lambda: self.mark(rng.choice(NOTICES), False) + self.links(1)])()
+        return self.wrap(tag, attrs, inside)
+
+    def content(self) -> str:
+        rng = self.rng
+        few = self.maybe(0.15)  # an article of a line or two
+        heading = "".join(f"<{t}>{self.title()}</{t}>" for t in [rng.choice(["h1", "h2", "div", "div"] if self.bare else ["h1", "h1", "h2"])] if self.maybe(0.75))
+        if heading and not self.bare and self.maybe(0.3):
+            heading = f"<header{rng.choice(['', self.name('content')])}>{heading}</header>"
+        inside = [self.wrap("p" if not self.bare else "div", "", self.brief(True))] if few else [self.paragraph() for _ in range(rng.randint(1, 8))]
+        for kind in rng.sample(["ad", "share", "aside", "form", "notice", "hidden", "hidden"], rng.choice([0, 0, 0, 1, 1, 2])):
+            inside.insert(rng.randint(0, len(inside)), self.part(kind))
+        if self.bare and self.maybe(0.3):
+            inside = [f"<div>{x}</div>" for x in inside]
+        made = heading + "".join(inside)
+        if self.maybe(0.25):
+            made += self.comments()
+        tag = self.tag("article", "main", "div", "section", "article")
+        named = self.names and (tag in ("div", "section") or self.maybe(0.4))
+        made = self.wrap(tag, self.name("content") if named else "", made) if tag != "div" or named or self.maybe(0.6) else made
+        return f"<main>{made}</main>" if tag != "main" and not self.bare and self.maybe(0.2) else made
+
+    def page(self) -> str:
+        rng = self.rng
+        plenty = rng.choice([0, 0.3, 0.45, 0.45])
+        head = f"<head><title>{self.mark(self.few(2, 8), False)}</title></head>" if self.maybe(0.85) else ""
+        before = [self.part(k) for k in ("header", "nav", "notice", "ad", "form", "aside", "hidden") if self.maybe(plenty)]
+        middle = self.content()
+        after = [self.part(k) for k in ("comments", "aside", "ad", "form", "share", "notice", "footer", "hidden") if self.maybe(plenty)]
+        rng.shuffle(before)
+        return f"<html>{head}<body>{''.join(before)}{middle}{''.join(after)}</body></html>"
 
-    def content() -> str:
-        title = f"<h1>{text(True, True)}</h1>" if rng.random() < 0.8 else ""
-        body = paragraphs(rng.randint(1, 8), True)
-        if rng.random() < 0.4:
-            body += part(rng.choice(["ad", "share", "aside", "form", "notice"])) + paragraphs(rng.randint(1, 4), True)
-        tag = rng.choice(["article", "main", "div", "section", "article"])
-        attrs = f' class="{rng.choice(CONTENT)}"' if tag in ("div", "section") or rng.random() < 0.4 else ""
-        made = f"<{tag}{attrs}>{title}{body}"
-        if rng.random() < 0.25:
-            made += part("comments")
-        made += f"</{tag}>"
-        return f"<main>{made}</main>" if rng.random() < 0.2 and tag != "main" else made
-
-    head = f"<head><title>{text(False, True)}</title></head>"
-    before = [part(k) for k in ("header", "nav", "notice", "ad", "form", "aside") if rng.random() < 0.45]
-    middle = content()
-    after = [part(k) for k in ("comments", "aside", "ad", "form", "share", "notice", "footer") if rng.random() < 0.45]
-    rng.shuffle(before)
-    return f"<html>{head}<body>{''.join(before)}{middle}{''.join(after)}</body></html>", marks
+
+def layout(rng: random.Random, texts: list[str]) -> tuple[str, list[bool]]:
+    """A page of a random layout, and for each of its texts whether it is main text."""
+    made = Layout(rng, texts)
+    return made.page(), made.marks
 
 
 def labelled(rng: random.Random, texts: list[str]) -> tuple[list[list[str]], list[int]]:
@@ -205,7 +309,7 @@ def labelled(rng: random.Random, texts: list[str]) -> tuple[list[list[str]], lis
         first, _, rest = b.text.partition("\x03")
         labels.append(int(marks[int(first.rpartition("\x02")[2])]))
         plain = " ".join(x.rpartition("\x02")[0] if "\x02" in x else x for x in rest.split("\x03")).strip() or "x"
-        clean.append(Block(plain, b.tags, b.names, min(b.linked, len(plain))))
+        clean.append(Block(plain, b.tags, b.names, min(b.linked, len(plain)), b.path))
     return features(clean), labels
 
 
@@ -214,7 +318,7 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES, made: int = LABELLED, se
     usable = pages.select("page_id", "html").filter(F.col("html").isNotNull() & F.col("page_id").isNotNull())
     n = usable.select("page_id").count()
     rows = usable.filter(unit_hash(F.col("page_id"), F.lit(seed)) < min(1.0, sample / max(n, 1))).orderBy("page_id").limit(2 * sample).collect()
-    texts = [b.text for r in rows for b in blocks(r["html"]) if len(b.text) > 20] or ["A sentence of some length. Another one follows it."]
+    texts = [b.text for r in rows for b in blocks(r["html"]) if len(b.text) > 20 and b.text.count(" ") > 2] or ["A sentence of some length. Another one follows it."]
     rng = random.Random(seed)
     return fit_field([labelled(rng, texts) for _ in range(made)])
 
