@@ -2,8 +2,8 @@
 
 Training counts n-grams of a bounded sample in Spark; the log-probability
 matrix (languages x buckets, a few megabytes at most) is broadcast, and a batch
-of texts is scored in numpy by gathering its n-grams' rows and summing them by
-document.
+of texts is scored in numpy: the n-grams of each text are counted by bucket, and
+the sparse counts are multiplied with the matrix, some languages at a time.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ SAMPLE = 4000
 #: Added to each count.
 SMOOTHING = 0.1
 UNKNOWN = "und"
-#: Characters scored at once.
-CHUNK = 1 << 20
+#: Characters whose n-grams are counted at once, and numbers of the products held at once.
+CHUNK, CELLS = 1 << 20, 1 << 22
 
 
 @cache
@@ -73,6 +73,40 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets[order], np.bincount(whose_all, minlength=len(texts))
 
 
+def slices(text: str) -> list[str]:
+    """A long text in parts of at most CHUNK characters, cut after a space where there is one; n-grams across a cut are lost between words only."""
+    out = []
+    while len(text) > CHUNK:
+        cut = text.rfind(" ", 1, CHUNK) + 1 or CHUNK
+        out.append(text[:cut])
+        text = text[cut:]
+    return [*out, text]
+
+
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse counts of the n-grams of each text: rows, buckets and how often, by row."""
+    found, parts, owner, size = [], [], [], 0
+
+    def count() -> None:
+        buckets, n = grams(parts)
+        cells, times = np.unique(np.repeat(np.array(owner, np.int64), n) * BUCKETS + buckets, return_counts=True)
+        found.append((cells, times))
+
+    for i, t in enumerate(texts):
+        for part in slices(t):
+            if parts and size + len(part) > CHUNK:
+                count()
+                parts, owner, size = [], [], 0
+            parts.append(part)
+            owner.append(i)
+            size += len(part)
+    if parts:
+        count()
+    cells = np.concatenate([c for c, _ in found]) if found else np.zeros(0, np.int64)
+    times = np.concatenate([t for _, t in found]) if found else np.zeros(0, np.int64)
+    return cells // BUCKETS, cells % BUCKETS, times
+
+
 @dataclass(frozen=True)
 class Model:
     """Languages in ascending order, the log-probability matrix (bucket x language) and log priors."""
@@ -83,29 +117,26 @@ class Model:
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Of each text: the likeliest language (`und` without a letter), its posterior, and log-likelihood per n-gram."""
-        names, post, fit = [], np.zeros(len(texts)), np.zeros(len(texts))
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
-                size += len(texts[end])
-                end += 1
-            buckets, n = grams(texts[at:end])
-            starts = offsets(n)
-            sums = np.zeros((end - at, len(self.languages)))
-            has = np.flatnonzero(n)
-            if len(has) and self.languages:
-                sums[has] = np.add.reduceat(self.matrix[buckets], starts[:-1][has], axis=0)
-                total = sums[has] + self.prior
-                best = total.argmax(axis=1)
-                top = total[np.arange(len(has)), best]
-                post[at + has] = 1 / np.exp(total - top[:, None]).sum(axis=1)
-                fit[at + has] = sums[has, best] / n[has]
-                chosen = dict(zip(has.tolist(), best.tolist()))
-            else:
-                chosen = {}
-            names += [self.languages[chosen[i]] if i in chosen else UNKNOWN for i in range(end - at)]
-            at = end
+        names, post, fit = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        rows, buckets, times = counted(texts)
+        if not len(rows) or not self.languages:
+            return names, post, fit
+        n = np.bincount(rows, times, len(texts))
+        has = np.flatnonzero(n)
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        whose = rows[starts]  # a long text's parts may be counted apart
+        sums = np.zeros((len(texts), len(self.languages)))
+        step = max(1, CELLS // len(rows))
+        for a in range(0, len(self.languages), step):
+            products = self.matrix[buckets, a : a + step] * times[:, None]
+            np.add.at(sums, (whose, slice(a, a + step)), np.add.reduceat(products, starts, axis=0))
+        total = sums[has] + self.prior
+        best = total.argmax(axis=1)
+        top = total[np.arange(len(has)), best]
+        post[has] = 1 / np.exp(total - top[:, None]).sum(axis=1)
+        fit[has] = sums[has, best] / n[has]
+        for i, k in zip(has.tolist(), best.tolist()):
+            names[i] = self.languages[k]
         return names, post, fit
 
 
@@ -121,10 +152,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 9) -> Model:
         total: dict[str, np.ndarray] = {}
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), object)
-            buckets, n = grams(strings(b.column(1)))
-            by = np.repeat(langs, n)
+            rows, buckets, times = counted(strings(b.column(1)))
             for lang in set(langs):
-                total[lang] = total.get(lang, 0) + np.bincount(buckets[by == lang], minlength=BUCKETS)
+                mine = langs[rows] == lang
+                total[lang] = total.get(lang, 0) + np.bincount(buckets[mine], times[mine], BUCKETS).astype(np.int64)
         for lang, c in total.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays(
