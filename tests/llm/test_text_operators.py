@@ -1,3 +1,4 @@
+import binascii
 import random
 import re
 from collections import Counter
@@ -43,6 +44,58 @@ def test_language_id(spark, docs):
     assert {r["lang_pred"] for r in language_id.identify(docs, language_id.train(docs.limit(0))).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Every n-gram of a text, letters in lower case and all else one space."""
+    kept = " " + re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip() + " "
+    if not kept.strip():
+        return []
+    return [kept[i : i + n] for n in language_id.ORDERS for i in range(len(kept) - n + 1) if kept[i : i + n] != " "]
+
+
+def test_language_id_against_plain_naive_bayes(spark, monkeypatch):
+    """Training and scoring with n-grams as they are; buckets may collide, so the few languages are told apart all the same."""
+    rng = random.Random(12)
+    alphabets = {"a": "abcde é", "b": "cdefg ü", "c": "aeg ßé "}
+    make = lambda k, n: "".join(rng.choice(alphabets[k]) for _ in range(n))
+    rows = [(i, make(k := rng.choice("abc"), rng.randint(3, 60)), k, "s") for i in range(600)]
+    df = documents(spark, rows)
+    model = language_id.train(df)
+    kept = [r for r in rows if not binascii.crc32(str(r[0]).encode()) % 4 == 2]
+    counts = {k: Counter() for k in alphabets}
+    for _, t, k, _ in kept:
+        counts[k].update(plain_grams(t))
+    prior = Counter(r[2] for r in kept)
+
+    def plain(text):
+        found = plain_grams(text)
+        if not found:
+            return "und", 0.0
+        log = {k: np.log(prior[k] / len(kept)) + sum(np.log((counts[k][g] + 0.1) / (sum(counts[k].values()) + 0.1 * language_id.BUCKETS)) for g in found) for k in alphabets}
+        best = max(sorted(log), key=log.get)
+        return best, 1 / sum(np.exp(v - log[best]) for v in log.values())
+
+    got = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in language_id.identify(df, model).collect()}
+    for i, t, _, _ in rows:
+        name, score = plain(t)
+        assert got[i][0] == name and abs(got[i][1] - score) < 1e-6
+    texts = [" ".join(r[1] for r in rows[:200]), *[r[1] for r in rows[:30]], "", "é" * 50]
+    whole = model.score(texts)
+    monkeypatch.setattr(language_id, "CELLS", 1)
+    few = model.score(texts)
+    assert few[0] == whole[0] and np.allclose(few[1], whole[1]) and np.allclose(few[2], whole[2])
+    monkeypatch.setattr(language_id, "CHUNK", 64)
+    parts = model.score(texts)
+    assert parts[0] == whole[0] and np.allclose(parts[1], whole[1], atol=1e-3)
+
+
+def test_language_id_of_long_texts_and_clashing_names(spark):
+    rows = [(1, "the of and " * 40_000, "en", "s"), (2, "der die und " * 40_000, "de", "s"), (3, "x" * 300_000, None, "s"), (4, "der und nicht die", "de", "s"), (5, "the of and with", "en", "s")]
+    df = documents(spark, rows).withColumn("lang_pred", F.lit(7)).withColumn("lang_score", F.col("text"))
+    got = {r["doc_id"]: r for r in language_id.identify(df, language_id.train(df)).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 4, 5)] == ["en", "de", "de", "en"] and got[3]["lang_pred"] in ("en", "de")
+    assert set(got[1].asDict()) == {*df.columns, "lang_fit"}
+
+
 def test_language_score_does_not_depend_on_the_batch():
     counts = np.random.default_rng(1).random((language_id.BUCKETS, 2)) + 0.1
     model = language_id.Model(["a", "b"], np.log(counts / counts.sum(axis=0)), np.log([0.5, 0.5]))
@@ -113,6 +166,52 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.train(docs, marks.limit(0))).filter("tox_score >= 0.3").count() == 0
 
 
+def test_folding():
+    for text in ("1d10t", "id\u200biot", "i\u00addiot", "іdіоt", "IDIÓT", "i.d.i.o.t", "I D I O T", "ɪԁɪᴏᴛ", "𝓲𝓭𝓲𝓸𝓽", "ｉｄｉｏｔ"):
+        assert toxicity.fold(text) == " idiot ", text
+    assert toxicity.fold("a b c") == " a b c " and toxicity.fold("") == "  " and toxicity.fold("x - I am here") == " x i am here "
+
+
+def test_toxic_hits_against_a_plain_matcher():
+    """Every entry tried at every word, and every exception phrase at every place."""
+    rng = random.Random(13)
+    for _ in range(300):
+        words = ["".join(rng.choice("ab") for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(0, 12))]
+        entries = {" " + "".join(rng.choice("ab") for _ in range(rng.randint(2, 4))) + rng.choice(["", " "]): float(rng.randint(1, 9)) for _ in range(4)}
+        exempt = tuple({" ".join(rng.choices(words, k=2)) for _ in range(2)} if words else ())
+        lexicon, total, hits = toxicity.Lexicon(entries, exempt), 0.0, 0
+        for i, w in enumerate(words):
+            fits = [v for e, v in entries.items() if (w == e.strip() if e.endswith(" ") else w.startswith(e.strip()))]
+            phrase = any(words[j : j + 2] == x.split() for x in exempt for j in (i - 1, i) if j >= 0)
+            if fits and not phrase:
+                total, hits = total + max(fits), hits + 1
+        raw, n, size = lexicon.raw([" ".join(words).upper()])
+        assert (raw[0], n[0], size[0]) == (total, hits, len(words))
+
+
+def test_exceptions_are_learned(spark):
+    rng = random.Random(14)
+    rows, labels = [], []
+    for i in range(900):
+        text = prose(rng, "en", 30)
+        if i % 3 == 0:
+            text += " you gorblax"
+        elif i % 60 == 1:
+            text += " gorblax collection"
+        rows.append((i, text + " end", "en", "s"))
+        labels.append((i, int(i % 3 == 0)))
+    docs = documents(spark, rows).withColumn("tox_score", F.lit("x"))
+    lexicon = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "gorblax collection" in lexicon.exceptions and not any("you" in x.split() for x in lexicon.exceptions)
+    got = {r["doc_id"]: r["tox_score"] for r in toxicity.score(docs, lexicon).collect()}
+    assert all((got[i] >= 0.3) == bool(y) for i, y in labels)
+    assert toxicity.score(docs.limit(0), lexicon).count() == 0
+    nothing = toxicity.train(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert toxicity.score(docs, nothing).filter("tox_score >= 0.3").count() == 0
+    long = documents(spark, [(1, "the of " * 150_000 + "gorblax", "en", "s"), (2, "gorblax " * 100_000, "en", "s")])
+    assert [r["tox_hits"] for r in toxicity.score(long, lexicon).orderBy("doc_id").collect()] == [1, 100_000]
+
+
 def test_toxic_exceptions_and_longest_entry():
     lexicon = toxicity.Lexicon({" trash ": 2.0, " tras": 1.0, " idio": 3.0}, ("trash can",))
     raw, hits, words = lexicon.raw(["Trash trashy 1d10t", "a trash can", "", "strash"])
