@@ -29,9 +29,11 @@ WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_letters", "n_plain", "n_shouts")
 
 #: What is believed of rules and of the share of good documents before any vote is seen, and how many documents that
-#: belief is worth, as a share of all: without it the classes could settle on any trait that many documents have.
+#: belief is worth, whatever the input's size: it keeps the two classes from settling on any other trait.
 BELIEF = {"against": {"good": 0.01, "bad": 0.25}, "for": {"good": 0.9, "bad": 0.55}, "share": 0.85}
-BELIEF_WEIGHT = 0.5
+BELIEF_DOCS = 1000.0
+#: Columns that judging adds.
+RESULTS = (*MEASURES, "pattern", "base_failed", "quality", "kept")
 
 
 def span(name: str, part: Column, whole: Column, wide: tuple[float, float], narrow: tuple[float, float]) -> tuple[str, Column]:
@@ -109,9 +111,7 @@ def measure_texts(texts: list[str]) -> dict[str, np.ndarray]:
 def measure(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, the columns to keep, MEASURES and `pattern` (the votes as digits) of each document's whole text; null counts as empty."""
     small_batches(docs.sparkSession)
-    clash = {*MEASURES, "pattern"} & set(keep)
-    if clash:
-        raise ValueError(f"these names are taken: {sorted(clash)}")
+    keep = [c for c in keep if c not in RESULTS]
     chosen = docs.select("doc_id", *keep, F.col("text").alias("pattern"))
     n = len(keep) + 1
 
@@ -143,7 +143,7 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 300) -> VoteM
 
     A rule is held to be no worse than chance: its vote never speaks for the opposite.
     """
-    strength = max(BELIEF_WEIGHT * counts.sum(), 1.0)
+    strength = BELIEF_DOCS
     model, weight = None, {"good": np.zeros(len(counts)), "bad": np.zeros(len(counts))}
     for _ in range(rounds):
 
@@ -166,11 +166,13 @@ def judge(docs: DataFrame, threshold: float = 0.5, keep: Sequence[str] = ()) ->
 
     base_failed: n_words < 20, or over 30 in 100 words in repeated windows of
     eight. kept: not base_failed and quality >= threshold. A null text counts
-    as empty and fails; repeated rows each get a row; no rows give no rows.
+    as empty and fails; documents with equal votes have equal quality; repeated
+    rows each get a row; a column to keep that has the name of a result gives
+    way to it; no rows give no rows. What is measured, with the columns to keep,
+    is written to the shared checkpoint folder: texts are measured once.
     """
-    # Columns to keep may be wide: rather than write them out, measure a second time.
-    measured = measure(docs, keep) if keep else settle(measure(docs))
-    seen = (measure(docs) if keep else measured).groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
+    measured = settle(measure(docs, keep))
+    seen = measured.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()
     names = [name for name, _ in rules()]
     votes = np.array([[int(x) for x in p] for p in seen["pattern"]], int).reshape(-1, len(names))
     quality = fit_votes(votes, seen["n"].to_numpy(float)).posterior(votes)

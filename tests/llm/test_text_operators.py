@@ -143,7 +143,25 @@ def test_quality_rules(spark, docs):
     assert len(rows) == docs.count() and {r["kept"] for r in rows if r["n_words"] < 20} == {False}
     assert sum(r["kept"] for r in rows) > 150
     assert quality_rules.judge(docs.limit(0)).count() == 0
-    assert "lang" in quality_rules.judge(docs, keep=["lang"]).columns
+    kept = quality_rules.judge(docs.withColumn("quality", F.lit("x")).withColumn("n_words", F.lit("y")), keep=["lang", "quality", "n_words"])
+    assert {"lang", "quality", "n_words"} <= set(kept.columns) and kept.schema["quality"].dataType.simpleString() == "double"
+    assert sorted(map(repr, kept.drop("lang").select(*rows[0].asDict()).collect())) == sorted(map(repr, rows))
+
+
+def test_quality_of_long_texts(spark):
+    long, again = " ".join(f"word{i}" for i in range(100_000)), "to be or not to be that is the question " * 20_000
+    got = {r["doc_id"]: r for r in quality_rules.judge(documents(spark, [(1, long, "en", "s"), (2, again, "en", "s"), (2, again, "en", "s")])).collect()}
+    assert got[1]["n_words"] == 100_000 and got[1]["n_repeat_words"] == 0 and not got[1]["base_failed"]
+    assert got[2]["n_repeat_words"] == got[2]["n_words"] == 200_000 and got[2]["base_failed"] and not got[2]["kept"]
+
+
+def test_base_failures(spark):
+    """At the limits: 20 words, and 30 in 100 of them in repeated windows."""
+    fresh = lambda n: [f"w{i}" for i in range(n)]
+    run = [f"r{i}" for i in range(9)]
+    texts = [fresh(19), fresh(20), [*run, *fresh(42), *run], [*run, *fresh(41), *run]]
+    rows = quality_rules.judge(documents(spark, [(i, " ".join(w), "en", "s") for i, w in enumerate(texts)])).collect()
+    assert [r["base_failed"] for r in sorted(rows, key=lambda r: r["doc_id"])] == [True, False, False, True]
 
 
 def test_toxicity(spark):
