@@ -5,7 +5,7 @@ over words. A document is streamed through it once: at each word the automaton
 holds the longest run of words, ending there, that occurs in some template.
 Base phrases are read off the states passed (through their suffix links), and
 long maximal matches are chained, in order on both sides, into the span of each
-template that the document covers.
+template that the document covers, as often as it does.
 """
 
 from __future__ import annotations
@@ -20,42 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .license_texts import TEMPLATES
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 #: Phrases whose every place counts, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Opening or characteristic passages of public licences.
-TEMPLATES = {
-    "apache": [
-        "Licensed under the Apache License, Version 2.0",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ],
-    "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ],
-    "cc-by": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "gpl": [
-        "licensed under the GNU General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    ],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "lgpl": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "mit": [
-        "Released under the MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    ],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
-    "unlicense": ["This is free and unencumbered software released into the public domain"],
-}
-
 #: Words of a match worth chaining, and the share of a template that must be covered for its label.
 LEAST_MATCH, LEAST_COVER = 3, 0.7
+#: Words that may stand between two matches of a span, and the share of a span's words that must be matched.
+MOST_GAP, DENSITY = 30, 0.5
 
 
 def words_of(text: str) -> list[bytes]:
@@ -191,8 +166,64 @@ def chain(pieces: Sequence[tuple[int, int, int]]) -> tuple[int, int, int]:
     return top
 
 
-def scan_text(automaton: Automaton, text: str) -> tuple[int, list[tuple[int, int]], list[tuple[str, int, int, float]]]:
-    """Words of a text, its base places (start, phrase) and covered spans (label, first word, last word + 1, share of the template)."""
+Piece = tuple[int, int, int]
+
+
+def dense_chain(pieces: Sequence[Piece]) -> Piece:
+    """The best chain that has DENSITY: of matches whose chain has not, those on the better side of their widest gap."""
+    while True:
+        covered, first, after = chain(pieces)
+        if covered >= DENSITY * (after - first) or len(pieces) == 1:
+            return covered, first, after
+        gaps = [b[0] - a[0] - a[2] for a, b in zip(pieces, pieces[1:])]
+        at = gaps.index(max(gaps)) + 1
+        pieces = max(pieces[:at], pieces[at:], key=lambda p: sum(x[2] for x in p))
+
+
+def spans_of(pieces: Sequence[Piece], size: int) -> list[Piece]:
+    """All spans of a text (covered words, first word, word after the last) in which matches (start in text, start in template,
+    words) cover a template of `size` words, without overlap.
+
+    A span has no gap over MOST_GAP and is dense. It is sought among the matches
+    of a stretch of twice the template; what lies before it there makes spans of
+    its own, and the next one is sought behind it. So a text's cost grows with
+    its matches, not with their square.
+    """
+    pieces = sorted(pieces)
+    starts = [p[0] for p in pieces]
+    out, i = [], 0
+    while i < len(pieces):
+        j, end = i + 1, pieces[i][0] + pieces[i][2]
+        while j < len(pieces) and starts[j] < starts[i] + 2 * size and starts[j] - end <= MOST_GAP:
+            end = max(end, pieces[j][0] + pieces[j][2])
+            j += 1
+        found = dense_chain(pieces[i:j])
+        before = [p for p in pieces[i:j] if p[0] + p[2] <= found[1]]
+        if before:
+            out += spans_of(before, size)
+        out.append(found)
+        i = max(i + 1, bisect_left(starts, found[2]))
+    return out
+
+
+def labels_of(spans: Sequence[tuple[str, int, int, float]], sizes: Sequence[int], least_cover: float) -> set[str]:
+    """Labels of the spans that cover `least_cover` of their template, but for those within a span of another label with more matched words.
+
+    sizes: words of each span's template. So a text of a licence is not also taken for a shorter one that it is built on.
+    """
+    good = sorted((first, -after, share * size, label) for (label, first, after, share), size in zip(spans, sizes) if share >= least_cover)
+    around: list[tuple[int, float, str]] = []  # spans that reach beyond the current one's start: at most one of each template
+    out = set()
+    for first, minus_after, covered, label in good:
+        around = [x for x in around if x[0] > first]
+        if not any(after >= -minus_after and more > covered and other != label for after, more, other in around):
+            out.add(label)
+        around.append((-minus_after, covered, label))
+    return out
+
+
+def scan_text(automaton: Automaton, text: str) -> tuple[int, list[tuple[int, int]], list[tuple[str, int, int, float]], list[int]]:
+    """Words of a text, its base places (start, phrase), covered spans (label, first word, last word + 1, share of the template) and their templates' words."""
     words = words_of(text)
     get = automaton.number.get
     ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
@@ -206,12 +237,12 @@ def scan_text(automaton: Automaton, text: str) -> tuple[int, list[tuple[int, int
         for start, n, state in matches:
             for t, end in automaton.ends[state]:
                 found.setdefault(t, []).append((start, end - n, n))
-    spans = []
+    spans, sizes = [], []
     for t, pieces in sorted(found.items()):
         label, template = automaton.templates[t]
-        covered, first, last = chain(pieces)
-        spans.append((label, first, last, covered / len(template)))
-    return len(words), places, spans
+        spans += [(label, first, after, covered / len(template)) for covered, first, after in spans_of(pieces, len(template))]
+        sizes += [len(template)] * (len(spans) - len(sizes))
+    return len(words), places, spans, sizes
 
 
 def scan_licenses(
@@ -224,11 +255,14 @@ def scan_licenses(
 
     n_base counts all places of all phrases; first_word and last_word are the
     smallest and largest start of one (null without any). labels adds to
-    base_labels those of templates covered by `least_cover` or more; both are
-    distinct, sorted and joined by commas, empty if none. score is the largest
-    covered share of a template, 1 where a phrase stands. spans lists each
-    template touched by a match of LEAST_MATCH words: (label, first word, word
-    after the last, share). A null text counts as empty; repeated rows each get
+    base_labels those of templates covered by `least_cover` or more (see
+    labels_of); both are distinct, sorted and joined by commas, empty if none. A
+    match counts for the templates that hold all of it. score is the largest
+    covered share of a template, 1 where a phrase stands. spans lists where a
+    template is touched by matches of LEAST_MATCH words, a further copy too:
+    (label, first word, word after the last, share). Matches further apart than
+    MOST_GAP words, or too thin for DENSITY, are spans of their own. Equal
+    matches of several templates count for each. A null text counts as empty; repeated rows each get
     a row; no rows give no rows. A phrase of one word or fewer is an error, as
     only runs of two known words are streamed.
     """
@@ -243,14 +277,14 @@ def scan_licenses(
         for b in batches:
             n_words, n_base, first, last, base, labels, score, all_spans = ([] for _ in range(8))
             for text in b.column(1).to_pylist():
-                n, places, spans = scan_text(automaton, text or "")
+                n, places, spans, sizes = scan_text(automaton, text or "")
                 named = {automaton.phrases[p][1] for _, p in places}
                 n_words.append(n)
                 n_base.append(len(places))
                 first.append(min((s for s, _ in places), default=None))
                 last.append(max((s for s, _ in places), default=None))
                 base.append(",".join(sorted(named)))
-                labels.append(",".join(sorted(named | {x[0] for x in spans if x[3] >= least_cover})))
+                labels.append(",".join(sorted(named | labels_of(spans, sizes, least_cover))))
                 score.append(1.0 if places else max((x[3] for x in spans), default=0.0))
                 all_spans.append([dict(zip(("label", "first", "after", "share"), x)) for x in spans])
             long = lambda x: pa.array(x, pa.int64())

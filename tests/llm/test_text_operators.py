@@ -1,6 +1,7 @@
 import binascii
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -259,7 +260,7 @@ def test_license_places_against_brute_force():
         text = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40)))
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
         want = sorted((i, p) for p, q in enumerate(license_scan.PHRASES) for i in range(len(words)) if words[i : i + len(q.split())] == q.split())
-        n, places, _ = license_scan.scan_text(auto, text)
+        n, places, _, _ = license_scan.scan_text(auto, text)
         assert n == len(words) and sorted(places) == want
 
 
@@ -278,6 +279,72 @@ def test_license_chain_against_brute_force():
         assert license_scan.chain(pieces)[0] == brute(pieces)
 
 
+def test_matching_statistics_against_brute_force():
+    """At every word the longest run of words, ending there, that stands in some template."""
+    rng = random.Random(15)
+    templates = {f"t{i}": [" ".join(rng.choice("abcd") for _ in range(rng.randint(3, 14)))] for i in range(4)}
+    auto = license_scan.Automaton({"a b": "x"}, templates)
+    whole = [x[0].split() for x in templates.values()] + [["a", "b"]]
+    occurs = lambda run: any(t[i : i + len(run)] == run for t in whole for i in range(len(t)))
+    for _ in range(200):
+        words = [rng.choice("abcd") for _ in range(rng.randint(1, 25))]
+        longest = [max((n for n in range(i + 2) if occurs(words[i + 1 - n : i + 1])), default=0) for i in range(len(words))]
+        # Maximal matches are those that the next word does not lengthen.
+        want = [(i + 1 - n, n) for i, n in enumerate(longest) if n >= license_scan.LEAST_MATCH and (i + 1 == len(words) or longest[i + 1] <= n)]
+        _, found = auto.stream([auto.number.get(w.encode(), -1) for w in words], 0)
+        assert [(a, n) for a, n, _ in found] == want
+        for a, n, state in found:
+            ends = {(t, e) for t, e in auto.ends[state]}
+            assert ends == {(t, i + n) for t, x in enumerate(whole[:-1]) for i in range(len(x) - n + 1) if x[i : i + n] == words[a : a + n]}
+
+
+def test_license_spans():
+    auto = license_scan.Automaton(license_scan.PHRASES, license_scan.TEMPLATES)
+    whole = license_scan.TEMPLATES["mit"][-1]
+    size = len(license_scan.words_of(whole))
+
+    def spans(text):
+        return [(a, b, round(share, 2)) for label, a, b, share in license_scan.scan_text(auto, text)[2] if label == "mit" and b - a > size // 2 and share > 0.9]
+
+    assert spans(whole) == [(0, size, 1.0)]
+    for between in ("", "other words of some kind " * 30):
+        gap = len(between.split())
+        assert spans(f"{whole} {between} {whole} {between} {whole}") == [(i * (size + gap), i * (size + gap) + size, 1.0) for i in range(3)]
+    words = whole.split()
+    labels = lambda text: license_scan.labels_of(*license_scan.scan_text(auto, text)[2:], license_scan.LEAST_COVER)
+    for filler in (10, 600):  # words of a licence strewn over a text are no licence
+        strewn = " ".join(" ".join(words[i : i + 3]) + " filler" * filler for i in range(0, len(words), 3))
+        assert labels(strewn) == set()
+    assert labels(" ".join(words[:60] + ["Some", "Name"] + words[60:])) == {"mit"}
+    for label in ("bsd-2-clause", "bsd-3-clause", "isc", "0bsd", "bsl", "mpl", "zlib", "apache", "gpl"):
+        text = max(license_scan.TEMPLATES[label], key=len).split()
+        assert labels(" ".join(text)) == {label}
+        third = len(text) // 3  # with other words at two places
+        assert labels(" ".join([*text[:third], "Copyright", "2020", "Someone", *text[third : 2 * third], "Inc", *text[2 * third :]])) == {label}
+
+
+def test_license_spans_of_long_texts():
+    took = []
+    whole = license_scan.TEMPLATES["mit"][-1]
+    auto = license_scan.Automaton(license_scan.PHRASES, license_scan.TEMPLATES)
+    for n in (40, 160):
+        began = time.process_time()
+        found = license_scan.scan_text(auto, f"{whole} the software is provided to any person " * n)[2]
+        took.append(time.process_time() - began)
+        assert sum(x[0] == "mit" and x[3] == 1 and x[2] - x[1] > 150 for x in found) == n
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_licenses_of_odd_rows(spark):
+    rows = [(1, "mit license " * 50_000, "en", "s"), (2, "", "en", "s"), (2, "", "en", "s"), (None, "Apache License", None, None)]
+    df = documents(spark, rows).withColumn("labels", F.lit(1)).withColumn("n_words", F.lit("x"))
+    got = sorted(license_scan.scan_licenses(df).collect(), key=lambda r: r["n_words"])
+    assert [(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"]) for r in got] == [
+        (2, 0, 0, None, None), (2, 0, 0, None, None), (None, 2, 1, 0, 0), (1, 100_000, 50_000, 0, 99_998),
+    ]
+    assert license_scan.scan_licenses(df.limit(0)).count() == 0
+
+
 def test_licenses(spark):
     df = documents(spark, [(1, "Released under the MIT License.", "en", "s"), (2, "Licensed under CC BY-NC 4.0.", "en", "s"), (3, None, None, None), (4, "permission", "en", "s")])
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(df).collect()}
