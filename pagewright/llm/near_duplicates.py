@@ -409,9 +409,9 @@ def one_per_class(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     best = F.min(F.struct("first.no_key", "first.doc_key", "fp", "first.row")).alias("best")
     firsts = sets.groupBy("root").agg(best).select(F.col("best.row").alias("row"), F.lit(False).alias("wordless"))
     wordless = sketched.filter("n_shingles = 0").select("row", F.lit(True).alias("wordless")).distinct()
-    found = docs.withColumn("row", row_id(key, text)).join(firsts.union(wordless), "row")
-    worded = found.filter(~F.col("wordless"))
-    if not sketched.filter("n_shingles > 0").groupBy("row").count().filter("count > 1").limit(1).count():
-        return found.select(*docs.columns)
-    once = worded.groupBy("row").agg(F.min(F.struct(*docs.columns)).alias("kept")).select("kept.*")
-    return once.union(found.filter("wordless").select(*docs.columns))
+    times = sketched.groupBy("row").agg((F.count("*") > 1).alias("again"))
+    chosen = firsts.union(wordless).join(times, "row").select("row", (F.col("again") & ~F.col("wordless")).alias("again"))
+    found = docs.withColumn("row", row_id(key, text)).join(chosen, "row")
+    # Of rows that are there more than once one is taken; the others need no aggregate.
+    once = found.filter("again").groupBy("row").agg(F.min(F.struct(*docs.columns)).alias("kept")).select("kept.*")
+    return once.union(found.filter("NOT again").select(*docs.columns))

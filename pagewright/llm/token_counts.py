@@ -15,8 +15,9 @@ from .common import small_batches, strings
 
 #: Characters above which a text is split, and bytes encoded at once.
 PIECE_CHARS, PACK_BYTES = 20_000, 1 << 20
-#: A place where no pre-token of a byte-level tokenizer can reach across: white space after something else.
-BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
+#: A place where no pre-token of a byte-level tokenizer can reach across: white space after something else. The tokenizer's white
+#: space is Unicode's, which lacks four control characters that Python's has.
+BOUNDARY = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])")
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
@@ -86,7 +87,7 @@ class Counter:
         got, pack, size = [], [], 0
         for p in parts:
             pack.append(p)
-            size += len(p)
+            size += len(p.encode("utf-8", "surrogatepass"))
             if size >= PACK_BYTES:
                 got += self.lengths(pack)
                 pack, size = [], 0

@@ -178,6 +178,34 @@ def test_one_document_per_class(spark):
     assert sorted((i or 0, t or "") for i, t, _ in again) == sorted((i or 0, t or "") for i, t in got) and (8, base[7], "s10") in again
 
 
+def test_pipeline_of_nothing_and_of_null_ids(spark, tmp_path):
+    """Empty documents; and null ids, repeated rows and two texts under one id, against the stages written out plainly."""
+    import corpus_pipeline
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], kinds).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    rng = random.Random(21)
+    base = [" ".join(rng.choice("alpha beta gamma delta the of and river stone light".split()) + rng.choice(["", "s"]) for _ in range(70)) for i in range(24)]
+    rows = [(i if i % 3 else None, t) for i, t in enumerate(base)] + [(1, base[5]), (1, base[1]), (None, base[3]), (None, base[7] + " end"), (50, "too short"), (51, None), (None, "!! 1")]
+    rows = [(i, t, None if n % 7 == 0 else "en", f"s{n % 2}", n % 5) for n, (i, t) in enumerate(rows)]
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "some" / "documents.parquet")), []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, docs, "").write.parquet(str(tmp_path / f"stage{i}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{i}"))
+        seen.append([tuple(r) for r in docs.collect()])
+    lettered = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    assert sorted(map(repr, seen[0])) == sorted(map(repr, lettered))
+    enough = [r for r in lettered if len(r[1].split()) >= 20]
+    assert sorted(map(repr, seen[1])) == sorted(map(repr, enough))
+    groups = brute_groups([r[:2] for r in enough])
+    assert len(seen[2]) == len(groups) and set(seen[2]) <= set(enough)
+    for g in groups:
+        ids = [i for i, _ in g if i is not None]
+        assert sum(r[:2] in g and r[0] == (min(ids) if ids else None) for r in seen[2]) == 1
+
+
 def test_runs_reach_the_recall():
     runs = N.runs_needed(0.8, 0.999)
     need = N.least_equal(0.8)

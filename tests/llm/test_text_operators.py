@@ -247,6 +247,13 @@ def test_token_counts(spark):
     for t, n in zip(texts, whole):
         parts = token_counts.pieces(t, 7)
         assert "".join(parts) == t and sum(len(counter.tokenizer.encode(p, add_special_tokens=False).ids) for p in parts) == n
+    odd = "!!\x1c!!\x1d\x1e a\x1fb "
+    assert sum(len(counter.tokenizer.encode(p, add_special_tokens=False).ids) for p in token_counts.pieces(odd * 30, 5)) == len(counter.tokenizer.encode(odd * 30, add_special_tokens=False).ids)
+    long = "The quick brown fox, it's 12 years old — naïve.\n\n  " * 8000
+    df = documents(spark, [(7, long, "en", "s"), (8, "x" * 60_000, "en", "s")])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.count_tokens(df.withColumn("n_tokens", F.lit("x")), path).collect()}
+    assert got == {i: (len(t.encode()), len(counter.tokenizer.encode(t, add_special_tokens=False).ids), True) for i, t in ((7, long), (8, "x" * 60_000))}
+    assert token_counts.count_tokens(df.limit(0), path).count() == 0
     df = documents(spark, [(1, None, "en", "s"), (2, "é " * 600, "en", "s"), (2, "é " * 600, "en", "s"), (None, "a", None, None)])
     got = sorted(map(tuple, token_counts.count_tokens(df, path).collect()), key=repr)
     assert (1, 0, 0, False) in got and got.count(got[1]) == 2 and len(got) == 4
