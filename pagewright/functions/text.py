@@ -177,11 +177,11 @@ def corrected_name(path: Column) -> Column:
     return F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("_corrected"), F.regexp_extract(name, r"(\.[^.]*)$", 1))
 
 
-def safe_name(name: Column, ext: str) -> Column:
+def safe_name(name: Column, ext: str | Column) -> Column:
     """A member name without folders or odd characters and with the given extension."""
     base = F.regexp_replace(basename(name), r"[^A-Za-z0-9._ -]", "_")
     bare = F.regexp_replace(base, r"\.[^.]*$", "")
-    return F.concat(F.when(bare == "", "file").otherwise(bare), F.lit(ext))
+    return F.concat(F.when(bare == "", "file").otherwise(bare), F.lit(ext) if isinstance(ext, str) else ext)
 
 
 def content_type(path: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 #: What a usage row's status may be.
 STATUSES = ("PENDING", "IN_PROGRESS", "SUCCESS", "FAILED")
 
@@ -90,6 +92,22 @@ def text_size(lines: Column) -> Column:
     return F.aggregate(lines, F.lit(0), lambda a, x: a + F.length(x))
 
 
+def file_size(content: Column) -> Column:
+    """Characters of a text file, as they are metered: without white space at its ends."""
+    return F.length(strip(content))
+
+
+def byte_size(content: Column) -> Column:
+    """Bytes of a binary file or an image, as they are metered."""
+    return F.octet_length(content)
+
+
 def extra_field(extra: Column, name: str) -> Column:
     """A field of the ledger's free JSON column."""
     return F.get_json_object(extra, f"$.{name}")
+
+
+def extra_json(**fields: Column) -> Column:
+    """The ledger's free JSON column from fields; null or empty ones are left out, and without any it is null."""
+    given = [F.when(c != "", c).alias(name) for name, c in fields.items()]
+    return F.when(F.coalesce(*given).isNotNull(), F.to_json(F.struct(*given)))

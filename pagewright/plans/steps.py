@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import align, text as T
 from ..operators.enrich import Batch, enrich
+from ..sources.pages import layout_text, parse_pages, write_back
 
 RENDER = "RENDER_TXT"
 
@@ -108,21 +109,28 @@ class Paragraphs:
 class PageLayout:
     """Reads page-layout XML into a paragraph per region, and writes the text back into the page."""
 
-    def __init__(self, keys: Sequence[str]):
-        self.keys = list(keys)
-
     def read(self, docs: DataFrame, content: str = "content") -> DataFrame:
-        from ..sources.pages import parse_pages
+        return parse_pages(docs, content).withColumn("text", layout_text(F.col("parsed"))).drop("parsed", "is_page")
+
+    def render(self, docs: DataFrame, to: str = "result", content: str = "content") -> DataFrame:
+        return write_back(docs.withColumn(to, F.col(content)), to, "text")
+
 
-        line = lambda x: F.coalesce(T.strip(F.get(x["TextEquiv"], F.lit(0))["Unicode"]), F.lit(""))
-        regions = F.col("parsed.Page.TextRegion")
-        found = F.transform(regions, lambda r: F.coalesce(F.transform(r["TextLine"], line), F.array().cast("array<string>")))
-        return parse_pages(docs, content).withColumn("text", found).drop("parsed", "is_page")
+class Sniffed:
+    """Reads page layouts and plain text side by side; each row's `format` (page or text) tells how it is read and rendered."""
+
+    def read(self, docs: DataFrame, content: str = "content") -> DataFrame:
+        parsed = parse_pages(docs, content)
+        text = F.when(F.col("is_page"), layout_text(F.col("parsed"))).otherwise(T.paragraphs(F.col(content)))
+        return parsed.withColumn("text", text).withColumn("format", F.when(F.col("is_page"), "page").otherwise("text")).drop("parsed", "is_page")
 
     def render(self, docs: DataFrame, to: str = "result", content: str = "content") -> DataFrame:
-        from ..sources.pages import write_back
+        # A row without XML is passed over by write_back.
+        pages = write_back(docs.withColumn(to, F.when(F.col("format") == "page", F.col(content))), to, "text")
+        return pages.withColumn(to, F.when(F.col("format") == "page", F.col(to)).otherwise(T.render(F.col("text"))))
 
-        return write_back(docs.withColumn(to, F.col(content)), to, "text")
+
+Parser = Paragraphs | PageLayout | Sniffed
 
 
 #: Steps by key; each value makes a new step.
@@ -171,13 +179,18 @@ def run_steps(docs: DataFrame, steps: Sequence[Step], reconstruct: bool = True)
     return docs
 
 
-def run_pipeline(docs: DataFrame, parser: Paragraphs | PageLayout, steps: Sequence[Step], reconstruct: bool = True, content: str = "content") -> DataFrame:
+def run_pipeline(docs: DataFrame, parser: Parser, steps: Sequence[Step], reconstruct: bool = True, content: str = "content") -> DataFrame:
     """Read, run the steps and, if asked, map back and render into `result`; without it `text` is what the last step gave."""
     done = run_steps(parser.read(docs, content), steps, reconstruct)
     return parser.render(done) if reconstruct else done.withColumn("result", T.render(F.col("text")))
 
 
 def run_single(docs: DataFrame, step: Step, content: str = "content") -> DataFrame:
-    """One step on plain files: `text` as nested lists and `file` as flat text."""
-    done = step.forward(Paragraphs().read(docs, content))
-    return done.withColumn("file", T.render(F.col("text")))
+    """One step on files, page layouts and plain text alike: `format`, `text` as nested lists and `file` as flat text."""
+    return step.forward(Sniffed().read(docs, content)).withColumn("file", T.render(F.col("text")))
+
+
+def correct_files(docs: DataFrame, step: Step, content: str = "content", path: str | None = None) -> DataFrame:
+    """One step that keeps lines, on files: `result` is a file of the kind that came in, `name` (where a path is there) its name."""
+    done = Sniffed().render(step.forward(Sniffed().read(docs, content)), content=content)
+    return done if path is None else done.withColumn("name", T.corrected_name(F.col(path)))

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import align, text as T
-from ..operators import words as W
+from ..operators import usage as U, words as W
 from ..sources import files, pages as P
 from . import steps as S
 
@@ -232,12 +232,61 @@ def content_type_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.withColumn("reason", F.lit("")).unionByName(bad).groupBy("content_type", "reason").agg(F.count("*").alias("n"), F.min("url").alias("first_url"))
 
 
+def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, content: every second document as a page layout, the others as plain text with paragraphs."""
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, P.wrap_page(F.col("text"))).otherwise(broken(F.col("text"))).alias("content"))
+
+
+def single_step_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page layouts and plain text joined line by line to one line a paragraph."""
+    done = S.run_single(mixed_files(spark, sf_dir), S.STEPS["JOIN_LINES"]())
+    return done.select("doc_id", "format", F.size(F.filter("text", lambda p: p[0] != "")).alias("n_paragraphs"), F.md5(F.array_join(F.filter(F.flatten("text"), lambda x: x != ""), "|")).alias("text_md5"))
+
+
+def correct_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step on every line, written back into the page or the text that came in, and read again."""
+    files_ = mixed_files(spark, sf_dir).withColumn("path", F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".xml").otherwise(".txt")))
+    done = S.correct_files(files_, S.Lines("mark", marked), path="path").select("doc_id", "name", F.col("result").alias("content"))
+    again = S.Sniffed().read(done)
+    return again.select("doc_id", "name", "format", F.md5(F.array_join(F.flatten("text"), "|")).alias("text_md5"))
+
+
+def page_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page layouts through segmentation, a change of every sentence, and back into the page, line by line."""
+    pages = documents(spark, sf_dir).select("doc_id", P.wrap_page(F.col("text")).alias("content"))
+    change = S.Lines("double", lambda x: F.replace(x, F.lit("th"), F.lit("thth")))
+    done = S.run_pipeline(pages, S.PageLayout(), [S.STEPS["JOIN_PAGE"](), change])
+    lines = P.region_lines(done.select("doc_id", F.col("result").alias("xml")), ["doc_id"])
+    return lines.select("doc_id", "line_idx", "line_id", F.md5("text").alias("text_md5"))
+
+
+def batch_of_both_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of page layouts and plain texts: unpacked, decoded, each member read by its kind, changed, and packed into one batch again."""
+    turns = files.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")).alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
+    xml = F.col("turn") % 2 == 0
+    member = F.concat_ws("-", F.col("turn").cast("string"), F.col("copy").cast("string"))
+    sent = turns.select("conv_id", member.alias("filename"), F.array(F.when(xml, P.wrap_page(F.col("text"))).otherwise(F.col("text"))).alias("parts"), F.when(xml, ".xml").otherwise(".txt").alias("ext"))
+    members = files.decode_text(files.unzip(files.bundle(sent, "conv_id", F.col("ext")), "conv_id")).select("conv_id", "member", F.col("text").alias("content"))
+    done = S.correct_files(members, S.Lines("mark", marked))
+    results = done.select("conv_id", F.col("member").alias("filename"), F.array("result").alias("parts"), F.when(F.col("format") == "page", ".xml").otherwise(".txt").alias("ext"))
+    back = files.decode_text(files.unzip(files.bundle(results, "conv_id", F.col("ext")), "conv_id"))
+    again = S.Sniffed().read(back.select("conv_id", "member", F.col("text").alias("content")))
+    return again.select("conv_id", "member", "format", F.md5(F.array_join(F.flatten("text"), "|")).alias("text_md5"))
+
+
+def metering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a document costs as a list of lines, as a text file and as bytes."""
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id", U.text_size(F.split("text", "\n")).alias("as_lines"), U.file_size(F.concat(F.lit("\n "), F.col("text"), F.lit("\n"))).alias("as_file"), U.byte_size(F.col("text")).alias("as_bytes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         restructure_by_lang, paragraph_split, text_render, line_lengths, running_offsets, join_page, join_page_backward, realign_lines, dehyphenate,
         sentence_split, tokens_ws, tokens_alt, word_positions, ngrams3, ngram_index, dictionary_freq, wrap_page_lines, reading_order, page_write_back,
-        positional_zip, format_sniff, decode_files, zip_round_trip, multipage_assemble, batch_fan_in, file_names, content_type_gate,
+        positional_zip, single_step_files, correct_files, page_pipeline, batch_of_both_kinds, metering, format_sniff, decode_files, zip_round_trip, multipage_assemble, batch_fan_in, file_names, content_type_gate,
     )
 }
 
@@ -264,7 +313,40 @@ back AS (SELECT doc_id, lang, par_idx, line_idx, was, substr(j, a + 1, greatest(
 """
 
 
+#: A line as marking leaves it, without white space at its ends.
+SQL_MARKED = "CASE WHEN trim({0}, ' ' || chr(9) || chr(13)) = '' THEN '#' ELSE '# ' || trim({0}, ' ' || chr(9) || chr(13)) END"
+SQL_BLANK = "trim({0}, ' ' || chr(9) || chr(13)) = ''"
+
 ORACLE_SQL = {
+    "single_step_files": f"""
+WITH {SQL_PARS} joined AS (SELECT doc_id, par_idx, array_to_string(lines, ' ') AS j FROM pars),
+plain AS (SELECT d.doc_id, 'text' AS format, count(j) AS n, coalesce(string_agg(j, '|' ORDER BY par_idx), '') AS t FROM documents d LEFT JOIN joined USING (doc_id) WHERE d.doc_id % 2 <> 0 GROUP BY d.doc_id),
+page AS (SELECT doc_id, 'page' AS format, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), ' ') AS t FROM documents WHERE doc_id % 2 = 0)
+SELECT doc_id, format, n::INTEGER AS n_paragraphs, md5(t) AS text_md5 FROM plain UNION ALL SELECT doc_id, format, (t <> '')::INTEGER, md5(t) FROM page
+""",
+    "correct_files": f"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+SELECT doc_id, doc_id::VARCHAR || '_corrected' || CASE WHEN doc_id % 2 = 0 THEN '.xml' ELSE '.txt' END AS name, CASE WHEN doc_id % 2 = 0 THEN 'page' ELSE 'text' END AS format,
+       md5(array_to_string(list_transform(CASE WHEN doc_id % 2 = 0 THEN l ELSE list_filter(l, lambda x: NOT {SQL_BLANK.format("x")}) END, lambda x: {SQL_MARKED.format("x")}), '|')) AS text_md5 FROM l
+""",
+    "page_pipeline": """
+WITH page AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))) AS lines FROM documents),
+joined AS (SELECT *, array_to_string(lines, ' ') AS x, replace(array_to_string(lines, ' '), 'th', 'thth') AS j FROM page),
+ends AS (SELECT doc_id, j, i - 1 AS line_idx, CASE WHEN length(x) = 0 THEN 0 ELSE round_even(length(j)::DOUBLE / length(x) * length(array_to_string(lines[1:i], ' ')), 0)::BIGINT END AS p
+         FROM joined, unnest(range(1, len(lines) + 1)) AS t(i)),
+splits AS (SELECT *, CASE WHEN instr(substr(j, p + 1), ' ') > 0 THEN p + instr(substr(j, p + 1), ' ') - 1 ELSE length(j) END AS e FROM ends),
+bounds AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY line_idx) + 1, 0) AS a FROM splits)
+SELECT doc_id, line_idx::INTEGER AS line_idx, 'r1-l' || (line_idx + 1)::VARCHAR AS line_id, md5(trim(substr(j, a + 1, greatest(e - a, 0)), ' ')) AS text_md5 FROM bounds
+""",
+    "batch_of_both_kinds": f"""
+WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS copy, string_split(coalesce(text, ''), chr(10)) AS l FROM conversations)
+SELECT conv_id, turn::VARCHAR || '-' || copy::VARCHAR || CASE WHEN turn % 2 = 0 THEN '.xml' ELSE '.txt' END AS member, CASE WHEN turn % 2 = 0 THEN 'page' ELSE 'text' END AS format,
+       md5(array_to_string(list_transform(CASE WHEN turn % 2 = 0 THEN l ELSE list_filter(l, lambda x: NOT {SQL_BLANK.format("x")}) END, lambda x: {SQL_MARKED.format("x")}), '|')) AS text_md5 FROM t
+""",
+    "metering": """
+SELECT doc_id, length(replace(coalesce(text, ''), chr(10), ''))::INTEGER AS as_lines, length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)))::INTEGER AS as_file,
+       strlen(coalesce(text, ''))::INTEGER AS as_bytes FROM documents
+""",
     "restructure_by_lang": f"""
 WITH {SQL_PARS} {sql_realign("x")},
 docs AS (SELECT lang, doc_id, count(*) AS n, sum(length(was)) + count(*) - 1 AS size, sum(CASE WHEN was = line THEN 1 ELSE 0 END) AS same FROM back GROUP BY ALL),

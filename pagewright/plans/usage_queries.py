@@ -127,11 +127,18 @@ def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.task_status(events)
 
 
+def extra_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The free JSON column written from a prompt, where there is one, and read again."""
+    prompt = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('say "'), F.col("event_type"), F.lit('"'))).when(F.col("event_id") % 3 == 1, "")
+    rows = table(spark, sf_dir, "events").select("event_id", U.extra_json(prompt=prompt).alias("extra"))
+    return rows.select("event_id", "extra", U.extra_field(F.col("extra"), "prompt").alias("prompt"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         option_parse, option_invalid, usage_by_key, usage_by_month, usable_keys, latest_status, latest_usage, unknown_engine, first_engine, drifted_options,
-        find_by_name, usage_search, ledger_states, task_states,
+        find_by_name, usage_search, extra_json, ledger_states, task_states,
     )
 }
 
@@ -142,6 +149,9 @@ SQL_OPTIONS = """o AS (SELECT event_id, list_filter(list_transform(string_split(
   CASE WHEN event_id % 2 = 0 THEN 'join_page' ELSE ' JOIN_LINES ' END, ','), lambda x: upper(trim(x))), lambda x: x <> '') AS o FROM events)"""
 
 ORACLE_SQL = {
+    "extra_json": """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{"prompt":"say \\"' || event_type || '\\""}' END AS extra, CASE WHEN event_id % 3 = 0 THEN 'say "' || event_type || '"' END AS prompt FROM events
+""",
     "option_parse": f"WITH {SQL_OPTIONS} SELECT event_id, array_to_string(o, ',') AS options, list_contains(o, 'RENDER_TXT') AS render_txt, array_to_string(list_filter(o, lambda x: x <> 'RENDER_TXT'), ',') AS steps FROM o",
     "option_invalid": f"""
 WITH {SQL_OPTIONS},

@@ -103,10 +103,10 @@ def unzip(batches: DataFrame, key: str = "batch_id", content: str = "content") -
     return batches.select(key, content).mapInPandas(run, f"`{key}` {kind}, member string, content binary, error string")
 
 
-def bundle(results: DataFrame, key: str = "batch_id", ext: str = ".txt") -> DataFrame:
+def bundle(results: DataFrame, key: str = "batch_id", ext: str | Column = ".txt") -> DataFrame:
     """One ZIP per batch from rows (key, filename, parts ARRAY<STRING>): key, content, n_members.
 
-    Names are made safe and get the extension; a name that comes again in a
+    Names are made safe and get the extension, one for all or each its own; a name that comes again in a
     batch gets a number. A member's parts are joined by an empty line.
     """
     kind = results.schema[key].dataType.simpleString()

@@ -78,12 +78,16 @@ def flat_lines(pages: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame
     return ordered.select(*keys, F.posexplode("found").alias("line_idx", "line")).select(*keys, "line_idx", F.col("line.text").alias("text"))
 
 
-def page_text(pages: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame:
-    """keys, text as ARRAY<ARRAY<STRING>>: a paragraph per region, in page order."""
-    regions = F.col("parsed.Page.TextRegion")
+def layout_text(parsed: Column) -> Column:
+    """Text of a parsed page as ARRAY<ARRAY<STRING>>: a paragraph per region, in page order; of a page without regions, none."""
     line = lambda x: F.coalesce(strip(F.get(x["TextEquiv"], F.lit(0))["Unicode"]), F.lit(""))
-    text = F.transform(regions, lambda r: F.coalesce(F.transform(r["TextLine"], line), F.array().cast("array<string>")))
-    return parse_pages(pages, xml).filter("is_page").select(*keys, F.coalesce(text, F.array().cast("array<array<string>>")).alias("text"))
+    text = F.transform(parsed["Page"]["TextRegion"], lambda r: F.coalesce(F.transform(r["TextLine"], line), F.array().cast("array<string>")))
+    return F.coalesce(text, F.array().cast("array<array<string>>"))
+
+
+def page_text(pages: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame:
+    """keys, text (see layout_text) of the rows that are pages."""
+    return parse_pages(pages, xml).filter("is_page").select(*keys, layout_text(F.col("parsed")).alias("text"))
 
 
 def reading_order(lines: DataFrame, keys: list[str]) -> DataFrame:

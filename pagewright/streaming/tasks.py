@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.steps import Paragraphs, Step, run_pipeline
+from ..plans.steps import Parser, Sniffed, Step, run_pipeline
+from ..sources.files import decode_text
 
 
 def read_documents(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
@@ -17,27 +19,46 @@ def read_documents(spark: SparkSession, path: str, schema: str, form: str = "par
     return spark.readStream.schema(schema).format(form).load(path)
 
 
-def process(docs: DataFrame, steps: Sequence[Step], reconstruct: bool = True) -> DataFrame:
-    """A stream's documents through a pipeline; each row by itself, so the result appends."""
-    return run_pipeline(docs, Paragraphs(), steps, reconstruct)
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files as they arrive, page layouts and plain text alike: path, encoding, confidence, content (null where it cannot be decoded)."""
+    kinds = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.schema(kinds).format("binaryFile").load(path).select("path", F.col("content").alias("raw"))
+    return decode_text(found, "raw").drop("raw").withColumnRenamed("text", "content")
+
+
+def process(docs: DataFrame, steps: Sequence[Step], reconstruct: bool = True, parser: Parser | None = None) -> DataFrame:
+    """A stream's documents through a pipeline; each row by itself, so the result appends. By default each row's format is sniffed."""
+    return run_pipeline(docs, parser or Sniffed(), steps, reconstruct)
 
 
 def task_status(events: DataFrame) -> DataFrame:
-    """task_id, status, ts, error: the latest event of each task (update mode). events: task_id, status, ts, error."""
+    """task_id, status, ts, error: the latest event of each task. events: task_id, status, ts, error."""
     last = F.max_by(F.struct("status", "ts", "error"), F.struct("ts", "status")).alias("last")
     return events.groupBy("task_id").agg(last).select("task_id", "last.status", "last.ts", "last.error")
 
 
-def upsert_into(path: str, key: str = "task_id") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: keeps a table of the last row by key, one folder per batch, the highest number holding."""
+def upsert_into(path: str, parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch on a stream of task events: keeps a table of each task's latest event, in `parts` parts by a hash of the task.
+
+    Only the parts that a batch touches are read and replaced, so the table is
+    there once, and the stream itself keeps no state. A batch that comes again
+    changes nothing.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = None
-        if number > 0:
-            before = spark.read.parquet(f"{path}/batch={number - 1}")
-        rest = batch if before is None else before.join(batch.select(key), key, "left_anti").unionByName(batch)
-        rest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        new = batch.withColumn("part", F.pmod(F.xxhash64("task_id"), F.lit(parts)).cast("int")).persist()
+        touched = [r["part"] for r in new.select("part").distinct().collect()]
+        try:
+            before = spark.read.parquet(path).filter(F.col("part").isin(touched)).select(*new.columns)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            before = new.limit(0)
+        last = task_status(before.unionByName(new)).withColumn("part", F.pmod(F.xxhash64("task_id"), F.lit(parts)).cast("int"))
+        if touched:
+            last.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        new.unpersist()
 
     return write
 
@@ -74,7 +95,7 @@ def completed_batches(members: DataFrame, keep_hours: int = 24) -> DataFrame:
     """batch_id, n_done, n_failed of each batch once all its members are done, once only.
 
     members: batch_id, member, expected, ok. The same member told twice counts
-    once. A batch that stays incomplete is forgotten after `keep_hours` without news.
+    once; a null member is none, a null `expected` says nothing, a null `ok` is a failure. A batch that stays incomplete is forgotten after `keep_hours` without news.
     """
     kind = members.schema["batch_id"].dataType.simpleString()
 
@@ -82,21 +103,21 @@ def completed_batches(members: DataFrame, keep_hours: int = 24) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        done, failed, told = state.get if state.exists else ("", 0, False)
+        done, failed, expected, told = state.get if state.exists else ("", 0, 0, False)
         seen = set(done.split("\x1f")) - {""}
-        expected = 0
         for frame in frames:
-            expected = max(expected, int(frame["expected"].max()))
-            for m, ok in zip(frame["member"], frame["ok"]):
-                if m not in seen:
+            told_sizes = frame["expected"].dropna()
+            expected = max(expected, int(told_sizes.max()) if len(told_sizes) else 0)
+            for m, ok in zip(frame["member"], frame["ok"].fillna(False)):
+                if m is not None and m not in seen:
                     seen.add(m)
                     failed += not ok
         if not told and expected and len(seen) >= expected:
             told = True
             yield pd.DataFrame([(keys[0], len(seen), failed)], columns=["batch_id", "n_done", "n_failed"])
-        state.update(("\x1f".join(sorted(seen)), failed, told))
+        state.update(("\x1f".join(sorted(seen)), failed, expected, told))
         state.setTimeoutDuration(keep_hours * 3_600_000)
 
     return members.groupBy("batch_id").applyInPandasWithState(
-        step, f"batch_id {kind}, n_done int, n_failed int", "done string, failed int, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"batch_id {kind}, n_done int, n_failed int", "done string, failed int, expected int, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
