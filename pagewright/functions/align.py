@@ -45,6 +45,11 @@ def realign_paragraph(sentences: Sequence[str], n_in: Sequence[int], n_out: Sequ
     return cut_at_spaces(text, n_in, len(text) / before if before else 0.0, True)
 
 
+def once(function):
+    """An Arrow function that the planner leaves where it is: else a filter drawn from what follows would have it computed again."""
+    return function.asNondeterministic()
+
+
 def realign_document(text: Column, n_in: Column, n_out: Column) -> Column:
     """Original lines of every paragraph from its (changed) sentences; the shortest of the three ends the document.
 
@@ -58,7 +63,7 @@ def realign_document(text: Column, n_in: Column, n_out: Column) -> Column:
         made = [None if None in r else [realign_paragraph(*p) for p in zip(*r)] for r in rows]
         return pa.array(made, pa.list_(pa.list_(pa.string())))
 
-    return back(text, n_in, n_out)
+    return once(back)(text, n_in, n_out)
 
 
 def realign(sentences: Column, n_in: Column, n_out: Column) -> Column:
@@ -90,7 +95,7 @@ def split_page(text: Column, n_in: Column, n_out: Column) -> Column:
             made.append(None if x is None or sizes is None else grouped(lines, [len(par) for par in sizes]))
         return pa.array(made, pa.list_(pa.list_(pa.string())))
 
-    return cut(page, n_in, n_out[0][0])
+    return once(cut)(page, n_in, n_out[0][0])
 
 
 def regroup(flat: Column, like: Column) -> Column:
@@ -101,4 +106,4 @@ def regroup(flat: Column, like: Column) -> Column:
         made = [None if a is None or n is None else grouped(a, n) for a, n in zip(x.to_pylist(), sizes.to_pylist())]
         return pa.array(made, pa.list_(pa.list_(pa.string())))
 
-    return cut(flat, F.transform(like, F.size))
+    return once(cut)(flat, F.transform(like, F.size))
