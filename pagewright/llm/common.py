@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Python worker gets at once, whatever the length of the texts."""
+    """Bound what one Python worker gets at once, whatever the length of the texts; also, unions keep no partitioning (see functions.unions)."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
