@@ -14,13 +14,13 @@ compared that shares none.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.unions import union
 from ..sources.checkpoints import settle
 
 PREFIX = 7
@@ -142,7 +142,7 @@ def keyed_sides(queries: DataFrame, terms: DataFrame, share: float, most: int, f
         wide = q.filter((F.col("_width") == 0) & (F.col("k") > FEW_EDITS)).drop("_width").withColumn("at", F.lit(0))
         left.append(tag(wide.withColumn("key", F.explode(F.sequence(F.length("query") - F.col("k"), F.length("query") + F.col("k")))), "="))
         right.append(tag(terms.withColumn("at", F.lit(0)).withColumn("key", F.length("term")), "="))
-    return reduce(DataFrame.unionByName, left), reduce(DataFrame.unionByName, right)
+    return union(*left), union(*right)
 
 
 def fuzzy_join(
@@ -188,7 +188,7 @@ def closest_terms(queries: DataFrame, terms: DataFrame, by: list[str], share: fl
     same = t.select(*by, F.col("term").alias("query"), "term", "freq", F.lit(0).alias("distance"))
     exact = q.join(same, [*by, "query"]).select(*by, "query", "term", "freq", "distance")
     lost = q.join(same.select(*by, "query"), [*by, "query"], "left_anti")
-    return exact.unionByName(closest(fuzzy_join(lost, t, by, share, most, swaps=swaps), by))
+    return union(exact, closest(fuzzy_join(lost, t, by, share, most, swaps=swaps), by))
 
 
 def closest_within(queries: DataFrame, terms: DataFrame, by: list[str], edits: int, swaps: bool = True) -> DataFrame:
@@ -203,7 +203,7 @@ def closest_within(queries: DataFrame, terms: DataFrame, by: list[str], edits: i
         if k < edits:
             found[-1] = settle(found[-1])
             left = left.join(found[-1].select(*by, "query").distinct(), [*by, "query"], "left_anti")
-    return reduce(DataFrame.unionByName, found)
+    return union(*found)
 
 
 def closest(found: DataFrame, by: list[str]) -> DataFrame:

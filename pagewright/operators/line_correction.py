@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rebuild_line, tokens
@@ -30,16 +30,32 @@ def align_tokens(ours: Column, theirs: Column) -> Column:
     return align(ours, theirs)
 
 
-def correct_lines(lines: DataFrame, transcriptions: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
+def beside(split: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """`theirs` cut down to the tokens that stand beside a line: where it begins, in proportion, and `window` more on either side."""
+    whole = Window.partitionBy(*keys)
+    n = F.size("ours")
+    before = F.coalesce(F.sum(n).over(whole.orderBy("line_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = split.withColumns({"_at": before, "_scale": F.size("theirs") / F.greatest(F.sum(n).over(whole), F.lit(1))})
+    first = F.floor(F.col("_at") * F.col("_scale")).cast("int") - window
+    last = F.ceil((F.col("_at") + n) * F.col("_scale")).cast("int") + window
+    start = F.greatest(first, F.lit(0))
+    return placed.withColumn("theirs", F.slice("theirs", start + 1, F.greatest(last - start, F.lit(0)))).drop("_at", "_scale")
+
+
+def correct_lines(lines: DataFrame, transcriptions: DataFrame, keys: list[str], threshold: float = 0.5, window: int | None = None) -> DataFrame:
     """keys, line_idx, text, ratio, corrected.
 
     lines: keys, line_idx, text; transcriptions: keys, transcription. A line
     less similar to the transcription than `threshold` is left alone. Else equal
     tokens stay; of token runs of equal length each becomes `~new` where the
     transcription's dictionary gives that word for it, or `[old] ~new`; what is
-    only on one side is marked `[old]` or `[[new words]]`.
+    only on one side is marked `[old]` or `[[new words]]`. window: compare a line
+    not with the whole transcription, to which a line of a long text is never
+    similar, but with what stands beside it, and so many tokens more.
     """
     split = lines.withColumn("ours", tokens(F.col("text"))).join(transcriptions.withColumn("theirs", tokens(F.col("transcription"))), keys)
+    if window is not None:
+        split = beside(split, keys, window)
     aligned = split.withColumn("a", align_tokens(F.col("ours"), F.col("theirs")))
     kept = aligned.select(*keys, "line_idx", "text", F.col("a.ratio").alias("ratio"), "a.ops")
     swaps = lambda op: (op["tag"] == "replace") & (F.size(op["o"]) == F.size(op["m"]))

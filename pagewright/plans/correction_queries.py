@@ -190,6 +190,14 @@ def ngram_matches_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.ngram_matches(*turn_words(spark, sf_dir), TURN, swaps=False)
 
 
+def match_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which matches are considered, by turn, and which of them lie on the first one's diagonal."""
+    order = Window.partitionBy(*TURN).orderBy("distance", F.abs(F.col("ocrpos") - F.col("manpos")), "ocrpos", "manpos")
+    diagonal = F.col("ocrpos") - F.col("manpos")
+    placed = ngram_matches_plain(spark, sf_dir).withColumn("place", F.row_number().over(order)).withColumn("same_diagonal", diagonal == F.first(diagonal).over(order))
+    return placed.select(*TURN, "place", "ocrpos", "manpos", "distance", "same_diagonal")
+
+
 def match_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.match_sets(C.ngram_matches(*turn_words(spark, sf_dir), TURN), TURN)
 
@@ -222,7 +230,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         error_rates_by_lang, error_rates_by_document, character_errors, line_errors, evaluation_pairs, character_differences, word_differences, fuzzy_closest, spell_top1,
-        spell_in_context, fuzzy_closest_two, fuzzy_closest_by_length, spell_top1_two, spell_top1_exchanges, spell_in_context_two, coverage, uncovered_runs, ngram_matches, ngram_matches_plain, match_sets, transcription_correction, line_correction, service_lines,
+        spell_in_context, fuzzy_closest_two, fuzzy_closest_by_length, spell_top1_two, spell_top1_exchanges, spell_in_context_two, coverage, uncovered_runs, ngram_matches, ngram_matches_plain, match_order, match_sets, transcription_correction, line_correction, service_lines,
     )
 }
 
@@ -292,6 +300,19 @@ FROM seq s JOIN best b ON s.lang = b.lang AND s.ocr = b.query AND s.before IS NO
 #: Turns with a number for those that are there again.
 SQL_TURNS = "turns AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST)::INTEGER AS copy, text FROM conversations)"
 
+SQL_MATCHES = f"""
+WITH {SQL_TURNS}, split AS (SELECT conv_id, turn, copy, {SQL_SPLIT.format("text")} AS w FROM turns),
+kept AS (SELECT conv_id, turn, copy, w[i] AS gt, i - 1 AS p FROM split, unnest(range(1, len(w) + 1)) AS t(i) WHERE (i - 1) % 13 <> 11),
+ocr AS (SELECT conv_id, turn, copy, list({SQL_NOISE.format(p="p", w="gt")} ORDER BY p) AS w FROM kept GROUP BY ALL),
+ours AS (SELECT conv_id, turn, copy, array_to_string(w[i:i + 2], ' ') AS ocrngram, (i - 1)::INTEGER AS ocrpos FROM ocr, unnest(range(1, len(w) - 1)) AS t(i)),
+theirs AS (SELECT conv_id, turn, copy, array_to_string(w[i:i + 2], ' ') AS manngram, (i - 1)::INTEGER AS manpos FROM split, unnest(range(1, len(w) - 1)) AS t(i)),
+pairs AS (SELECT conv_id, turn, copy, ocrngram, manngram, levenshtein({sql_bytes("ocrngram")}, {sql_bytes("manngram")})::INTEGER AS distance
+  FROM (SELECT DISTINCT conv_id, turn, copy, ocrngram FROM ours) JOIN (SELECT DISTINCT conv_id, turn, copy, manngram FROM theirs) USING (conv_id, turn, copy)
+  WHERE abs(length(ocrngram) - length(manngram)) <= least(6, floor(length(ocrngram) * 0.2))),
+near AS (SELECT *, rank() OVER (PARTITION BY conv_id, turn, copy, ocrngram ORDER BY distance) AS r FROM pairs WHERE distance <= least(6, floor(length(ocrngram) * 0.2)))
+SELECT conv_id, turn, copy, ocrngram, ocrpos, manngram, manpos, distance FROM near JOIN ours USING (conv_id, turn, copy, ocrngram) JOIN theirs USING (conv_id, turn, copy, manngram) WHERE r = 1
+"""
+
 ORACLE_SQL = {
     "character_errors": f"WITH {SQL_LINES.replace(BY, 'lang')} SELECT doc_id, line_idx::INTEGER AS line_idx, char_errors::INTEGER AS char_errors, n_chars::INTEGER AS n_chars FROM scored",
     "line_errors": f"""
@@ -324,17 +345,12 @@ a AS (SELECT doc_id, island, pos FROM m WHERE good)
 SELECT m.doc_id, min(m.pos)::INTEGER AS start, string_agg(gt, ' ' ORDER BY m.pos) AS run, a.pos::INTEGER AS after
 FROM m LEFT JOIN a ON m.doc_id = a.doc_id AND m.island = a.island WHERE NOT good GROUP BY m.doc_id, m.island, a.pos
 """,
-    "ngram_matches_plain": f"""
-WITH {SQL_TURNS}, split AS (SELECT conv_id, turn, copy, {SQL_SPLIT.format("text")} AS w FROM turns),
-kept AS (SELECT conv_id, turn, copy, w[i] AS gt, i - 1 AS p FROM split, unnest(range(1, len(w) + 1)) AS t(i) WHERE (i - 1) % 13 <> 11),
-ocr AS (SELECT conv_id, turn, copy, list({SQL_NOISE.format(p="p", w="gt")} ORDER BY p) AS w FROM kept GROUP BY ALL),
-ours AS (SELECT conv_id, turn, copy, array_to_string(w[i:i + 2], ' ') AS ocrngram, (i - 1)::INTEGER AS ocrpos FROM ocr, unnest(range(1, len(w) - 1)) AS t(i)),
-theirs AS (SELECT conv_id, turn, copy, array_to_string(w[i:i + 2], ' ') AS manngram, (i - 1)::INTEGER AS manpos FROM split, unnest(range(1, len(w) - 1)) AS t(i)),
-pairs AS (SELECT conv_id, turn, copy, ocrngram, manngram, levenshtein({sql_bytes("ocrngram")}, {sql_bytes("manngram")})::INTEGER AS distance
-  FROM (SELECT DISTINCT conv_id, turn, copy, ocrngram FROM ours) JOIN (SELECT DISTINCT conv_id, turn, copy, manngram FROM theirs) USING (conv_id, turn, copy)
-  WHERE abs(length(ocrngram) - length(manngram)) <= least(6, floor(length(ocrngram) * 0.2))),
-near AS (SELECT *, rank() OVER (PARTITION BY conv_id, turn, copy, ocrngram ORDER BY distance) AS r FROM pairs WHERE distance <= least(6, floor(length(ocrngram) * 0.2)))
-SELECT conv_id, turn, copy, ocrngram, ocrpos, manngram, manpos, distance FROM near JOIN ours USING (conv_id, turn, copy, ocrngram) JOIN theirs USING (conv_id, turn, copy, manngram) WHERE r = 1
+    "ngram_matches_plain": SQL_MATCHES,
+    "match_order": f"""
+WITH m AS ({SQL_MATCHES}),
+o AS (SELECT *, row_number() OVER w AS place, ocrpos - manpos = first_value(ocrpos - manpos) OVER w AS same_diagonal FROM m
+      WINDOW w AS (PARTITION BY conv_id, turn, copy ORDER BY distance, abs(ocrpos - manpos), ocrpos, manpos))
+SELECT conv_id, turn, copy, place::INTEGER AS place, ocrpos, manpos, distance, same_diagonal FROM o
 """,
     "service_lines": f"""
 WITH {SQL_TURNS}

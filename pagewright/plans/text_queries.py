@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import align, text as T
+from ..functions.unions import union
 from ..operators import usage as U, words as W
 from ..sources import files, pages as P
 from . import steps as S
@@ -229,7 +230,7 @@ def content_type_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("image/png", "text/html", "IMAGE/jpeg", "application/pdf")]), (F.col("page_id") % 4 + 1).cast("int"))
     fetched = files.table(spark, sf_dir, "pages").select("page_id", "url", kinds.alias("content_type"))
     good, bad = files.split_rejects(fetched, files.is_image(F.col("content_type")), "not an image")
-    return good.withColumn("reason", F.lit("")).unionByName(bad).groupBy("content_type", "reason").agg(F.count("*").alias("n"), F.min("url").alias("first_url"))
+    return union(good.withColumn("reason", F.lit("")), bad).groupBy("content_type", "reason").agg(F.count("*").alias("n"), F.min("url").alias("first_url"))
 
 
 def mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,6 +276,25 @@ def batch_of_both_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("conv_id", "member", "format", F.md5(F.array_join(F.flatten("text"), "|")).alias("text_md5"))
 
 
+def text_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of plain text as they are, and stripped and without the empty ones."""
+    docs = documents(spark, sf_dir).select("doc_id", T.text_lines(F.col("text"), False, False).alias("every"), T.text_lines(F.col("text")).alias("kept"))
+    return docs.select("doc_id", F.size("every").alias("n_lines"), F.size("kept").alias("n_kept"), F.md5(F.array_join("kept", "|")).alias("kept_md5"))
+
+
+def rebuilt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text's tokens as one line again, and its placeholders as what they stand for."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", T.rebuild_line(T.tokens(F.col("text"))).alias("line"))
+    restored = T.restore_marks(F.replace("text", F.lit(" "), F.lit("__SEP__")))
+    return docs.select("doc_id", F.length("line").alias("n_chars"), F.md5("line").alias("line_md5"), F.md5(restored).alias("restored_md5"))
+
+
+def evaluation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as they are scored."""
+    docs = documents(spark, sf_dir).select("doc_id", T.evaluation_words(F.col("text")).alias("w"))
+    return docs.select("doc_id", F.size("w").alias("n_words"), F.md5(F.array_join("w", "|")).alias("words_md5"))
+
+
 def metering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a document costs as a list of lines, as a text file and as bytes."""
     docs = documents(spark, sf_dir)
@@ -286,7 +306,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         restructure_by_lang, paragraph_split, text_render, line_lengths, running_offsets, join_page, join_page_backward, realign_lines, dehyphenate,
         sentence_split, tokens_ws, tokens_alt, word_positions, ngrams3, ngram_index, dictionary_freq, wrap_page_lines, reading_order, page_write_back,
-        positional_zip, single_step_files, correct_files, page_pipeline, batch_of_both_kinds, metering, format_sniff, decode_files, zip_round_trip, multipage_assemble, batch_fan_in, file_names, content_type_gate,
+        positional_zip, single_step_files, correct_files, page_pipeline, batch_of_both_kinds, metering, text_line_scan, rebuilt_text, evaluation_tokens, format_sniff, decode_files, zip_round_trip, multipage_assemble, batch_fan_in, file_names, content_type_gate,
     )
 }
 
@@ -342,6 +362,21 @@ SELECT doc_id, line_idx::INTEGER AS line_idx, 'r1-l' || (line_idx + 1)::VARCHAR
 WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS copy, string_split(coalesce(text, ''), chr(10)) AS l FROM conversations)
 SELECT conv_id, turn::VARCHAR || '-' || copy::VARCHAR || CASE WHEN turn % 2 = 0 THEN '.xml' ELSE '.txt' END AS member, CASE WHEN turn % 2 = 0 THEN 'page' ELSE 'text' END AS format,
        md5(array_to_string(list_transform(CASE WHEN turn % 2 = 0 THEN l ELSE list_filter(l, lambda x: NOT {SQL_BLANK.format("x")}) END, lambda x: {SQL_MARKED.format("x")}), '|')) AS text_md5 FROM t
+""",
+    "text_line_scan": f"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+k AS (SELECT doc_id, CASE WHEN l[len(l)] = '' THEN l[:len(l) - 1] ELSE l END AS l FROM l),
+c AS (SELECT doc_id, l, list_transform(list_filter(l, lambda x: NOT {SQL_BLANK.format("x")}), lambda x: trim(x, ' ' || chr(9) || chr(13))) AS kept FROM k)
+SELECT doc_id, len(l)::INTEGER AS n_lines, len(kept)::INTEGER AS n_kept, md5(array_to_string(kept, '|')) AS kept_md5 FROM c
+""",
+    "rebuilt_text": """
+WITH w AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{M}\\p{N}_]+(?:[' || chr(39) || '@&][\\p{L}\\p{M}\\p{N}_]+)*|[^\\p{L}\\p{M}\\p{N}_\\s]') AS w FROM documents),
+r AS (SELECT doc_id, text, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = 1 OR (regexp_matches(x, '^[[:punct:]]$') AND NOT ends_with(w[i - 1], ']')) THEN x ELSE ' ' || x END), '') AS line FROM w)
+SELECT doc_id, length(line)::INTEGER AS n_chars, md5(line) AS line_md5, md5(coalesce(text, '')) AS restored_md5 FROM r
+""",
+    "evaluation_tokens": """
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '’', chr(39)), '[\\p{L}\\p{N}]+') AS w FROM documents)
+SELECT doc_id, len(w)::INTEGER AS n_words, md5(array_to_string(w, '|')) AS words_md5 FROM w
 """,
     "metering": """
 SELECT doc_id, length(replace(coalesce(text, ''), chr(10), ''))::INTEGER AS as_lines, length(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)))::INTEGER AS as_file,

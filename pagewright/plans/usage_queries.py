@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.unions import union
 from ..operators import usage as U
 from ..sources import ledger
 from ..sources.files import table
@@ -83,7 +84,7 @@ def latest_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unknown_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     known, unknown = U.resolve_engine(usage(spark, sf_dir), engines(spark, sf_dir))
-    rows = known.select("engine_id", "engine").unionByName(unknown.select("engine_id", F.lit(None).cast("string").alias("engine")))
+    rows = union(known.select("engine_id", "engine"), unknown.select("engine_id", F.lit(None).cast("string").alias("engine")))
     return rows.groupBy("engine_id", "engine").agg(F.count("*").alias("n"))
 
 
@@ -115,7 +116,7 @@ def ledger_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = usage(spark, sf_dir).filter(U.is_ready(F.col("status"))).select(
         "usage_id", (F.col("status") == "SUCCESS").alias("ok"), (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("ts"), "target_size"
     )
-    both = opened.unionByName(ledger.close_usage(opened, results))
+    both = union(opened, ledger.close_usage(opened, results))
     last = U.latest(both, ["usage_id"], ["ts"])
     return last.select("usage_id", "service", "status", "source_size", "target_size")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.unions import union
 from ..plans.steps import Parser, Sniffed, Step, run_pipeline
 from ..sources.files import decode_text
 
@@ -55,7 +56,7 @@ def upsert_into(path: str, parts: int = 64) -> Callable[[DataFrame, int], None]:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
             before = new.limit(0)
-        last = task_status(before.unionByName(new)).withColumn("part", F.pmod(F.xxhash64("task_id"), F.lit(parts)).cast("int"))
+        last = task_status(union(before, new)).withColumn("part", F.pmod(F.xxhash64("task_id"), F.lit(parts)).cast("int"))
         if touched:
             last.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
         new.unpersist()

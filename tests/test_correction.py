@@ -2,8 +2,10 @@ import itertools
 import random
 import time
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pagewright.functions.unions import union
 from pagewright.operators import evaluation as E, fuzzy as Z, line_correction as L, spelling as S, transcription as C
 from plain import greedy_sets as plain_sets, osa
 
@@ -99,6 +101,16 @@ def test_line_correction(spark):
     assert corrected(spark, "aa bb", "cc dd") == "aa bb"
 
 
+def test_lines_of_a_long_text_are_compared_with_what_stands_beside_them(spark):
+    man = [f"line{i} has some words of its own{i}" for i in range(40)]
+    ocr = [m.replace("some", "sme") for m in man]
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(ocr)], "doc int, line_idx int, text string")
+    whole = spark.createDataFrame([(1, " ".join(man))], "doc int, transcription string")
+    assert [r["corrected"] for r in L.correct_lines(lines, whole, ["doc"]).orderBy("line_idx").collect()] == ocr
+    got = [r["corrected"] for r in L.correct_lines(lines, whole, ["doc"], window=0).orderBy("line_idx").collect()]
+    assert got == [m.replace("some", "~some") for m in man]
+
+
 def test_spelling(spark):
     terms = spark.createDataFrame([("en", "sample", 3), ("en", "simple", 5), ("en", "the", 9)], "lang string, term string, freq long")
     placed = spark.createDataFrame([(1, "en", 0, 0, "the"), (1, "en", 0, 1, "smple"), (1, "xx", 1, 2, "smple")], "doc int, lang string, line_idx int, pos int, word string")
@@ -140,3 +152,11 @@ def test_edit_distance_beyond_bands(spark):
     b = "".join(rng.choice("ab") for _ in range(300))
     row = spark.createDataFrame([(a, b)], "a string, b string").select(E.edit_distance(F.col("a"), F.col("b")), F.levenshtein("a", "b")).first()
     assert row[0] == row[1]
+
+
+def test_unions_keep_keys_together(spark):
+    """Sides partitioned alike, of different sizes: a window over the union must see all rows of a key."""
+    sides = [spark.range(n).select((F.col("id") % 50).alias("k"), "id").repartition(8, "k").groupBy("k", "id").count() for n in (200, 60_000)]
+    rows = union(*[s.groupBy("k").agg(F.max("id").alias("id")) for s in sides])
+    order = Window.partitionBy("k").orderBy("id")
+    assert rows.withColumn("r", F.row_number().over(order)).filter("r = 1").count() == 50
