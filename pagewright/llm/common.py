@@ -15,6 +15,9 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 MASK = (1 << 64) - 1
 
+#: A key with this part of all rows or more is hot, so that at most so many are; and the parts a hot key's rows are dealt to.
+HOT, SALTS = 1000, 32
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,6 +54,26 @@ def bounded_sample(df: DataFrame, key: str, by: str, bound: int, seed: int) -> t
     return df.filter(unit_hash(F.col(key), F.lit(seed)) < rate[F.col(by)]), counts
 
 
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The keys that hold a HOT-th of `total` rows or more: HOT of them at most. counts: a row per key with its number of rows `n`."""
+    return counts.filter(F.col(n) * HOT >= total).select(key)
+
+
+def spread_join(rows: DataFrame, unique: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with the one row that `unique` has for each key, the rows of hot keys dealt to SALTS tasks each.
+
+    hot: keys from hot_keys, few enough by their definition to be sent to every
+    task. Only their rows of `unique` are repeated. A null key has no partner.
+    """
+    flag = F.broadcast(hot.select(F.col(key).alias("hot_key"), F.lit(True).alias("is_hot")))
+    flagged = lambda df: df.join(flag, F.col(key) == F.col("hot_key"), "left").drop("hot_key")
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0)
+    salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = flagged(rows).withColumn("salt", salt.cast("int")).drop("is_hot")
+    right = flagged(unique).withColumn("salt", F.explode(salts)).drop("is_hot")
+    return left.join(right, [key, "salt"], how).drop("salt")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A fixed bijective scrambling of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

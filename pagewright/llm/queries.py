@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, license_scan, mixing, near_duplicates, neighbours, piece_sampling, quality_rules, token_counts, toxicity
+from . import (
+    fill_in_middle, html_extract, language_id, license_scan, mixing, near_duplicates, neighbours, piece_sampling, quality_rules, simhash, token_counts, toxicity,
+    whitening,
+)
 from .common import held_out, table
 
 
@@ -84,11 +87,36 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(neighbours.build_index(rows), rows.filter(F.col("vec_id") % 50 == 0))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        F.col("fim_n").alias("n"),
+        F.col("fim_form").alias("form"),
+        F.col("fim_prefix").alias("prefix_chars"),
+        F.col("fim_middle").alias("middle_chars"),
+        F.sha2(F.col("fim_text").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored().cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_quality_rules, op3_ngram_jaccard, op4_html_extract, op5_mixing, op6_token_counts, op7_license_scan, op8_piece_sampling,
-        op9_language_id, op10_neighbours,
+        op9_language_id, op10_neighbours, op11_fill_in_middle, op12_simhash, op13_whitening,
     )
 }
 
@@ -104,6 +132,19 @@ SELECT d.doc_id, least(d.doc_id, (SELECT min(y) FROM links WHERE x = d.doc_id AN
        least(d.doc_id, (SELECT min(y) FROM reach WHERE x = d.doc_id)) AS class_id,
        (SELECT count(*) FROM links WHERE x = d.doc_id) AS n_links, coalesce(n, 0) AS n_shingles
 FROM documents d LEFT JOIN sizes ON d.doc_id = sizes.doc_id
+""",
+    "op11_fill_in_middle": """
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, ('0x' || substr(s, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(s, 9, 8))::BIGINT % (n + 1) AS y,
+             ('0x' || substr(s, 17, 8))::BIGINT % 100 AS plain, ('0x' || substr(s, 25, 8))::BIGINT % 100 AS spm FROM cut),
+formed AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b,
+                  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR plain >= 90 THEN 'plain'
+                       WHEN spm < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+parts AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM formed)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
 """,
     "op10_neighbours": """
 WITH usable AS (SELECT vec_id, min(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM embeddings
