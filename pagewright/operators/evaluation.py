@@ -1,22 +1,28 @@
-"""Scoring recognised text against ground truth: error rates and differences."""
+"""Scoring recognised text against ground truth: error rates and differences.
+
+Characters are grapheme clusters of the composed text (NFC): a letter and its
+accents, or an emoji of several code points, is one.
+"""
 
 from __future__ import annotations
 
-import re
-from difflib import SequenceMatcher
+import unicodedata
 
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, evaluation_text, evaluation_words, let
+from .alignment import edits
 
 #: First code point that stands for a word. The surrogates are left out; the last code point bounds the distinct words of one pair.
 FIRST, SURROGATES, MOST_WORDS = 0x4E00, range(0xD800, 0xE000), 0x110000 - 0x4E00 - 0x800
 #: Edit distances are sought within a narrow band first, and within a wider one where it is not enough.
 BANDS = (16, 64, 256, 1024, 4096)
-PARTS = re.compile(r"\S+|\s+")
+#: Without these no code point is joined with another one: combining marks and all scripts that need them stand beyond.
+JOINING = "\r\n|[^\\x{0}-\\x{2FF}]"
+CLUSTER, WORD = regex.compile(r"\X"), regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 
 
 def pair_by_name(ocr: DataFrame, gt: DataFrame) -> DataFrame:
@@ -39,6 +45,34 @@ def code_point(number: int) -> str:
     return chr(at if at < SURROGATES.start else at + len(SURROGATES))
 
 
+def may_join(text: Column) -> Column:
+    """Whether a text may have characters of several code points; the others need no look at them."""
+    return F.coalesce(text.rlike(JOINING), F.lit(False))
+
+
+def characters(text: str) -> list[str]:
+    """Grapheme clusters of the composed text."""
+    return list(text) if text.isascii() and "\r\n" not in text else CLUSTER.findall(unicodedata.normalize("NFC", text))
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits of the composed text, with the marks that none composes with."""
+    return WORD.findall(unicodedata.normalize("NFC", text))
+
+
+def in_codes(ours: list[str], theirs: list[str]) -> tuple[str, str]:
+    """Two lists as texts of one character per element, the same for the same element."""
+    known: dict[str, int] = {}
+    for x in (*ours, *theirs):
+        known.setdefault(x, len(known))
+    if len(known) > MOST_WORDS:
+        raise ValueError("too many distinct words in one pair")
+    return "".join(code_point(known[x]) for x in ours), "".join(code_point(known[x]) for x in theirs)
+
+
+CODED = pa.struct([("ours", pa.string()), ("theirs", pa.string())])
+
+
 def word_codes(ours: Column, theirs: Column) -> Column:
     """Two lists of words as texts of one character per word, the same character for the same word; null where a list is.
 
@@ -48,19 +82,23 @@ def word_codes(ours: Column, theirs: Column) -> Column:
     """
 
     @F.arrow_udf("struct<ours: string, theirs: string>")
+    def code(a: pa.Array, b: pa.Array) -> pa.Array:
+        pairs = zip(a.to_pylist(), b.to_pylist())
+        return pa.array([None if x is None or y is None else dict(zip(("ours", "theirs"), in_codes(x, y))) for x, y in pairs], CODED)
+
+    return code(ours, theirs)
+
+
+def pair_codes(ours: Column, theirs: Column) -> Column:
+    """Characters (`c`) and words (`w`) of two texts as word_codes has words; null where a text is."""
+
+    @F.arrow_udf("struct<c: struct<ours: string, theirs: string>, w: struct<ours: string, theirs: string>>")
     def code(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(a.to_pylist(), b.to_pylist()):
-            if x is None or y is None:
-                out.append(None)
-                continue
-            known: dict[str, int] = {}
-            for w in (*x, *y):
-                known.setdefault(w, len(known))
-            if len(known) > MOST_WORDS:
-                raise ValueError("too many distinct words in one pair")
-            out.append(dict(zip(("ours", "theirs"), ("".join(code_point(known[w]) for w in side) for side in (x, y)))))
-        return pa.array(out, pa.struct([("ours", pa.string()), ("theirs", pa.string())]))
+            known = x is not None and y is not None
+            out.append({k: dict(zip(("ours", "theirs"), in_codes(cut(x), cut(y)))) for k, cut in (("c", characters), ("w", words_of))} if known else None)
+        return pa.array(out, pa.struct([("c", CODED), ("w", CODED)]))
 
     return code(ours, theirs)
 
@@ -78,22 +116,28 @@ def edit_distance(a: Column, b: Column) -> Column:
 
 
 def line_errors(pairs: DataFrame) -> DataFrame:
-    """Add char_errors, n_chars, word_errors and n_words of each pair of lines (gt, ocr), after normalising; null counts as empty."""
+    """Add char_errors, n_chars, word_errors and n_words of each pair of lines (gt, ocr), after normalising; null counts as empty.
+
+    Only lines that may have characters of several code points leave the JVM for
+    them, and only unequal ones for their words.
+    """
     text = lambda c: evaluation_text(F.coalesce(F.col(c), F.lit("")))
     prepared = pairs.withColumns({"_g": text("gt"), "_o": text("ocr")})
-    same = F.col("_g") == F.col("_o")
+    prepared = prepared.withColumns({"_same": F.col("_g") == F.col("_o"), "_join": may_join(F.col("_g")) | may_join(F.col("_o"))})
     # Equal lines have no errors, so their words need no codes.
-    words_of = lambda c: F.when(~same, evaluation_words(F.col(c)))
-    prepared = prepared.withColumn("_c", word_codes(words_of("_g"), words_of("_o")))
-    errors = lambda a, b: F.when(same, F.lit(0)).otherwise(edit_distance(F.col(a), F.col(b)))
+    words = lambda c: F.when(~F.col("_same") & ~F.col("_join"), evaluation_words(F.col(c)))
+    whole = lambda c: F.when(F.col("_join"), F.col(c))
+    prepared = prepared.withColumns({"_c": word_codes(words("_g"), words("_o")), "_p": pair_codes(whole("_g"), whole("_o"))})
+    errors = lambda a, b: F.when(F.col("_same"), F.lit(0)).otherwise(let(F.array(a, b), lambda t: edit_distance(t[0], t[1])))
+    either = lambda joined, plain: F.when(F.col("_join"), F.col(joined)).otherwise(plain)
     return prepared.withColumns(
         {
-            "char_errors": errors("_g", "_o"),
-            "n_chars": F.length("_g"),
-            "word_errors": errors("_c.ours", "_c.theirs"),
-            "n_words": F.size(evaluation_words(F.col("_g"))),
+            "char_errors": errors(either("_p.c.ours", F.col("_g")), either("_p.c.theirs", F.col("_o"))),
+            "n_chars": F.length(either("_p.c.ours", F.col("_g"))),
+            "word_errors": errors(either("_p.w.ours", F.col("_c.ours")), either("_p.w.theirs", F.col("_c.theirs"))),
+            "n_words": F.when(F.col("_join"), F.length("_p.w.ours")).otherwise(F.size(evaluation_words(F.col("_g")))),
         }
-    ).drop("_g", "_o", "_c")
+    ).drop("_g", "_o", "_c", "_p", "_same", "_join")
 
 
 def error_rates(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -128,44 +172,28 @@ def text_error_rates(pairs: DataFrame, by: list[str]) -> DataFrame:
     return joined.select(*by, "n_lines", size.alias("n_characters"), "n_words", cer.alias("cer"), "wer")
 
 
-def unequal(x: list[str], y: list[str]) -> list[tuple[list[str], list[str]]]:
-    """Runs of two lists that stand against each other and differ."""
-    return [(x[i:j], y[k:n]) for tag, i, j, k, n in SequenceMatcher(None, x, y).get_opcodes() if tag != "equal"]
-
-
-def side_by_side(x: list[str], y: list[str]) -> list[tuple[str, str]]:
-    """Pairs by position; what has no partner stands against an empty text."""
-    n = max(len(x), len(y))
-    return list(zip(x + [""] * (n - len(x)), y + [""] * (n - len(y))))
-
-
-def word_edits(x: list[str], y: list[str]) -> list[tuple[str, str]]:
-    return [pair for a, b in unequal(x, y) for pair in side_by_side(a, b)]
-
-
-def character_edits(x: str, y: str) -> list[tuple[str, str]]:
-    """Character pairs that differ: words are aligned first, so that long lines cost little, and then the characters of words that differ."""
-    out = []
-    for a, b in unequal(PARTS.findall(x), PARTS.findall(y)):
-        for c, d in unequal(list("".join(a)), list("".join(b))):
-            out += side_by_side(c, d)
-    return out
+def pair_differences(x: list[str], y: list[str]) -> list[tuple[str, str]]:
+    """What stands against what in a smallest alignment; the empty text where a side has nothing. As many as the edit distance."""
+    return [("" if i is None else x[i], "" if j is None else y[j]) for i, j in edits(x, y)]
 
 
 def differences(pairs: DataFrame, by: list[str], words: bool = False) -> DataFrame:
     """by, gt, ocr, n: what stands for what, character by character or word by word, and how often; empty where one side lacks it.
 
-    pairs: by, gt, ocr (lines).
+    pairs: by, gt, ocr (lines); null counts as empty. Each pair of lines is
+    aligned by the fewest edits, however long it is, so that as many differences
+    are counted as line_errors counts errors.
     """
+    part = words_of if words else characters
 
-    @F.pandas_udf("array<struct<gt: string, ocr: string>>")
-    def edits(a: pd.Series, b: pd.Series) -> pd.Series:
-        find = (lambda x, y: word_edits(list(x), list(y))) if words else character_edits
-        return pd.Series([[{"gt": p, "ocr": q} for p, q in find(x, y)] for x, y in zip(a, b)])
+    @F.arrow_udf("array<struct<gt: string, ocr: string>>")
+    def found_in(a: pa.Array, b: pa.Array) -> pa.Array:
+        found = ([{"gt": p, "ocr": q} for p, q in pair_differences(part(x), part(y))] for x, y in zip(a.to_pylist(), b.to_pylist()))
+        return pa.array(list(found), pa.list_(pa.struct([("gt", pa.string()), ("ocr", pa.string())])))
 
-    prepare = evaluation_words if words else evaluation_text
-    part = lambda c: prepare(F.coalesce(F.col(c), F.lit("")))
-    found = pairs.filter(~F.col("gt").eqNullSafe(F.col("ocr"))).select(*by, F.explode(edits(part("gt"), part("ocr"))).alias("d"))
+    text = lambda c: evaluation_text(F.coalesce(F.col(c), F.lit("")))
+    unequal = pairs.filter(~F.col("gt").eqNullSafe(F.col("ocr")))
+    found = unequal.select(*by, F.explode(found_in(text("gt"), text("ocr"))).alias("d"))
     return found.groupBy(*by, F.col("d.gt").alias("gt"), F.col("d.ocr").alias("ocr")).agg(F.count("*").alias("n"))
 
 

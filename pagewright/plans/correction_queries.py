@@ -1,8 +1,9 @@
 """Queries on fuzzy dictionaries, spelling, correction by transcription and evaluation.
 
 The recognised text is a noised copy of the given one: by a word's place, an
-`e` becomes a `c`, or the last letter is lost. Lines are as wide as a printed
-page's: LINE_WORDS words at most.
+`e` becomes a `c`, or the last letter is lost. Queries that SQL is compared with
+have lines as wide as a printed page's, LINE_WORDS words at most, as its distance
+counts bytes and is quadratic; those named `_whole` score the lines as they are.
 
 DuckDB counts an edit distance in bytes. So its SQL takes distances of texts in
 which the letters beyond ASCII that occur stand as control characters, which do
@@ -63,6 +64,13 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "lang", "line_idx", F.array_join("w", " ").alias("gt"), F.array_join(noised(F.col("w")), " ").alias("ocr"))
 
 
+def whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_lines with every line as it is, however long."""
+    lines = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_idx", "line"))
+    words = lines.withColumn("w", split_words(F.col("line")))
+    return words.select("doc_id", "lang", "line_idx", F.array_join("w", " ").alias("gt"), F.array_join(noised(F.col("w")), " ").alias("ocr"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, copy, text: a turn that is there again, by number, is a further copy."""
     order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
@@ -114,6 +122,29 @@ def word_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.differences(document_lines(spark, sf_dir), ["lang"], words=True)
 
 
+def error_rates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.error_rates(whole_lines(spark, sf_dir), ["lang"])
+
+
+def line_errors_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.line_errors(whole_lines(spark, sf_dir)).select("doc_id", "line_idx", "char_errors", "n_chars", "word_errors", "n_words")
+
+
+def character_differences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.differences(whole_lines(spark, sf_dir), ["lang"])
+
+
+def word_differences_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.differences(whole_lines(spark, sf_dir), ["lang"], words=True)
+
+
+def difference_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By document, how many characters and words differ: as many as the edit distances of its lines."""
+    lines = document_lines(spark, sf_dir)
+    counted = lambda words, name: E.differences(lines, ["doc_id"], words).groupBy("doc_id").agg(F.sum("n").alias(name))
+    return counted(False, "characters").join(counted(True, "words"), "doc_id", "full").select("doc_id", "characters", "words")
+
+
 def dictionary(words: DataFrame) -> DataFrame:
     """Words as given, and how often."""
     return W.dictionary(words, ["lang"], "gt")
@@ -229,7 +260,7 @@ def service_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        error_rates_by_lang, error_rates_by_document, character_errors, line_errors, evaluation_pairs, character_differences, word_differences, fuzzy_closest, spell_top1,
+        error_rates_by_lang, error_rates_by_document, character_errors, line_errors, evaluation_pairs, character_differences, word_differences, error_rates_whole, line_errors_whole, character_differences_whole, word_differences_whole, difference_totals, fuzzy_closest, spell_top1,
         spell_in_context, fuzzy_closest_two, fuzzy_closest_by_length, spell_top1_two, spell_top1_exchanges, spell_in_context_two, coverage, uncovered_runs, ngram_matches, ngram_matches_plain, match_order, match_sets, transcription_correction, line_correction, service_lines,
     )
 }
@@ -325,6 +356,10 @@ WITH {SQL_LINES.replace(BY, "lang")} SELECT doc_id, line_idx::INTEGER AS line_id
 WITH {SQL_LINES.replace(BY, "doc_id")}
 SELECT doc_id::VARCHAR AS pair, doc_id::VARCHAR || ' (orig).txt' AS gt_name, doc_id::VARCHAR || '.txt' AS ocr_name, n_lines, chars + n_lines - 1 AS n_characters, n_words,
        CASE WHEN chars = 0 THEN (ce > 0)::INTEGER::DOUBLE ELSE ce::DOUBLE / chars * chars / (chars + n_lines - 1) END AS cer, {SQL_RATE.format("we", "n_words")} AS wer FROM rates
+""",
+    "difference_totals": f"""
+WITH {SQL_LINES.replace(BY, "doc_id")}
+SELECT doc_id, nullif(sum(char_errors), 0)::BIGINT AS characters, nullif(sum(word_errors), 0)::BIGINT AS words FROM scored GROUP BY doc_id HAVING sum(char_errors) > 0 OR sum(word_errors) > 0
 """,
     "fuzzy_closest": f"WITH {SQL_NEAR_ONE.format(least=1)} {SQL_CLOSEST}",
     "fuzzy_closest_two": f"WITH {SQL_NEAR_TWO.format(least=1)} {SQL_CLOSEST}",

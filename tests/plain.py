@@ -28,3 +28,13 @@ def greedy_sets(matches, n, least=1):
         touches = lambda m: any(abs(m[1] - c[1]) < n or abs(m[2] - c[2]) < n for c in chosen)  # noqa: B023, E731
         rest = [m for m in rest if not touches(m)]
     return out
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.unions import union
-from pagewright.operators import evaluation as E, fuzzy as Z, line_correction as L, spelling as S, transcription as C
-from plain import greedy_sets as plain_sets, osa
+from pagewright.operators import alignment, evaluation as E, fuzzy as Z, line_correction as L, spelling as S, transcription as C
+from pagewright.plans import correction_queries as Q
+from plain import greedy_sets as plain_sets, levenshtein, osa
 
 
 def words(spark, *docs):
@@ -130,6 +131,54 @@ def test_evaluation_goldens(spark):
     assert found == {"x :: s": 1, "s :: x": 1}
 
 
+def test_alignments_are_smallest():
+    """As many edits as the edit distance, on 1,000 random pairs, with and without halving; and what is equal stands in both."""
+    rng = random.Random(8)
+    for _ in range(1000):
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        for bits in (1 << 28, 4, 20):
+            found = alignment.edits(a, b, bits)
+            lost, new = {i for i, _ in found}, {j for _, j in found}
+            assert len(found) == levenshtein(a, b)
+            assert [x for i, x in enumerate(a) if i not in lost] == [y for j, y in enumerate(b) if j not in new]
+            assert all(i is None or j is None or a[i] != b[j] for i, j in found)
+
+
+def test_differences_do_not_depend_on_length(spark):
+    """One changed word of 150 to 400 words is one difference, and ten characters lost are ten."""
+    rows = []
+    for n in (150, 190, 200, 260, 400):
+        words_ = [f"w{i % 7}x" for i in range(n)]
+        rows.append((n, " ".join(words_), " ".join([*words_[:99], "other", *words_[100:]])))
+    pairs = spark.createDataFrame(rows, "id int, gt string, ocr string")
+    assert {(r["id"], r["gt"], r["ocr"], r["n"]) for r in E.differences(pairs, ["id"], words=True).collect()} == {(n, "w1x", "other", 1) for n, _, _ in rows}
+    by_char = E.differences(pairs, ["id"]).groupBy("id").agg(F.sum("n").alias("n")).collect()
+    assert {r["n"] for r in by_char} == {levenshtein("w1x", "other")}
+
+
+def test_characters_are_grapheme_clusters(spark):
+    family = "\U0001f468\u200d\U0001f469\u200d\U0001f467"
+    pairs = [(1, "caf\u00e9 au lait", "cafe\u0301 au lait"), (2, family + " x", "y x"), (3, "a\u0323\u0301b", "ab"), (4, "plain", "plane")]
+    df = spark.createDataFrame(pairs, "id int, gt string, ocr string")
+    got = {r["id"]: (r["char_errors"], r["n_chars"], r["word_errors"], r["n_words"]) for r in E.line_errors(df).collect()}
+    assert got == {1: (0, 12, 0, 3), 2: (1, 3, 1, 1), 3: (1, 2, 1, 1), 4: (2, 5, 1, 1)}
+    found = {(r["id"], r["gt"], r["ocr"]) for r in E.differences(df.filter("id < 4"), ["id"]).collect()}
+    assert found == {(2, family, "y"), (3, "\u1ea1\u0301", "a")}
+
+
+def test_whole_lines_against_plain_python(spark):
+    """Lines of both sides of 200 words as the queries take them."""
+    lines = Q.whole_lines(spark, "/root/testdata/sf0.001").filter("length(gt) < 3000").limit(400).cache()
+    rows = {(r["doc_id"], r["line_idx"]): r for r in E.line_errors(lines).collect()}
+    for r in rows.values():
+        fix = lambda t: E.characters(t.replace("\u2019", "'"))
+        assert (r["char_errors"], r["n_chars"]) == (levenshtein(fix(r["gt"]), fix(r["ocr"])), len(fix(r["gt"])))
+        assert r["word_errors"] == levenshtein(*(E.words_of(r[c].replace("\u2019", "'")) for c in ("gt", "ocr")))
+    for words_, column in ((False, "char_errors"), (True, "word_errors")):
+        counted = {(r["doc_id"], r["line_idx"]): r["n"] for r in E.differences(lines, ["doc_id", "line_idx"], words_).groupBy("doc_id", "line_idx").agg(F.sum("n").alias("n")).collect()}
+        assert counted == {k: r[column] for k, r in rows.items() if r[column]}
+
+
 def test_word_codes_beyond_the_surrogates(spark):
     """More distinct words than there are characters before the surrogates, one of them changed and one lost."""
     gt = [f"w{i}" for i in range(36_000)]
