@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from html import escape
 
 import numpy as np
@@ -23,10 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import offsets, small_batches, strings, unit_hash
-from .html_blocks import Block, blocks, features
+from .html_blocks import CONTENT, NAMES, SIGNS, blocks, features
 
 #: Pages of the table whose texts fill the labelled pages, about, and labelled pages made.
 SAMPLE_PAGES, LABELLED = 200, 3000
+#: Characters that a page of the sample has at most, so that the sample is bounded in bytes, too.
+SAMPLE_CHARS = 200_000
+#: Rounds of training at most, and the gain in log-likelihood per block, over so many rounds, below which they end.
+ROUNDS, GAIN, SPAN = 150, 5e-4, 10
 OTHER, MAIN = 0, 1
 
 
@@ -65,7 +69,7 @@ class Field:
         return labels[::-1]
 
 
-def fit_field(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150, ridge: float = 0.3) -> Field:
+def fit_field(pages: list[tuple[list[list[str]], list[int]]], rounds: int = ROUNDS, ridge: float = 0.3) -> Field:
     """Maximum-likelihood weights (with a ridge) by gradient ascent with adaptive steps, from pages' features and labels."""
     names = sorted({x for f, _ in pages for b in f for x in b})
     number = {x: i for i, x in enumerate(names)}
@@ -91,6 +95,7 @@ def fit_field(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150,
     true_pairs = np.zeros((2, 2))
     np.add.at(true_pairs, (labels[at - 1], labels[at]), 1)
     true = counts(hard, true_pairs, hard[starts[:-1]].sum(axis=0))
+    history: list[float] = []
     for _ in range(rounds):
         emit = np.column_stack([np.bincount(rows, weights[0][cols, k], len(labels)) for k in (0, 1)])
         forward, backward = np.zeros_like(emit), np.zeros_like(emit)
@@ -104,6 +109,12 @@ def fit_field(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150,
         total = np.repeat(np.logaddexp.reduce(forward[starts[1:] - 1], axis=1), lengths)
         marginal = np.exp(forward + backward - total[:, None])
         joint = forward[at - 1][:, :, None] + weights[1] + (emit[at] + backward[at])[:, None, :] - total[at][:, None, None]
+        # The likelihood per block: what the true labels score, less what all labels of a page do together.
+        likely = sum(float((a * w).sum()) for a, w in zip(true, weights)) - float(total[starts[:-1]].sum())
+        likely /= len(labels)
+        history.append(likely)
+        if len(history) > SPAN and history[-1] - max(history[:-SPAN]) < GAIN:
+            break
         found = counts(marginal, np.exp(joint).sum(axis=0), marginal[starts[:-1]].sum(axis=0))
         for k, w in enumerate(weights):
             slope = true[k] - found[k] - ridge * w
@@ -112,19 +123,7 @@ def fit_field(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150,
     return Field({x: (float(a), float(b)) for x, (a, b) in zip(names, weights[0])}, weights[1], weights[2])
 
 
-#: Names that pages give to parts beside the main text and to the main text, and short texts found in those parts.
-NAMES = {
-    "nav": ["nav", "menu", "navbar", "breadcrumb", "breadcrumbs", "navigation", "topbar", "tabs", "pagination", "toc"],
-    "header": ["header", "masthead", "site-header", "banner", "branding", "top"],
-    "footer": ["footer", "site-footer", "bottom", "copyright", "colophon", "legal"],
-    "aside": ["sidebar", "side", "aside", "widget", "related", "recommended", "trending", "more-links", "rail", "recent", "popular", "tags"],
-    "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "sponsor", "banner-ad", "adsense", "promotion"],
-    "notice": ["cookie", "cookies", "consent", "notice", "gdpr", "alert", "popup", "modal", "overlay", "banner", "privacy", "disclaimer", "message"],
-    "form": ["form", "newsletter", "subscribe", "signup", "login", "search", "contact-form", "search-form"],
-    "comments": ["comments", "comment", "responses", "discussion", "replies", "reader-comments", "disqus", "comment-list", "feedback"],
-    "share": ["share", "social", "social-links", "follow", "author-box"],
-}
-CONTENT = ["content", "post", "entry", "article", "story", "main", "entry-content", "post-body", "article-body", "text", "body-text", "page"]
+#: Short texts found in the parts beside the main text.
 NOTICES = ["We use cookies to improve this site.", "Accept all", "Subscribe to our newsletter", "Sign in", "Your email", "All rights reserved.", "Advertisement", "Sponsored", "Read more", "Share this", "Reply", "Search", "Home", "About", "Contact", "Privacy policy", "Terms of use", "Buy now", "See our latest offer", "Follow us", "Next", "Back to top", "Related posts", "Most popular"]
 PEOPLE = "Ann Bob Carla Dmitri Elif Femi Greta Hugo Inés Jun Kofi Lena Marc Nadia Omar Pia Quentin Rosa Sven Tove Uma Viktor Wanda Xin Yusuf Zoe".split()
 TALK = ["Comments", "{n} comments", "Comments ({n})", "Responses", "Discussion", "What readers say", "Reader opinions", "Join the discussion", "{n} replies", "Leave a reply"]
@@ -163,7 +162,9 @@ class Layout:
         return self.mark(self.rng.choice([self.few(1, 4), self.rng.choice(NOTICES)]), False)
 
     def brief(self, main: bool) -> str:
-        """One or two short sentences."""
+        """One or two short sentences, now and then a word or two alone."""
+        if self.maybe(0.15):
+            return self.mark(self.few(1, 3).rstrip(".,") + self.rng.choice(["", "."]), main)
         return self.mark(" ".join(self.few(2, 7).rstrip(".,") + "." for _ in range(self.rng.randint(1, 2))), main)
 
     def name(self, kind: str) -> str:
@@ -211,6 +212,22 @@ class Layout:
             return "<ul>" + "".join(f"<li>{x}</li>" for x in [text, *[self.brief(main) for _ in range(self.rng.randint(0, 3))]]) + "</ul>"
         return f"<h2>{self.title()}</h2><p>{text}</p>" if main else f"<p>{text}</p>"
 
+    def section(self) -> str:
+        """A heading that holds a word of controls or comments, above prose of the article."""
+        sign = self.rng.choice(sorted(SIGNS)).capitalize()
+        said = self.rng.choice([f"{sign} {self.few(1, 4)}", f"{self.few(1, 3)} {sign.lower()}", sign])
+        return self.wrap(self.rng.choice(["h2", "h3", "h4"]), "", self.mark(said, True)) + "".join(self.paragraph() for _ in range(self.rng.randint(1, 2)))
+
+    def steps(self) -> str:
+        """A list of short items."""
+        end = self.rng.choice([".", ".", ""])
+        items = [self.mark(self.few(1, 5).rstrip(".,") + end, True) for _ in range(self.rng.randint(2, 7))]
+        return self.wrap(self.rng.choice(["ol", "ol", "ul"]), "", "".join(f"<li>{x}</li>" for x in items))
+
+    def broken(self, least: int = 1) -> str:
+        """Paragraphs parted by line breaks alone."""
+        return self.rng.choice(["<br><br>", "<br/><br/>", "<br>\n<br>"]).join(self.rng.choice([self.long, self.long, self.brief])(True) for _ in range(self.rng.randint(least, 5)))
+
     def comments(self) -> str:
         """Readers' comments: like items of a name, a date, some text and a control or two."""
         rng = self.rng
@@ -272,6 +289,12 @@ class Layout:
         if heading and not self.bare and self.maybe(0.3):
             heading = f"<header{rng.choice(['', self.name('content')])}>{heading}</header>"
         inside = [self.wrap("p" if not self.bare else "div", "", self.brief(True))] if few else [self.paragraph() for _ in range(rng.randint(1, 8))]
+        if self.maybe(0.12):
+            inside = [self.broken()]
+        if self.maybe(0.2):
+            inside.append(self.section())
+        if self.maybe(0.2):
+            inside.insert(rng.randint(0, len(inside)), self.steps())
         for kind in rng.sample(["ad", "share", "aside", "form", "notice", "hidden", "hidden"], rng.choice([0, 0, 0, 1, 1, 2])):
             inside.insert(rng.randint(0, len(inside)), self.part(kind))
         if self.bare and self.maybe(0.3):
@@ -287,7 +310,26 @@ class Layout:
     def page(self) -> str:
         rng = self.rng
         plenty = rng.choice([0, 0.3, 0.45, 0.45])
+        form = rng.random()
         head = f"<head><title>{self.mark(self.few(2, 8), False)}</title></head>" if self.maybe(0.85) else ""
+        if form > 0.985:  # nothing but a text
+            text = rng.choice([lambda: self.mark(self.few(1, 6), True), lambda: self.brief(True), lambda: self.long(True)])()
+            return rng.choice([text, f"<html><body>{text}</body></html>", self.wrap(rng.choice(["span", "p", "div"]), "", text)])
+        if form < 0.06:  # no element around the text at all
+            title = rng.choice(["", self.title() + "<br><br>", f"<b>{self.title()}</b><br><br>", f"<h1>{self.title()}</h1>"])
+            links = self.rng.choice([" | ", " ", " - "]).join(f'<a href="/{i}">{self.short()}</a>' for i in range(rng.randint(2, 6)))
+            foot = self.mark(rng.choice(["© 2020 ", "Copyright 2019 ", "(c) "]) + self.few(1, 3), False)
+            text = rng.choice([lambda: self.broken(), lambda: self.long(True), lambda: self.brief(True), lambda: self.mark(self.few(1, 3), True), lambda: self.broken(2)])()
+            parts = [links if self.maybe(0.5) else "", title + text, foot if self.maybe(0.5) else ""]
+            body = rng.choice(["<br><br>", "<hr>"]).join(x for x in parts if x)
+            return rng.choice([f"<html>{head}<body>{body}</body></html>", head + body, body])
+        if form < 0.13:  # laid out by a table
+            cell = lambda x, more="": f"<td{more}>{x}</td>"
+            side = [cell(self.links(rng.randint(2, 6)), rng.choice(["", ' width="20%"', ' class="menu"']))] if self.maybe(0.8) else []
+            top = f"<tr>{cell(rng.choice([self.links(rng.randint(2, 6)), self.short()]))}</tr>" if self.maybe(0.6) else ""
+            row = [*side, cell(rng.choice([self.content, self.content, lambda: self.broken(2)])())]
+            foot = f"<tr>{cell(self.mark(rng.choice(['© 2020 ', 'Copyright 2019 ']) + self.few(1, 3), False))}</tr>" if self.maybe(0.7) else ""
+            return f"<html>{head}<body><table>{top}<tr>{''.join(row if self.maybe(0.8) else row[::-1])}</tr>{foot}</table></body></html>"
         before = [self.part(k) for k in ("header", "nav", "notice", "ad", "form", "aside", "hidden") if self.maybe(plenty)]
         middle = self.content()
         after = [self.part(k) for k in ("comments", "aside", "ad", "form", "share", "notice", "footer", "hidden") if self.maybe(plenty)]
@@ -309,13 +351,13 @@ def labelled(rng: random.Random, texts: list[str]) -> tuple[list[list[str]], lis
         first, _, rest = b.text.partition("\x03")
         labels.append(int(marks[int(first.rpartition("\x02")[2])]))
         plain = " ".join(x.rpartition("\x02")[0] if "\x02" in x else x for x in rest.split("\x03")).strip() or "x"
-        clean.append(Block(plain, b.tags, b.names, min(b.linked, len(plain)), b.path))
+        clean.append(replace(b, text=plain, linked=min(b.linked, len(plain))))
     return features(clean), labels
 
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES, made: int = LABELLED, seed: int = 4) -> Field:
-    """Fit a field on `made` labelled pages around texts of about `sample` pages, chosen by a hash of page_id."""
-    usable = pages.select("page_id", "html").filter(F.col("html").isNotNull() & F.col("page_id").isNotNull())
+    """Fit a field on `made` labelled pages around texts of about `sample` pages of at most SAMPLE_CHARS, chosen by a hash of page_id."""
+    usable = pages.select("page_id", "html").filter((F.length("html") <= SAMPLE_CHARS) & F.col("page_id").isNotNull())
     n = usable.select("page_id").count()
     rows = usable.filter(unit_hash(F.col("page_id"), F.lit(seed)) < min(1.0, sample / max(n, 1))).orderBy("page_id").limit(2 * sample).collect()
     texts = [b.text for r in rows for b in blocks(r["html"]) if len(b.text) > 20 and b.text.count(" ") > 2] or ["A sentence of some length. Another one follows it."]

@@ -93,3 +93,73 @@ PROBES = [
     ("drawing", f"<html><body><article><svg><title>logo</title><text>Valley</text></svg><h1>High water</h1><p>{LEAD}</p></article></body></html>", f"High water {LEAD}"),
     ("nothing but a menu", f"<html><body>{NAV}</body></html>", ""),
 ]
+
+STEPS = ["Wash the leaves.", "Add salt.", "Stir.", "Serve."]
+
+#: Written after the features were fixed: what an earlier version got wrong, and pages of other kinds.
+LATER = [
+    ("text alone", "hello", "hello"),
+    ("text in body alone", "<html><body>hi there</body></html>", "hi there"),
+    ("text in a span alone", "<span>Closed on Monday.</span>", "Closed on Monday."),
+    ("text before a block", f"{LEAD} <p>{MORE}</p>", f"{LEAD} {MORE}"),
+    ("line breaks alone", f"<html><body>{LEAD}<br><br>{MORE}<br><br>{LAST}</body></html>", BODY),
+    ("line breaks below a title", f"<html><head><title>x</title></head><body><b>High water</b><br><br>{LEAD}<br><br>{MORE}</body></html>", f"High water {LEAD} {MORE}"),
+    (
+        "line breaks between links and a notice",
+        f'<html><body><a href="/">Home</a> | <a href="/n">News</a> | <a href="/c">Contact</a><br><br>{LEAD}<br><br>{MORE}<br><br>© 2021 Valley News</body></html>',
+        f"{LEAD} {MORE}",
+    ),
+    (
+        "short steps",
+        f"<html><body>{NAV}<article><h1>Nettle soup</h1><p>{LEAD}</p><ol>{''.join(f'<li>{x}</li>' for x in STEPS)}</ol><p>{LAST}</p></article>{FOOT}</body></html>",
+        f"Nettle soup {LEAD} {' '.join(STEPS)} {LAST}",
+    ),
+    (
+        "comments from the mayor",
+        f"<html><body>{NAV}<article><h1>High water</h1><p>{LEAD}</p><h3>Comments from the mayor</h3><p>{MORE}</p><p>{LAST}</p></article>{FOOT}</body></html>",
+        f"High water {LEAD} Comments from the mayor {MORE} {LAST}",
+    ),
+    (
+        "a section on privacy",
+        f"<html><body>{NAV}<main><h1>Cameras in the valley</h1><p>{LEAD}</p><h2>What about privacy?</h2><p>{MORE}</p></main>{FOOT}</body></html>",
+        f"Cameras in the valley {LEAD} What about privacy? {MORE}",
+    ),
+    (
+        "tables for layout",
+        '<html><body><table width="100%"><tr><td colspan="2"><a href="/">Home</a> <a href="/news">News</a> <a href="/about">About</a></td></tr><tr><td><a href="/1">Mills</a><br><a href="/2">Bridges</a></td>'
+        f"<td><h1>High water</h1><p>{LEAD}</p><p>{MORE}</p></td></tr><tr><td colspan='2'>Copyright 2021 Valley News</td></tr></table></body></html>",
+        f"High water {LEAD} {MORE}",
+    ),
+    ("no scripts", f"<html><body><noscript>Please turn on scripts.</noscript><article><h1>High water</h1><p>{LEAD}</p></article></body></html>", f"High water {LEAD}"),
+    (
+        "an interview",
+        f"<html><body>{NAV}<article><h1>The ferryman</h1><p><b>Were you afraid?</b></p><p>No.</p><p><b>And now?</b></p><p>{MORE}</p></article>{FOOT}</body></html>",
+        f"The ferryman Were you afraid? No. And now? {MORE}",
+    ),
+    (
+        "a news list beside",
+        f'<html><body>{NAV}<div class="content"><h1>High water</h1><p>{LEAD}</p><p>{MORE}</p></div><div class="sidebar"><h3>Most popular</h3><p>The new school opens its doors to all children of the valley.</p></div>{FOOT}</body></html>',
+        f"High water {LEAD} {MORE}",
+    ),
+    (
+        "comments in a section of their own",
+        f'<html><body><article><h1>High water</h1><p>{LEAD}</p><p>{MORE}</p></article><section class="discussion"><h2>12 comments</h2><div><strong>Omar</strong><time>3 May 2021</time><p>{LAST}</p></div>'
+        "<div><strong>Sven</strong><time>4 May 2021</time><p>Glad that everybody is safe. The fire brigade did great work.</p></div></section></body></html>",
+        f"High water {LEAD} {MORE}",
+    ),
+    (
+        "a definition list",
+        f"<html><body>{NAV}<main><h1>Words of the river</h1><p>{LEAD}</p><dl><dt>Weir</dt><dd>A low wall across the river that holds the water back.</dd><dt>Race</dt><dd>The channel that leads to the wheel.</dd></dl></main>{FOOT}</body></html>",
+        f"Words of the river {LEAD} Weir A low wall across the river that holds the water back. Race The channel that leads to the wheel.",
+    ),
+    (
+        "breadcrumbs and sharing",
+        f'<html><body><div class="breadcrumbs"><a href="/">Home</a> &gt; <a href="/n">News</a> &gt; High water</div><article><h1>High water</h1><div class="share"><a href="#">Share</a> <a href="#">Tweet</a></div><p>{LEAD}</p><p>{MORE}</p></article>{FOOT}</body></html>',
+        f"High water {LEAD} {MORE}",
+    ),
+    (
+        "a line of poetry at a time",
+        "<html><body><div class='poem'><h2>The weir</h2><p>The water comes,<br>the water goes,<br>and what it takes<br>nobody knows.</p></div></body></html>",
+        "The weir The water comes, the water goes, and what it takes nobody knows.",
+    ),
+]

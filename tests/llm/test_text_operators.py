@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import html_blocks, html_extract, language_id, license_scan, mixing, piece_sampling, quality_rules, token_counts, toxicity
 from pagewright.llm.queries import tokenizer_path
-from page_probes import PROBES
+from page_probes import LATER, PROBES
 
 WORDS = {"en": "the of and with that from this have were there which".split(), "de": "der die und nicht eine werden über für mit schön".split()}
 
@@ -493,7 +493,7 @@ def test_blocks():
 
 def test_attributes_and_hidden_parts():
     names = lambda page: [sorted(b.names) for b in html_blocks.blocks(page)]
-    assert names('<div data-id="ad" xclass=nav>a</div>') == [[]] and names("<div id=ad class='x nav'>a</div>") == [["ad", "nav", "x"]]
+    assert names('<div data-id="ad" xclass=nav>a</div>') == [[]] and names("<div id=ad class='x nav'>a</div>") == [["ad", "nav"]]
     assert names('<p style="color:red;display : none">a<p hidden>b<p aria-hidden="true">c') == [["hidden"], ["hidden"], ["ariahidden"]]
     assert [b.text for b in html_blocks.blocks('<p class="a" ">one</p><p title="x > y">two</p><p title=\'">three</p><p>a<i hidden>b</i>c</p>')] == ["one", "two", "three", "a", "b", "c"]
     assert [b.text for b in html_blocks.blocks("<p>a<svg><text>b</text></svg>c</p>")] == ["ac"]
@@ -516,11 +516,25 @@ def test_html_extraction(spark, field):
     assert isinstance(html_extract.main_text(html_extract.train(pages.limit(0), made=20), PAGE)[0], str)
 
 
-@pytest.mark.parametrize("kind, page, want", PROBES, ids=[p[0] for p in PROBES])
+@pytest.mark.parametrize("kind, page, want", PROBES + LATER, ids=[p[0] for p in PROBES + LATER])
 def test_pages_written_by_hand(field, kind, page, want):
     assert html_extract.main_text(field, page)[0] == want
 
 
+def test_blocks_cost_grows_with_the_page():
+    """Elements left open, nested or not, do not make later blocks dearer; nor do pages without any block element crash."""
+    for make in (lambda n: "<b>" * n + "<p>x</p>" * n, lambda n: "<div>x" * n, lambda n: "<b><p>x" * n, lambda n: "<i class='x'><p>x" * n, lambda n: "<center>" * n + "<p>x</p>" * n, lambda n: "<b>x</i>" * n):
+        took = []
+        for n in (3000, 12_000):
+            began = time.process_time()
+            html_blocks.features(html_blocks.blocks(make(n)))
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5
+    for page in ("hello", "<b>x", "<html>x", "<br><br>", "a<br><br>b"):
+        assert all(html_blocks.features(html_blocks.blocks(page)))
+    assert [b.text for b in html_blocks.blocks("a<br>b<br>\n<br/>c")] == ["a b", "c"]
+
+
 def test_field_on_held_out_layouts():
     rng = random.Random(11)
     texts = [f"Sentence number {i} of a text. It has some words, and then it ends." for i in range(30)]
