@@ -1,4 +1,10 @@
-"""Token counts: batch encoding in Arrow functions that return lengths only."""
+"""Token counts: batch encoding in Arrow functions that return lengths only.
+
+Texts go to the encoder in packs of like bytes, split at safe boundaries. A
+byte-level tokenizer splits before white space, so a text is cut before every
+single space there, and a pack's different pieces are encoded once: running text
+repeats most of its words. Lengths of pieces are kept for later packs of a task.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +21,14 @@ from .common import small_batches, strings
 
 #: Characters above which a text is split, and bytes encoded at once.
 PIECE_CHARS, PACK_BYTES = 20_000, 1 << 20
+#: Pieces whose lengths a task keeps, and characters of a piece worth keeping.
+KEPT, KEPT_CHARS = 1 << 19, 64
+
 #: A place where no pre-token of a byte-level tokenizer can reach across: white space after something else. The tokenizer's white
 #: space is Unicode's, which lacks four control characters that Python's has.
 BOUNDARY = re.compile(r"(?<=\S)(?=[^\S\x1c-\x1f])")
+#: A space after white space, or a sign that words() uses itself.
+UNEVEN = re.compile(r"\s |\A |\0")
 
 
 def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
@@ -37,11 +48,19 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
     return [*out, text[start:]]
 
 
+def words(text: str) -> list[str]:
+    """Cut a text at all its safe boundaries, but in even texts, where each space is one, at spaces alone."""
+    if not text:
+        return []
+    return BOUNDARY.split(text) if UNEVEN.search(text) else text.replace(" ", "\0 ").split("\0")
+
+
 class Counter:
     """Counts tokens with a `tokenizers` file (.json) or a `sentencepiece` file (.model)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.known: dict[str, int] = {}
         if path.endswith(".json"):
             import json
 
@@ -78,21 +97,55 @@ class Counter:
         return [len(x) for x in self.processor.encode(texts, num_threads=1)]
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text; long texts are cut, and packs of pieces of like bytes go to the encoder together."""
-        parts, owner = [], []
-        for i, t in enumerate(texts):
-            for p in pieces(t) if self.splits else [t]:
-                parts.append(p)
-                owner.append(i)
+        """Tokens of each text; packs of texts of like bytes go to the encoder together."""
+        return self._by_word(texts) if self.splits else self._whole(texts)
+
+    def _by_word(self, texts: list[str]) -> np.ndarray:
+        out, pack, size = [], [], 0
+        for t in texts:
+            cut = words(t)
+            pack.append(cut)
+            size += len(t)
+            if size >= PACK_BYTES:
+                out += self._sums(pack)
+                pack, size = [], 0
+        return np.array(out + self._sums(pack), np.int64)
+
+    def _sums(self, pack: list[list[str]]) -> list[int]:
+        """Tokens of texts that are cut into pieces, each different piece encoded once."""
+        if len(self.known) > KEPT:
+            self.known.clear()
+        new = list(set().union(*pack).difference(self.known))
+        at = 0
+        while at < len(new):  # pieces of a pack may be longer than the pack's share
+            end, size = at, 0
+            while end < len(new) and size < PACK_BYTES:
+                size += len(new[end])
+                end += 1
+            self.known.update(zip(new[at:end], self._lengths_of(new[at:end])))
+            at = end
+        get = self.known.__getitem__
+        sums = [sum(map(get, cut)) for cut in pack]
+        for x in new:
+            if len(x) > KEPT_CHARS:
+                del self.known[x]
+        return sums
+
+    def _lengths_of(self, found: list[str]) -> list[int]:
+        """Tokens of pieces; those too long for one call are cut again."""
+        if max(map(len, found)) <= PIECE_CHARS:
+            return self.lengths(found)
+        return [sum(self.lengths(pieces(x))) for x in found]
+
+    def _whole(self, texts: list[str]) -> np.ndarray:
         got, pack, size = [], [], 0
-        for p in parts:
-            pack.append(p)
-            size += len(p.encode("utf-8", "surrogatepass"))
+        for t in texts:
+            pack.append(t)
+            size += len(t.encode("utf-8", "surrogatepass"))
             if size >= PACK_BYTES:
                 got += self.lengths(pack)
                 pack, size = [], 0
-        got += self.lengths(pack) if pack else []
-        return np.bincount(np.array(owner, np.int64), np.array(got, np.float64), len(texts)).astype(np.int64)
+        return np.array(got + (self.lengths(pack) if pack else []), np.int64)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -237,7 +237,7 @@ def test_toxic_exceptions_and_longest_entry():
     assert raw.tolist() == [6.0, 0.0, 0.0, 0.0] and hits.tolist() == [3, 0, 0, 0] and words.tolist() == [3, 3, 0, 1]
 
 
-def test_token_counts(spark):
+def test_token_counts(spark, monkeypatch):
     path = tokenizer_path("byte_bpe_50k.json")
     counter = token_counts.Counter(path)
     rng = random.Random(6)
@@ -247,6 +247,15 @@ def test_token_counts(spark):
     for t, n in zip(texts, whole):
         parts = token_counts.pieces(t, 7)
         assert "".join(parts) == t and sum(len(counter.tokenizer.encode(p, add_special_tokens=False).ids) for p in parts) == n
+    for t in [*texts, "a b  c\n d", "a\0 b", " x y", "x\u00a0 y", "one two\nthree four", "\x1c a"]:
+        assert "".join(token_counts.words(t)) == t
+    for most in (0, 5):  # whatever is kept between packs
+        monkeypatch.setattr(token_counts, "KEPT", most)
+        monkeypatch.setattr(token_counts, "KEPT_CHARS", most)
+        monkeypatch.setattr(token_counts, "PACK_BYTES", 300)
+        monkeypatch.setattr(token_counts, "PIECE_CHARS", 50)
+        assert token_counts.Counter(path).counts([*texts, "new\nlines " * 90, *texts]).tolist() == [*whole, len(counter.tokenizer.encode("new\nlines " * 90, add_special_tokens=False).ids), *whole]
+    monkeypatch.undo()
     odd = "!!\x1c!!\x1d\x1e a\x1fb "
     assert sum(len(counter.tokenizer.encode(p, add_special_tokens=False).ids) for p in token_counts.pieces(odd * 30, 5)) == len(counter.tokenizer.encode(odd * 30, add_special_tokens=False).ids)
     long = "The quick brown fox, it's 12 years old — naïve.\n\n  " * 8000
