@@ -152,7 +152,7 @@ def block_edges(fps: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def edges_of(bucket: np.ndarray, fps: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges of the links in each bucket of rows that are sorted by bucket. Small buckets are compared together, by their distance in the rows."""
+    """Spanning edges of what links connect in each bucket of rows that are sorted by bucket. Small buckets are compared together, by their distance in the rows."""
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     starts, sizes = edges[:-1], np.diff(edges)
     small = np.repeat(sizes <= FEW, sizes)
@@ -193,11 +193,12 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def linking_edges(classes: DataFrame, total: int) -> DataFrame:
-    """Edges (a, b) between different fingerprints that link, enough to connect all that links connect. classes: fp, each once, `total` rows."""
+    """Edges (a, b) between different fingerprints that links connect, enough to connect all of those. classes: fp, each once, `total` rows."""
     rows = classes.select("fp", F.explode(variants("fp")).alias("bucket"))
-    sizes = settle(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    met = spread_join(rows, sizes, "bucket", hot_keys(sizes, "bucket", "n", BITS * total))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    # Only what is too large for one task has to be known before the rows meet.
+    large = settle(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK))
+    met = spread_join(rows, large, "bucket", hot_keys(large, "bucket", "n", BITS * total), "left")
+    blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     dealt = met.select("fp", "bucket", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("mine"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("int")
