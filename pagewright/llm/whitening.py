@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import offsets, small_batches
 
 #: How a component becomes a whole number, and the components returned.
 SCALE, SHIFT, COMPONENTS = 64, 1_000_000, 32
@@ -44,17 +44,17 @@ class Fit(NamedTuple):
     error: float | None
 
 
-def whole(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, dim and x, the whole numbers, of the rows that take part."""
-    kind = vectors.schema[vector].dataType.simpleString()
-    known = F.col(vector) if kind == "array<double>" else F.col(vector).cast("array<double>")
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float(LIMIT // SCALE)))
-    clean = vectors.select(F.col(key).alias("vec_key"), known.alias("c")).filter(F.col("c").isNotNull() & F.forall("c", finite))
-    return clean.select("vec_key", F.size("c").alias("dim"), F.transform("c", lambda c: F.floor(c * SCALE) + F.lit(SHIFT).cast("long")).alias("x"))
-
-
-def longs(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), np.int64).reshape(-1, dim)
+def by_length(keys: pa.Array, vectors: pa.ListArray) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Length, keys and whole numbers of the vectors of a batch that take part, one length after the other."""
+    there = np.flatnonzero(~np.asarray(vectors.is_null()))
+    sizes = np.asarray(vectors.take(pa.array(there)).value_lengths())
+    for dim in np.unique(sizes).tolist():
+        at = pa.array(there[sizes == dim])
+        flat = vectors.take(at).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null is not a number
+        c = flat.reshape(len(at), dim)
+        good = (np.abs(c) < LIMIT // SCALE).all(axis=1)
+        if good.any():
+            yield dim, keys.take(at.filter(pa.array(good))), np.floor(c[good] * SCALE).astype(np.int64) + SHIFT
 
 
 def in_longs(x: np.ndarray, n: int, sums: np.ndarray) -> bool:
@@ -72,45 +72,59 @@ def centred(x: np.ndarray, n: int, sums: np.ndarray) -> np.ndarray:
     return (apart(x, n, sums) / n).astype(np.float64)
 
 
-def added_up(rows: DataFrame, dim: int, part: Callable[[np.ndarray], np.ndarray], kind: type) -> np.ndarray:
-    """The sum, over batches of whole-number rows of that length, of the matrices that `part` makes of them.
+Parts = Callable[[int, np.ndarray], list[np.ndarray]]
+
+
+def added_up(vectors: DataFrame, part: Parts, kind: str) -> dict[int, list[np.ndarray]]:
+    """By length, the sums over batches of the lists of rows that `part` makes of a length and its whole numbers.
 
-    Each task adds up its batches; the tasks' matrices meet row by row, so what
-    one task adds and what the driver gets is bounded by the matrix.
+    Each task adds up its batches; the tasks' sums meet row by row, so what one
+    task adds and what the driver gets is bounded by the rows of a sum. vectors: key, vector; kind: long or double.
     """
-    arrow, name = (pa.int64(), "long") if kind is np.int64 else (pa.float64(), "double")
-    schema = pa.schema([("i", pa.int32()), ("v", pa.list_(arrow))])
+    lists = pa.list_(pa.int64() if kind == "long" else pa.float64())
+    out = pa.schema([("dim", pa.int32()), ("i", pa.int32()), ("v", lists)])
+
+    def table(total: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        dims, places = zip(*total)
+        return pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), pa.array(places, pa.int32()), pa.array(list(total.values()), lists)], schema=out)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            if b.num_rows:
-                made = part(longs(b.column(0), dim))
-                total = made if total is None else total + made
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), schema.field(1).type)], schema=schema)
+            for dim, _, x in by_length(b.column(0), b.column(1)):
+                for i, v in enumerate(part(dim, x)):
+                    total[dim, i] = total[dim, i] + v if (dim, i) in total else v
+        if total:
+            yield table(total)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            width = len(b.column(1)[0]) if b.num_rows else 0
-            for i, v in zip(b.column(0).to_pylist(), np.asarray(b.column(1).flatten()).reshape(-1, width) if width else []):
-                total[i] = total[i] + v if i in total else v.copy()
+            flat, cuts = np.asarray(b.column(2).flatten()), offsets(np.asarray(b.column(2).value_lengths()))
+            for k, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                v = flat[cuts[k] : cuts[k + 1]]
+                total[key] = total[key] + v if key in total else v.copy()
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), schema.field(1).type)], schema=schema)
+            yield table(total)
+
+    schema = f"dim int, i int, v array<{kind}>"
+    found: dict[int, list[np.ndarray]] = {}
+    for r in sorted(vectors.mapInArrow(local, schema).repartition("dim", "i").mapInArrow(meet, schema).collect()):
+        found.setdefault(r["dim"], []).append(np.array(r["v"], np.int64 if kind == "long" else np.float64))
+    return found
+
 
-    made = rows.filter(F.col("dim") == dim).select("x").mapInArrow(local, f"i int, v array<{name}>")
-    met = made.repartition("i").mapInArrow(meet, f"i int, v array<{name}>").collect()
-    return np.array([r["v"] for r in sorted(met, key=lambda r: r["i"])], kind)
+def sums_by_length(vectors: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+    """By length, the number of vectors and the sum of each component, exact: high and low halves are added up apart."""
 
+    def part(dim: int, x: np.ndarray) -> list[np.ndarray]:
+        return [(x >> 32).sum(axis=0), (x & 0xFFFFFFFF).sum(axis=0), np.array([len(x)])]
 
-def sums_of(rows: DataFrame, dim: int) -> np.ndarray:
-    """The sum of each component, exact: high and low halves are added up apart."""
-    high, low = added_up(rows, dim, lambda x: np.stack([x >> 32, x & 0xFFFFFFFF]).sum(axis=1), np.int64)
-    return high.astype(object) * (1 << 32) + low.astype(object)
+    found = added_up(vectors, part, "long")
+    return {dim: (int(n[0]), high.astype(object) * (1 << 32) + low.astype(object)) for dim, (high, low, n) in found.items()}
 
 
-def solved(y: np.ndarray, factors: list[np.ndarray]) -> np.ndarray:
+def solved(y: np.ndarray, factors: tuple[np.ndarray, ...]) -> np.ndarray:
     """Rows solved against upper triangular factors one after the other, column by column."""
     for r in factors:
         q = np.empty_like(y)
@@ -126,34 +140,43 @@ def square_root(gram: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(w, 0))[:, None] * v.T
 
 
-def orthogonalised(rows: DataFrame, dim: int, n: int, sums: np.ndarray) -> np.ndarray:
+def gram(vectors: DataFrame, dim: int, rows_of: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The Gram matrix and the sums of the rows made of the vectors of one length."""
+
+    def part(length: int, x: np.ndarray) -> list[np.ndarray]:
+        if length != dim:
+            return []
+        y = rows_of(x)
+        return [*(y.T @ y), y.sum(axis=0)]
+
+    found = np.array(added_up(vectors, part, "double")[dim])
+    return found[:-1], found[-1]
+
+
+def orthogonalised(vectors: DataFrame, dim: int, n: int, sums: np.ndarray) -> np.ndarray:
     """A square matrix with the singular values and right singular vectors of the centred rows."""
     factors: list[np.ndarray] = []
     product = np.eye(dim)
     while True:
-
-        def part(x: np.ndarray, use: tuple[np.ndarray, ...] = tuple(factors)) -> np.ndarray:
-            q = solved(centred(x, n, sums), list(use))
-            return q.T @ q
-
-        gram = added_up(rows, dim, part, np.float64)
-        w = np.linalg.eigvalsh(gram)
+        g, _ = gram(vectors, dim, lambda x, use=tuple(factors): solved(centred(x, n, sums), use))
+        w = np.linalg.eigvalsh(g)
         # Directions in which nothing varies stay at nothing; all others must have come to length one.
         if len(factors) == PASSES or not w[-1] > 0 or (len(factors) > 1 and all(abs(x - 1) <= NEAR or x <= NEAR for x in w)):
-            return square_root(gram) @ product
+            return square_root(g) @ product
         shift = 11 * (n * dim + dim * (dim + 1)) * UNIT * w[-1] * np.eye(dim)
         try:
-            r = np.linalg.cholesky(gram if factors else gram + shift).T
+            r = np.linalg.cholesky(g if factors else g + shift).T
         except np.linalg.LinAlgError:
-            r = np.linalg.cholesky(gram + shift).T
+            r = np.linalg.cholesky(g + shift).T
         factors.append(r)
         product = r @ product
 
 
-def fit(rows: DataFrame, dim: int, n: int, most: int) -> Fit:
+def fit(vectors: DataFrame, dim: int, n: int, sums: np.ndarray, most: int) -> Fit:
     """Components of the vectors of one length: variances and axes by R, then how far from the identity the whitened rows' covariance is."""
-    sums = sums_of(rows, dim)
-    _, s, vt = np.linalg.svd(orthogonalised(rows, dim, n, sums))
+    if not dim:
+        return Fit(n, sums, np.zeros((0, 0)), np.zeros(0), np.zeros(0), None)
+    _, s, vt = np.linalg.svd(orthogonalised(vectors, dim, n, sums))
     values = s * s / n
     values[values <= FLAT * values[0]] = 0
     vt *= np.where(vt[np.arange(dim), np.abs(vt).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]  # the largest entry of an axis is positive
@@ -162,14 +185,8 @@ def fit(rows: DataFrame, dim: int, n: int, most: int) -> Fit:
     alive = int(np.count_nonzero(made.values))
     if not alive:
         return made
-
-    def part(x: np.ndarray) -> np.ndarray:
-        w = whitened(x, made)[:, :alive]
-        return np.concatenate([w.T @ w, w.sum(axis=0, keepdims=True)])
-
-    total = added_up(rows, dim, part, np.float64)
-    mean = total[-1] / n
-    return made._replace(error=float(np.abs(total[:-1] / n - np.outer(mean, mean) - np.eye(alive)).max()))
+    g, total = gram(vectors, dim, lambda x: whitened(x, made)[:, :alive])
+    return made._replace(error=float(np.abs(g / n - np.outer(total, total) / n**2 - np.eye(alive)).max()))
 
 
 def whitened(x: np.ndarray, by: Fit) -> np.ndarray:
@@ -209,29 +226,24 @@ def whiten(vectors: DataFrame, most: int = COMPONENTS, key: str = "vec_id", vect
     The driver and every task hold matrices of length times length, whatever the number of rows.
     """
     small_batches(vectors.sparkSession)
-    rows = whole(vectors, key, vector)
-    kind = rows.schema["vec_key"].dataType.simpleString()
-    empty = lambda n: Fit(n, np.zeros(0, object), np.zeros((0, 0)), np.zeros(0), np.zeros(0), None)
-    lengths = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    fits = {dim: fit(rows, dim, n, most) if dim else empty(n) for dim, n in lengths.items()}
+    narrow = vectors.select(F.col(key).alias("vec_key"), F.col(vector).alias("vec"))
+    kind = narrow.schema["vec_key"].dataType.simpleString()
+    fits = {dim: fit(narrow, dim, n, sums, most) for dim, (n, sums) in sums_by_length(narrow).items()}
     lists = pa.list_(pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims = b.column(1).to_numpy()
-            for dim in np.unique(dims).tolist():
-                part = b.filter(pa.array(dims == dim))
-                x = longs(part.column(2), dim) if dim else np.zeros((part.num_rows, 0), np.int64)
+            for dim, keys, x in by_length(b.column(0), b.column(1)):
                 by = fits[dim]
                 w = whitened(x, by)
                 flat = pa.array(w.reshape(-1), pa.float64(), from_pandas=True)  # not a number is null
                 cuts = pa.array(np.arange(len(w) + 1) * w.shape[1], pa.int32())
-                same = lambda v, t: pa.array([v] * part.num_rows, t)  # noqa: B023, E731
+                same = lambda v, t: pa.array([v] * len(x), t)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), same(by.n, pa.int64()), pa.array(deviations(x, by.n, by.sums), pa.int64()), pa.ListArray.from_arrays(cuts, flat),
+                    [keys, same(by.n, pa.int64()), pa.array(deviations(x, by.n, by.sums), pa.int64()), pa.ListArray.from_arrays(cuts, flat),
                      same(by.explained.tolist(), lists), same(by.error, pa.float64())],
                     names=["vec_key", "n", "deviation", "whitened", "explained", "identity_error"],
                 )
 
-    made = rows.mapInArrow(run, f"vec_key {kind}, n long, deviation long, whitened array<double>, explained array<double>, identity_error double")
+    made = narrow.mapInArrow(run, f"vec_key {kind}, n long, deviation long, whitened array<double>, explained array<double>, identity_error double")
     return made.withColumnRenamed("vec_key", key)
