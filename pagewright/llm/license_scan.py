@@ -5,7 +5,9 @@ over words. A document is streamed through it once: at each word the automaton
 holds the longest run of words, ending there, that occurs in some template.
 Base phrases are read off the states passed (through their suffix links), and
 long maximal matches are chained, in order on both sides, into the span of each
-template that the document covers, as often as it does.
+template that the document covers, as often as it does. A match that goes on
+beyond what a template has is clipped to it: the states above a state, by their
+suffix links, are its endings, and they tell which templates have them.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,8 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 
 #: Words of a match worth chaining, and the share of a template that must be covered for its label.
 LEAST_MATCH, LEAST_COVER = 3, 0.7
+#: Words of a part of a match that counts for templates that lack the rest of it.
+LEAST_CLIP = 8
 #: Words that may stand between two matches of a span, and the share of a span's words that must be matched.
 MOST_GAP, DENSITY = 30, 0.5
 
@@ -57,6 +62,8 @@ class Automaton:
         for s in order:  # a shorter suffix ends wherever a longer one does
             if self.link[s] > 0:
                 self.ends[self.link[s]] = sorted({*self.ends[self.link[s]], *self.ends[s]})
+        self.text_ids = [[self.number[w] for w in words] for _, words in self.templates]
+        self.kept: dict[int, list[tuple[int, int, int]]] = {}
         own: dict[int, list[int]] = {}
         for p, (words, _) in enumerate(self.phrases):
             s = 0
@@ -104,9 +111,23 @@ class Automaton:
             if template is not None:
                 self.ends[last].append((template, at + 1))
 
-    def stream(self, ids: Sequence[int], first: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-        """Over word numbers of a run starting at word `first`: phrase places (start, phrase) and maximal matches (start, words, state)."""
-        places, matches, s, n = [], [], 0, 0
+    def reach(self, s: int) -> list[tuple[int, int, int]]:
+        """(template, end, words) of every place where a template has an ending of LEAST_CLIP words or more of the state's longest run, and how much of it."""
+        found = self.kept.get(s)
+        if found is None:
+            by: dict[tuple[int, int], int] = {}
+            at = s
+            while at > 0 and self.size[at] >= LEAST_CLIP:
+                for place in self.ends[at]:
+                    by.setdefault(place, self.size[at])
+                at = self.link[at]
+            found = self.kept[s] = [(t, end, n) for (t, end), n in by.items()]
+        return found
+
+    def stream(self, ids: Sequence[int], first: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+        """Over word numbers of a run starting at word `first`: phrase places (start, phrase), maximal matches (start, words, state),
+        and for each template the maximal matches of LEAST_CLIP words or more (template, start, start in the template, words)."""
+        places, matches, clipped, s, n = [], [], [], 0, 0
         for i, c in enumerate(ids):
             before = (s, n)
             while s and c not in self.go[s]:
@@ -119,9 +140,22 @@ class Automaton:
             for p, m in self.said[s]:
                 if m <= n:
                     places.append((first + i + 1 - m, p))
+            if n >= LEAST_CLIP:
+                after = ids[i + 1] if i + 1 < len(ids) else None
+                for t, end, most in self.reach(s):
+                    text = self.text_ids[t]
+                    if end == len(text) or text[end] != after:
+                        m = min(most, n)
+                        clipped.append((t, first + i + 1 - m, end - m, m))
         if n >= LEAST_MATCH:
             matches.append((first + len(ids) - n, n, s))
-        return places, matches
+        return places, matches, clipped
+
+
+@lru_cache(maxsize=4)
+def automaton_of(phrases: tuple[tuple[str, str], ...], templates: tuple[tuple[str, tuple[str, ...]], ...]) -> Automaton:
+    """Built once by each worker."""
+    return Automaton(dict(phrases), dict(templates))
 
 
 def chain(pieces: Sequence[tuple[int, int, int]]) -> tuple[int, int, int]:
@@ -207,18 +241,21 @@ def spans_of(pieces: Sequence[Piece], size: int) -> list[Piece]:
 
 
 def labels_of(spans: Sequence[tuple[str, int, int, float]], sizes: Sequence[int], least_cover: float) -> set[str]:
-    """Labels of the spans that cover `least_cover` of their template, but for those within a span of another label with more matched words.
+    """Labels of the spans that cover `least_cover` of their template, but for those within a span of another label with more matched words,
+    or with as many that are a larger share of its template.
 
-    sizes: words of each span's template. So a text of a licence is not also taken for a shorter one that it is built on.
+    sizes: words of each span's template. So a text of a licence is not also
+    taken for a shorter one that it is built on, or for a longer one built on it.
     """
-    good = sorted((first, -after, share * size, label) for (label, first, after, share), size in zip(spans, sizes) if share >= least_cover)
-    around: list[tuple[int, float, str]] = []  # spans that reach beyond the current one's start: at most one of each template
+    good = sorted((first, -after, -round(share * size), -share, label) for (label, first, after, share), size in zip(spans, sizes) if share >= least_cover)
+    around: list[tuple[int, tuple[int, float], str]] = []  # spans that reach beyond the current one's start: at most one of each template
     out = set()
-    for first, minus_after, covered, label in good:
+    for first, minus_after, minus_covered, minus_share, label in good:
+        mine = (-minus_covered, -minus_share)
         around = [x for x in around if x[0] > first]
-        if not any(after >= -minus_after and more > covered and other != label for after, more, other in around):
+        if not any(after >= -minus_after and theirs > mine and other != label for after, theirs, other in around):
             out.add(label)
-        around.append((-minus_after, covered, label))
+        around.append((-minus_after, mine, label))
     return out
 
 
@@ -232,10 +269,12 @@ def scan_text(automaton: Automaton, text: str) -> tuple[int, list[tuple[int, int
     places: list[tuple[int, int]] = []
     found: dict[int, list[tuple[int, int, int]]] = {}
     for a, b in edges[edges[:, 1] - edges[:, 0] > 1].tolist():
-        said, matches = automaton.stream(ids[a:b].tolist(), a)
+        said, matches, clipped = automaton.stream(ids[a:b].tolist(), a)
         places += said
+        for t, start, there, n in clipped:
+            found.setdefault(t, []).append((start, there, n))
         for start, n, state in matches:
-            for t, end in automaton.ends[state]:
+            for t, end in automaton.ends[state] if n < LEAST_CLIP else ():
                 found.setdefault(t, []).append((start, end - n, n))
     spans, sizes = [], []
     for t, pieces in sorted(found.items()):
@@ -257,7 +296,8 @@ def scan_licenses(
     smallest and largest start of one (null without any). labels adds to
     base_labels those of templates covered by `least_cover` or more (see
     labels_of); both are distinct, sorted and joined by commas, empty if none. A
-    match counts for the templates that hold all of it. score is the largest
+    match counts for the templates that hold all of it, and what of it has
+    LEAST_CLIP words or more for those that hold that. score is the largest
     covered share of a template, 1 where a phrase stands. spans lists where a
     template is touched by matches of LEAST_MATCH words, a further copy too:
     (label, first word, word after the last, share). Matches further apart than
@@ -270,21 +310,22 @@ def scan_licenses(
         raise ValueError("a phrase needs two words")
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    named = tuple(phrases.items()), tuple((label, tuple(texts)) for label, texts in templates.items())
     span = pa.struct([("label", pa.string()), ("first", pa.int64()), ("after", pa.int64()), ("share", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(phrases, templates)
+        automaton = automaton_of(*named)
         for b in batches:
             n_words, n_base, first, last, base, labels, score, all_spans = ([] for _ in range(8))
             for text in b.column(1).to_pylist():
                 n, places, spans, sizes = scan_text(automaton, text or "")
-                named = {automaton.phrases[p][1] for _, p in places}
+                base_of = {automaton.phrases[p][1] for _, p in places}
                 n_words.append(n)
                 n_base.append(len(places))
                 first.append(min((s for s, _ in places), default=None))
                 last.append(max((s for s, _ in places), default=None))
-                base.append(",".join(sorted(named)))
-                labels.append(",".join(sorted(named | labels_of(spans, sizes, least_cover))))
+                base.append(",".join(sorted(base_of)))
+                labels.append(",".join(sorted(base_of | labels_of(spans, sizes, least_cover))))
                 score.append(1.0 if places else max((x[3] for x in spans), default=0.0))
                 all_spans.append([dict(zip(("label", "first", "after", "share"), x)) for x in spans])
             long = lambda x: pa.array(x, pa.int64())

@@ -5,6 +5,11 @@ Years, names and the like, which differ from work to work, are left out.
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
+
+
 PERMISSION_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
 and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""
@@ -91,3 +96,19 @@ TEMPLATES = {
         "being the original software. This notice may not be removed or altered from any source distribution.",
     ],
 }
+
+#: Whole texts of long licences, in the folder `licenses`: their terms, and each numbered section of LEAST_SECTION words or more, count by themselves.
+LONG = {"apache": ["Apache-2.0"], "gpl": ["GPL-2", "GPL-3"], "lgpl": ["LGPL-2.1", "LGPL-3"], "mpl": ["MPL-2.0"]}
+LEAST_SECTION = 40
+SECTION = re.compile(r"^\s*(?=\d+\.(?:\s|\d+\.))", re.M)
+END = "END OF TERMS AND CONDITIONS"
+
+
+def long_texts(name: str) -> list[str]:
+    """The terms of a licence and its sections."""
+    text = (files(__package__) / "licenses" / f"{name}.txt").read_text(encoding="utf-8").partition(END)[0]
+    return [text, *[x for x in SECTION.split(text) if len(x.split()) >= LEAST_SECTION]]
+
+
+for label, names in LONG.items():
+    TEMPLATES[label] += [x for name in names for x in long_texts(name)]

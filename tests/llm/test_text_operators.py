@@ -1,4 +1,5 @@
 import binascii
+import itertools
 import random
 import re
 import time
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.llm import html_blocks, html_extract, language_id, license_scan, mixing, piece_sampling, quality_rules, token_counts, toxicity
+from pagewright.llm import html_blocks, html_extract, language_id, license_scan, license_texts, mixing, piece_sampling, quality_rules, token_counts, toxicity
 from pagewright.llm.queries import tokenizer_path
 from page_probes import LATER, PROBES
 
@@ -295,7 +296,8 @@ def test_license_chain_against_brute_force():
         assert license_scan.chain(pieces)[0] == brute(pieces)
 
 
-def test_matching_statistics_against_brute_force():
+def test_matching_statistics_against_brute_force(monkeypatch):
+    monkeypatch.setattr(license_scan, "LEAST_CLIP", 3)
     """At every word the longest run of words, ending there, that stands in some template."""
     rng = random.Random(15)
     templates = {f"t{i}": [" ".join(rng.choice("abcd") for _ in range(rng.randint(3, 14)))] for i in range(4)}
@@ -307,11 +309,19 @@ def test_matching_statistics_against_brute_force():
         longest = [max((n for n in range(i + 2) if occurs(words[i + 1 - n : i + 1])), default=0) for i in range(len(words))]
         # Maximal matches are those that the next word does not lengthen.
         want = [(i + 1 - n, n) for i, n in enumerate(longest) if n >= license_scan.LEAST_MATCH and (i + 1 == len(words) or longest[i + 1] <= n)]
-        _, found = auto.stream([auto.number.get(w.encode(), -1) for w in words], 0)
+        _, found, clipped = auto.stream([auto.number.get(w.encode(), -1) for w in words], 0)
         assert [(a, n) for a, n, _ in found] == want
         for a, n, state in found:
             ends = {(t, e) for t, e in auto.ends[state]}
             assert ends == {(t, i + n) for t, x in enumerate(whole[:-1]) for i in range(len(x) - n + 1) if x[i : i + n] == words[a : a + n]}
+        # Clipped matches are all runs that a template shares and that neither side lengthens, on every diagonal.
+        runs = set()
+        for t, x in enumerate(whole[:-1]):
+            for a, b in itertools.product(range(len(words)), range(len(x))):
+                if words[a] == x[b] and not (a and b and words[a - 1] == x[b - 1]):
+                    n = next((k for k in range(min(len(words) - a, len(x) - b)) if words[a + k] != x[b + k]), min(len(words) - a, len(x) - b))
+                    runs |= {(t, a, b, n)} if n >= license_scan.LEAST_CLIP else set()
+        assert len(clipped) == len(set(clipped)) and set(clipped) == runs
 
 
 def test_license_spans():
@@ -339,6 +349,24 @@ def test_license_spans():
         assert labels(" ".join([*text[:third], "Copyright", "2020", "Someone", *text[third : 2 * third], "Inc", *text[2 * third :]])) == {label}
 
 
+def test_quoting_more_of_a_licence_loses_no_label():
+    """Every beginning of the MIT text that holds its first clause, every end that holds its last, and whole sections of long licences."""
+    auto = license_scan.automaton_of(tuple(license_scan.PHRASES.items()), tuple((k, tuple(v)) for k, v in license_scan.TEMPLATES.items()))
+    labels = lambda text: license_scan.labels_of(*license_scan.scan_text(auto, text)[2:], license_scan.LEAST_COVER)
+    words = license_scan.TEMPLATES["mit"][-1].split()
+    first, last = (len(license_scan.TEMPLATES["mit"][i].split()) for i in (1, 2))
+    for n in range(min(first, last), len(words) + 1):
+        assert n < first or labels(" ".join(words[:n])) == {"mit"}
+        assert n < last or "mit" in labels(" ".join(words[-n:]))
+    for label, names in license_texts.LONG.items():
+        for name in names:
+            whole, *sections = license_texts.long_texts(name)
+            assert labels(whole) == {label} and len(sections) > 5
+            assert all(label in labels(x) for x in sections)
+    said = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+    assert labels(said + "either version 3 of the License, or (at your option) any later version.") == {"gpl"}
+
+
 def test_license_spans_of_long_texts():
     took = []
     whole = license_scan.TEMPLATES["mit"][-1]
@@ -557,8 +585,6 @@ def test_field_on_held_out_layouts():
 
 
 def test_viterbi_is_the_best_path():
-    import itertools
-
     rng = np.random.default_rng(2)
     for _ in range(50):
         names = [[f"f{rng.integers(4)}"] for _ in range(rng.integers(1, 7))]
