@@ -14,7 +14,7 @@ joined for these survivors only, to be compared exactly.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -58,7 +58,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def directions(vectors: np.ndarray) -> np.ndarray:
     """Vectors of length 1; scaled by their largest component first, so that no square overflows or vanishes."""
-    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    scaled = halved(vectors)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
@@ -152,8 +152,14 @@ def build_index(rows: DataFrame, k: int = 5, seed: int = SEED) -> DataFrame:
     return settle(coded.withColumn("id", F.col("ids")[0]))
 
 
+def halved(vectors: np.ndarray) -> np.ndarray:
+    """Vectors scaled by powers of two so that their largest components lie between a half and one: their squares neither overflow nor vanish, and no digit changes."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=-1, keepdims=True))[1])
+
+
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosine of a query with each row, every sum taken in the order of the components."""
+    query, rows = halved(query), halved(rows)
     dot, norm, own = np.zeros(len(rows)), np.zeros(len(rows)), 0.0
     for j, q in enumerate(query.tolist()):
         dot += q * rows[:, j]
@@ -183,53 +189,96 @@ def words(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
-Choice = Callable[[np.ndarray, np.ndarray, float], np.ndarray]
+def estimates(mine: pa.Table, theirs: pa.Table, epsilon: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each query of a block the estimates for all rows of a block and how far they may be off."""
+    block = Codes(words(theirs["code"]), theirs["scale"].to_numpy(), bits_of(mine["dim"][0].as_py()))
+    for planes, scalars in zip(words(mine["planes"]), matrix(mine["scalars"], 4)):
+        yield block.estimate(planes, scalars, epsilon)
+
+
+def bits_of(dim: int) -> int:
+    return dim * -(-BITS // dim)
+
+
+def probes(queries: DataFrame, codes: DataFrame, few: int) -> DataFrame:
+    """dim, qb, rb, query_id, found and guess: of each block of rows the ids of the `few` best estimates of each query, and these.
+
+    queries: dim, qb, rb, query_id, planes, scalars; codes: dim, qb, rb, id, code, scale.
+    """
+    query_kind, id_kind = (f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (codes, "id")))
+
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        n = mine.num_rows if theirs.num_rows else 0
+        ids, found, guesses = theirs["id"].to_numpy(), [], []
+        for guess, _ in estimates(mine, theirs, 0) if n else ():
+            at = np.argpartition(-guess, few - 1)[:few] if len(guess) > few else np.arange(len(guess))
+            found.append(ids[at])
+            guesses.append(guess[at])
+        lists = [pa.array(found, pa.list_(theirs.schema.field("id").type)), pa.array(guesses, pa.list_(pa.float64()))]
+        return pa.table([*[mine[c][:n] for c in ("dim", "qb", "rb", "query_id")], *lists], names=["dim", "qb", "rb", "query_id", "found", "guess"])
+
+    return by_block(queries).cogroup(by_block(codes)).applyInArrow(
+        run, f"dim int, qb int, rb int, query_id {query_kind}, found array<{id_kind}>, guess array<double>"
+    )
 
 
-def scan(queries: DataFrame, codes: DataFrame, choose: Choice, epsilon: float) -> DataFrame:
-    """dim, qb, rb, query_id, found: ids of the rows of each block that `choose` picks from (estimates, bounds, floor) of a query, and `guess`.
+def survivors(queries: DataFrame, codes: DataFrame, most: int, epsilon: float) -> DataFrame:
+    """dim, qb, rb, query_id, found: of each block of rows the places of those whose upper bound reaches a query's floor.
 
-    A row without query_id tells all ids found for any query of its pair of blocks.
-    queries: dim, qb, rb, query_id, planes, scalars, floor; codes: dim, qb, rb, id, code, scale.
+    Places count rows by rising id, and are told as packed_places does, so that
+    a task gives at most a bit for each pair, however little the bounds prune. The floor
+    is raised to what `most` rows of the block reach at least. A row without
+    query_id has the ids, and in `places` the places, of all rows found for any query of its pair of blocks.
+    queries: also `floor`.
     """
     query_kind, id_kind = (f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (codes, "id")))
 
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        kinds = mine.schema.field("query_id").type, theirs.schema.field("id").type
         out = pa.schema([
-            ("dim", pa.int32()), ("qb", pa.int32()), ("rb", pa.int32()), ("query_id", mine.schema.field("query_id").type),
-            ("found", pa.list_(theirs.schema.field("id").type)), ("guess", pa.list_(pa.float64())),
+            ("dim", pa.int32()), ("qb", pa.int32()), ("rb", pa.int32()), ("query_id", kinds[0]), ("found", pa.binary()),
+            ("ids", pa.list_(kinds[1])), ("places", pa.list_(pa.int32())),
         ])
         if not mine.num_rows or not theirs.num_rows:
             return out.empty_table()
-        dim, qb, rb = (mine[c][0].as_py() for c in ("dim", "qb", "rb"))
-        block = Codes(words(theirs["code"]), theirs["scale"].to_numpy(), dim * -(-BITS // dim))
-        planes, scalars = words(mine["planes"]), matrix(mine["scalars"], 4)
-        ids, floors, found, guesses = theirs["id"].to_numpy(), mine["floor"].to_numpy(), [], []
-        used = np.zeros(len(ids), bool)
-        for i in range(mine.num_rows):
-            guess, bound = block.estimate(planes[i], scalars[i], epsilon)
-            at = choose(guess, bound, floors[i])
-            found.append(ids[at])
-            guesses.append(guess[at])
-            used[at] = True
-        n = mine.num_rows + 1
-        whose = pa.array([*mine["query_id"].to_pylist(), None], out.field(3).type)
-        lists = [pa.array([*found, ids[used]], out.field(4).type), pa.array([*guesses, None], out.field(5).type)]
-        return pa.table([*[pa.array([x] * n, pa.int32()) for x in (dim, qb, rb)], whose, *lists], schema=out)
+        theirs = theirs.sort_by("id")
+        used, found = np.zeros(theirs.num_rows, bool), []
+        for (guess, bound), floor in zip(estimates(mine, theirs, epsilon), mine["floor"].to_numpy()):
+            if len(guess) > most:
+                floor = max(floor, np.partition(guess - bound, -most)[-most])
+            near = guess + bound >= floor - 1e-9
+            used |= near
+            found.append(packed_places(near))
+        n = mine.num_rows
+        where = [pa.array([mine[c][0].as_py()] * (n + 1), pa.int32()) for c in ("dim", "qb", "rb")]
+        ids = [pa.array([*[None] * n, x], out.field(5 + i).type) for i, x in enumerate((theirs["id"].to_numpy()[used], np.flatnonzero(used).astype(np.int32)))]
+        return pa.table([*where, pa.array([*mine["query_id"].to_pylist(), None], kinds[0]), pa.array([*found, None], pa.binary()), *ids], schema=out)
 
     return by_block(queries).cogroup(by_block(codes)).applyInArrow(
-        run, f"dim int, qb int, rb int, query_id {query_kind}, found array<{id_kind}>, guess array<double>"
+        run, f"dim int, qb int, rb int, query_id {query_kind}, found binary, ids array<{id_kind}>, places array<int>"
     )
 
 
+def packed_places(chosen: np.ndarray) -> bytes:
+    """Which of some places are chosen: their numbers where these take less room than a bit for each place."""
+    at = np.flatnonzero(chosen)
+    return b"n" + at.astype(np.uint32).tobytes() if 32 * len(at) < len(chosen) else b"b" + np.packbits(chosen, bitorder="little").tobytes()
+
+
+def unpacked_places(packed: bytes) -> np.ndarray:
+    if packed[:1] == b"n":
+        return np.frombuffer(packed, np.uint32, offset=1).astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=1), bitorder="little"))
+
+
 def compare(wanted: DataFrame, used: DataFrame, queries: DataFrame, index: DataFrame, most: int) -> DataFrame:
     """query_id, id, score: of the rows wanted for each query the `most` best of each block by their exact cosine.
 
-    wanted: dim, qb, rb, query_id, found; used: dim, qb, rb, id, every id in them
-    once. So a row's vector is joined once for each block of queries that wants it.
+    wanted: dim, qb, rb, query_id, found (packed places); used: dim, qb, rb, id,
+    place, every row in them once. So a row's vector is joined once for each block of queries that wants it.
     """
     rows = used.join(index.select("id", "embedding"), "id")
-    asked = wanted.filter(F.size("found") > 0).join(queries.select("query_id", F.col("embedding").alias("vector")), "query_id")
+    asked = wanted.join(queries.select("query_id", F.col("embedding").alias("vector")), "query_id")
     query_kind, id_kind = (f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (index, "id")))
 
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
@@ -237,15 +286,12 @@ def compare(wanted: DataFrame, used: DataFrame, queries: DataFrame, index: DataF
         if not mine.num_rows or not theirs.num_rows:
             return out.empty_table()
         dim = mine["dim"][0].as_py()
-        theirs = theirs.sort_by("id")
-        ids, vectors, asking = theirs["id"].to_numpy(), matrix(theirs["embedding"], dim), matrix(mine["vector"], dim)
+        theirs = theirs.sort_by("place")
+        places, ids, vectors, asking = theirs["place"].to_numpy(), theirs["id"].to_numpy(), matrix(theirs["embedding"], dim), matrix(mine["vector"], dim)
         unit, toward = directions(vectors), directions(asking)
-        lists = mine["found"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        starts, flat = np.asarray(lists.offsets), np.searchsorted(ids, np.asarray(lists.values))
         q, v, s = [], [], []
-        for i, me in enumerate(mine["query_id"].to_pylist()):
-            near = flat[starts[i] : starts[i + 1]]
+        for i, (me, found) in enumerate(zip(mine["query_id"].to_pylist(), mine["found"].to_pylist())):
+            near = np.searchsorted(places, unpacked_places(found))
             if len(near) > most:
                 rough = unit[near] @ toward[i]
                 near = near[rough >= np.partition(rough, -most)[-most] - 1e-9]
@@ -259,6 +305,24 @@ def compare(wanted: DataFrame, used: DataFrame, queries: DataFrame, index: DataF
     return by_block(asked).cogroup(by_block(rows)).applyInArrow(run, f"query_id {query_kind}, id {id_kind}, score double")
 
 
+def floors_of(probed: DataFrame, queries: DataFrame, index: DataFrame, most: int) -> DataFrame:
+    """query_id and floor: the exact cosine of the `most`-th best of the rows found for a query so far; none for a query with fewer. probed: query_id, found (one id)."""
+    pairs = probed.join(index.select(F.col("id").alias("found"), F.col("embedding").alias("row")), "found").join(queries.select("query_id", "embedding"), "query_id")
+    query_kind = queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.asarray(b.column(1).value_lengths())
+            for dim in np.unique(sizes).tolist():
+                part = b.filter(pa.array(sizes == dim))
+                row, query = (directions(matrix(part.column(i), dim)) for i in (1, 2))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array((row * query).sum(axis=1))], names=["query_id", "score"])
+
+    scores = pairs.select("query_id", "row", "embedding").mapInArrow(run, f"query_id {query_kind}, score double")
+    ranked = scores.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
+    return ranked.filter(F.col("place") == most).select("query_id", F.col("score").alias("floor"))
+
+
 def nearest(index: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = EPSILON, seed: int = SEED) -> DataFrame:
     """The k nearest rows of `index` to each of `queries` by cosine, but for the query's own id.
 
@@ -287,23 +351,18 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = E
     every = asked.drop("embedding").join(row_blocks, "dim").withColumn("rb", each_of("n_rb")).drop("n_rb")
     most = k + 1  # one of them may be the query itself
 
-    def best(guess: np.ndarray, bound: np.ndarray, floor: float) -> np.ndarray:
-        few = PROBES * most
-        return np.argpartition(-guess, few - 1)[:few] if len(guess) > few else np.arange(len(guess))
-
-    first = scan(every.withColumn("floor", F.lit(float("-inf"))), codes, best, epsilon)
-    pairs = first.filter("query_id IS NOT NULL").select("dim", "qb", "rb", "query_id", F.explode(F.arrays_zip("found", "guess")).alias("p")).select("dim", "qb", "rb", "query_id", "p.found", "p.guess")
+    few = PROBES * most
+    first = probes(every, codes, few)
+    pairs = first.select("dim", "qb", "rb", "query_id", F.explode(F.arrays_zip("found", "guess")).alias("p")).select("dim", "qb", "rb", "query_id", "p.found", "p.guess")
     top = Window.partitionBy("query_id").orderBy(F.desc("guess"), "found")
-    probed = pairs.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= PROBES * most)
-    probed = settle(probed.groupBy("dim", "qb", "rb", "query_id").agg(F.collect_list("found").alias("found")))
-    scores = compare(probed, probed.select("dim", "qb", "rb", F.explode("found").alias("id")).distinct(), asked, index, most)
+    probed = settle(pairs.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= few).drop("guess", "place"))
     # As near as the (k + 1)th of the vectors compared so far, the query's own among them, the last neighbour is at least.
-    ranked = scores.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-    floors = settle(ranked.filter(F.col("place") == most).select("query_id", F.col("score").alias("floor")))
+    floors = settle(floors_of(probed, asked, index, most))
     again = every.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    survivors = settle(scan(again, codes, lambda guess, bound, floor: np.flatnonzero(guess + bound >= floor - 1e-9), epsilon).drop("guess"))
-    used = survivors.filter("query_id IS NULL").select("dim", "qb", "rb", F.explode("found").alias("id"))
-    found = compare(survivors.filter("query_id IS NOT NULL"), used, asked, index, most).join(index.select("id", "ids"), "id")
+    left = settle(survivors(again, codes, most, epsilon))
+    used = left.filter("query_id IS NULL").select("dim", "qb", "rb", F.explode(F.arrays_zip("ids", "places")).alias("u")).select("dim", "qb", "rb", F.col("u.ids").alias("id"), F.col("u.places").alias("place"))
+    wanted = left.filter("query_id IS NOT NULL").select("dim", "qb", "rb", "query_id", "found")
+    found = compare(wanted, used, asked, index, most).join(index.select("id", "ids"), "id")
     each = found.select("query_id", F.explode("ids").alias("vec_id"), "score").filter(F.col("vec_id") != F.col("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
