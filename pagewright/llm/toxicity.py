@@ -115,10 +115,18 @@ class Lexicon:
                 free.append((start, end))
             elif w > best.get(start, 0.0):
                 best[start] = w
-        for a, b in free if best else ():
-            for at in [x for x in best if a <= x < b]:
-                del best[at]
-        return best
+        if not free or not best:
+            return best
+        # Phrases and hits by place, once: what has passed the end of all phrases begun so far is free of them.
+        kept, covered, i = {}, -1, 0
+        free.sort()
+        for at in sorted(best):
+            while i < len(free) and free[i][0] <= at:
+                covered = max(covered, free[i][1])
+                i += 1
+            if at >= covered:
+                kept[at] = best[at]
+        return kept
 
     def raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: sum of weights (the heaviest entry at each word), number of hit words, number of words."""
@@ -181,7 +189,8 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 1) -> Lexicon:
     """Learn from about `sample` labelled documents of each class that are not held out.
 
-    A doc_id labelled more than once is toxic if any of its labels is. Labels
+    A doc_id labelled more than once is toxic if any of its labels is, and of its
+    texts the first in order counts. Labels
     that are null are left out; with only one class present, or none, the
     lexicon is empty. What a text is exempt for is learned as well: phrases of
     an entry and a neighbouring word that speak for clean documents. What goes to
@@ -195,7 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     if len(sizes) < 2:
         return Lexicon({}, coefficients=(-30.0 if 1 not in sizes else 30.0, 0.0, 0.0))
     # The sample's ids are bounded by its size, whatever the input's; its texts are read three times.
-    texts = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = settle(sampled.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))  # however often an id stands
 
     def count(find: Callable[[str], set[str]], keep: Column) -> dict[str, tuple[int, int]]:
         """For each thing to keep that is found in folded texts, toxic and clean documents with it; for the empty text all of them."""
@@ -240,7 +250,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Add `tox_raw`, `tox_hits`, `tox_words` and `tox_score` (0 to 1) to each row, from its whole text.
 
     A null or empty text has no hit and gets the score of a text without words.
-    Where several entries start at one word the heaviest counts, once. Rows,
+    Where several entries start at one word the heaviest counts, once; of equally
+    heavy ones it does not matter which. A text's cost grows with its length. Rows,
     repeated ones too, and other columns are kept; columns of the four names are
     replaced; no rows give no rows.
     """
