@@ -15,6 +15,9 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 MASK = (1 << 64) - 1
 
+#: Classes of a classifier at most.
+MOST_CLASSES = 1000
+
 #: A key with this part of all rows or more is hot, so that at most so many are; and the parts a hot key's rows are dealt to.
 HOT, SALTS = 1000, 32
 
@@ -43,15 +46,16 @@ def unit_hash(*cols: Column) -> Column:
 def bounded_sample(df: DataFrame, key: str, by: str, bound: int, seed: int) -> tuple[DataFrame, dict]:
     """About `bound` rows of each class of `by`, chosen by a hash of `key`; also the classes' row counts.
 
-    Classes beyond 1,000 raise: a classifier's classes are few.
+    Of more than MOST_CLASSES classes the largest are taken, of equally large
+    ones the first in order; rows of the others are in no sample.
     """
-    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count("*").alias("n")).limit(1001).collect()}
-    if len(counts) > 1000:
-        raise ValueError(f"{by} has over 1000 classes")
+    sizes = df.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(MOST_CLASSES)
+    counts = {r[by]: r["n"] for r in sizes.collect()}
     if not counts:
         return df.limit(0), counts
-    rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, bound / n)))])
-    return df.filter(unit_hash(F.col(key), F.lit(seed)) < rate[F.col(by)]), counts
+    rates = df.sparkSession.createDataFrame([(k, min(1.0, bound / n)) for k, n in counts.items()], f"{by} {df.schema[by].dataType.simpleString()}, sample_rate double")
+    sampled = df.join(F.broadcast(rates), by).filter(unit_hash(F.col(key), F.lit(seed)) < F.col("sample_rate"))
+    return sampled.select(*df.columns), counts
 
 
 def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:

@@ -30,6 +30,8 @@ SMOOTHING = 0.1
 UNKNOWN = "und"
 #: Characters whose n-grams are counted at once, and numbers of the products held at once.
 CHUNK, CELLS = 1 << 20, 1 << 22
+#: Languages whose counts a task holds between batches.
+HELD = 64
 
 
 @cache
@@ -141,7 +143,12 @@ class Model:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 9) -> Model:
-    """Fit on about `sample` documents of each language among the rows that are not held out and have a lang."""
+    """Fit on about `sample` documents of each language among the rows that are not held out and have a lang.
+
+    Of more than MOST_CLASSES languages the most frequent are learned, of equally
+    frequent ones the first in order: this bounds the matrix. Rows with the same
+    doc_id are all in the sample or none is.
+    """
     small_batches(docs.sparkSession)
     usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     chosen, sizes = bounded_sample(usable.select("doc_id", "lang", "text"), "doc_id", "lang", sample, seed)
@@ -150,17 +157,24 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 9) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, c in total.items():
+                at = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "bucket", "n"]
+                )
+            total.clear()
+
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), object)
             rows, buckets, times = counted(strings(b.column(1)))
             for lang in set(langs):
                 mine = langs[rows] == lang
                 total[lang] = total.get(lang, 0) + np.bincount(buckets[mine], times[mine], BUCKETS).astype(np.int64)
-        for lang, c in total.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], names=["lang", "bucket", "n"]
-            )
+            if len(total) > HELD:
+                yield from told()
+        yield from told()
 
     rows = (
         chosen.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
