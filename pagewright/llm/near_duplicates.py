@@ -411,7 +411,17 @@ def one_per_class(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999
     wordless = sketched.filter("n_shingles = 0").select("row", F.lit(True).alias("wordless")).distinct()
     times = sketched.groupBy("row").agg((F.count("*") > 1).alias("again"))
     chosen = firsts.union(wordless).join(times, "row").select("row", (F.col("again") & ~F.col("wordless")).alias("again"))
-    found = docs.withColumn("row", row_id(key, text)).join(chosen, "row")
+    # The input's own columns may have these names.
+    row, twice = (unused(docs, name) for name in ("row", "again"))
+    found = docs.withColumn(row, row_id(key, text)).join(chosen.select(F.col("row").alias(row), F.col("again").alias(twice)), row)
     # Of rows that are there more than once one is taken; the others need no aggregate.
-    once = found.filter("again").groupBy("row").agg(F.min(F.struct(*docs.columns)).alias("kept")).select("kept.*")
-    return once.union(found.filter("NOT again").select(*docs.columns))
+    once = found.filter(F.col(twice)).groupBy(row).agg(F.min(F.struct(*docs.columns)).alias("kept")).select("kept.*")
+    return once.union(found.filter(~F.col(twice)).select(*docs.columns))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
