@@ -91,7 +91,8 @@ def mix_sources(
     Needs the columns doc_id and source; every other column is kept. Adds
     `mix_rate`, `mix_copies` (the document's count), `mix_copy` (from 1) and
     `mix_order` (place in the global order, ascending), replacing input columns
-    of these names. A null source is a source of its own; rows that repeat a
+    of these names; input columns `mix_source`, `mix_salt`, `mix_part`,
+    `mix_parts` and `mix_steps` are dropped. A null source is a source of its own; rows that repeat a
     doc_id share its count; a null doc_id counts as the empty text. Copies with
     the same `mix_order` are in the order of `mix_copy`, then of their other
     columns. No rows give no rows. One source holding most rows is no hot key: rates are sent to
