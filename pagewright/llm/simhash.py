@@ -194,7 +194,9 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def linking_edges(classes: DataFrame, total: int) -> DataFrame:
     """Edges (a, b) between different fingerprints that links connect, enough to connect all of those. classes: fp, each once, `total` rows."""
-    rows = classes.select("fp", F.explode(variants("fp")).alias("bucket"))
+    # A number of tasks that does not follow from the bytes of the fingerprints, which are few: each becomes 64 rows.
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = classes.repartition(tasks, "fp").select("fp", F.explode(variants("fp")).alias("bucket"))
     # Only what is too large for one task has to be known before the rows meet.
     large = settle(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK))
     met = spread_join(rows, large, "bucket", hot_keys(large, "bucket", "n", BITS * total), "left")
