@@ -111,6 +111,37 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert found_neighbours(df.limit(0)) == {} and found_neighbours(df.filter("vec_id = 50")) == {}
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e300])
+def test_neighbours_of_any_magnitude(spark, size):
+    """Vectors near the ends of the range of doubles have the neighbours that their directions have."""
+    rng = np.random.default_rng(12)
+    plain = rng.normal(size=(60, 8))
+    for rows in (plain * size, np.concatenate([plain[:50] * size, plain[50:]])):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id int, embedding array<double>")
+        got, want = found_neighbours(df), brute_neighbours([(i, v.tolist()) for i, v in enumerate(plain)])
+        assert {q: [v for v, _ in f] for q, f in got.items()} == {q: [v for v, _ in f] for q, f in want.items()} and len(got) == 2
+        assert all(abs(a - b) < 1e-12 for q in got for (_, a), (_, b) in zip(got[q], want[q]))
+
+
+def test_neighbours_in_a_dense_cluster(spark, monkeypatch):
+    """Where bounds prune nothing all rows of a block survive: told as bits, and the result is the same."""
+    rng = np.random.default_rng(13)
+    rows = [(i, (np.ones(32) + 1e-4 * rng.normal(size=32)).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    told = []
+    pack = neighbours.packed_places
+    monkeypatch.setattr(neighbours, "packed_places", lambda chosen: told.append(len(pack(chosen))) or pack(chosen))
+    assert len(neighbours.packed_places(np.ones(4096, bool))) == 513 and told == [513]
+    monkeypatch.undo()
+    got, want = found_neighbours(df), brute_neighbours(rows)
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hits >= 0.98 * 5 * 40
+    for n in (0, 1, 7, 500, 1000):
+        chosen = np.zeros(1000, bool)
+        chosen[rng.permutation(1000)[:n]] = True
+        assert (neighbours.unpacked_places(pack(chosen)) == np.flatnonzero(chosen)).all() and len(pack(chosen)) <= 126
+
+
 def test_estimates_hold_within_their_bounds():
     rng = np.random.default_rng(5)
     for dim in (1, 3, 64, 100, 700):
@@ -174,6 +205,9 @@ def test_one_document_per_class(spark):
         allowed = {x for x in group if x[0] == (min(ids) if ids else None)}
         assert len([x for x in got if x in allowed]) == 1, group
     assert len(got) == len(brute_groups(rows))
+    clashing = df.withColumnsRenamed({"lang": "row", "source": "again", "n_chars": "wordless"})
+    kept = N.one_per_class(clashing)
+    assert kept.columns == clashing.columns and sorted(repr((r["doc_id"], r["text"])) for r in kept.collect()) == sorted(map(repr, got))
     again = [(r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.drop_near_duplicates(spark, df.orderBy(F.desc("n_chars")), "").collect()]
     assert sorted((i or 0, t or "") for i, t, _ in again) == sorted((i or 0, t or "") for i, t in got) and (8, base[7], "s10") in again
 

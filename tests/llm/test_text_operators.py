@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.llm import html_blocks, html_extract, language_id, license_scan, license_texts, mixing, piece_sampling, quality_rules, token_counts, toxicity
+from pagewright.llm import common, html_blocks, html_extract, language_id, license_scan, license_texts, mixing, piece_sampling, quality_rules, token_counts, toxicity
 from pagewright.llm.queries import tokenizer_path
 from page_probes import LATER, PROBES
 
@@ -98,6 +98,18 @@ def test_language_id_of_long_texts_and_clashing_names(spark):
     assert set(got[1].asDict()) == {*df.columns, "lang_fit"}
 
 
+def test_many_languages(spark, monkeypatch):
+    """Beyond the most classes the most frequent are learned, and nothing raises."""
+    monkeypatch.setattr(common, "MOST_CLASSES", 3)
+    rows = [(i, f"{'abcdefghij'[i % 7]} word", f"l{i % 7}", "s") for i in range(0, 400) if i % 7 < 3 or i < 100]
+    model = language_id.train(documents(spark, rows))
+    assert model.languages == ["l0", "l1", "l2"]
+    monkeypatch.setattr(common, "MOST_CLASSES", 1000)
+    rows = [(i, f"text number {i}", f"x{i}", "s") for i in range(0, 1400)]
+    model = language_id.train(documents(spark, rows))
+    assert len(model.languages) == 1000 and language_id.identify(documents(spark, rows[:50]), model).count() == 50
+
+
 def test_language_score_does_not_depend_on_the_batch():
     counts = np.random.default_rng(1).random((language_id.BUCKETS, 2)) + 0.1
     model = language_id.Model(["a", "b"], np.log(counts / counts.sum(axis=0)), np.log([0.5, 0.5]))
@@ -232,6 +244,28 @@ def test_exceptions_are_learned(spark):
     assert [r["tox_hits"] for r in toxicity.score(long, lexicon).orderBy("doc_id").collect()] == [1, 100_000]
 
 
+def test_toxic_exceptions_take_linear_time():
+    lexicon = toxicity.Lexicon({" idiot": 1.0, " nice": 0.5}, exceptions=("idiot proof",))
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        _, hits, _ = lexicon.raw(["idiot proof nice " * n])
+        took.append(time.process_time() - began)
+        assert hits.tolist() == [n]
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_toxic_exceptions_against_a_plain_check():
+    rng = random.Random(17)
+    lexicon = toxicity.Lexicon({" a": 1.0, " b ": 2.0, " cc": 3.0}, exceptions=("a b", "b a b", "cc a", "d cc"))
+    for _ in range(200):
+        folded = toxicity.fold(" ".join(rng.choice(["aa", "a", "b", "cc", "d"]) for _ in range(rng.randint(0, 14))))
+        phrases = [" " + " ".join(toxicity.fold(p).split()) + " " for p in lexicon.exceptions]
+        free = [(m.start(), m.start() + len(p) - 1) for p in phrases for m in re.finditer(f"(?={re.escape(p)})", folded)]
+        plain = toxicity.Lexicon(lexicon.weights).hits(folded)
+        assert lexicon.hits(folded) == {at: w for at, w in plain.items() if not any(x <= at < y for x, y in free)}
+
+
 def test_toxic_exceptions_and_longest_entry():
     lexicon = toxicity.Lexicon({" trash ": 2.0, " tras": 1.0, " idio": 3.0}, ("trash can",))
     raw, hits, words = lexicon.raw(["Trash trashy 1d10t", "a trash can", "", "strash"])
