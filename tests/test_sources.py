@@ -1,11 +1,13 @@
 import io
+import random
 import xml.etree.ElementTree as ET
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.sources import files, ledger, pages as P
+from pagewright.plans import text_queries
+from pagewright.sources import encodings, files, ledger, pages as P
 
 PAGE = """<?xml version="1.0" encoding="UTF-8"?>
 <pc:PcGts xmlns:pc="http://schema.primaresearch.org/PAGE/gts/pagecontent/2013-07-15"><pc:Metadata><pc:Creator>x</pc:Creator></pc:Metadata>
@@ -118,3 +120,35 @@ def test_ledger(spark, tmp_path):
     ledger.append_usage(ledger.close_usage(opened, results), str(tmp_path / "u"))
     rows = spark.read.parquet(str(tmp_path / "u")).collect()
     assert sorted((r["usage_id"], r["status"], r["target_size"]) for r in rows) == [(1, "IN_PROGRESS", None), (1, "SUCCESS", 7), (2, "IN_PROGRESS", None)]
+
+
+SAID = {
+    "windows-1251": "Вчера вечером мы долго гуляли по набережной и говорили о том, что было бы хорошо поехать летом на море.",
+    "koi8-r": "Вчера вечером мы долго гуляли по набережной и говорили о том, что было бы хорошо поехать летом на море.",
+    "shift_jis": "昨日の夜、私たちは川沿いを長い間歩いて、夏に海へ行けたらいいねと話しました。テキストです。",
+    "iso-8859-2": "Wczoraj wieczorem długo spacerowaliśmy nad rzeką i rozmawialiśmy o tym, że dobrze byłoby pojechać latem nad morze.",
+    "utf-16-le": "A plain English sentence without any mark at its beginning.",
+    "utf-16-be": "Ein Satz mit Umlauten: schöne Grüße aus München, heißt es.",
+    "windows-1252": "Le café était fermé, “déjà” à midi — hélas ! Où est l’été ?",
+    "utf-8": "Überall — 漢字 and Русский",
+}
+
+
+def test_encodings_without_a_mark(spark):
+    """Texts in languages and scripts that the model has not seen; noise is refused, and the table's held-out texts are told."""
+    model = encodings.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rows = [(k, t.encode(k)) for k, t in SAID.items()] + [("none", None), ("empty", b""), *[(f"noise{i}", random.Random(i).randbytes(300)) for i in range(20)]]
+    df = spark.createDataFrame(rows, "was string, content binary").withColumn("text", F.lit(1))
+    got = {r["was"]: r for r in encodings.tell_encoding(df.drop("text"), model).collect()}
+    assert {k: (got[k]["encoding"], got[k]["text"]) for k in SAID} == {k: (k, t) for k, t in SAID.items()} and all(got[k]["confidence"] > 0.9 for k in SAID)
+    assert all(got[f"noise{i}"]["text"] is None and got[f"noise{i}"]["confidence"] < 0.5 for i in range(20))
+    assert got["none"]["text"] is None and (got["empty"]["text"], got["empty"]["encoding"]) == ("", "utf-8")
+    told = text_queries.encoding_confusion(spark, "/root/testdata/sf0.01").collect()
+    assert {r["was"] for r in told} == set(encodings.CANDIDATES)
+    assert sum(r["n_right"] for r in told) > 0.97 * sum(r["n"] for r in told)
+    assert sum(r["n"] for r in told if r["told"] not in (r["was"], "utf-8")) < 0.03 * sum(r["n"] for r in told)
+
+
+def test_encoding_model_of_nothing(spark):
+    model = encodings.learn(spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string"))
+    assert model.tell(b"")[2] == "" and model.tell(b"a\xe9b")[0] in encodings.CANDIDATES
