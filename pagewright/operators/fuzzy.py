@@ -48,7 +48,10 @@ CELLS = 1 << 20
 
 def padded(texts: list[str], width: int, filler: int) -> np.ndarray:
     """Texts as rows of code points, filled up at the end."""
-    return np.array([[*map(ord, t), *[filler] * (width - len(t))] for t in texts], np.int32).reshape(len(texts), width)
+    out = np.full((len(texts), width), filler, np.int32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32)
+    return out
 
 
 def osa_like(a: list[str], b: list[str]) -> np.ndarray:
@@ -72,14 +75,53 @@ def osa_like(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+#: Characters whose places fit one word.
+WORD_BITS = 64
+
+
+def osa_in_words(a: list[str], b: list[str]) -> np.ndarray:
+    """osa for pairs whose first string has at most WORD_BITS characters, not none.
+
+    A column of a pair's distance matrix is two words: where distances rise and
+    where they fall from one row to the next, a bit each. So a step handles a
+    character of every second string, for all pairs and all rows at once.
+    """
+    n, m, one = max(map(len, a)), max(map(len, b)), np.uint64(1)
+    x, y = padded(a, -(-n // 8) * 8, -1), padded(b, m, -2)
+    sizes, ends = np.array([*map(len, a)]), np.array([*map(len, b)])
+    out, bottom = sizes.astype(np.int32), one << (sizes - 1).astype(np.uint64)
+    up, down, level, before = np.full(len(a), ~np.uint64(0)), np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
+    wide = np.zeros((len(a), 8), np.uint8)
+    with np.errstate(over="ignore"):
+        for j in range(m):
+            wide[:, : x.shape[1] // 8] = np.packbits(x == y[:, j : j + 1], axis=1, bitorder="little")
+            here = wide.view(np.uint64)[:, 0].copy()
+            # An exchange ends where this character stands one row up and the last one here, unless the diagonal was free before.
+            swapped = ((~level & here) << one) & before
+            level = swapped | (((here & up) + up) ^ up) | here | down
+            right_up, right_down = down | ~(level | up), level & up
+            change = ((right_up & bottom) != 0).astype(np.int32) - ((right_down & bottom) != 0)
+            out += np.where(j < ends, change, 0)
+            right_up, right_down = (right_up << one) | one, right_down << one
+            up, down, before = right_down | ~(level | right_up), right_up & level, here
+    return out
+
+
 def osa(a: list[str], b: list[str]) -> np.ndarray:
     """Edits between the strings of each pair, where exchanging two neighbours counts once and nothing is edited twice."""
     out = np.zeros(len(a), np.int32)
-    order = np.argsort([max(len(x), len(y)) for x, y in zip(a, b)], kind="stable").tolist()
-    while order:
-        size = (max(len(a[order[-1]]), len(b[order[-1]])) + 1) ** 2
-        part, order = order[-max(1, CELLS // size) :], order[: -max(1, CELLS // size)]
-        out[part] = osa_like([a[i] for i in part], [b[i] for i in part])
+    sizes = np.column_stack([np.fromiter(map(len, side), np.int64, len(a)) for side in (a, b)])
+    small, large = sizes.min(axis=1), sizes.max(axis=1)
+    out[small == 0] = large[small == 0]
+    fits = (sizes > 0) & (sizes <= WORD_BITS)
+    first, second, neither = fits[:, 0], ~fits[:, 0] & fits[:, 1] & (small > 0), small > WORD_BITS
+    for chosen, solve, x, y, area in ((first & (small > 0), osa_in_words, a, b, large + WORD_BITS), (second, osa_in_words, b, a, large + WORD_BITS), (neither, osa_like, a, b, (large + 1) ** 2)):
+        at = np.flatnonzero(chosen)
+        order = at[np.argsort(large[at], kind="stable")]
+        while len(order):
+            few = max(1, CELLS // int(area[order[-1]]))
+            part, order = order[-few:], order[:-few]
+            out[part] = solve([x[i] for i in part], [y[i] for i in part])
     return out
 
 

@@ -19,8 +19,11 @@ def words(spark, *docs):
 def test_osa():
     assert Z.osa(["ca", "abcd", "a", ""], ["abc", "acbd", "abcdef", ""]).tolist() == [3, 1, 5, 0]
     rng = random.Random(3)
-    pairs = [["".join(rng.choice("abé\U0001f600") for _ in range(rng.randint(0, 12))) for _ in range(2)] for _ in range(500)] + [["x" * 300, "y"], ["", "ab"]]
+    pairs = [["".join(rng.choice("abé\U0001f600") for _ in range(rng.randint(0, 12))) for _ in range(2)] for _ in range(500)] + [["x" * 300, "y"], ["", "ab"], ["", ""]]
+    pairs += [["a" * 64, "a" * 63 + "b"], ["ab" * 32, "ba" * 32], ["ab" * 40, "ba" * 40], ["b" + "ab" * 40, "ab" * 20]]
+    pairs += [["".join(rng.choice("ab") for _ in range(rng.randint(55, 75))) for _ in range(2)] for _ in range(40)]
     assert Z.osa(*map(list, zip(*pairs))).tolist() == [osa(a, b) for a, b in pairs]
+    assert Z.osa([], []).tolist() == []
 
 
 def test_fuzzy_join_is_whole(spark):
