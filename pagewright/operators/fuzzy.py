@@ -248,6 +248,21 @@ def closest_within(queries: DataFrame, terms: DataFrame, by: list[str], edits: i
     return union(*found)
 
 
+def closest_by_share(queries: DataFrame, terms: DataFrame, by: list[str], share: float, most: int, swaps: bool = True) -> DataFrame:
+    """closest(fuzzy_join(...)) where many edits are allowed: what few edits find is looked up by deletes first, and only the rest by what parts little.
+
+    The nearest term of a query that has one within FEW_EDITS is among those, so
+    the result is the same; but most queries take no part in the join by pieces and lengths.
+    """
+    t = terms.select(*by, "term", "freq").dropDuplicates([*by, "term"])
+    q = queries.select(*by, "query").distinct()
+    if most <= FEW_EDITS:
+        return closest(fuzzy_join(q, t, by, share, most, swaps=swaps), by)
+    near = settle(closest(fuzzy_join(q, t, by, share, FEW_EDITS, swaps=swaps), by))
+    lost = q.join(near.select(*by, "query").distinct(), [*by, "query"], "left_anti").filter(F.floor(F.length("query") * share) > FEW_EDITS)
+    return union(near, closest(fuzzy_join(lost, t, by, share, most, swaps=swaps), by))
+
+
 def closest(found: DataFrame, by: list[str]) -> DataFrame:
     """All terms at a query's smallest distance."""
     order = Window.partitionBy(*by, "query").orderBy("distance")

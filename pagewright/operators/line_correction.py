@@ -3,26 +3,33 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import rebuild_line, tokens
+from .anchors import anchors, spans
 from .fuzzy import fuzzy_join, top
 
 OPCODES = "ratio double, ops array<struct<tag: string, o: array<string>, m: array<string>>>"
 
 
-def align_tokens(ours: Column, theirs: Column) -> Column:
-    """Struct of the two token lists' similarity (twice the matched share) and their edits, by the longest matching blocks."""
+def align_tokens(ours: Column, theirs: Column, junk: bool = True) -> Column:
+    """Struct of the two token lists' similarity (twice the matched share) and their edits, by the longest matching blocks.
+
+    junk: from 200 tokens on, tokens that make up over a hundredth of `theirs`
+    anchor no block. This is how the matching is defined for a line against a whole text, so it is kept there.
+    """
 
     @F.pandas_udf(OPCODES)
     def align(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         ratios, ops = [], []
         for x, y in zip(a, b):
             x, y = list(x) if x is not None else [], list(y) if y is not None else []
-            found = SequenceMatcher(None, x, y)
+            found = SequenceMatcher(None, x, y, autojunk=junk)
             ratios.append(found.ratio())
             ops.append([{"tag": t, "o": x[i:j], "m": y[k:n]} for t, i, j, k, n in found.get_opcodes()])
         return pd.DataFrame({"ratio": ratios, "ops": ops})
@@ -30,16 +37,27 @@ def align_tokens(ours: Column, theirs: Column) -> Column:
     return align(ours, theirs)
 
 
-def beside(split: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """`theirs` cut down to the tokens that stand beside a line: where it begins, in proportion, and `window` more on either side."""
-    whole = Window.partitionBy(*keys)
-    n = F.size("ours")
-    before = F.coalesce(F.sum(n).over(whole.orderBy("line_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = split.withColumns({"_at": before, "_scale": F.size("theirs") / F.greatest(F.sum(n).over(whole), F.lit(1))})
-    first = F.floor(F.col("_at") * F.col("_scale")).cast("int") - window
-    last = F.ceil((F.col("_at") + n) * F.col("_scale")).cast("int") + window
-    start = F.greatest(first, F.lit(0))
-    return placed.withColumn("theirs", F.slice("theirs", start + 1, F.greatest(last - start, F.lit(0)))).drop("_at", "_scale")
+def beside(lines: DataFrame, transcriptions: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """keys, line_idx, text, ours, theirs: each line's tokens and those of the transcription that stand beside it, `window` more on either side.
+
+    A text and its transcription are aligned as a whole, by anchors, so a
+    document's cost follows its length; no line meets more of the transcription than its part.
+    """
+
+    @F.arrow_udf("array<array<string>>")
+    def parts(texts: pa.Array, others: pa.Array) -> pa.Array:
+        out = []
+        for x, theirs in zip(texts.to_pylist(), others.to_pylist()):
+            cuts = list(accumulate([0, *map(len, x)]))
+            found = spans(cuts[:-1], cuts[-1], anchors([w for line in x for w in line], theirs), len(theirs))
+            out.append([theirs[max(i - window, 0) : j + window] for i, j in found])
+        return pa.array(out, pa.list_(pa.list_(pa.string())))
+
+    line = F.struct("line_idx", "text", tokens(F.coalesce("text", F.lit(""))).alias("ours"))
+    docs = lines.select(*keys, line.alias("l")).groupBy(*keys).agg(F.sort_array(F.collect_list("l")).alias("l"))
+    both = docs.join(transcriptions.select(*keys, tokens(F.coalesce("transcription", F.lit(""))).alias("theirs")), keys)
+    cut = both.withColumn("p", parts(F.col("l.ours"), F.col("theirs"))).select(*keys, F.explode(F.arrays_zip("l", "p")).alias("x"))
+    return cut.select(*keys, "x.l.line_idx", "x.l.text", "x.l.ours", F.col("x.p").alias("theirs"))
 
 
 def correct_lines(lines: DataFrame, transcriptions: DataFrame, keys: list[str], threshold: float = 0.5, window: int | None = None) -> DataFrame:
@@ -51,12 +69,14 @@ def correct_lines(lines: DataFrame, transcriptions: DataFrame, keys: list[str],
     transcription's dictionary gives that word for it, or `[old] ~new`; what is
     only on one side is marked `[old]` or `[[new words]]`. window: compare a line
     not with the whole transcription, to which a line of a long text is never
-    similar, but with what stands beside it, and so many tokens more.
+    similar, but with what stands beside it, and so many tokens more on either
+    side; then no token is too frequent to be matched. Without it a line meets the whole text, as align_tokens tells.
     """
-    split = lines.withColumn("ours", tokens(F.col("text"))).join(transcriptions.withColumn("theirs", tokens(F.col("transcription"))), keys)
-    if window is not None:
-        split = beside(split, keys, window)
-    aligned = split.withColumn("a", align_tokens(F.col("ours"), F.col("theirs")))
+    if window is None:
+        split = lines.withColumn("ours", tokens(F.col("text"))).join(transcriptions.withColumn("theirs", tokens(F.col("transcription"))), keys)
+    else:
+        split = beside(lines, transcriptions, keys, window)
+    aligned = split.withColumn("a", align_tokens(F.col("ours"), F.col("theirs"), junk=window is None))
     kept = aligned.select(*keys, "line_idx", "text", F.col("a.ratio").alias("ratio"), "a.ops")
     swaps = lambda op: (op["tag"] == "replace") & (F.size(op["o"]) == F.size(op["m"]))
     asked = kept.filter(F.col("ratio") >= threshold).select(*keys, F.explode(F.flatten(F.transform(F.filter("ops", swaps), lambda op: op["o"]))).alias("query"))

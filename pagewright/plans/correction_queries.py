@@ -245,6 +245,14 @@ def line_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.correct_lines(lines, given, TURN)
 
 
+def document_line_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a document, as recognised, against the part of the whole document as given that stands beside it."""
+    lines = whole_lines(spark, sf_dir)
+    given = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_idx", "gt"))), lambda x: x["gt"]), " ").alias("transcription"))
+    fixed = L.correct_lines(lines.select("doc_id", "line_idx", F.col("ocr").alias("text")), given, ["doc_id"], window=0)
+    return fixed.select("doc_id", "line_idx", F.round("ratio", 9).alias("ratio"), F.md5("corrected").alias("corrected_md5"))
+
+
 def service_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model of the user's on every turn: it gives the text with another letter for every e and fails on long ones."""
 
@@ -261,7 +269,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         error_rates_by_lang, error_rates_by_document, character_errors, line_errors, evaluation_pairs, character_differences, word_differences, error_rates_whole, line_errors_whole, character_differences_whole, word_differences_whole, difference_totals, fuzzy_closest, spell_top1,
-        spell_in_context, fuzzy_closest_two, fuzzy_closest_by_length, spell_top1_two, spell_top1_exchanges, spell_in_context_two, coverage, uncovered_runs, ngram_matches, ngram_matches_plain, match_order, match_sets, transcription_correction, line_correction, service_lines,
+        spell_in_context, fuzzy_closest_two, fuzzy_closest_by_length, spell_top1_two, spell_top1_exchanges, spell_in_context_two, coverage, uncovered_runs, ngram_matches, ngram_matches_plain, match_order, match_sets, transcription_correction, line_correction, document_line_correction, service_lines,
     )
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.unions import union
-from pagewright.operators import alignment, evaluation as E, fuzzy as Z, line_correction as L, spelling as S, transcription as C
+from pagewright.operators import alignment, anchors, evaluation as E, fuzzy as Z, line_correction as L, spelling as S, transcription as C
 from pagewright.plans import correction_queries as Q
 from plain import greedy_sets as plain_sets, levenshtein, osa
 
@@ -38,6 +38,8 @@ def test_fuzzy_join_is_whole(spark):
         near = {(r["query"], r["term"], r["distance"]) for r in Z.closest_terms(q, t, ["lang"], share, most).collect()}
         least = {a: min(d for x, _, d in want if x == a) for a, _, _ in want}
         assert near == {(a, b, d) for a, b, d in want if d == least[a]}
+        near = {(r["query"], r["term"], r["distance"]) for r in Z.closest_by_share(q, t, ["lang"], share, most).collect()}
+        assert near == {(a, b, d) for a, b, d in want if d == least[a]}
 
 
 def test_fuzzy_join_of_long_strings(spark):
@@ -115,6 +117,48 @@ def test_lines_of_a_long_text_are_compared_with_what_stands_beside_them(spark):
     assert got == [m.replace("some", "~some") for m in man]
 
 
+def test_anchors_of_a_long_text():
+    """100,000 words against their transcription: linear, nearly all words placed right, and each line's span is its own."""
+    rng, took = random.Random(1), []
+    for n in (50_000, 200_000):
+        man = [rng.choice("abcdefgh") * rng.randint(1, 3) + str(rng.randint(0, n // 4)) if rng.random() < 0.5 else rng.choice(["the", "of", "and", "a"]) for _ in range(n)]
+        kept = [(i, w) for i, w in enumerate(man) if rng.random() < 0.97]
+        ocr = [w if rng.random() < 0.9 else w + "x" for _, w in kept]
+        began = time.process_time()
+        found = anchors.anchors(ocr, man)
+        cuts = list(range(0, len(ocr), 10))
+        spans = anchors.spans(cuts, len(ocr), found, n)
+        took.append(time.process_time() - began)
+        assert all(ocr[i] == man[j] for i, j in found) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(found, found[1:]))
+        assert sum(kept[i][0] == j for i, j in found) > 0.99 * len(found) > 0.8 * n
+        assert spans[0][0] == 0 and spans[-1][1] == n and all(a[1] == b[0] <= b[1] for a, b in zip(spans, spans[1:]))
+        assert sum(abs(kept[c][0] - a) <= 2 for c, (a, _) in zip(cuts, spans)) > 0.99 * len(cuts)
+    assert took[1] < 9 * took[0] + 0.5
+
+
+def test_anchors_against_a_plain_check():
+    rng = random.Random(2)
+    for _ in range(400):
+        a, b = ([rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, 25))] for _ in range(2))
+        found = anchors.anchors(a, b)
+        assert all(a[i] == b[j] for i, j in found) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
+        pairs = anchors.unique_in_both(a, b)
+        assert pairs == [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == b.count(x) == 1]
+        best = anchors.rising(pairs)
+        longest = max((n for n in range(len(pairs) + 1) if any(all(x[1] < y[1] for x, y in zip(c, c[1:])) for c in itertools.combinations(pairs, n))), default=0) if len(pairs) < 10 else len(best)
+        assert len(best) == longest and all(x < y for (_, x), (_, y) in zip(best, best[1:]))
+    assert anchors.spans([], 0, [], 3) == [] and anchors.spans([0], 0, [], 3) == [(0, 3)]
+
+
+def test_documents_are_corrected_line_by_line(spark):
+    rows = Q.document_line_correction(spark, "/root/testdata/sf0.001")
+    lines = Q.whole_lines(spark, "/root/testdata/sf0.001")
+    joined = rows.join(lines.filter("gt = ocr AND length(gt) > 60"), ["doc_id", "line_idx"]).select("ratio", "corrected_md5", F.md5("ocr").alias("same"))
+    counted = joined.agg(F.count("*").alias("n"), F.count_if(F.col("ratio") > 0.9).alias("near")).first()
+    assert counted["n"] == 0 or counted["near"] > 0.95 * counted["n"]
+    assert rows.count() == lines.count() and rows.filter("ratio > 0.5").count() > 0.9 * lines.filter("length(gt) > 20").count()
+
+
 def test_spelling(spark):
     terms = spark.createDataFrame([("en", "sample", 3), ("en", "simple", 5), ("en", "the", 9)], "lang string, term string, freq long")
     placed = spark.createDataFrame([(1, "en", 0, 0, "the"), (1, "en", 0, 1, "smple"), (1, "xx", 1, 2, "smple")], "doc int, lang string, line_idx int, pos int, word string")
