@@ -21,6 +21,7 @@ from ..functions import text as T
 from ..operators import evaluation as E, line_correction as L, spelling as S, transcription as C, words as W
 from ..operators.enrich import enrich
 from ..operators.fuzzy import closest_terms, closest_within
+from ..sources.checkpoints import settle
 from ..sources.files import spread, table
 
 
@@ -194,6 +195,22 @@ def spell_in_context_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spell_in_context(spark, sf_dir, 2)
 
 
+def spell_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By language, words that are recognised wrongly and no dictionary word, and how many of them are restored by the best term alone,
+    by the word before, and by the best path through all words around."""
+    words = document_words(spark, sf_dir)
+    terms = dictionary(words)
+    counts = settle(S.bigrams(words.select("doc_id", "lang", "pos", F.col("gt").alias("word")), ["doc_id"], ["lang"]))
+    placed = words.select("doc_id", "lang", "pos", F.col("ocr").alias("word"))
+    alone = S.top_corrections(placed, terms, ["lang"], swaps=False).select("lang", F.col("word").alias("ocr"), F.col("corrected").alias("alone"))
+    before = S.context_corrections(placed, terms, counts, ["doc_id"], ["lang"], swaps=False).select("doc_id", "pos", F.col("corrected").alias("before"))
+    path = S.path_corrections(placed, terms, counts, ["doc_id"], ["lang"], swaps=False).select("doc_id", "pos", F.col("corrected").alias("path"))
+    wrong = words.filter("gt <> ocr").join(terms.select("lang", F.col("term").alias("ocr")), ["lang", "ocr"], "left_anti")
+    both = wrong.join(alone, ["lang", "ocr"]).join(before, ["doc_id", "pos"]).join(path, ["doc_id", "pos"])
+    right = lambda c: F.count_if(F.col(c) == F.col("gt")).alias(f"n_{c}")
+    return both.groupBy("lang").agg(F.count("*").alias("n_wrong"), right("alone"), right("before"), right("path"))
+
+
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words covered by trigrams that both texts have at the same place."""
     words = document_words(spark, sf_dir)
@@ -269,7 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         error_rates_by_lang, error_rates_by_document, character_errors, line_errors, evaluation_pairs, character_differences, word_differences, error_rates_whole, line_errors_whole, character_differences_whole, word_differences_whole, difference_totals, fuzzy_closest, spell_top1,
-        spell_in_context, fuzzy_closest_two, fuzzy_closest_by_length, spell_top1_two, spell_top1_exchanges, spell_in_context_two, coverage, uncovered_runs, ngram_matches, ngram_matches_plain, match_order, match_sets, transcription_correction, line_correction, document_line_correction, service_lines,
+        spell_in_context, fuzzy_closest_two, fuzzy_closest_by_length, spell_top1_two, spell_top1_exchanges, spell_in_context_two, spell_restored, coverage, uncovered_runs, ngram_matches, ngram_matches_plain, match_order, match_sets, transcription_correction, line_correction, document_line_correction, service_lines,
     )
 }
 

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import time
 
@@ -168,6 +169,47 @@ def test_spelling(spark):
     assert got == {0: "the", 1: "sample"}
 
 
+def path_score(path, places, pairs, total):
+    freq = [{c["term"]: c["freq"] for c in p} for p in places]
+    alone = lambda i: (1 - S.BY_NEIGHBOUR) * (freq[i][path[i]] + 0.5) / (total + 1)
+    score = math.log(alone(0))
+    for i in range(1, len(path)):
+        seen = pairs[i - 1].get((path[i - 1], path[i]), 0)
+        score += math.log((S.BY_NEIGHBOUR * seen / max(freq[i - 1][path[i - 1]], seen) if seen else 0) + alone(i))
+    return score
+
+
+def test_best_paths_against_all_paths():
+    rng = random.Random(31)
+    for _ in range(300):
+        places = [[{"term": t, "freq": rng.randint(0, 9)} for t in rng.sample("abcdef", rng.randint(1, 3))] for _ in range(rng.randint(1, 5))]
+        pairs = [{(b["term"], t["term"]): rng.randint(1, 5) for b in x for t in y if rng.random() < 0.4} for x, y in zip(places, places[1:])]
+        got = S.best_path(places, pairs, 100.0)
+        every = [path_score(p, places, pairs, 100.0) for p in itertools.product(*[[c["term"] for c in x] for x in places])]
+        assert abs(path_score(got, places, pairs, 100.0) - max(every)) < 1e-9
+
+
+def test_spelling_by_both_neighbours(spark):
+    """What follows decides, and two misread words side by side help one another; words of the dictionary stay."""
+    terms = [("hot", 5), ("hat", 9), ("soup", 5), ("soap", 9), ("rack", 5), ("the", 20), ("eat", 4)]
+    terms = spark.createDataFrame([("en", t, n) for t, n in terms], "lang string, term string, freq long")
+    counts = spark.createDataFrame([("en", "hot", "soup", 5), ("en", "the", "hat", 2), ("en", "hat", "rack", 4), ("en", "eat", "hot", 1)], "lang string, before string, word string, n long")
+    lines = ["the hxt soup", "hxt soxp", "the hxt rack", "hxt", "the zzzz hxt soup hat", "hxt rack hxt soup"]
+    rows = [(i, "en", p, w) for i, x in enumerate(lines) for p, w in enumerate(x.split())] + [(9, "xx", 0, "hxt"), (9, "xx", 1, "soup")]
+    got = S.path_corrections(spark.createDataFrame(rows, "line int, lang string, pos int, word string"), terms, counts, ["line"], ["lang"]).collect()
+    fixed = {}
+    for r in sorted(got, key=lambda r: (r["line"], r["pos"])):
+        fixed[r["line"]] = f"{fixed.get(r['line'], '')} {r['corrected']}".strip()
+    assert len(got) == len(rows)
+    assert fixed == {0: "the hot soup", 1: "hot soup", 2: "the hat rack", 3: "hat", 4: "the zzzz hot soup hat", 5: "hat rack hot soup", 9: "hxt soup"}
+
+
+def test_paths_restore_more(spark):
+    rows = Q.spell_restored(spark, "/root/testdata/sf0.001").collect()
+    total = {c: sum(r[c] for r in rows) for c in ("n_wrong", "n_alone", "n_before", "n_path")}
+    assert total["n_path"] > total["n_before"] >= total["n_alone"] and total["n_wrong"] > 1000, total
+
+
 def test_evaluation_goldens(spark):
     pairs = spark.createDataFrame([(1, "text\nSome example test.", "test\nSome example text."), (2, "a’c d", "a c d"), (3, "", "")], "id int, gt string, ocr string")
     rates = {r["id"]: r for r in E.text_error_rates(pairs, ["id"]).collect()}
