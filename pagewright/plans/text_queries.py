@@ -7,6 +7,7 @@ put in by position first, in Spark and in SQL alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import align, text as T
 from ..functions.unions import union
 from ..operators import usage as U, words as W
-from ..sources import encodings, files, pages as P
+from ..sources import archives, encodings, files, pages as P
+from ..sources.checkpoints import shared_folder
 from . import steps as S
 
 
@@ -219,6 +221,18 @@ def zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "member", F.md5("content").alias("content_md5"), "error")
 
 
+def archive_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as one archive for each hundred conversations, and its members read in parallel."""
+    turns = files.table(spark, sf_dir, "conversations")
+    order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    member = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.row_number().over(order).cast("string"))
+    rows = turns.select((F.col("conv_id") % 100).cast("string").alias("archive"), member.alias("member"), F.coalesce("text", F.lit("")).alias("content"))
+    folder = f"{shared_folder(spark)}/archives-{uuid4().hex}"
+    archives.write_archives(rows, folder)
+    found = spark.read.format("zip").option("bytes", 1 << 20).load(folder)
+    return found.select(F.regexp_extract("archive", r"([0-9]+)\.zip$", 1).alias("archive"), "member", "size", F.md5("content").alias("content_md5"), "error")
+
+
 def multipage_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = files.assemble(files.table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text")
     return found.select("conv_id", "n_pages", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
@@ -317,7 +331,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         restructure_by_lang, paragraph_split, text_render, line_lengths, running_offsets, join_page, join_page_backward, realign_lines, dehyphenate,
         sentence_split, tokens_ws, tokens_alt, word_positions, ngrams3, ngram_index, dictionary_freq, wrap_page_lines, reading_order, page_write_back,
-        positional_zip, single_step_files, correct_files, page_pipeline, batch_of_both_kinds, metering, text_line_scan, rebuilt_text, evaluation_tokens, format_sniff, decode_files, encoding_confusion, zip_round_trip, multipage_assemble, batch_fan_in, file_names, content_type_gate,
+        positional_zip, single_step_files, correct_files, page_pipeline, batch_of_both_kinds, metering, text_line_scan, rebuilt_text, evaluation_tokens, format_sniff, decode_files, encoding_confusion, zip_round_trip, archive_round_trip, multipage_assemble, batch_fan_in, file_names, content_type_gate,
     )
 }
 
@@ -498,6 +512,10 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 1 AND NOT regexp_matches(t, '[^\\x00-\\x7F
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """,
     "zip_round_trip": "SELECT conv_id, 'turn ' || turn::VARCHAR || '.txt' AS member, md5(role || chr(10) || chr(10) || coalesce(text, '')) AS content_md5, NULL::VARCHAR AS error FROM conversations",
+    "archive_round_trip": """
+SELECT (conv_id % 100)::VARCHAR AS archive, conv_id::VARCHAR || '/' || turn::VARCHAR || '/' || (row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST))::VARCHAR AS member,
+       strlen(coalesce(text, ''))::BIGINT AS size, md5(coalesce(text, '')) AS content_md5, NULL::VARCHAR AS error FROM conversations
+""",
     "multipage_assemble": "SELECT conv_id, count(*) AS n_pages, length(string_agg(coalesce(text, ''), chr(10) ORDER BY turn))::INTEGER AS n_chars, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS text_md5 FROM conversations GROUP BY conv_id",
     "batch_fan_in": "SELECT conv_id, count(*) AS n_results, string_agg(role, ',' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id",
     "file_names": """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COLUMNS = "usage_id BIGINT, service STRING, api_key_id BIGINT, status STRING, ts TIMESTAMP, source_language STRING, target_language STRING, source_size BIGINT, target_size BIGINT, method STRING, engine_id BIGINT, extra STRING"
@@ -29,3 +31,21 @@ def close_usage(opened: DataFrame, results: DataFrame) -> DataFrame:
 
 def append_usage(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
+
+
+def append_once(path: str, stream: str = "usage") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends each micro-batch of a stream to the ledger once, however often it is written.
+
+    A batch has a folder of its own by the stream's name and its number, which is
+    written anew when a batch comes again after a failure. A stream that starts over with a new checkpoint needs another name.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/stream={stream}/batch={number}")
+
+    return write
+
+
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a ledger that streams append to."""
+    return spark.read.parquet(path).drop("stream", "batch")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.unions import union
@@ -92,33 +93,60 @@ def expired_results(results: DataFrame, key: str = "task_id", ts: str = "ts", ke
     )
 
 
+#: Fixed value: the state store that state by member needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Members(StatefulProcessor):
+    """The members of a batch that are done, each an entry of its own, and how many there are.
+
+    A micro-batch reads and writes only the entries of the members it brings. Once
+    the batch is complete they go, and only that it was told stays. All of it is forgotten `keep` milliseconds after it was last written.
+    """
+
+    def __init__(self, key: str, keep: int):
+        self.key, self.keep = key, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "member string", "ok boolean", self.keep)
+        self.counts = handle.getValueState("counts", "done int, failed int, expected int, told boolean", self.keep)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        done, failed, expected, told = self.counts.get() if self.counts.exists() else (0, 0, 0, False)
+        for frame in rows:
+            sizes = frame["expected"].dropna()
+            expected = max(expected, int(sizes.max()) if len(sizes) else 0)
+            if told:
+                continue
+            for m, ok in zip(frame["member"], frame["ok"]):
+                if m is None or self.seen.containsKey((m,)):
+                    continue
+                ok = bool(ok) if ok is not None and ok == ok else False
+                self.seen.updateValue((m,), (ok,))
+                done, failed = done + 1, failed + (not ok)
+        if not told and expected and done >= expected:
+            told = True
+            self.seen.clear()
+            yield pd.DataFrame([(key[0], done, failed)], columns=[self.key, "n_done", "n_failed"])
+        self.counts.update((done, failed, expected, told))
+
+    def close(self) -> None:
+        pass
+
+
 def completed_batches(members: DataFrame, keep_hours: int = 24) -> DataFrame:
     """batch_id, n_done, n_failed of each batch once all its members are done, once only.
 
     members: batch_id, member, expected, ok. The same member told twice counts
-    once; a null member is none, a null `expected` says nothing, a null `ok` is a failure. A batch that stays incomplete is forgotten after `keep_hours` without news.
+    once; a null member is none, a null `expected` says nothing, a null `ok` is a failure. What is not written for `keep_hours` is
+    forgotten: members of a batch that stays incomplete, and that a batch was
+    complete. State is kept by member in the session's RocksDB store, which this sets.
+    Processing time always asks for another batch, so a stream that is to end by
+    itself (availableNow) needs spark.sql.streaming.noDataMicroBatches.enabled off.
     """
+    members.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = members.schema["batch_id"].dataType.simpleString()
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done, failed, expected, told = state.get if state.exists else ("", 0, 0, False)
-        seen = set(done.split("\x1f")) - {""}
-        for frame in frames:
-            told_sizes = frame["expected"].dropna()
-            expected = max(expected, int(told_sizes.max()) if len(told_sizes) else 0)
-            for m, ok in zip(frame["member"], frame["ok"].fillna(False)):
-                if m is not None and m not in seen:
-                    seen.add(m)
-                    failed += not ok
-        if not told and expected and len(seen) >= expected:
-            told = True
-            yield pd.DataFrame([(keys[0], len(seen), failed)], columns=["batch_id", "n_done", "n_failed"])
-        state.update(("\x1f".join(sorted(seen)), failed, expected, told))
-        state.setTimeoutDuration(keep_hours * 3_600_000)
-
-    return members.groupBy("batch_id").applyInPandasWithState(
-        step, f"batch_id {kind}, n_done int, n_failed int", "done string, failed int, expected int, told boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
+    told = members.select("batch_id", F.col("member").cast("string").alias("member"), "expected", "ok")
+    return told.groupBy("batch_id").transformWithStateInPandas(
+        Members("batch_id", keep_hours * 3_600_000), f"batch_id {kind}, n_done int, n_failed int", "append", "processingTime"
     )

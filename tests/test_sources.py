@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.plans import text_queries
-from pagewright.sources import encodings, files, ledger, pages as P
+from pagewright.sources import archives, encodings, files, ledger, pages as P
 
 PAGE = """<?xml version="1.0" encoding="UTF-8"?>
 <pc:PcGts xmlns:pc="http://schema.primaresearch.org/PAGE/gts/pagecontent/2013-07-15"><pc:Metadata><pc:Creator>x</pc:Creator></pc:Metadata>
@@ -152,3 +152,58 @@ def test_encodings_without_a_mark(spark):
 def test_encoding_model_of_nothing(spark):
     model = encodings.learn(spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string"))
     assert model.tell(b"")[2] == "" and model.tell(b"a\xe9b")[0] in encodings.CANDIDATES
+
+
+def test_archives_are_read_in_parallel_and_written_whole(spark, tmp_path):
+    folder = tmp_path / "zips"
+    rows = spark.createDataFrame([(f"b{i % 3}", f"sub/m{i}.txt", f"text {i} " * 200) for i in range(30)], "archive string, member string, content string")
+    archives.write_archives(rows, str(folder))
+    assert sorted(f.name for f in folder.iterdir()) == ["b0.zip", "b1.zip", "b2.zip"]
+    (folder / "bad.zip").write_bytes(b"no")
+    (folder / "none.zip").write_bytes(zipped())
+    (folder / "slip.zip").write_bytes(zipped(**{"../x": "A"}))
+    damaged = bytearray(zipped(**{"a.txt": "A" * 5000, "b.txt": "B"}))
+    damaged[40] ^= 255
+    (folder / "damaged.zip").write_bytes(damaged)
+    found = spark.read.format("zip").option("bytes", 5000).load(str(folder))
+    assert found.rdd.getNumPartitions() > 5
+    got = found.withColumn("archive", F.element_at(F.split("archive", "/"), -1)).collect()
+    good = {(r["archive"], r["member"], bytes(r["content"]).decode(), r["size"]) for r in got if r["content"] is not None}
+    assert good == {(f"b{i % 3}.zip", f"sub/m{i}.txt", t := f"text {i} " * 200, len(t)) for i in range(30)} | {("damaged.zip", "b.txt", "B", 1)}
+    errors = {(r["archive"], r["member"]): r["error"] for r in got if r["error"]}
+    assert errors.pop(("damaged.zip", "a.txt")) and errors == {("bad.zip", None): "not a ZIP file", ("none.zip", None): "empty", ("slip.zip", None): "unsafe path"}
+    # A write that fails leaves no archive and nothing unfinished, and keeps what was there.
+    before = sorted(f.name for f in folder.iterdir())
+    broken = rows.withColumn("archive", F.concat(F.lit("new"), "archive")).union(spark.createDataFrame([("newb1", "../out", "x")], rows.schema))
+    with pytest.raises(Exception, match="unsafe path"):
+        archives.write_archives(broken, str(folder))
+    assert sorted(f.name for f in folder.iterdir()) == before
+
+
+def test_archives_stream(spark, tmp_path):
+    archives.register(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def go(name, **members):
+        (folder / f"{name}.zip").write_bytes(zipped(**members))
+        q = spark.readStream.format("zip").load(str(folder)).writeStream.option("checkpointLocation", str(tmp_path / "c")).format("parquet").start(str(tmp_path / "out"))
+        q.processAllAvailable()
+        q.stop()
+        return sorted(r["member"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert go("one", a="1", b="2") == ["a", "b"]
+    assert go("two", c="3") == ["a", "b", "c"]
+
+
+def test_ledger_rows_of_a_batch_count_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "SUCCESS") for i in range(5)], "usage_id long, status string")
+    write = ledger.append_once(str(tmp_path / "u"))
+    for number in (0, 1, 1, 0):  # two batches come again
+        write(rows.filter(F.col("usage_id") % 2 == number), number)
+    ledger.append_once(str(tmp_path / "u"), "other")(rows.limit(1), 0)
+    assert sorted(r["usage_id"] for r in ledger.read_usage(spark, str(tmp_path / "u")).collect()) == sorted([0, 1, 2, 3, 4, rows.first()["usage_id"]])
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = stream.writeStream.foreachBatch(ledger.append_once(str(tmp_path / "s"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60) and ledger.read_usage(spark, str(tmp_path / "s")).count() == 5

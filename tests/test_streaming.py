@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.plans import steps as S
@@ -6,7 +7,7 @@ from pagewright.streaming import tasks as K
 
 def run(df, name, mode="append"):
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     return df.sparkSession.table(name)
 
 
@@ -82,10 +83,40 @@ def test_results_expire_after_a_day(spark, tmp_path):
     assert got == [("a", 60), ("b", DAY // 2), ("c", DAY + 120)]
 
 
-def test_batches_complete_once(spark, tmp_path):
+@pytest.fixture
+def ending(spark):
+    """Streams on processing time end when their input does."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+def test_batches_complete_once(spark, tmp_path, ending):
     rows = [("x", "1", 2, True), ("x", "1", None, True), ("x", "2", 2, False), ("y", "1", 3, True), ("y", None, None, None), ("z", "1", 1, None)]
     df = spark.createDataFrame(rows, "batch_id string, member string, expected int, ok boolean")
     df.write.parquet(str(tmp_path / "m"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "m"))
     got = run(K.completed_batches(stream), "complete").collect()
     assert sorted((r["batch_id"], r["n_done"], r["n_failed"]) for r in got) == [("x", 2, 1), ("z", 1, 1)]
+
+
+MEMBER = "batch_id string, member string, expected int, ok boolean"
+
+
+def test_batches_go_on_after_a_restart(spark, tmp_path, ending):
+    """Members that come in several runs of a stream, one with the sign that once parted members, one again after the batch is complete."""
+
+    def go(rows):
+        spark.createDataFrame(rows, MEMBER).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+        stream = spark.readStream.schema(MEMBER).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "m"))
+        q = K.completed_batches(stream).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+        assert q.awaitTermination(120)
+        found = sorted((r["batch_id"], r["n_done"], r["n_failed"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        return found, sum(o["numRowsTotal"] for p in q.recentProgress[-1:] for o in [p.stateOperators[0]])
+
+    many = [("x", f"m{i}", 100, True) for i in range(60)]
+    assert go([*many, ("y", "a\x1fb", 3, True), ("y", "a", None, False)])[0] == []
+    found, rows = go([*[("x", f"m{i}", None, i != 80) for i in range(40, 100)], ("y", "b", None, None)])
+    assert found == [("x", 100, 1), ("y", 3, 2)]
+    assert rows <= 4  # what was told of two batches, no member
+    assert go([("x", "m3", 100, True), ("x", "late", 900, True), ("z", "1", 1, True)])[0] == [("x", 100, 1), ("y", 3, 2), ("z", 1, 0)]
