@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.unions import union
-from pagewright.operators import alignment, anchors, evaluation as E, fuzzy as Z, line_correction as L, spelling as S, transcription as C
+from pagewright.operators import alignment, anchors, evaluation as E, fuzzy as Z, line_correction as L, match_runs, spelling as S, transcription as C
 from pagewright.plans import correction_queries as Q
 from plain import greedy_sets as plain_sets, levenshtein, osa
 
@@ -74,25 +74,54 @@ def test_transcription_marks(spark):
     assert got["e", 0] == "[nothing]" and got["e", 1] == "[alike] [[zzzz yyyy]]"
 
 
-def test_greedy_sets():
+def runs_of(matches):
+    out = []
+    for d, o, m in sorted(matches, key=lambda x: (x[1] - x[2], x[0], x[1])):
+        if out and out[-1][0] == d and out[-1][1] - out[-1][2] == o - m and out[-1][1] + out[-1][3] == o:
+            out[-1][3] += 1
+        else:
+            out.append([d, o, m, 1])
+    return [tuple(x) for x in out]
+
+
+def singles(runs):
+    return sorted((s, o + i, m + i) for s, o, m, size in runs for i in range(size))
+
+
+def test_greedy_runs():
+    """The sets of runs are those of single matches, for n-grams of one to three words and sets that are given up."""
     rng = random.Random(5)
-    for _ in range(300):
-        matches = sorted({(o, m): (rng.randint(0, 2), o, m) for o, m in [(rng.randint(0, 12), rng.randint(0, 12)) for _ in range(rng.randint(0, 25))]}.values())
-        least = rng.choice([1, 1, 2])
-        found = C.greedy_sets(matches, 3, least)
-        assert found == plain_sets(matches, 3, least)
+    for _ in range(1500):
+        k = rng.choice([6, 12, 25])
+        places = [(rng.randint(0, k), rng.randint(0, k)) for _ in range(rng.randint(0, 30))] + [(i, i + rng.choice([0, 0, 1])) for i in range(rng.randint(0, k))]
+        matches = sorted({(o, m): (rng.randint(0, 2), o, m) for o, m in places}.values())
+        n, least = rng.choice([1, 2, 3]), rng.choice([1, 1, 2, 3])
+        found = singles(match_runs.greedy_runs(runs_of(matches), n, least))
+        assert found == sorted(plain_sets(matches, n, least))
         owner = {}
         for s, o, m in found:
-            for i in range(3):
+            for i in range(n):
                 assert owner.setdefault(("o", o + i), s) == s and owner.setdefault(("m", m + i), s) == s
 
 
-def test_greedy_sets_of_a_long_document():
+def test_match_sets_of_documents(spark):
+    rng, rows = random.Random(6), []
+    for d in range(6):
+        places = {(i + rng.choice([0, 0, 0, 2]), i): rng.choice([0, 0, 1]) for i in range(rng.randint(0, 60)) if rng.random() < 0.9}
+        rows += [(f"d{d}", k, o, m) for (o, m), k in places.items()]
+    df = spark.createDataFrame(rows, "doc string, distance int, ocrpos int, manpos int").repartition(3)
+    got = sorted((r["doc"], r["set_no"], r["ocrpos"], r["manpos"]) for r in C.match_sets(df, ["doc"]).collect())
+    want = sorted((d, *x) for d in {r[0] for r in rows} for x in plain_sets([(k, o, m) for e, k, o, m in rows if e == d], 3))
+    assert got == want
+    assert C.match_runs(df, ["doc"]).agg(F.sum("n")).first()[0] == len(rows) > C.match_runs(df, ["doc"]).count()
+
+
+def test_greedy_runs_of_a_long_document():
     took = []
-    for n in (4000, 16000):  # gaps, so that the diagonal falls into many sets
-        matches = [(i % 3, i, i) for i in range(n) if i % 50 > 6] + [(4, i, i + 900) for i in range(n)]
+    for n in (40_000, 160_000):  # gaps, so that the diagonal falls into many sets
+        runs = runs_of([(0 if i % 50 > 20 else 1, i, i) for i in range(n) if i % 50 > 6] + [(4, i, i + 900) for i in range(n)])
         began = time.process_time()
-        assert C.greedy_sets(matches, 3)
+        assert match_runs.greedy_runs(runs, 3)
         took.append(time.process_time() - began)
     assert took[1] < 8 * took[0] + 1
 
