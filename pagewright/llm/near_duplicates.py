@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, offsets, settle, small_batches, strings
+from .common import hot_keys, mix64, offsets, settle, small_batches, spread_join, strings
 from .components import connected
 
 WORD = re.compile(r"[^\W_]+")
@@ -236,12 +236,13 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
     level = level.select("fp", "sig", F.xxhash64(F.lit(SEED), "run", "root", value(F.col("root"))).alias("bucket"), F.lit(None).cast("long").alias("parent_n"))
     found = []
     for depth in range(LEVELS):
-        sizes = level.groupBy("bucket").agg(F.count("*").alias("n"), F.max("parent_n").alias("parent_n")).filter("n > 1")
+        sizes = settle(level.groupBy("bucket").agg(F.count("*").alias("n"), F.max("parent_n").alias("parent_n")).filter("n > 1"))
+        hot = hot_keys(sizes, "bucket", "n", rows_of(sizes))
         if depth == 0:  # the samples stay behind until the sets alone in their buckets are gone
-            met = settle(level.select("bucket", "fp").join(sizes, "bucket"))
+            met = settle(spread_join(level.select("bucket", "fp"), sizes, "bucket", hot))
             met = settle(met.join(classes.select("fp", "sig"), "fp"))
         else:
-            met = settle(level.drop("parent_n").join(sizes, "bucket"))
+            met = settle(spread_join(level.drop("parent_n"), sizes, "bucket", hot))
         large = met.filter(F.col("n") > BUCKET)
         dense = F.coalesce(F.col("n") >= DENSE * F.col("parent_n"), F.lit(False))
         found += [met.filter(F.col("n") <= BUCKET).withColumn("side", F.lit(2)), in_blocks(large.filter(dense))]
@@ -255,6 +256,11 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
     return edges_in_buckets(reduce(DataFrame.union, rows), least_equal(threshold)).distinct()
 
 
+def rows_of(sizes: DataFrame) -> int:
+    """All rows of groups whose sizes are given as `n`."""
+    return sizes.agg(F.sum("n")).first()[0] or 0
+
+
 def in_blocks(large: DataFrame) -> DataFrame:
     """Rows of large buckets dealt to all pairs of blocks: each set once with its own block, and with every other one."""
     n_blocks = F.ceil(F.col("n") / BUCKET).cast("int")
@@ -319,9 +325,10 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
 
     members: fp, root (of its candidate group), n_docs (documents of the class), n_shingles and text.
     """
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all_shingles")).filter("n > 1")
+    sizes = settle(members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all_shingles")).filter("n > 1"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all_shingles") / BLOCK_SHINGLES)).cast("int")
-    dealt = members.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    spread = spread_join(members, sizes.select("root", blocks.alias("blocks")), "root", hot_keys(sizes, "root", "n", rows_of(sizes)))
+    dealt = spread.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = dealt.select(
         F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), "fp", side_of("mine", "other"), "n_docs", "text"
@@ -349,7 +356,7 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def placed(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """The sketch of docs (doc_key, doc_text), and every set once: fp, set_id, first, n_links and root (of its class).
+    """The sketch of docs (doc_key, doc_text), and every set once: fp, n_docs (documents with it), set_id, first, n_links and root (of its class).
 
     first: doc_key and row of the document that stands for the set, the one with the smallest key, null last.
     """
@@ -373,7 +380,7 @@ def placed(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame,
         classes.select("fp", "n_docs", "set_id", "first").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
         .join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     )
-    return sketched, sets.select("fp", "set_id", "first", "root", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return sketched, sets.select("fp", "n_docs", "set_id", "first", "root", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -388,11 +395,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     Other columns are ignored; no rows give no rows. Whole texts count.
     """
     sketched, sets = placed(docs.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text")), threshold, recall)
-    named = sets.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    sets = settle(sets.join(named, "root").select("fp", "set_id", "class_id", "n_links"))
+    sets = settle(sets.drop("first"))
+    named = settle(sets.groupBy("root").agg(F.min("set_id").alias("class_id"), F.count("*").alias("n")))
+    classed = spread_join(sets, named.drop("n"), "root", hot_keys(named, "root", "n", rows_of(named))).select("fp", "set_id", "class_id", "n_links")
     own = [F.col("doc_key").alias("set_id"), F.col("doc_key").alias("class_id"), F.lit(0).cast("long").alias("n_links")]
     empty = sketched.filter("n_shingles = 0").select("doc_key", *own, "n_shingles")
-    full = sketched.filter("n_shingles > 0").select("fp", "doc_key", "n_shingles").join(sets, "fp")
+    full = spread_join(sketched.filter("n_shingles > 0").select("fp", "doc_key", "n_shingles"), settle(classed), "fp", hot_keys(sets, "fp", "n_docs", sketched.count()))
     return full.select("doc_key", "set_id", "class_id", "n_links", "n_shingles").union(empty).withColumnRenamed("doc_key", key)
 
 
