@@ -25,6 +25,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,9 +61,28 @@ class Pieces:
         self.number = {p.id_to_piece(i): i for i in usable}
         self.bytes = {p.id_to_piece(i): i for i in range(p.get_piece_size()) if p.is_byte(i)}
         self.unknown = p.unk_id()
+        #: What each piece stands for in a text, as bytes, and whether a text gets a space before it that its pieces show.
+        self.meant = pa.array([self._meant(i) for i in range(p.get_piece_size())], pa.binary())
+        self.prefixed = p.normalize("a").replace(" ", SPACE).startswith(SPACE)
         self.table = Table(self.number)
         self.by_word = all(SPACE not in s.lstrip(SPACE) for s in self.number)
 
+    def _meant(self, i: int) -> bytes:
+        p = self.processor
+        name = p.id_to_piece(i)
+        if p.is_byte(i):
+            return bytes([int(name[1:-1], 16)])
+        return b"" if p.is_control(i) else " \u2047 ".encode() if p.is_unknown(i) else name.replace(SPACE, " ").encode()
+
+    def exact(self, ids: np.ndarray, starts: np.ndarray, given: pa.Array) -> pa.Array:
+        """Whether runs of ids stand for the given texts (binary); starts tells where each run begins, and the end of the last."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), self.meant.take(pa.array(ids))), b"")
+        same = pc.equal(joined, given)
+        if not self.prefixed:
+            return same
+        after = pc.equal(joined, pc.binary_join_element_wise(pa.scalar(b" "), given, pa.scalar(b"")))
+        return pc.or_(after, pc.and_not(same, pc.starts_with(joined, " ")))
+
     def segments(self, text: str) -> list[str]:
         """The normalised text, cut where no piece can reach across."""
         made = self.processor.normalize(text).replace(" ", SPACE) if text else ""
@@ -486,14 +506,12 @@ def sample_pieces(
                     end += 1
                 found = sample_batch(pieces, texts[at:end], keys[at:end], k)
                 rows = at + found.owner
-                cuts, flat = found.starts.tolist(), found.ids.tolist()
-                plain = pieces.processor.decode([flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])], num_threads=1)
-                del flat
+                given = b.column(1).take(pa.array(rows)).cast(pa.binary()).fill_null(b"")
                 made = [
                     pa.array(found.rank, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(found.starts, pa.int32()), pa.array(found.ids, pa.int32())),
                     *(pa.array(x, pa.float64()) for x in (found.logp, found.value, found.inclusion)),
-                    pa.array([p == texts[r] for p, r in zip(plain, rows.tolist())], pa.bool_()),
+                    pieces.exact(found.ids, found.starts, given),
                 ]
                 yield pa.RecordBatch.from_arrays([*[c.take(pa.array(rows)) for c in carried], *made], names=[*names, *ADDED])
                 at = end
