@@ -43,3 +43,12 @@ def test_matches_shuffle_rows_by_document_not_by_candidate(spark):
     assert "levenshtein" not in plan and "ArrowEvalPython" in plan
     # A window of three words holds a place divisible by three; where its word has no `e`, the n-gram is its own nearest.
     assert matches.filter("ocrpos = manpos").count() == 3 * 58
+
+
+def test_words_alike_at_their_start_share_no_key(spark):
+    """Terms with the same seven first letters met in one key, whose pairs grew with the square of the dictionary."""
+    rows = spark.createDataFrame([("internation" + x, 2) for x in ("al", "elle", "sbuero")] + [("interna" + x, 2) for x in ("xyz", "qvwk")], "term string, k int")
+    keyed = Z.with_delete_keys(rows, "term", "k", 2).select("term", "key").distinct()
+    found = [(r["term"], r["key"]) for r in keyed.collect()]
+    pairs = {(a, b) for a, k in found for b, m in found if k == m and a < b}
+    assert pairs and not any("interna" + x in pair for pair in pairs for x in ("xyz", "qvwk"))
