@@ -131,9 +131,13 @@ def trim_page(text: Column) -> Column:
 def rebuild_line(tokens_: Column) -> Column:
     """Tokens joined by spaces, none before a punctuation mark unless a bracketed token stands before it."""
     marks = F.array(*map(F.lit, string.punctuation))
-    before = lambda i: F.get(tokens_, i - 1)
-    glued = lambda t, i: (i == 0) | (F.array_contains(marks, t) & ~before(i).endswith("]"))
-    return F.array_join(F.transform(tokens_, lambda t, i: F.when(glued(t, i), t).otherwise(F.concat(F.lit(" "), t))), "")
+
+    def built(found: Column) -> Column:
+        glued = lambda t, i: (i == 0) | (F.array_contains(marks, t) & ~F.get(found, i - 1).endswith("]"))
+        return F.array_join(F.transform(found, lambda t, i: F.when(glued(t, i), t).otherwise(F.concat(F.lit(" "), t))), "")
+
+    # Bound by let: each token looks at the one before it, for which the whole text would be split again.
+    return let(tokens_, built)
 
 
 def restore_marks(text: Column) -> Column:

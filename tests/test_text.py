@@ -144,3 +144,12 @@ def test_service_loses_a_line(spark):
     df = spark.createDataFrame([(1, [["a", "b"]])], "id int, text array<array<string>>")
     row = S.Service("cut", lambda docs: [d[:1] for d in docs]).forward(df).first()
     assert row["cut_status"] == "FAILED" and row["text"] == [["a", "b"]]
+
+
+def test_rebuilding_a_long_line_is_linear(spark):
+    """Of a text of 20,000 tokens each token split the whole text again."""
+    text = "word , " * 10000
+    df = spark.createDataFrame([(text,)], "t string").select(T.rebuild_line(T.tokens(F.col("t"))).alias("x"))
+    began = time.perf_counter()
+    assert df.first()["x"] == " ".join(["word,"] * 10000)
+    assert time.perf_counter() - began < 20
