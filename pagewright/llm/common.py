@@ -8,11 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import batches
+from ..functions.batches import BATCH_BYTES, BATCH_ROWS  # noqa: F401
 from ..sources.checkpoints import settle  # noqa: F401
 
-#: Rows an Arrow batch holds at most, and its bytes where Spark knows the setting; long texts make batches heavy.
-BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
-
 MASK = (1 << 64) - 1
 
 #: Classes of a classifier at most.
@@ -29,8 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Python worker gets at once, whatever the length of the texts; also, unions keep no partitioning (see functions.unions)."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    batches.small_batches(spark)
 
 
 def held_out(doc_id: Column) -> Column:

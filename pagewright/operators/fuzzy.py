@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import small_batches
 from ..functions.unions import union
 from ..sources.checkpoints import settle
 
@@ -349,6 +350,7 @@ def closest_in_groups(queries: DataFrame, terms: DataFrame, by: list[str], share
     cut into blocks of BLOCK strings on either side; a row holds two blocks, and
     a group's blocks are dealt out, so that no task needs a whole group.
     """
+    small_batches(queries.sparkSession)
     edits = [edits_allowed(n, share, most, None) for n in range((math.ceil(most / share) if share > 0 else 0) + 2)]
 
     def blocks(rows: DataFrame, string: str, number: str, name: str) -> DataFrame:

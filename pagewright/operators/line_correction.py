@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import small_batches
 from ..functions.text import rebuild_line, tokens
 from .anchors import anchors, spans
 from .fuzzy import fuzzy_join, top
@@ -72,6 +73,7 @@ def correct_lines(lines: DataFrame, transcriptions: DataFrame, keys: list[str],
     similar, but with what stands beside it, and so many tokens more on either
     side; then no token is too frequent to be matched. Without it a line meets the whole text, as align_tokens tells.
     """
+    small_batches(lines.sparkSession)
     if window is None:
         split = lines.withColumn("ours", tokens(F.col("text"))).join(transcriptions.withColumn("theirs", tokens(F.col("transcription"))), keys)
     else:

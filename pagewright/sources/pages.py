@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import small_batches
 from ..functions.text import strip
 
 NAMESPACE = "http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"
@@ -143,6 +144,7 @@ def patch_page(xml: str, text: list[list[str]], words: bool = False, order: bool
 
 def write_back(pages: DataFrame, xml: str = "xml", text: str = "text", words: bool = False, order: bool = False) -> DataFrame:
     """Replace `xml` by the page with the new text (ARRAY<ARRAY<STRING>>) in it; a null text leaves a page as it is."""
+    small_batches(pages.sparkSession)
     names = pages.columns
     x, t = names.index(xml), names.index(text)
 

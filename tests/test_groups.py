@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from pagewright.operators import fuzzy as Z, transcription as C
+from pagewright.operators import fuzzy as Z, line_correction as L, transcription as C
+from pagewright.sources import pages as P
 
 
 def strings(seed: int, n: int, most: int) -> list[str]:
@@ -52,3 +53,14 @@ def test_words_alike_at_their_start_share_no_key(spark):
     found = [(r["term"], r["key"]) for r in keyed.collect()]
     pairs = {(a, b) for a, k in found for b, m in found if k == m and a < b}
     assert pairs and not any("interna" + x in pair for pair in pairs for x in ("xyz", "qvwk"))
+
+
+def test_python_workers_get_small_batches(spark):
+    """Ten thousand rows with texts went to a worker at once."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lines = spark.createDataFrame([(1, 0, "a b")], "d long, line_idx int, text string")
+    L.correct_lines(lines, spark.createDataFrame([(1, "a c")], "d long, transcription string"), ["d"])
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    P.write_back(spark.createDataFrame([("<a/>", [["b"]])], "xml string, text array<array<string>>"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
