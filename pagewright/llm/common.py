@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import batches
-from ..functions.batches import BATCH_BYTES, BATCH_ROWS  # noqa: F401
 from ..sources.checkpoints import settle  # noqa: F401
 
 MASK = (1 << 64) - 1
