@@ -64,3 +64,24 @@ def test_python_workers_get_small_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     P.write_back(spark.createDataFrame([("<a/>", [["b"]])], "xml string, text array<array<string>>"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+
+
+def test_long_lines_are_aligned_as_difflib_does_but_sooner():
+    from difflib import SequenceMatcher
+    from random import Random
+    from time import process_time
+
+    from pagewright.operators.blocks import matching_blocks
+
+    random = Random(3)
+    for case in range(400):
+        words = random.choice([1, 2, 3, 8, 50])
+        a = [random.randrange(words) for _ in range(random.randrange(90))]
+        b = [x if random.random() < 0.8 else random.randrange(words) for x in a if random.random() < 0.9]
+        want = [tuple(x) for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()][:-1]
+        assert all(matching_blocks(a, b, pairs) == want for pairs in (0, 30, 1 << 18)), (a, b)
+    given = [f"w{random.randrange(8)}" for _ in range(5000)]
+    read = ["x" + w if i % 7 == 3 else w for i, w in enumerate(given)]
+    began = process_time()
+    blocks = matching_blocks(read, given)
+    assert process_time() - began < 30 and sum(n for _, _, n in blocks) > 4000  # difflib takes minutes
