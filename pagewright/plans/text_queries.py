@@ -141,12 +141,13 @@ def word_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngrams3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = W.document_ngrams(documents(spark, sf_dir), ["doc_id"])
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("ngram").alias("n_distinct"), F.sum(F.length("ngram") * (F.col("pos") + 1)).alias("weight"))
+    found = W.document_ngram_index(documents(spark, sf_dir), ["doc_id"])
+    places = F.aggregate("positions", F.lit(0).cast("bigint"), lambda a, p: a + p + 1)
+    return found.groupBy("doc_id").agg(F.sum(F.size("positions")).alias("n"), F.count("*").alias("n_distinct"), F.sum(F.length("ngram") * places).alias("weight"))
 
 
 def ngram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = W.ngram_index(W.document_ngrams(documents(spark, sf_dir), ["doc_id"]), ["doc_id"])
+    found = W.document_ngram_index(documents(spark, sf_dir), ["doc_id"])
     return found.filter(F.size("positions") > 1).select("doc_id", "ngram", F.size("positions").alias("n"), F.array_join("positions", ",").alias("positions"))
 
 
