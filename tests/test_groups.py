@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.operators import fuzzy as Z, line_correction as L, transcription as C
 from pagewright.sources import pages as P
@@ -85,3 +86,37 @@ def test_long_lines_are_aligned_as_difflib_does_but_sooner():
     began = process_time()
     blocks = matching_blocks(read, given)
     assert process_time() - began < 30 and sum(n for _, _, n in blocks) > 4000  # difflib takes minutes
+
+
+def shuffled_rows(spark, df):
+    """Rows that a query hands from task to task, all its stages together."""
+    sc = spark.sparkContext
+
+    def total():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    df.collect()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return total() - before
+
+
+def test_ngrams_of_whole_texts_stay_with_their_text(spark):
+    from pagewright.operators import words as W
+
+    texts = [(k, " ".join(f"w{(k * i) % 17}" for i in range(200))) for k in range(1, 21)] + [(7, "a b c a b c"), (None, "x y z"), (None, "x y z"), (50, "a b"), (51, None)]
+    docs = spark.createDataFrame(texts, "d long, text string").repartition(3).cache()
+    docs.count()
+    want = sorted(map(str, W.ngram_index(W.document_ngrams(docs, ["d"]), ["d"]).collect()))
+    assert sorted(map(str, W.document_ngram_index(docs, ["d"]).collect())) == want
+    assert shuffled_rows(spark, W.document_ngram_index(docs.filter("d < 7"), ["d"])) < 50
+    pairs = spark.createDataFrame([(1, ["a", "b", "c", "d"], ["a", "b", "c", "x", "y"]), (2, ["a"], ["a"]), (3, ["a b", "c", "d"], ["a", "b c", "d"])], "d long, o array<string>, g array<string>")
+    assert [tuple(r) for r in W.shared_ngrams(pairs, ["d"], "o", "g").collect()] == [(1, 0)]
+    lists = spark.createDataFrame([(1, [f"w{i}" for i in range(1000)], [i + 1 if i % 10 < 8 else None for i in range(1000)]), (2, ["a", "b"], [None, 0]), (3, [], []), (4, None, None)], "d long, w array<string>, p array<int>")
+    runs = C.list_uncovered_runs(lists, ["d"], "w", "p")
+    man = lists.select("d", F.posexplode(F.arrays_zip("w", "p")).alias("pos", "x")).select("d", "pos", F.col("x.w").alias("word"), F.col("x.p").alias("ocrpos"))
+    covered = man.filter("ocrpos IS NOT NULL").select("d", F.col("pos").alias("manpos"), "ocrpos")
+    want = sorted(map(str, C.uncovered_runs(man.drop("ocrpos"), covered, ["d"]).collect()))
+    assert len(want) == 101 and sorted(map(str, runs.collect())) == want
+    assert shuffled_rows(spark, runs) == 0
