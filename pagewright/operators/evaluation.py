@@ -6,22 +6,31 @@ accents, or an emoji of several code points, is one.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, evaluation_text, evaluation_words, let
-from .alignment import edits
+from ..functions.align import once
+from ..functions.batches import small_batches
+from ..functions.text import basename, evaluation_text, let
+from .alignment import distance, edits
+from .fuzzy import WORD_BITS, osa
 
 #: First code point that stands for a word. The surrogates are left out; the last code point bounds the distinct words of one pair.
 FIRST, SURROGATES, MOST_WORDS = 0x4E00, range(0xD800, 0xE000), 0x110000 - 0x4E00 - 0x800
 #: Edit distances are sought within a narrow band first, and within a wider one where it is not enough.
+#: Characters of lines from which on their distance is not sought in bands.
+LONG = 200
 BANDS = (16, 64, 256, 1024, 4096)
 #: Without these no code point is joined with another one: combining marks and all scripts that need them stand beyond.
 JOINING = "\r\n|[^\\x{0}-\\x{2FF}]"
+#: Letters and digits of a text without such code points, where all tables of characters agree.
+PLAIN_WORD = re.compile(r"[^\W_]+")
 CLUSTER, WORD = regex.compile(r"\X"), regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 
 
@@ -103,6 +112,53 @@ def pair_codes(ours: Column, theirs: Column) -> Column:
     return code(ours, theirs)
 
 
+def sequence_distances(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
+    """Edit distances of pairs of lists; those of short lists all at once."""
+    out = np.zeros(len(pairs), np.int32)
+    short: list[tuple[int, str, str]] = []
+    for k, (x, y) in enumerate(pairs):
+        start, n, m = 0, len(x), len(y)
+        while start < min(n, m) and x[start] == y[start]:
+            start += 1
+        while min(n, m) > start and x[n - 1] == y[m - 1]:
+            n, m = n - 1, m - 1
+        if min(n, m) == start:
+            out[k] = max(n, m) - start
+        elif min(n, m) - start <= WORD_BITS and len(pairs) > 1:
+            short.append((k, *in_codes(x[start:n], y[start:m])))
+        else:
+            out[k] = distance(x[start:n], y[start:m])
+    if short:
+        at, a, b = zip(*short)
+        out[list(at)] = osa(list(a), list(b), False)
+    return out
+
+
+def word_scores(gt: Column, ocr: Column) -> Column:
+    """n_words of a text and its word_errors against another, both without code points that may join; a null second text is equal to the first."""
+
+    @F.arrow_udf("struct<n_words: int, word_errors: int>")
+    def score(a: pa.Array, b: pa.Array) -> pa.Array:
+        ours = [None if x is None else PLAIN_WORD.findall(x) for x in a.to_pylist()]
+        unequal = [(k, PLAIN_WORD.findall(y)) for k, y in enumerate(b.to_pylist()) if y is not None and ours[k] is not None]
+        errors = np.zeros(len(ours), np.int32)
+        errors[[k for k, _ in unequal]] = sequence_distances([(ours[k], y) for k, y in unequal])
+        sizes = pa.array([0 if x is None else len(x) for x in ours], pa.int32())
+        return pa.StructArray.from_arrays([sizes, pa.array(errors)], ["n_words", "word_errors"])
+
+    return once(score)(gt, ocr)
+
+
+def long_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two long texts in words of bits, a character of one against all of the other at once; null where either is."""
+
+    @F.arrow_udf("int")
+    def count(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([None if s is None or t is None else int(sequence_distances([(s, t)])[0]) for s, t in zip(x.to_pylist(), y.to_pylist())], pa.int32())
+
+    return once(count)(a, b)
+
+
 def edit_distance(a: Column, b: Column) -> Column:
     """Edit distance whose cost grows with the distance, not with the square of the length."""
 
@@ -119,25 +175,28 @@ def line_errors(pairs: DataFrame) -> DataFrame:
     """Add char_errors, n_chars, word_errors and n_words of each pair of lines (gt, ocr), after normalising; null counts as empty.
 
     Only lines that may have characters of several code points leave the JVM for
-    them, and only unequal ones for their words.
+    them; words are counted and compared in one Arrow function, a batch of lines at once.
     """
+    small_batches(pairs.sparkSession)
     text = lambda c: evaluation_text(F.coalesce(F.col(c), F.lit("")))
     prepared = pairs.withColumns({"_g": text("gt"), "_o": text("ocr")})
     prepared = prepared.withColumns({"_same": F.col("_g") == F.col("_o"), "_join": may_join(F.col("_g")) | may_join(F.col("_o"))})
-    # Equal lines have no errors, so their words need no codes.
-    words = lambda c: F.when(~F.col("_same") & ~F.col("_join"), evaluation_words(F.col(c)))
+    # Equal lines have no errors, so their words are only counted.
+    plain = lambda c, more: F.when(~F.col("_join") & more, F.col(c))
     whole = lambda c: F.when(F.col("_join"), F.col(c))
-    prepared = prepared.withColumns({"_c": word_codes(words("_g"), words("_o")), "_p": pair_codes(whole("_g"), whole("_o"))})
+    prepared = prepared.withColumns({"_c": word_scores(plain("_g", F.lit(True)), plain("_o", ~F.col("_same"))), "_p": pair_codes(whole("_g"), whole("_o"))})
     errors = lambda a, b: F.when(F.col("_same"), F.lit(0)).otherwise(let(F.array(a, b), lambda t: edit_distance(t[0], t[1])))
     either = lambda joined, plain: F.when(F.col("_join"), F.col(joined)).otherwise(plain)
+    long = ~F.col("_same") & ~F.col("_join") & (F.least(F.length("_g"), F.length("_o")) > LONG)
+    prepared = prepared.withColumn("_l", long_distance(F.when(long, F.col("_g")), F.when(long, F.col("_o"))))
     return prepared.withColumns(
         {
-            "char_errors": errors(either("_p.c.ours", F.col("_g")), either("_p.c.theirs", F.col("_o"))),
+            "char_errors": F.when(long, F.col("_l")).otherwise(errors(either("_p.c.ours", F.col("_g")), either("_p.c.theirs", F.col("_o")))),
             "n_chars": F.length(either("_p.c.ours", F.col("_g"))),
-            "word_errors": errors(either("_p.w.ours", F.col("_c.ours")), either("_p.w.theirs", F.col("_c.theirs"))),
-            "n_words": F.when(F.col("_join"), F.length("_p.w.ours")).otherwise(F.size(evaluation_words(F.col("_g")))),
+            "word_errors": F.when(F.col("_join"), errors(F.col("_p.w.ours"), F.col("_p.w.theirs"))).otherwise(F.col("_c.word_errors")),
+            "n_words": F.when(F.col("_join"), F.length("_p.w.ours")).otherwise(F.col("_c.n_words")),
         }
-    ).drop("_g", "_o", "_c", "_p", "_same", "_join")
+    ).drop("_g", "_o", "_c", "_p", "_l", "_same", "_join")
 
 
 def error_rates(lines: DataFrame, by: list[str]) -> DataFrame:

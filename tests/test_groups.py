@@ -120,3 +120,18 @@ def test_ngrams_of_whole_texts_stay_with_their_text(spark):
     want = sorted(map(str, C.uncovered_runs(man.drop("ocrpos"), covered, ["d"]).collect()))
     assert len(want) == 101 and sorted(map(str, runs.collect())) == want
     assert shuffled_rows(spark, runs) == 0
+
+
+def test_words_and_long_lines_are_scored_in_one_batch():
+    from time import process_time
+
+    from pagewright.operators import evaluation as E
+    from plain import levenshtein
+
+    pick = random.Random(5)
+    lists = [([pick.choice("abcd") for _ in range(pick.randrange(90))], [pick.choice("abcd") for _ in range(pick.randrange(90))]) for _ in range(150)]
+    assert E.sequence_distances(lists).tolist() == [levenshtein(x, y) for x, y in lists]
+    text = [pick.choice("abcdefgh ") for _ in range(20000)]
+    began = process_time()
+    assert E.sequence_distances([(text, [c for i, c in enumerate(text) if i % 9])]).tolist() == [len(range(0, 20000, 9))]
+    assert process_time() - began < 10
