@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.align import once
 from ..functions.batches import small_batches
 from ..functions.text import basename, evaluation_text, let
-from .alignment import distance, edits
+from .alignment import distance, edits_of_pairs
 from .fuzzy import WORD_BITS, osa
 
 #: First code point that stands for a word. The surrogates are left out; the last code point bounds the distinct words of one pair.
@@ -31,6 +34,11 @@ BANDS = (16, 64, 256, 1024, 4096)
 JOINING = "\r\n|[^\\x{0}-\\x{2FF}]"
 #: Letters and digits of a text without such code points, where all tables of characters agree.
 PLAIN_WORD = re.compile(r"[^\W_]+")
+MAY_JOIN = re.compile("\r\n|[^\0-\u02ff]")
+#: Numbers of characters of several code points begin beyond all code points.
+BEYOND = 0x110000
+#: Lines a Python worker gets at once to align them, and characters of both sides that are aligned together.
+ALIGNED_ROWS, PART_CHARS = 4096, 1 << 19
 CLUSTER, WORD = regex.compile(r"\X"), regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 
 
@@ -231,9 +239,45 @@ def text_error_rates(pairs: DataFrame, by: list[str]) -> DataFrame:
     return joined.select(*by, "n_lines", size.alias("n_characters"), "n_words", cer.alias("cer"), "wer")
 
 
-def pair_differences(x: list[str], y: list[str]) -> list[tuple[str, str]]:
-    """What stands against what in a smallest alignment; the empty text where a side has nothing. As many as the edit distance."""
-    return [("" if i is None else x[i], "" if j is None else y[j]) for i, j in edits(x, y)]
+class Elements:
+    """Characters or words of many texts as whole numbers, the same number for the same one."""
+
+    def __init__(self, words: bool) -> None:
+        self.words, self.known = words, defaultdict(count().__next__)
+
+    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts, one text after the other, and how many each has."""
+        whole, known = "".join(texts), self.known
+        plain = not MAY_JOIN.search(whole)
+        if plain and not self.words:
+            return np.frombuffer(whole.encode("utf-32-le"), np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
+        if self.words:
+            parts = [PLAIN_WORD.findall(x) if plain or not MAY_JOIN.search(x) else words_of(x) for x in texts]
+        else:
+            parts = [characters(x) if MAY_JOIN.search(x) else x for x in texts]
+        number = known.__getitem__ if self.words else lambda x: ord(x) if len(x) == 1 else BEYOND + known[x]
+        return np.fromiter(map(number, chain.from_iterable(parts)), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def named(self, codes: np.ndarray) -> pa.Array:
+        """The characters or words of the numbers; the empty text for -1."""
+        different, places = np.unique(codes, return_inverse=True)
+        names, first = list(self.known), 0 if self.words else BEYOND
+        return pa.array(["" if c < 0 else chr(c) if c < first else names[c - first] for c in different.tolist()], pa.string()).take(pa.array(places))
+
+
+def aligned(gt: list[str | None], ocr: list[str | None], words: bool) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
+    """By parts of the texts: how many differences each pair has, and what stands against what in them; null counts as empty."""
+    ours, theirs = ([(x or "").replace("\u2019", "'") for x in side] for side in (gt, ocr))
+    ends = np.cumsum([len(x) + len(y) for x, y in zip(ours, theirs)])
+    at = 0
+    while at < len(ours):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_CHARS, side="right")))
+        elements = Elements(words)
+        (x, nx), (y, ny) = elements.codes(ours[at:end]), elements.codes(theirs[at:end])
+        pair, i, j = edits_of_pairs(x, nx, y, ny)
+        chosen = lambda codes, sizes, k: np.where(k < 0, -1, np.append(codes, 0)[np.where(k < 0, -1, (np.cumsum(sizes) - sizes)[pair] + k)].astype(np.int64))  # noqa: B023, E731
+        yield np.bincount(pair, minlength=end - at), elements.named(chosen(x, nx, i)), elements.named(chosen(y, ny, j))
+        at = end
 
 
 def differences(pairs: DataFrame, by: list[str], words: bool = False) -> DataFrame:
@@ -243,16 +287,17 @@ def differences(pairs: DataFrame, by: list[str], words: bool = False) -> DataFra
     aligned by the fewest edits, however long it is, so that as many differences
     are counted as line_errors counts errors.
     """
-    part = words_of if words else characters
+    small_batches(pairs.sparkSession, ALIGNED_ROWS)
 
     @F.arrow_udf("array<struct<gt: string, ocr: string>>")
     def found_in(a: pa.Array, b: pa.Array) -> pa.Array:
-        found = ([{"gt": p, "ocr": q} for p, q in pair_differences(part(x), part(y))] for x, y in zip(a.to_pylist(), b.to_pylist()))
-        return pa.array(list(found), pa.list_(pa.struct([("gt", pa.string()), ("ocr", pa.string())])))
+        counts, ours, theirs = zip(*aligned(a.to_pylist(), b.to_pylist(), words)) if len(a) else ([], [], [])
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([*counts, []]))]).astype(np.int32))
+        sides = [pa.concat_arrays([pa.array([], pa.string()), *side]) for side in (ours, theirs)]
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(sides, ["gt", "ocr"]))
 
-    text = lambda c: evaluation_text(F.coalesce(F.col(c), F.lit("")))
-    unequal = pairs.filter(~F.col("gt").eqNullSafe(F.col("ocr")))
-    found = unequal.select(*by, F.explode(found_in(text("gt"), text("ocr"))).alias("d"))
+    # Equal lines are not filtered out before, as the filter would have both texts made a second time; they have no differences.
+    found = pairs.select(*by, F.explode(found_in("gt", "ocr")).alias("d"))
     return found.groupBy(*by, F.col("d.gt").alias("gt"), F.col("d.ocr").alias("ocr")).agg(F.count("*").alias("n"))
 
 

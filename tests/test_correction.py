@@ -3,6 +3,7 @@ import math
 import random
 import time
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -262,6 +263,43 @@ def test_alignments_are_smallest():
             assert all(i is None or j is None or a[i] != b[j] for i, j in found)
 
 
+def test_pairs_are_aligned_together(monkeypatch):
+    """Many pairs at once, empty and unlike ones among them, have the alignments of the whole tables; those with few edits are never aligned alone."""
+    rng = random.Random(3)
+    pairs = [([], []), ([1], []), ([], [2, 2]), ([7] * 700, [8] * 900)]
+    for _ in range(600):
+        a = [rng.randrange(rng.choice((1, 2, 40))) for _ in range(rng.choice((3, 30, 400)))]
+        b = [x for x in a for x in ([x], [], [rng.randrange(40)], [x, 1])[rng.randrange(4) if rng.random() < 0.1 else 0]]
+        pairs.append((a, b if rng.random() < 0.8 else [rng.randrange(3) for _ in range(rng.randrange(60))]))
+
+    def together(pairs):
+        sides = [(np.array([v for p in pairs for v in p[s]], np.uint32), [len(p[s]) for p in pairs]) for s in (0, 1)]
+        found = [[] for _ in pairs]
+        for p, i, j in zip(*(c.tolist() for c in alignment.edits_of_pairs(*sides[0], *sides[1]))):
+            found[p].append((None if i < 0 else i, None if j < 0 else j))
+        return found
+
+    monkeypatch.setattr(alignment, "traced", lambda a, b, a0, b0, band: alignment.traced_whole(a, b, a0, b0))
+    expected = [alignment.edits(a, b) for a, b in pairs]
+    monkeypatch.undo()
+    assert together(pairs) == expected
+    assert [alignment.edits(a, b, band=8) for a, b in pairs] == expected
+    few = [k for k, found in enumerate(expected) if len(found) <= alignment.MOST_EDITS]
+    monkeypatch.setattr(alignment, "edits", None)
+    assert len(few) > 500 and together([pairs[k] for k in few]) == [expected[k] for k in few]
+
+
+def test_differences_of_any_characters(spark):
+    """Characters of one and of several code points and plain lines in one batch, equal and null lines among them."""
+    rows = [(1, "cafe\u0301 x", "cafe x"), (2, "a\r\nb", "ab"), (3, None, "\u2019"), (4, "same", "same"), (5, "\U0001f468\u200d\U0001f469 d", "\U0001f468 d"), (6, "l\u00e0 1", "la 1"), (7, "ab\r", "b\n"), (8, None, None)]
+    lines = spark.createDataFrame(rows, "id int, gt string, ocr string").coalesce(1)
+    found = {(r["id"], r["gt"], r["ocr"], r["n"]) for r in E.differences(lines, ["id"]).collect()}
+    family = "\U0001f468\u200d\U0001f469"
+    assert found == {(1, "\u00e9", "e", 1), (2, "\r\n", "", 1), (3, "", "'", 1), (5, family, "\U0001f468", 1), (6, "\u00e0", "a", 1), (7, "a", "", 1), (7, "\r", "\n", 1)}
+    by_word = {(r["id"], r["gt"], r["ocr"], r["n"]) for r in E.differences(lines, ["id"], words=True).collect()}
+    assert by_word == {(1, "caf\u00e9", "cafe", 1), (2, "a", "ab", 1), (2, "b", "", 1), (6, "l\u00e0", "la", 1), (7, "ab", "b", 1)}
+
+
 def test_differences_do_not_depend_on_length(spark):
     """One changed word of 150 to 400 words is one difference, and ten characters lost are ten."""
     rows = []
