@@ -301,6 +301,24 @@ def differences(pairs: DataFrame, by: list[str], words: bool = False) -> DataFra
     return found.groupBy(*by, F.col("d.gt").alias("gt"), F.col("d.ocr").alias("ocr")).agg(F.count("*").alias("n"))
 
 
+def difference_counts(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """by, characters, words: how many differences `differences` finds of each kind; null where none of a kind, and no row where none at all.
+
+    Both kinds are counted in one pass over the lines.
+    """
+    small_batches(pairs.sparkSession, ALIGNED_ROWS)
+
+    @F.arrow_udf("struct<characters: int, words: int>")
+    def found_in(a: pa.Array, b: pa.Array) -> pa.Array:
+        sides = a.to_pylist(), b.to_pylist()
+        counts = [np.concatenate([c for c, _, _ in aligned(*sides, words)] or [np.zeros(0)]) for words in (False, True)]
+        return pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in counts], ["characters", "words"])
+
+    sums = pairs.select(*by, once(found_in)("gt", "ocr").alias("c")).groupBy(*by).agg(F.sum("c.characters").alias("characters"), F.sum("c.words").alias("words"))
+    some = lambda c: F.nullif(F.col(c), F.lit(0)).alias(c)
+    return sums.filter("characters > 0 OR words > 0").select(*by, some("characters"), some("words"))
+
+
 def difference_map(found: DataFrame, by: list[str]) -> DataFrame:
     """by, differences: `gt :: ocr` to its count."""
     entry = F.struct(F.concat_ws(" :: ", "gt", "ocr"), "n")

@@ -300,6 +300,16 @@ def test_differences_of_any_characters(spark):
     assert by_word == {(1, "caf\u00e9", "cafe", 1), (2, "a", "ab", 1), (2, "b", "", 1), (6, "l\u00e0", "la", 1), (7, "ab", "b", 1)}
 
 
+def test_difference_totals_in_one_pass(spark, tmp_path):
+    """Lines are made and read once, and documents without a number are one row, as in SQL."""
+    word = "the quick green hen never jumped twice"
+    rows = [(1, f"{word}\n{word}", "en"), (None, word, "en"), (2, "one", "en"), (None, word, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = Q.difference_totals(spark, str(tmp_path))
+    assert {(r["doc_id"], r["characters"], r["words"]) for r in found.collect()} == {(1, 4, 4), (None, 4, 4)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_differences_do_not_depend_on_length(spark):
     """One changed word of 150 to 400 words is one difference, and ten characters lost are ten."""
     rows = []
