@@ -173,8 +173,8 @@ def marked(line: Column) -> Column:
 def page_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wraps documents as pages, writes marked lines back (all but the last) and reads them again."""
     pages = documents(spark, sf_dir).select("doc_id", P.wrap_page(F.col("text")).alias("xml"))
-    new = P.page_text(pages, ["doc_id"]).withColumn("text", F.transform("text", lambda p: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), marked)))
-    lines = P.region_lines(P.write_back(pages.join(new, "doc_id")), ["doc_id"])
+    new = P.with_text(pages).withColumn("text", F.transform("text", lambda p: F.transform(F.slice(p, F.lit(1), F.size(p) - 1), marked)))
+    lines = P.region_lines(P.write_back(new), ["doc_id"])
     return lines.select("doc_id", "line_idx", F.md5("text").alias("text_md5"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.batches import small_batches
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 NAMESPACE = "http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"
 SCHEMA = """Page STRUCT<_imageFilename: STRING, _imageWidth: INT, _imageHeight: INT,
@@ -27,20 +27,27 @@ SCHEMA = """Page STRUCT<_imageFilename: STRING, _imageWidth: INT, _imageHeight:
 OPTIONS = {"rowTag": "PcGts", "ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
+def is_layout(parsed: Column, xml: Column) -> Column:
+    """Whether a text is page-layout XML, told from what it was parsed to."""
+    # from_xml drops nothing on bad input in permissive mode: it says so in _corrupt_record.
+    return F.coalesce(parsed.isNotNull() & parsed["_corrupt_record"].isNull() & xml.rlike(r"<(\w+:)?PcGts[\s>]"), F.lit(False))
+
+
 def parse_pages(pages: DataFrame, xml: str = "xml") -> DataFrame:
     """Add `parsed` (a struct of the page layout) and `is_page` (the text is such XML) to each row."""
-    # from_xml drops nothing on bad input in permissive mode: it says so in _corrupt_record.
-    parsed = F.from_xml(F.col(xml), SCHEMA, OPTIONS)
-    return pages.withColumn("parsed", parsed).withColumn(
-        "is_page", F.coalesce(F.col("parsed").isNotNull() & F.col("parsed._corrupt_record").isNull() & F.col(xml).rlike(r"<(\w+:)?PcGts[\s>]"), F.lit(False))
-    )
+    return pages.withColumn("parsed", F.from_xml(F.col(xml), SCHEMA, OPTIONS)).withColumn("is_page", is_layout(F.col("parsed"), F.col(xml)))
+
+
+def parsed_page(xml: Column) -> Column:
+    """A struct of the page layout; null where the text is not such XML. It is parsed once, as let binds it."""
+    return let(F.from_xml(xml, SCHEMA, OPTIONS), lambda p: F.when(is_layout(p, xml), p))
 
 
 def sniff_format(rows: DataFrame, content: str) -> DataFrame:
     """Add `format`: page (page layout), xml (other well-formed-looking mark-up) or text."""
     start = F.regexp_replace(F.coalesce(F.col(content), F.lit("")), "^\\uFEFF?\\s+", "")
-    kind = F.when(F.col("is_page"), "page").when(start.rlike(r"^<(\?xml|[A-Za-z_][\w.:-]*[\s/>])"), "xml").otherwise("text")
-    return parse_pages(rows, content).withColumn("format", kind).drop("parsed", "is_page")
+    kind = F.when(parsed_page(F.col(content)).isNotNull(), "page").when(start.rlike(r"^<(\?xml|[A-Za-z_][\w.:-]*[\s/>])"), "xml").otherwise("text")
+    return rows.withColumn("format", kind)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +63,8 @@ def region_lines(pages: DataFrame, keys: list[str], xml: str = "xml") -> DataFra
     A line must have one text; `n_equivs` tells how many it has, and more or
     fewer is an error the caller may raise (see single_text).
     """
-    regions = parse_pages(pages, xml).filter("is_page").select(*keys, F.posexplode("parsed.Page.TextRegion").alias("region_idx", "region"))
+    # An outer explode with a filter behind it: a filter before it, which Spark adds to a plain one too, would parse pages again.
+    regions = pages.select(*keys, F.posexplode_outer(parsed_page(F.col(xml))["Page"]["TextRegion"]).alias("region_idx", "region")).filter("region_idx IS NOT NULL")
     lines = regions.select(*keys, "region_idx", F.col("region._id").alias("region_id"), F.posexplode("region.TextLine").alias("line_idx", "line"))
     equiv = F.col("line.TextEquiv")
     return lines.select(
@@ -88,7 +96,13 @@ def layout_text(parsed: Column) -> Column:
 
 def page_text(pages: DataFrame, keys: list[str], xml: str = "xml") -> DataFrame:
     """keys, text (see layout_text) of the rows that are pages."""
-    return parse_pages(pages, xml).filter("is_page").select(*keys, layout_text(F.col("parsed")).alias("text"))
+    text = let(parsed_page(F.col(xml)), lambda p: F.when(p.isNotNull(), F.array(layout_text(p))))
+    return pages.select(*keys, F.explode_outer(text).alias("text")).filter("text IS NOT NULL")
+
+
+def with_text(pages: DataFrame, xml: str = "xml") -> DataFrame:
+    """Add `text` (see layout_text) to each row; null where it is not a page, which write_back leaves as it is."""
+    return pages.withColumn("text", let(parsed_page(F.col(xml)), lambda p: F.when(p.isNotNull(), layout_text(p))))
 
 
 def reading_order(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,10 +128,10 @@ def patch_page(xml: str, text: list[list[str]], words: bool = False, order: bool
     becomes its lines joined by a carriage return and a line feed. order: every
     region and line is given its place.
     """
-    found = [e for _, e in ET.iterparse(io.StringIO(xml), events=["start-ns"])]
-    for prefix, uri in found:
+    parsing = ET.iterparse(io.StringIO(xml), events=["start-ns"])
+    for _, (prefix, uri) in list(parsing):
         ET.register_namespace(prefix, uri)
-    root = ET.fromstring(xml)
+    root = parsing.root
     space = root.tag.partition("}")[0] + "}" if root.tag.startswith("{") else ""
     for i, region in enumerate(root.iter(f"{space}TextRegion")):
         if order:

@@ -1,7 +1,9 @@
+import hashlib
 import io
 import random
 import xml.etree.ElementTree as ET
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +50,25 @@ def test_region_text_is_read_again_as_written(spark):
         assert region.findtext(f"{space}TextEquiv/{space}Unicode") == "one\r\ntwo"
 
 
+def test_pages_are_written_back_in_their_own_row(spark, tmp_path):
+    """Documents without a number, and with the same one, keep their lines; a page is parsed once to be written and once to be read again."""
+    rows = [(None, "a\nb"), (1, "x < y\n z "), (1, ""), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(str(tmp_path / "documents.parquet"))
+    made = text_queries.page_write_back(spark, str(tmp_path))
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    expected = [(None, 0, "# a"), (None, 1, "b"), (1, 0, "# x < y"), (1, 1, "z"), (1, 0, ""), (2, 0, "")]
+    assert Counter(map(tuple, made.collect())) == Counter((d, i, digest(t)) for d, i, t in expected)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("from_xml(") == 2
+
+
+def test_rows_that_are_no_pages(spark):
+    assert [r["page_id"] for r in P.page_text(pages(spark), ["page_id"]).collect()] == ["a"]
+    kept = {r["page_id"]: r["text"] for r in P.with_text(pages(spark)).collect()}
+    assert kept == {"a": [["old one", ""], ["b"]], "b": None, "c": None, "d": None}
+    assert {r["page_id"]: r["xml"] for r in P.write_back(P.with_text(pages(spark).filter("page_id <> 'a'"))).collect()} == {"b": "plain", "c": "<PcGts><x", "d": None}
+
+
 REGION = '''<TextRegion id="tr_{0}"{1}><TextLine id="tl_{2}"{3}><TextEquiv><Unicode>Example Text {2}</Unicode></TextEquiv></TextLine>
 <TextLine id="tl_{4}"{5}><TextEquiv><Unicode>Example Text {4}</Unicode></TextEquiv></TextLine></TextRegion>'''
 
