@@ -38,7 +38,7 @@ MAY_JOIN = re.compile("\r\n|[^\0-\u02ff]")
 #: Numbers of characters of several code points begin beyond all code points.
 BEYOND = 0x110000
 #: Lines a Python worker gets at once to align them, and characters of both sides that are aligned together.
-ALIGNED_ROWS, PART_CHARS = 4096, 1 << 19
+ALIGNED_ROWS, PART_CHARS = 4096, 1 << 21
 CLUSTER, WORD = regex.compile(r"\X"), regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
 
 
