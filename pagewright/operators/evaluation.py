@@ -22,7 +22,7 @@ from ..functions.align import once
 from ..functions.batches import small_batches
 from ..functions.text import basename, evaluation_text, let
 from .alignment import distance, edits_of_pairs
-from .fuzzy import WORD_BITS, osa
+from .distances import WORD_BITS, osa
 
 #: First code point that stands for a word. The surrogates are left out; the last code point bounds the distinct words of one pair.
 FIRST, SURROGATES, MOST_WORDS = 0x4E00, range(0xD800, 0xE000), 0x110000 - 0x4E00 - 0x800
